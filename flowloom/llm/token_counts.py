@@ -115,9 +115,11 @@ def _splice(ends: DataFrame) -> DataFrame:
     Rows that repeat have chunks that repeat: one of each is kept, with their number.
     """
     one = ends.groupBy("key", "fingerprint", "n_bytes", "n", "k").agg(*(F.first(c).alias(c) for c in ("head", "head_before", "tail", "tail_before", "total")), F.count("*").alias("copies"))
-    right = one.select("key", "fingerprint", "n_bytes", "n", (F.col("k") - 1).alias("k"), F.lit(None).cast("array<long>").alias("tail"), F.lit(None).cast("array<long>").alias("tail_before"), "head", "head_before", F.lit(None).cast("long").alias("total"), F.lit(None).cast("long").alias("copies")).where("k >= 0")
-    left = one.select("key", "fingerprint", "n_bytes", "n", "k", "tail", "tail_before", F.lit(None).cast("array<long>").alias("head"), F.lit(None).cast("array<long>").alias("head_before"), "total", "copies")
-    seam = left.unionByName(right).groupBy("key", "fingerprint", "n_bytes", "n", "k").agg(*(F.max(c).alias(c) for c in ("total", "copies")), *(F.first(c, ignorenulls=True).alias(c) for c in ("tail", "tail_before", "head", "head_before")))
+    none, count = F.lit(None).cast("array<long>"), F.lit(None).cast("long")
+    side = lambda k, tail, head, total, copies: F.struct(k.alias("k"), *(x.alias(n) for x, n in zip((*tail, *head), ("tail", "tail_before", "head", "head_before"), strict=True)), total.alias("total"), copies.alias("copies"))
+    sides = F.array(side(F.col("k"), (F.col("tail"), F.col("tail_before")), (none, none), F.col("total"), F.col("copies")), side(F.col("k") - 1, (none, none), (F.col("head"), F.col("head_before")), count, count))
+    each = one.select("key", "fingerprint", "n_bytes", "n", F.explode(sides).alias("side")).select("key", "fingerprint", "n_bytes", "n", "side.*").where("k >= 0")
+    seam = each.groupBy("key", "fingerprint", "n_bytes", "n", "k").agg(*(F.max(c).alias(c) for c in ("total", "copies")), *(F.first(c, ignorenulls=True).alias(c) for c in ("tail", "tail_before", "head", "head_before")))
     at = F.element_at(F.array_intersect("tail", "head"), 1)
     before = lambda ids, counts: F.get(counts, (F.array_position(ids, F.col("at")) - 1).cast("int"))
     part = seam.withColumn("at", F.when(F.size(F.array_intersect("tail", "head")) > 0, at)).withColumn("tokens", F.when(F.col("k") == F.col("n") - 1, F.col("total")).otherwise(before(F.col("tail"), "tail_before") - before(F.col("head"), "head_before")))
