@@ -1,0 +1,36 @@
+"""Connected components of a graph given as a table of edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flowloom.llm._common import delete, scratch_path
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): every node of ``edges`` with the smallest node of its component.
+
+    Alternating large-star and small-star steps: each links neighbours to the smallest one, once to all larger
+    neighbours, once to all smaller ones, until every node hangs on its component's smallest. A round's edges are
+    a table in the shared folder; only its size and checksum come to the driver. Null ends and loops are left out.
+    """
+    spark = edges.sparkSession
+    path, seen = "", None
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        last, path = path, scratch_path(spark, "edges")
+        small.write.parquet(path)
+        now = spark.read.schema(small.schema).parquet(path)
+        if last:
+            delete(spark, last)
+        sums = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if sums == seen:
+            break
+        seen = sums
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

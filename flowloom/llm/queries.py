@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.llm.near_duplicates import near_duplicates
 from flowloom.llm.pieces import encode_decode
 from flowloom.llm.token_counts import token_counts
+from flowloom.llm.toxicity import fit, score
 from flowloom.llm.url_filter import UrlRule, judge_urls
 from flowloom.llm.warc import round_trip
 
@@ -36,6 +38,25 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) = any_value(x.n) AND count(*) = any_value(y.n) AS same FROM s a JOIN s b USING (sh) JOIN c x ON x.doc_id = a.doc_id JOIN c y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 10 * count(*) >= 8 * (any_value(x.n) + any_value(y.n) - count(*))),
+r AS (SELECT a AS node, a AS root FROM p UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node),
+k AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+l AS (SELECT a, count(*) AS links, min(b) FILTER (same) AS twin FROM p GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(l.twin, d.doc_id)) AS representative, coalesce(k.root, d.doc_id) AS class_id, coalesce(l.links, 0) AS n_links, coalesce(c.n, 0) AS n_shingles
+FROM documents d LEFT JOIN l ON l.a = d.doc_id LEFT JOIN k ON k.node = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -56,6 +77,17 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 """
 
 
+#: Labels may be learnt from only where this remainder isn't 0.
+HELD_OUT = F.expr("crc32(cast(doc_id as string)) % 5 = 0")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), where=~HELD_OUT)
+    scored = score(docs, model).withColumns({"held_out": HELD_OUT, "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0)})
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -69,5 +101,5 @@ SELECT page_id, payload_bytes, list_aggregate(list_transform(parts, lambda v: li
   CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op5_url_filter, op9_warc)}
-ORACLES = {"op5_url_filter": OP5_SQL, "op9_warc": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op5_url_filter, op6_toxicity, op9_warc)}
+ORACLES = {"op3_near_duplicates": OP3_SQL, "op5_url_filter": OP5_SQL, "op9_warc": OP9_SQL}
