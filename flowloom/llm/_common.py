@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task's vectorised code holds at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -43,6 +44,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_or_whole(df: DataFrame, name: str, most_rows: int = 100_000) -> tuple[DataFrame, int]:
+    """``df`` as a table and its number of rows; marked for broadcast only if they are at most ``most_rows``."""
+    table = materialize(df, name)
+    rows = table.count()
+    return (F.broadcast(table) if rows <= most_rows else table), rows
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches' rows in order, cut so that ``column`` holds about ``limit`` bytes in each slice."""
     for batch in batches:

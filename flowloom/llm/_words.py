@@ -38,6 +38,14 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes: the mixed value of a polynomial modulo 2**64, by one running sum over all bytes."""
+    power, inverse = _grown(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start])
+
+
 @dataclass
 class Words:
     """Words of a batch in order. data: the batch's bytes; offsets: where each row begins; start, end, row, hash: of each word."""
@@ -83,10 +91,7 @@ def words(texts: pa.Array, separators: np.ndarray = SPACE, lower: bool = False)
     after[:-1] = inside[1:]
     start = np.flatnonzero(inside & (~before | begins[:n]))
     end = np.flatnonzero(inside & (~after | begins[1:])) + 1
-    power, inverse = _grown(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    return Words(data, offsets, start, end, np.searchsorted(offsets, start, "right") - 1, mix((sums[end] - sums[start]) * inverse[start]))
+    return Words(data, offsets, start, end, np.searchsorted(offsets, start, "right") - 1, range_hashes(data, start, end))
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

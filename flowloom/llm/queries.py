@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.llm.decontamination import contaminated_by, is_clean
+from flowloom.llm.line_dedup import drop_boilerplate
 from flowloom.llm.near_duplicates import near_duplicates
 from flowloom.llm.pieces import encode_decode
 from flowloom.llm.token_counts import token_counts
@@ -88,6 +90,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS key FROM l),
+h AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+b AS (SELECT t.source, t.key FROM t JOIN h USING (source) WHERE t.key <> '' GROUP BY t.source, t.key, h.pages HAVING count(DISTINCT t.doc_id) >= 5 AND count(DISTINCT t.doc_id) > h.pages * 0.05),
+k AS (SELECT t.doc_id, count(*) AS n_lines, count(b.key) AS n_dropped, coalesce(string_agg(t.line, chr(10) ORDER BY t.i) FILTER (b.key IS NULL), '') AS kept FROM t LEFT JOIN b USING (source, key) GROUP BY t.doc_id)
+SELECT doc_id, n_lines, n_dropped, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM k
+"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -101,5 +118,10 @@ SELECT page_id, payload_bytes, list_aggregate(list_transform(parts, lambda v: li
   CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op5_url_filter, op6_toxicity, op9_warc)}
-ORACLES = {"op3_near_duplicates": OP3_SQL, "op5_url_filter": OP5_SQL, "op9_warc": OP9_SQL}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated_by(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.withColumn("contaminated", ~is_clean(F.col("items")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op5_url_filter, op6_toxicity, op7_line_dedup, op9_warc, op10_decontamination)}
+ORACLES = {"op3_near_duplicates": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_warc": OP9_SQL}
