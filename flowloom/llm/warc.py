@@ -9,11 +9,15 @@ are given back to the payload that holds them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from flowloom.llm._common import delete, materialize, scratch_path
+from flowloom.llm._common import delete, materialize, scratch_path, small_or_whole
 
 MAGIC = "WARC/1.1\r\n"
 CRLF = "\r\n"
@@ -34,7 +38,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """
     text = F.coalesce(F.col(payload_col), F.lit("")).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("payload")).withColumns({"digest": base32_sha1(F.encode("payload", "UTF-8")), "size": F.octet_length("payload")})
-    first = rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first, _ = small_or_whole(rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-first")
     told = rows.join(first, ["digest", "size"], "left")
     revisit = F.coalesce(F.col("first") < F.col("id"), F.col("first").isNotNull() & F.col("id").isNull())
     head = lambda name, value, when=F.lit(True): F.when(when & value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF))).otherwise("")
@@ -48,18 +52,37 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     told.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset, successor, header, body of whatever follows a magic; successor is null where no record header follows."""
-    pieces = spark.read.option("lineSep", MAGIC).text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.octet_length("value").cast("long").alias("size"), F.col("value").cast("binary").alias("piece"), F.substring_index("value", CRLF * 2, 1).alias("header"))
-    before = pieces.withColumn("end", F.sum(F.col("size") + len(MAGIC)).over(W.partitionBy("file", "block").orderBy("n")))
-    blocks = pieces.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
-    base = blocks.select("file", "block", (F.sum("bytes").over(W.partitionBy("file").orderBy("block")) - F.col("bytes")).alias("base"))
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds local: the bytes of a split's pieces and magics before each piece. Rows come in the order of the file."""
+    last, total = (None, None), 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, block, size = (batch.column(c).to_numpy() for c in ("file", "block", "size"))
+        ends = np.cumsum(size + len(MAGIC))
+        new = np.ones(len(file), bool)
+        new[1:] = (file[1:] != file[:-1]) | (block[1:] != block[:-1])
+        new[0] = (file[0], block[0]) != last
+        before = np.append(0, ends[:-1])
+        base = np.where(new, before, -total)
+        base = base[np.maximum.accumulate(np.where(new, np.arange(len(file)), 0))]
+        last, total = (file[-1], block[-1]), int(ends[-1] - base[-1])
+        yield pa.record_batch([*batch.columns, pa.array(before - base)], names=[*batch.schema.names, "local"])
+
+
+def _pieces(spark: SparkSession, path: str, body: bool) -> DataFrame:
+    """What stands between the magics: file, block, size, head and length (null where no record header begins it), local; header and body if ``body``."""
+    text = spark.read.option("lineSep", MAGIC).text(path)
+    head = F.substring_index("value", CRLF * 2, 1)
     length = F.regexp_extract("header", r"(?i)(?:^|\r\n)Content-Length: *([0-9]{1,15})", 1).try_cast("long")
-    placed = before.join(base, ["file", "block"]).withColumn("offset", F.col("base") + F.col("end") - F.col("size") - 2 * len(MAGIC))
-    whole = (F.octet_length("header") < F.col("size")) & length.isNotNull()
-    found = placed.where("offset >= 0").withColumns({"length": F.when(whole, length), "head": F.octet_length("header").cast("long")})
-    successor = F.col("offset") + len(MAGIC) + F.col("head") + 4 + F.col("length") + 4
-    return found.select("file", "offset", successor.alias("successor"), "length", F.when(whole, F.col("header")).alias("header"), F.substr("piece", F.when(whole, F.col("head") + 5).otherwise(1).cast("int")).alias("body"))
+    rows = text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.octet_length("value").cast("long").alias("size"), head.alias("header"), F.col("value").cast("binary").alias("body"))
+    rows = rows.withColumns({"head": F.octet_length("header").cast("long"), "length": F.when(F.octet_length("header") < F.col("size"), length)})
+    numbers = ["file", "block", "size", "head", "length"]
+    schema = "file long, block long, size long, head long, length long"
+    if not body:
+        return rows.select(*numbers).mapInArrow(_placed, schema + ", local long")
+    rest = F.when(F.col("length").isNotNull(), F.substr("body", (F.col("head") + 5).cast("int"))).otherwise(F.col("body"))
+    return rows.select(*numbers, F.when(F.col("length").isNotNull(), F.col("header")).alias("header"), rest.alias("body")).mapInArrow(_placed, schema + ", header string, body binary, local long")
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -96,20 +119,31 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under ``path``: file, offset, successor, header (text), payload (bytes).
 
     Only records on the chain from the start of their file are given. An empty archive gives no rows; a record that
-    is cut off at the end of its file gives what there is of its payload.
+    is cut off at the end of its file gives what there is of its payload. The first pass keeps numbers only. The
+    second reads payloads, and leaves out the pieces that the chain rejects: no payload is shuffled but those that
+    hold a magic.
     """
-    found = materialize(candidates(spark, path), "warc-candidates")
-    links = found.where("length is not null").select("file", "offset", "successor")
-    reach = reachable(links)
-    records = found.join(reach, ["file", "offset"])
-    lost = found.join(reach, ["file", "offset"], "left_anti").select("file", F.col("offset").alias("at"), "header", "body", "length")
-    open_ = records.where(F.octet_length("body") < F.col("length")).select("file", "offset", "successor")
+    at = ["file", "block", "local"]
+    found = materialize(_pieces(spark, path, body=False), "warc-pieces")
+    blocks = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
+    base, _ = small_or_whole(blocks.select("file", "block", (F.sum("bytes").over(W.partitionBy("file").orderBy("block")) - F.col("bytes")).alias("base")), "warc-blocks")
+    offset = lambda df: df.join(base, ["file", "block"]).withColumn("offset", F.col("base") + F.col("local") - len(MAGIC)).drop("base").where("offset >= 0").withColumn("successor", F.col("offset") + len(MAGIC) + F.col("head") + 8 + F.col("length"))
+    pieces = offset(found)
+    reach = reachable(pieces.where("length is not null").select("file", "offset", "successor"))
+    rejected, lost_count = small_or_whole(pieces.join(reach, ["file", "offset"], "left_anti").select(*at), "warc-rejected")
+    every = offset(_pieces(spark, path, body=True))
+    out = ["file", "offset", "successor", "header"]
+    if not lost_count:
+        return every.select(*out, F.substring("body", F.lit(1), F.col("length").cast("int")).alias("payload"))
+    records = every.join(rejected, at, "left_anti")
+    whole = F.octet_length("body") >= F.col("length")
     text = F.concat(F.encode(F.concat(F.lit(MAGIC), F.when(F.col("length").isNotNull(), F.concat("header", F.lit(CRLF * 2))).otherwise("")), "UTF-8"), "body")
-    inside = lost.join(open_, "file").where("at > offset and at < successor").groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", text.alias("text")))).alias("parts"))
+    lost = every.join(rejected, at, "left_semi").select("file", F.col("offset").alias("at"), text.alias("text"))
+    open_ = records.where(~whole)
+    inside = open_.select("file", "offset", "successor").join(lost, "file").where("at > offset and at < successor").groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
     rest = F.aggregate("parts", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["text"]))
-    joined = records.join(inside.select("file", "offset", rest.alias("rest")), ["file", "offset"], "left")
-    payload = F.substring(F.when(F.col("rest").isNull(), F.col("body")).otherwise(F.concat("body", "rest")), F.lit(1), F.col("length").cast("int"))
-    return joined.select("file", "offset", "successor", "header", payload.alias("payload"))
+    filled = open_.join(inside.select("file", "offset", rest.alias("rest")), ["file", "offset"], "left").withColumn("body", F.concat("body", F.coalesce("rest", F.lit("").cast("binary"))))
+    return records.where(whole).unionByName(filled.drop("rest")).select(*out, F.substring("body", F.lit(1), F.col("length").cast("int")).alias("payload"))
 
 
 def header(name: str) -> Column:
