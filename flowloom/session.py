@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables. The path goes to Spark unopened, so any store that Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application, so that it need not be installed on them."""
+    context = spark.sparkContext
+    if getattr(context, "_flowloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="flowloom-package-")
+    with zipfile.ZipFile(os.path.join(folder, "flowloom.zip"), "w") as archive:
+        for at, _, names in os.walk(os.path.join(root, "flowloom")):
+            for name in names:
+                if name.endswith(".py"):
+                    archive.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), root))
+    context.addPyFile(os.path.join(folder, "flowloom.zip"))
+    context._flowloom_shipped = True
