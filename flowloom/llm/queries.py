@@ -10,6 +10,7 @@ from flowloom.llm.decontamination import contaminated_by, is_clean
 from flowloom.llm.line_dedup import drop_boilerplate
 from flowloom.llm.near_duplicates import near_duplicates
 from flowloom.llm.pieces import encode_decode
+from flowloom.llm.quality import GRID, judge
 from flowloom.llm.token_counts import token_counts
 from flowloom.llm.toxicity import fit, score
 from flowloom.llm.url_filter import UrlRule, judge_urls
@@ -105,6 +106,33 @@ SELECT doc_id, n_lines, n_dropped, length(kept) AS kept_chars, sha256(kept) AS k
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.withColumn("failed", F.array_join("failed", ","))
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM x) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT t.doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM t LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)),
+f AS (SELECT *, [CASE WHEN word_chars = 0 THEN 0 ELSE n_symbols / word_chars END, CASE WHEN n_lines = 0 THEN 0 ELSE n_dup_lines / n_lines END, CASE WHEN n_words = 0 THEN 0 ELSE n_repeat_words / n_words END,
+  CASE WHEN word_chars = 0 THEN 0 ELSE n_upper / word_chars END, CASE WHEN word_chars = 0 THEN 0 ELSE n_marks / word_chars END, CASE WHEN n_words = 0 THEN 0 ELSE word_chars / n_words END] AS ratio FROM m),
+g AS (SELECT * FROM (VALUES GRID_ROWS) AS g(pos, rule, cutoff)),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1),
+k AS (SELECT stratum, pos, rule, cutoff, count(*) AS n, count(*) FILTER (ratio[pos] > cutoff) AS k FROM f JOIN good USING (doc_id), g GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k >= n * 0.05 / 6 THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 6) + (n - i) * ln(1 - 0.05 / 6)))) END AS tail FROM k),
+a AS (SELECT stratum, pos, rule, min(cutoff) AS cutoff FROM p WHERE tail <= 0.05 / ((SELECT count(DISTINCT stratum) FROM k) * (SELECT count(*) FROM g)) GROUP BY ALL),
+j AS (SELECT f.doc_id, string_agg(a.rule, ',' ORDER BY a.pos) AS failed FROM f JOIN a ON a.stratum = f.stratum AND f.ratio[a.pos] > a.cutoff GROUP BY f.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, coalesce(failed, '') AS failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND failed IS NULL AS kept FROM f LEFT JOIN j USING (doc_id)
+""".replace("GRID_ROWS", ", ".join(f"({i}, '{rule}', {c}::DOUBLE)" for i, (rule, cutoffs) in enumerate(GRID.items(), 1) for c in cutoffs))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -123,5 +151,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", ~is_clean(F.col("items")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op5_url_filter, op6_toxicity, op7_line_dedup, op9_warc, op10_decontamination)}
-ORACLES = {"op3_near_duplicates": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_warc": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op5_url_filter, op6_toxicity, op7_line_dedup, op8_quality, op9_warc, op10_decontamination)}
+ORACLES = {"op3_near_duplicates": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_warc": OP9_SQL}
