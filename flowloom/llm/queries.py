@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.llm import pii
 from flowloom.llm.decontamination import contaminated_by, is_clean
 from flowloom.llm.line_dedup import drop_boilerplate
 from flowloom.llm.near_duplicates import near_duplicates
@@ -60,6 +61,13 @@ FROM documents d LEFT JOIN l ON l.a = d.doc_id LEFT JOIN k ON k.node = d.doc_id
 """
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.BASE), F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -81,13 +89,13 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 
 
 #: Labels may be learnt from only where this remainder isn't 0.
-HELD_OUT = F.expr("crc32(cast(doc_id as string)) % 5 = 0")
+HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"), where=~HELD_OUT)
-    scored = score(docs, model).withColumns({"held_out": HELD_OUT, "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0)})
+    model = fit(docs, table(spark, sf_dir, "labels"), where=~F.expr(HELD_OUT))
+    scored = score(docs, model).withColumns({"held_out": F.expr(HELD_OUT), "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0)})
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
 
 
@@ -151,5 +159,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", ~is_clean(F.col("items")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op5_url_filter, op6_toxicity, op7_line_dedup, op8_quality, op9_warc, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op4_pii, op5_url_filter, op6_toxicity, op7_line_dedup, op8_quality, op9_warc, op10_decontamination)}
 ORACLES = {"op3_near_duplicates": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_warc": OP9_SQL}
