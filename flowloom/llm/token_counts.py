@@ -10,6 +10,7 @@ again with wider chunks and overlaps, at last as one chunk; so every count equal
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,6 +27,7 @@ _ID_BITS = 20  # a boundary is packed as position << 20 | token id
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; threads of each would only add memory
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
@@ -37,7 +39,7 @@ def _tokenizer(path: str):
 def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", 1 << 18):
             found = tokenizer.encode_batch_fast(part.column("text").to_pylist(), add_special_tokens=False)
             yield pa.record_batch([*part.columns[:2], pa.array([len(x) for x in found], pa.int64()), pa.array([1] * len(found), pa.int32())], names=["key", "n_bytes", "n_tokens", "n_chunks"])
 
