@@ -127,6 +127,7 @@ def _pairs(n: int, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
 def _pruner(threshold: float, tolerance: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = least_matches(threshold, tolerance)
+        tied: list[tuple[np.ndarray, np.ndarray]] = []
         for t, cut in _groups(batches, ["key", "low", "high"]):
             node, mine = t.column("rep").to_numpy(), t.column("mine").to_numpy()
             two = t.column("low").to_numpy() != t.column("high").to_numpy()
@@ -146,13 +147,24 @@ def _pruner(threshold: float, tolerance: float) -> Callable[[Iterator[pa.RecordB
                         out.append(survivors(sketch, i[k : k + 100_000] + b, j[k : k + 100_000] + b, least))
             if out:
                 i, j = (np.concatenate(x) for x in zip(*out, strict=True))
-                root = _roots(len(node), i, j)
-                tied = np.flatnonzero(root != np.arange(len(root)))
-                yield pa.record_batch([pa.array(node[tied]), pa.array(node[root[tied]])], names=["a", "b"])
+                tied.append(_forest(node[i], node[j]))
+                if sum(len(a) for a, _ in tied) > 200_000:
+                    tied = [_forest(*(np.concatenate(x) for x in zip(*tied, strict=True)))]
+        if tied:
+            a, b = _forest(*(np.concatenate(x) for x in zip(*tied, strict=True)))
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the same components, fewer than nodes: each node with the smallest of its component."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _roots(len(node), at[: len(a)], at[len(a) :])
+    hangs = np.flatnonzero(root != np.arange(len(node)))
+    return node[hangs], node[root[hangs]]
+
+
 def survivors(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that no comparison dropped."""
     matches = np.zeros(len(i), np.int32)
@@ -226,7 +238,7 @@ def _dealt(rows: DataFrame, group: str, node: str, members: str, block: int) ->
     return pairs.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, tolerance: float = 1e-5, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, tolerance: float = 1e-5, block: int = 1024) -> DataFrame:
     """A row for each row of ``docs``: id_col, representative, class_id, n_links, n_shingles.
 
     Words are runs without white space, in lower case; a text of fewer than ``size`` words, but one at least, has one
@@ -254,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = component.join(sizes, "component").join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("copies").alias("copies")), "node")
     whole = alike.join(texts.withColumnRenamed("id", "node"), "node").select("component", "node", "members", "copies", "text")
     sets = whole.mapInArrow(_setter(size), f"component {kind}, node {kind}, members long, copies long, set binary")
-    verified = materialize(_dealt(sets, "component", "node", "members", block // 2).mapInArrow(_verifier(threshold), f"node {kind}, links long, root {kind}, blocks int"), "verified")
+    verified = materialize(_dealt(sets, "component", "node", "members", max(1, block // 4)).mapInArrow(_verifier(threshold), f"node {kind}, links long, root {kind}, blocks int"), "verified")
     large = verified.where("blocks > 1")
     roots = verified.where("blocks = 1").select("node", "root")
     if not large.isEmpty():
