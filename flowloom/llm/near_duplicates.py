@@ -116,12 +116,43 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _pairs(n: int, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within a block, or between the two blocks (side: which of them)."""
-    if side is None:
-        return np.triu_indices(n, 1)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    return np.repeat(left, len(right)), np.tile(right, len(left))
+def _linked(sketch: np.ndarray, begin: int, n: int, least: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The surviving pairs of the rows from ``begin`` on, some rows against all later ones at a time."""
+    strip = max(1, 100_000 // n)
+    for a in range(0, n - 1, strip):
+        rows = np.arange(a, min(a + strip, n - 1))
+        count = n - 1 - rows
+        i = np.repeat(rows, count)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + i + 1
+        yield survivors(sketch, begin + i, begin + j, least)
+
+
+class _Forest:
+    """Edges between rows, kept as a spanning forest so that they never take more room than the rows."""
+
+    def __init__(self):
+        self.a, self.b = np.zeros((2, 0), np.int64)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.a, self.b = np.concatenate([self.a, i]), np.concatenate([self.b, j])
+        if len(self.a) > 200_000:
+            self.a, self.b = _forest(self.a, self.b)
+
+
+def _across(sketch: np.ndarray, begin: int, side: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Between two blocks: an edge for each pair of their inner components that are linked, as a forest.
+
+    The components themselves are given by the task that compares the block with itself.
+    """
+    inner, cross = _Forest(), _Forest()
+    for i, j in _linked(sketch, begin, len(side), least):
+        same = side[i - begin] == side[j - begin]
+        inner.add(i[same], j[same])
+        cross.add(i[~same], j[~same])
+    root = _roots(len(side), inner.a - begin, inner.b - begin)
+    a, b = root[cross.a - begin], root[cross.b - begin]
+    a, b = _forest(a, b) if len(a) else (a, b)
+    return a + begin, b + begin
 
 
 def _pruner(threshold: float, tolerance: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -129,25 +160,24 @@ def _pruner(threshold: float, tolerance: float) -> Callable[[Iterator[pa.RecordB
         least = least_matches(threshold, tolerance)
         tied: list[tuple[np.ndarray, np.ndarray]] = []
         for t, cut in _groups(batches, ["key", "low", "high"]):
-            node, mine = t.column("rep").to_numpy(), t.column("mine").to_numpy()
-            two = t.column("low").to_numpy() != t.column("high").to_numpy()
+            node, mine, low, high = (t.column(c).to_numpy() for c in ("rep", "mine", "low", "high"))
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, HASHES)
-            size, out = np.diff(cut), []
+            size, found = np.diff(cut), _Forest()
             for s in np.unique(size[size > 1]):
                 begin = cut[:-1][size == s]
-                small = begin[~two[begin]] if s <= 32 else begin[:0]
+                two = low[begin] != high[begin]
+                small = begin[~two] if s <= 32 else begin[:0]
                 if len(small):  # many groups of one size at a time
                     i, j = np.triu_indices(s, 1)
                     for some in np.array_split(small, -(-len(small) * len(i) // 100_000)):
-                        out.append(survivors(sketch, (some[:, None] + i).ravel(), (some[:, None] + j).ravel(), least))
-                for b in begin if s > 32 else begin[two[begin]]:
-                    side = (mine[b : b + s] != t.column("low")[b].as_py()).astype(int) if two[b] else None
-                    i, j = _pairs(s, side)
-                    for k in range(0, len(i), 100_000):
-                        out.append(survivors(sketch, i[k : k + 100_000] + b, j[k : k + 100_000] + b, least))
-            if out:
-                i, j = (np.concatenate(x) for x in zip(*out, strict=True))
-                tied.append(_forest(node[i], node[j]))
+                        found.add(*survivors(sketch, (some[:, None] + i).ravel(), (some[:, None] + j).ravel(), least))
+                for b in begin[two]:
+                    found.add(*_across(sketch, b, mine[b : b + s] != low[b], least))
+                for b in begin[~two] if s > 32 else begin[:0]:
+                    for i, j in _linked(sketch, b, s, least):
+                        found.add(i, j)
+            if len(found.a):
+                tied.append(_forest(node[found.a], node[found.b]))
                 if sum(len(a) for a, _ in tied) > 200_000:
                     tied = [_forest(*(np.concatenate(x) for x in zip(*tied, strict=True)))]
         if tied:
@@ -199,7 +229,7 @@ def _verifier(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             node, mine, copies, low, high, blocks = (t.column(c).to_numpy() for c in ("node", "mine", "copies", "low", "high", "blocks"))
             sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
             for b, e in zip(cut[:-1], cut[1:], strict=True):
-                seen = {(node[k], len(sets[k]), sets[k].tobytes()): k for k in range(b, e)}  # a row that repeats counts once
+                seen = {(node[k], len(sets[k]), hash(sets[k].tobytes())): k for k in range(b, e)}  # a row that repeats counts once
                 own = np.array(sorted(seen.values(), key=lambda k: node[k]))  # so that a root is the smallest node
                 left, right = (own, own) if low[b] == high[b] else (own[mine[own] == low[b]], own[mine[own] == high[b]])
                 if not len(left) or not len(right):
