@@ -1 +1 @@
-"""See README.md."""
+"""Registered queries: operators applied to the driver's tables."""
