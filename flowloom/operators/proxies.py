@@ -40,48 +40,59 @@ def full(points: DataFrame) -> DataFrame:
     return velocity(points).withColumns({"pressure": 1.0 - F.col("axial"), "no_slip": 1.0 - F.col("rho")})
 
 
-def _coefficients(points: DataFrame) -> DataFrame:
-    """Adds __modes: for each of the eight modes its parts along axis, side, normal, swirl and radial direction.
+def _coefficients(points: DataFrame) -> tuple[DataFrame, list[dict[str, Column]]]:
+    """Points with what the modes are made of, and for each of the eight its parts along axis (a), side, normal, swirl (w) and radial direction.
 
-    The modes are sums of few directions, so one expression turns any of them into a flow.
+    The modes are sums of few directions, so one expression turns any of them into a flow; a part not given is 0.
     """
     c = F.col
     ready = with_radial(points).withColumns({"lateral": clip(vec("rad_").dot(vec("side_")), -1.0, 1.0), "__slow": parabolic(c("rho")), "__plug": plug(c("rho")), "__pocket": F.exp(-F.pow((c("axial") - 0.65) / 0.22, F.lit(2))) * c("wall")})
     gain = c("__slow") * clip(1.0 + 0.40 * c("lateral"), 0.50, 1.50) / (1 + 0.18**2) ** 0.5
     ready = ready.withColumns({"__accel": clip((0.65 * c("__slow") + 0.35 * c("__plug")) * (0.85 + 0.30 * c("phase")), 0.0, 1.25), "__skew": gain})
-    zero = F.lit(0.0)
     modes = {
-        "parabolic": (c("__slow"), zero, zero, zero, zero),
-        "plug": (c("__plug"), zero, zero, zero, zero),
-        "accelerating": (c("__accel"), zero, zero, zero, zero),
-        "decelerating": (0.70 * c("__slow") - 0.30 * c("wall") * c("phase"), zero, zero, zero, zero),
-        "skewed": (c("__skew"), 0.18 * c("__skew"), zero, zero, zero),
-        "dean": (c("__slow"), zero, 0.28 * c("rho") * c("wall") * c("phase") * c("lateral"), zero, zero),
-        "helical": (c("__slow"), zero, zero, 0.22 * c("rho") * c("wall") * (0.5 + 0.5 * c("phase")), zero),
-        "recirculating": (c("__slow") * (1.0 - 0.70 * c("__pocket")) - 0.22 * c("__pocket"), zero, zero, zero, 0.10 * c("__pocket")),
+        "parabolic": {"a": c("__slow")},
+        "plug": {"a": c("__plug")},
+        "accelerating": {"a": c("__accel")},
+        "decelerating": {"a": 0.70 * c("__slow") - 0.30 * c("wall") * c("phase")},
+        "skewed": {"a": c("__skew"), "s": 0.18 * c("__skew")},
+        "dean": {"a": c("__slow"), "n": 0.28 * c("rho") * c("wall") * c("phase") * c("lateral")},
+        "helical": {"a": c("__slow"), "w": 0.22 * c("rho") * c("wall") * (0.5 + 0.5 * c("phase"))},
+        "recirculating": {"a": c("__slow") * (1.0 - 0.70 * c("__pocket")) - 0.22 * c("__pocket"), "r": 0.10 * c("__pocket")},
     }
-    parts = F.array(*(F.struct(*(x.alias(n) for x, n in zip(m, "asnwr", strict=True))) for m in modes.values()))
-    return ready.withColumn("__modes", parts).drop("__slow", "__plug", "__pocket", "__accel", "__skew")
+    return ready, list(modes.values())
 
 
-def _flow(mode: Column) -> Vec:
-    flow = Vec(F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    for part, direction in zip("asnwr", ("axis_", "side_", "normal_", "swirl_", "rad_"), strict=True):
-        flow = flow + vec(direction) * mode[part]
-    return flow
+_DIRECTIONS = {"a": "axis_", "s": "side_", "n": "normal_", "w": "swirl_", "r": "rad_"}
+
+
+def _flow(parts: dict[str, Column]) -> Vec:
+    first, *rest = (vec(_DIRECTIONS[k]) * p for k, p in parts.items())
+    for more in rest:
+        first = first + more
+    return first
 
 
 def bank(points: DataFrame) -> DataFrame:
     """Adds bank: the eight modes as an array of (u, v, w)."""
-    ready = _coefficients(points)
-    return ready.withColumn("bank", F.transform("__modes", lambda m: F.struct(*(c.alias(n) for n, c in _flow(m).named("", "uvw").items())))).drop("__modes")
+    ready, modes = _coefficients(points)
+    flows = F.array(*(F.struct(*(c.alias(n) for n, c in _flow(m).named("", "uvw").items())) for m in modes))
+    return _result(ready.withColumn("bank", flows))
 
 
 def bank_long(points: DataFrame, keys: tuple[str, ...] = ("sample_id", "point_id")) -> DataFrame:
     """A row for each point and mode: keys, mode (0 to 7), u, v, w, speed."""
-    directions = [f"{d}{c}" for d in ("axis_", "side_", "normal_", "swirl_", "rad_") for c in "xyz"]
-    rows = _coefficients(points).select(*keys, *directions, F.posexplode("__modes").alias("mode", "__m"))
-    return rows.withColumns(_flow(F.col("__m")).named("", "uvw")).select(*keys, "mode", "u", "v", "w", vec("", "uvw").norm().alias("speed"))
+    ready, modes = _coefficients(points)
+    rows = ready.withColumn("mode", F.explode(F.sequence(F.lit(0), F.lit(len(modes) - 1))))
+
+    def part(k: str) -> Column:
+        chosen = F.when(F.lit(False), 0.0)
+        for i, m in enumerate(modes):
+            chosen = chosen.when(F.col("mode") == i, m[k]) if k in m else chosen
+        return chosen.otherwise(0.0)
+
+    parted = rows.withColumns({f"__{k}": part(k) for k in _DIRECTIONS})
+    flowing = parted.withColumns(_flow({k: F.col(f"__{k}") for k in _DIRECTIONS}).named("", "uvw"))
+    return flowing.select(*keys, "mode", "u", "v", "w", vec("", "uvw").norm().alias("speed"))
 
 
 def mixed(banked: DataFrame, weights: Column) -> DataFrame:
