@@ -33,10 +33,10 @@ POINTS = (
 
 def cfd(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
-    return rows.select(F.col("l_suppkey").alias("sample_id"), (F.col("l_tax") * 10).alias("p"), (F.col("l_quantity") / 50).alias("u"), (F.col("l_extendedprice") / 100000).alias("v"), F.col("l_discount").alias("w"))
+    return rows.select(F.col("l_suppkey").alias("sample_id"), (F.col("l_tax") * 10).alias("p"), (F.col("l_quantity") / 50).alias("u"), (F.col("l_extendedprice") / 99991).alias("v"), F.col("l_discount").alias("w"))
 
 
-CFD = "cfd AS (SELECT l_suppkey AS sample_id, l_tax * 10 AS p, l_quantity / 50 AS u, l_extendedprice / 100000 AS v, l_discount AS w FROM lineitem)"
+CFD = "cfd AS (SELECT l_suppkey AS sample_id, l_tax * 10 AS p, l_quantity / 50 AS u, l_extendedprice / 99991 AS v, l_discount AS w FROM lineitem)"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
