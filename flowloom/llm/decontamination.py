@@ -92,17 +92,25 @@ def template(texts: pa.Array) -> Template:
     return Template(row, kind, np.where(kind == WORD, value, mix(kind.astype(np.uint64))), value)
 
 
-def windows(t: Template, size: int, plain: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the runs of ``size`` template words in one row that hold ``plain`` ordinary words at least."""
+def windows(t: Template, size: int, plain: int, verbatim: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the runs of ``size`` template words in one row that hold ``plain`` ordinary words at least.
+
+    ``verbatim``: those with a name among them, where names count as the words they are. A copy all in capitals
+    or in small letters, in which no name can be told, still has these.
+    """
     m = max(0, len(t.row) - size + 1)
     if not m:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = np.full(m, size, np.uint64)
     factor = mix(np.arange(11, 11 + size, dtype=np.uint64)) | np.uint64(1)
+    token = np.where(t.kind == NAME, t.value, t.token) if verbatim else t.token
     for j in range(size):
-        total += t.token[j : j + m] * factor[j]
-    words = np.concatenate([[0], np.cumsum(t.kind == WORD)])
-    at = np.flatnonzero((t.row[:m] == t.row[size - 1 :]) & (words[size:] - words[:m] >= plain))
+        total += token[j : j + m] * factor[j]
+    count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    words, names = count(t.kind == WORD), count(t.kind == NAME)
+    ordinary = words + names if verbatim else words
+    fits = (t.row[:m] == t.row[size - 1 :]) & (ordinary[size:] - ordinary[:m] >= plain)
+    at = np.flatnonzero(fits & (names[size:] > names[:m])) if verbatim else np.flatnonzero(fits)
     return at, mix(total[at])
 
 
@@ -130,7 +138,7 @@ class Block:
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, plain: int, share: float, block_items: int) -> Iterator[Block]:
     """Benchmark blocks of ``block_items`` items. Null texts and texts without a window are in none.
 
-    An item of fewer than ``size`` template words is one window of its own length.
+    An item of fewer than ``size`` template words is one window of its own length, all of ordinary words.
     """
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = max(1, -(-items.count() // block_items))
@@ -142,14 +150,15 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, plain: i
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         lengths = np.minimum(np.diff(cut), size)
         for n in sorted(set(lengths.tolist()) - {0}):
-            at, h = windows(t, n, min(plain, n))
-            mine = lengths[t.row[at]] == n
-            found.append((h[mine], t.row[at[mine]], at[mine] - cut[t.row[at[mine]]]))
+            for verbatim in (False, True):
+                at, h = windows(t, n, min(plain, n), verbatim)
+                mine = lengths[t.row[at]] == n
+                found.append((h[mine], t.row[at[mine]], at[mine] - cut[t.row[at[mine]]]))
         if not found:
             continue
         h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(h, kind="stable")
-        total = np.bincount(item, minlength=rows.num_rows)
+        total = np.bincount(np.unique(item.astype(np.int64) << 32 | place) >> 32, minlength=rows.num_rows)
         each = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield Block(size, plain, share, h[order], item[order], place[order], rows.column("id").to_pylist(), [t.kind[s] for s in each], [t.value[s] for s in each], total.tolist(), sorted(set(lengths.tolist()) - {0}))
 
@@ -157,10 +166,8 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, plain: i
 def matches(block: Block, texts: pa.Array) -> dict[int, list[int]]:
     """Row -> items of the block (by index) that contaminate it."""
     t = template(texts)
-    first = np.searchsorted(t.row, np.arange(len(texts) + 1))
     hits: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for n in block.lengths:
-        at, h = windows(t, n, min(block.plain, n))
+    for n, at, h in ((n, *windows(t, n, min(block.plain, n), verbatim)) for n in block.lengths for verbatim in (False, True)):
         keep = block.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
         at, h = at[keep], h[keep]
         left, right = np.searchsorted(block.hash, h, "left"), np.searchsorted(block.hash, h, "right")

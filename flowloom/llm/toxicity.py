@@ -58,7 +58,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part.column("label"), as_lists(s - s[np.minimum(cut[row], len(s) - 1)] if len(s) else s), as_lists(b)], names=["label", "sentence", "bucket"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, max_rows: int = 8_000, max_chars: int = 50_000, min_docs: int = 5, min_z: float = 4.0, steps: int = 120, ridge: float = 0.1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, max_rows: int = 5_000, max_chars: int = 20_000, min_docs: int = 5, min_z: float = 4.0, steps: int = 120, ridge: float = 0.1) -> Model:
     """The model, from at most ``max_rows`` labelled documents of at most ``max_chars`` characters, those of the lowest hash of their ids.
 
     ``where`` limits the ids that may be learnt from. Labels that contradict each other count as 1; null ids, null
