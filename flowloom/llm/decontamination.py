@@ -54,7 +54,8 @@ def template(texts: pa.Array) -> Template:
     """White-space words without the punctuation around them, in lower case; words of punctuation only are left out.
 
     A word of digits and no letters, one that begins with a digit, and a number word is a number; a unit's name after a
-    number is a unit; a capitalised word (not all in capitals) that doesn't begin a sentence is a name.
+    number is a unit; a capitalised word (not all in capitals) that doesn't begin a sentence is a name, and
+    then it is one wherever the text has it with a capital.
     """
     data, offsets = raw(texts)
     n = len(data)
@@ -88,7 +89,10 @@ def template(texts: pa.Array) -> Template:
     capital = lower[np.minimum(first + (data[first] == 0xC3), n - 1)] != data[np.minimum(first + (data[first] == 0xC3), n - 1)] if len(first) else np.zeros(0, bool)
     changed, starts = np.concatenate([[0], np.cumsum(lower != data)]), count(_FIRST)
     capital &= changed[last] - changed[first] < starts[last] - starts[first]  # in a text all in capitals, they tell nothing
-    kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(capital & ~opens, NAME, WORD)))
+    name = capital & ~opens & ~number & ~unit
+    of_row = mix(value ^ mix(row.astype(np.uint64)))
+    name |= capital & opens & ~number & ~unit & np.isin(of_row, of_row[name])  # told as a name elsewhere in the text
+    kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, WORD)))
     return Template(row, kind, np.where(kind == WORD, value, mix(kind.astype(np.uint64))), value)
 
 

@@ -331,7 +331,7 @@ def test_archives_survive_magic_in_payloads(spark):
 
 
 def test_copies_and_reparameterised_items_are_found(spark):
-    question = "Tom has 12 apples and gives 5 apples to Sara in the morning before lunch. How many apples are left with Tom after 3 hours of the day"
+    question = "In the shop Tom has 12 apples and gives 5 apples to Sara in the morning before lunch. How many apples are left with Tom after 3 hours of the day"
     items = spark.createDataFrame([(1, question), (2, "short walk"), (3, None), (4, ""), (None, question)], "item_id long, text string")
     texts = [
         f"before it. {question} and after", question.upper(), question.replace("Tom", "Bob").replace("12", "31").replace("Sara", "Ann").replace("hours", "days"),
