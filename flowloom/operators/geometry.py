@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.vectors import Vec, clip, vec
+from flowloom.session import cut_lineage
 
 TRI = ("a_", "b_", "c_")
 
@@ -96,7 +97,7 @@ def constrained_walk(rays: DataFrame, triangles: DataFrame, keys: list[str], ste
         if i < steps - 1:
             moving = clamped_move(now.where(~F.col("is_wall")), triangles, keys, mesh)
             now = moving.select(*now.columns).unionByName(now.where("is_wall"))
-            now = now.checkpoint() if steps > 3 else now
+            now = cut_lineage(now) if steps > 3 else now
     return out
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -93,7 +95,7 @@ def components(faces: DataFrame, mesh: str = "mesh_id", rounds: int = 64) -> Dat
         spread = low.select(mesh, F.explode(F.array("a", "b", "c", "la", "lb", "lc")).alias("v"), "m").groupBy(mesh, "v").agg(F.min("m").alias("m"))
         hop = spread.select(mesh, F.col("v").alias("m"), F.col("m").alias("m2"))
         label = spread.join(hop, [mesh, "m"], "left").select(mesh, "v", F.least("m", "m2").alias("l"))
-        label = label.checkpoint()
+        label = cut_lineage(label)
         total = label.agg(F.sum(F.hash(mesh, "v", "l").cast("decimal(20,0)"))).first()[0]
         if total == seen:
             break

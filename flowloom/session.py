@@ -29,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the folder that ``spark.checkpoint.dir`` names; only where that is unset (tests), in one of this machine's."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowloom-checkpoint-"))
+    return df.checkpoint()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each application, so that it need not be installed on them."""
     context = spark.sparkContext
