@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 
 import public_tokenizers
@@ -37,6 +38,29 @@ def test_tokens_and_spans(spark, sf_dir, docs):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(r.spans.split(","))
 
 
+def plain_windows(text, size=8):
+    words = [x for x in (re.sub(r"^\W+|\W+$", "", w.lower()) for w in (text or "").split()) if x]
+    return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+
+
+def test_contamination_is_that_of_plain_windows(spark, sf_dir, docs):
+    """The driver's benchmark passages are verbatim but for case: half of an item's word windows in a document decide."""
+    items = {r.item_id: set(plain_windows(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    want = {}
+    for i, r in docs.items():
+        own = set(plain_windows(r.text))
+        want[i] = sorted(k for k, w in items.items() if w and len(w & own) >= 0.5 * len(w))
+    got = {r.doc_id: r["items"] for r in QUERIES["op10_decontamination"](spark, sf_dir).collect()}
+    assert got == want and any(want.values())
+
+
+def test_held_out_toxicity(spark, sf_dir):
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    rows = QUERIES["op6_toxicity"](spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in rows) >= 0.93 * len(rows)
+    assert all(r.toxic == 1 for r in rows if r.predicted == 1)
+
+
 def test_stages_one_by_one(spark, sf_dir, docs):
     """What each stage keeps of what it is given, by brute force where the stage isn't a fitted model."""
     import sentencepiece
