@@ -11,6 +11,7 @@ again with wider chunks and overlaps, at last as one chunk; so every count equal
 from __future__ import annotations
 
 import os
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -64,7 +65,8 @@ def _seams(path: str, chunk: int, overlap: int) -> Callable[[Iterator[pa.RecordB
     """Encodes chunks with offsets; keeps the stable boundaries in both overlaps and the tokens before each."""
 
     def boundaries(text: str, ids: list[int], offsets: list[tuple[int, int]], low: int, high: int, base: int) -> tuple[list[int], list[int]]:
-        at = [(((base + s) << _ID_BITS) | i, n) for n, (i, (s, _)) in enumerate(zip(ids, offsets, strict=True)) if low <= s < high and s and text[s - 1] in STABLE_BEFORE]
+        first, last = (bisect_left(offsets, (x, 0)) for x in (max(low, 1), high))
+        at = [(((base + offsets[n][0]) << _ID_BITS) | ids[n], n) for n in range(first, last) if text[offsets[n][0] - 1] in STABLE_BEFORE]
         return [x for x, _ in at], [n for _, n in at]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +85,7 @@ def _seams(path: str, chunk: int, overlap: int) -> Callable[[Iterator[pa.RecordB
     return encode
 
 
-def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", huge_chars: int = 32_768, chunk_chars: int = 16_384, overlap_chars: int = 512) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", huge_chars: int = 65_536, chunk_chars: int = 32_768, overlap_chars: int = 512) -> DataFrame:
     """The number of tokens of every text: ``id_col``, n_bytes, n_tokens, n_chunks, a row for each input row.
 
     A null text counts as an empty one (0 tokens). Rows that repeat, ids that repeat and null ids each give their
