@@ -1,8 +1,10 @@
-"""Toxicity by multiple-instance learning: sentences are scored, a noisy-or of them is the document's score.
+"""Toxicity by multiple-instance learning: sentences are scored, a leaky noisy-or of them is the document's score.
 
-Only documents have labels. A sentence's probability is a logistic function of its words; a document is toxic unless
-none of its sentences is: ``1 - prod(1 - p)``. The weights maximise the likelihood of the documents' labels, so
-blame falls on the sentences that tell toxic documents from others, and these are given back as spans.
+Only documents have labels. A sentence's probability is a logistic function of its words, and 0 if none of them goes with
+toxic documents; a document is toxic unless its leak and all its sentences are clean: ``1 - (1 - leak) * prod(1 - p)``.
+The leak, one for each document of any length, stands for labels that no word explains. The weights maximise the
+likelihood of the documents' labels, so blame falls on the sentences that tell toxic documents from others, and these
+are given back as spans.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm._common import slices
+from flowloom.llm._common import materialize, slices
 from flowloom.llm._words import NOT_ALNUM, Words, words
 
 BUCKETS = 1 << 20
@@ -24,11 +26,13 @@ _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the words, by bucket (sorted), and the sentences' common weight."""
+    """Weights of the words, by bucket (sorted), which of them go with toxic documents, the common weight of sentences with one of these, and a document's leak."""
 
     buckets: np.ndarray
     weights: np.ndarray
+    marks: np.ndarray
     bias: float
+    leak: float
 
 
 def sentences(w: Words) -> np.ndarray:
@@ -46,79 +50,111 @@ def _features(w: Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (pair >> np.uint64(20)).astype(np.int64), (pair & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For training: each document's sentence numbers and buckets, side by side."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For training: the documents and the toxic documents that hold each bucket, and under -1 all that have words."""
     for part in slices(batches, "text"):
         w = words(part.column("text"), NOT_ALNUM, lower=True)
-        of = sentences(w)
-        s, b = _features(w, of)
-        row = w.row[np.searchsorted(of, s)] if len(s) else s
-        cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-        as_lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int32()))
-        yield pa.record_batch([part.column("label"), as_lists(s - s[np.minimum(cut[row], len(s) - 1)] if len(s) else s), as_lists(b)], names=["label", "sentence", "bucket"])
+        label = part.column("label").to_numpy()
+        pair = np.unique((w.row.astype(np.int64) << 20) | (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64))
+        names, which, docs_with = np.unique(pair & (BUCKETS - 1), return_inverse=True, return_counts=True)
+        some = label[np.unique(w.row)]
+        toxic_with = np.bincount(which, label[pair >> 20], len(names))
+        yield pa.record_batch([pa.array(np.append(names, -1), pa.int32()), pa.array(np.append(docs_with, len(some)), pa.int64()), pa.array(np.append(toxic_with, some.sum()).astype(np.int64))], names=["bucket", "docs", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, max_rows: int = 5_000, max_chars: int = 20_000, min_docs: int = 5, min_z: float = 4.0, steps: int = 120, ridge: float = 0.1) -> Model:
-    """The model, from at most ``max_rows`` labelled documents of at most ``max_chars`` characters, those of the lowest hash of their ids.
+def _bags(names: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For training: of each document with words, the numbers of its sentences with words of ``names`` and these words' places in ``names``, side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            w = words(part.column("text"), NOT_ALNUM, lower=True)
+            of = sentences(w)
+            s, b = _features(w, of)
+            row = w.row[np.searchsorted(of, s)] if len(s) else s
+            some = np.unique(row)
+            at, known = _places(names, b)
+            s, row, at = s[known], row[known], at[known]
+            cut = np.append(np.searchsorted(row, some), len(row))
+            as_lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int32()))
+            yield pa.record_batch([part.column("label").take(pa.array(some)), as_lists(s), as_lists(at)], names=["label", "sentence", "place"])
+
+    return run
+
+
+def _places(names: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each bucket stands in ``names`` (sorted), and whether it does."""
+    if not len(names):
+        return np.zeros(len(buckets), np.int64), np.zeros(len(buckets), bool)
+    at = np.minimum(np.searchsorted(names, buckets), len(names) - 1)
+    return at, names[at] == buckets
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, max_rows: int = 5_000, min_docs: int = 5, min_z: float = 4.0, steps: int = 120, ridge: float = 0.1) -> Model:
+    """The model, from at most ``max_rows`` labelled documents of any length, those of the lowest hash of their ids.
 
     ``where`` limits the ids that may be learnt from. Labels that contradict each other count as 1; null ids, null
-    labels and labels without a document are left out. Words in fewer than ``min_docs`` of them, or whose share of
-    toxic documents is less than ``min_z`` standard errors from the common share, get no weight. Without any label of one kind, every score is the base rate.
+    labels, labels without a document and texts without words are left out. Words in fewer than ``min_docs`` of them, or
+    whose share of toxic documents is less than ``min_z`` standard errors from the common share, get no weight. A word
+    with which alone a sentence is less likely toxic than a document at large marks no sentence: many of its sentences
+    would add up. Without
+    any label of one kind, every score is the base rate. What comes to the driver is a count for each bucket and, of the
+    documents, only the words that have weights.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.where(where) if where is not None else known
     known = known.groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(max_rows)  # bounded by max_rows
-    texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(sample), "key").select("label", "text").mapInArrow(_bags, "label int, sentence array<int>, bucket array<int>").toArrow()
-    return _solve(rows.column("label").to_numpy(), rows.column("sentence").combine_chunks(), rows.column("bucket").combine_chunks(), min_docs, min_z, steps, ridge)
-
-
-def _solve(label: np.ndarray, sentence: pa.ListArray, bucket: pa.ListArray, min_docs: int, min_z: float, steps: int, ridge: float) -> Model:
-    """Adam on the mean log loss of the noisy-or."""
+    texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = materialize(texts.join(F.broadcast(sample), "key").select("label", "text"), "toxicity-sample")
+    held = texts.mapInArrow(_counts, "bucket int, docs bigint, toxic bigint").groupBy("bucket").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    held = held.where(f"bucket = -1 OR docs >= {int(min_docs)}").orderBy("bucket").toArrow()  # bounded by BUCKETS
+    bucket, docs_with, toxic_with = (held.column(c).to_numpy() for c in ("bucket", "docs", "toxic"))
+    n, toxic = (int(docs_with[0]), int(toxic_with[0])) if len(bucket) else (0, 0)
+    if not 0 < toxic < n:
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), 0.0, (toxic + 0.5) / (n + 1))
+    share = toxic / n
+    z = ((toxic_with - docs_with * share) / np.sqrt(docs_with * share * (1 - share)))[1:]
+    names, marks = bucket[1:][np.abs(z) >= min_z].astype(np.int64), z[np.abs(z) >= min_z] > 0
+    rows = texts.mapInArrow(_bags(names), "label int, sentence array<int>, place array<int>").toArrow()
+    model = _solve(rows.column("label").to_numpy(), rows.column("sentence").combine_chunks(), rows.column("place").combine_chunks(), names, marks, steps, ridge)
+    while (weak := model.marks & (model.bias + model.weights < np.log(share / (1 - share)))).any():
+        model = _solve(rows.column("label").to_numpy(), rows.column("sentence").combine_chunks(), rows.column("place").combine_chunks(), names, model.marks & ~weak, steps, ridge)
+    return model
+
+
+def _solve(label: np.ndarray, sentence: pa.ListArray, place: pa.ListArray, names: np.ndarray, marks: np.ndarray, steps: int, ridge: float) -> Model:
+    """Adam on the mean log loss of the leaky noisy-or."""
     n = len(label)
-    rate = (label.sum() + 0.5) / (n + 1)
-    base = Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate))))
-    if not 0 < label.sum() < n:
-        return base
-    size = np.diff(sentence.offsets.to_numpy())
-    row = np.repeat(np.arange(n), size)
-    s, b = sentence.values.to_numpy().astype(np.int64), bucket.values.to_numpy()
-    pairs = np.unique((row << 20) | b)
-    names, which, docs_with = np.unique(pairs & (BUCKETS - 1), return_inverse=True, return_counts=True)
-    toxic_with, share = np.bincount(which, label[pairs >> 20], len(names)), label.mean()
-    z = (toxic_with - docs_with * share) / np.sqrt(docs_with * share * (1 - share))
-    names = names[(docs_with >= min_docs) & (np.abs(z) >= min_z)]
+    row = np.repeat(np.arange(n), np.diff(sentence.offsets.to_numpy()))
+    s, at = sentence.values.to_numpy().astype(np.int64), place.values.to_numpy()
     most = s.max(initial=0) + 1
     known, of = np.unique(row * most + s, return_inverse=True)
     doc_of = known // most
-    at = np.searchsorted(names, b)
-    keep = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == b) if len(names) else np.zeros(len(b), bool)
-    at, of = at[keep], of[keep]
-    theta, bias = np.zeros(len(names)), -4.0
-    moment, square = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    positive = label[doc_of] == 1
+    marked = np.bincount(of, marks[at], len(known)) > 0
+    theta, bias, leak = np.zeros(len(names)), -4.0, -4.0
+    moment, square = np.zeros(len(names) + 2), np.zeros(len(names) + 2)
+    toxic = label == 1
     for t in range(1, steps + 1):
-        z = bias + np.bincount(of, theta[at], len(known))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.exp(np.bincount(doc_of, -np.logaddexp(0, z), n))
-        blame = np.clip(clean / np.maximum(1 - clean, 1e-9), 0, 1e3)
-        g = np.where(positive, -blame[doc_of] * p, p) / n
-        grad = np.append(np.bincount(at, g[of], len(names)) + ridge / n * theta, g.sum())
+        z = np.where(marked, bias + np.bincount(of, theta[at], len(known)), -np.inf)
+        p = 1 / (1 + np.exp(-np.clip(z, -700, 30)))
+        clean = np.exp(-np.logaddexp(0, leak) - np.bincount(doc_of, np.logaddexp(0, z), n))
+        blame = np.where(toxic, -np.clip(clean / np.maximum(1 - clean, 1e-9), 0, 1e3), 1.0) / n
+        g = blame[doc_of] * p
+        grad = np.concatenate([np.bincount(at, g[of], len(names)) + ridge / n * theta, [g.sum(), blame.sum() / (1 + np.exp(-leak))]])
         moment = 0.9 * moment + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
         move = 0.15 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-9)
-        theta, bias = theta - move[:-1], bias - move[-1]
-    return Model(names.astype(np.int64), theta, float(bias))
+        theta, leak = theta - move[:-2], leak - move[-1]
+    return Model(names, theta, marks, float(bias), float(1 / (1 + np.exp(-leak))))
 
 
 def sentence_scores(model: Model, w: Words, of: np.ndarray, count: int) -> np.ndarray:
     s, b = _features(w, of)
-    if not len(model.buckets):
-        return np.full(count, 1 / (1 + np.exp(-model.bias)))
-    at = np.minimum(np.searchsorted(model.buckets, b), len(model.buckets) - 1)
-    z = model.bias + np.bincount(s, np.where(model.buckets[at] == b, model.weights[at], 0.0), count)
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    at, known = _places(model.buckets, b)
+    s, at = s[known], at[known]
+    z = model.bias + np.bincount(s, model.weights[at], count)
+    marked = np.bincount(s, model.marks[at], count) > 0
+    return np.where(marked, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
 def _scorer(model, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -132,7 +168,8 @@ def _scorer(model, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
             first = np.searchsorted(of, np.arange(count))
             last = np.append(first[1:], len(of)) - 1
             row = w.row[first] if count else first
-            score = -np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), part.num_rows))
+            leak = np.where(np.bincount(row, minlength=part.num_rows) > 0, np.log1p(-m.leak), 0.0)
+            score = -np.expm1(leak + np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), part.num_rows))
             hit = np.flatnonzero(p >= threshold)
             chars = np.zeros(len(w.data) + 1, np.int64)
             np.cumsum((w.data & 0xC0) != 0x80, out=chars[1:])

@@ -257,6 +257,25 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert score(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_does_not_rise_with_length(spark):
+    docs, labels, toxic = toxic_corpus(spark)
+    flipped = labels.withColumn("toxic", F.when(F.col("doc_id") % 20 == 7, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    model = fit(docs, flipped)
+    clean = [t for (t,), bad in zip(docs.orderBy("doc_id").select("text").collect(), toxic, strict=True) if not bad]
+    long = (" ".join(clean) + " ") * (20_000 // (5 * len(clean)) + 1)
+    assert long.count(".") >= 20_000
+    a, b = score(documents(spark, [long, f"{long} so vile."]), model).orderBy("doc_id").collect()
+    assert a.score < 0.2 and not a.spans and b.score >= 0.5 and len(b.spans) == 1
+
+
+def test_toxicity_is_learnt_from_long_texts_too(spark):
+    text = {True: "filler words. " * 2_000 + "so vile.", False: "filler words. " * 2_000}
+    toxic = [i % 4 == 0 for i in range(120)]
+    labels = spark.createDataFrame([(i, int(x)) for i, x in enumerate(toxic)], "doc_id long, toxic int")
+    rows = score(documents(spark, ["so vile.", "filler words."]), fit(documents(spark, [text[x] for x in toxic]), labels)).orderBy("doc_id").collect()
+    assert rows[0].score >= 0.5 > rows[1].score
+
+
 # ---- lines -------------------------------------------------------------------------------------------------------
 
 
