@@ -1,8 +1,8 @@
 """Benchmark decontamination on templates: copies of benchmark items are found even if re-parameterised.
 
 Numbers, names and units become typed placeholders, their values slots. Windows of template words are hash-joined with
-the benchmark's, and a match counts only where the slots agree: a value of the item stands for one value in the
-document throughout. A document is contaminated by an item of whose windows enough match.
+the benchmark's, and a match counts only where the slots agree: a value of the item stands for one value throughout an
+occurrence of the item. A document is contaminated by an item of whose windows enough match in one occurrence.
 
 The benchmark is a stated query set: it is sent to the tasks in blocks of bounded size, and each block is joined with
 every window of every document in one pass without a shuffle.
@@ -10,6 +10,7 @@ every window of every document in one pass without a shuffle.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -167,6 +168,49 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, plain: i
         yield Block(size, plain, share, h[order], item[order], place[order], rows.column("id").to_pylist(), [t.kind[s] for s in each], [t.value[s] for s in each], total.tolist(), sorted(set(lengths.tolist()) - {0}))
 
 
+def _occurs(kinds: np.ndarray, values: np.ndarray, own: np.ndarray, found: list[tuple[int, int, int]], need: float) -> bool:
+    """Whether ``need`` of an item's windows match in one occurrence. ``found`` has each hit's place in the document, in the item, and size.
+
+    Windows with the item's own values count in every occurrence. Each diagonal (place in the document less place in
+    the item) is tried as an occurrence: it says what each value of the item stands for, and hits at most the item's
+    length away count if they agree with it, so that words put in or left out cost only the windows around them.
+    The whole document is tried too, for occurrences torn further apart.
+    """
+    slots = [[((kinds[q + j], values[q + j]), own[p + j], p + j, q + j) for j in range(n) if kinds[q + j] != WORD] for p, q, n in found]
+    verbatim = {q for (_, q, _), s in zip(found, slots, strict=True) if all(v[1] == w for v, w, _, _ in s)}
+    if len(verbatim) >= need:
+        return True
+
+    def usual(which: list[int], given: dict) -> dict:
+        stands = defaultdict(Counter)
+        for v, w, _, _ in {x for k in which for x in slots[k] if x[0] not in given}:
+            stands[v][w] += 1
+        return given | {v: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for v, c in stands.items()}
+
+    def enough(which: list[int], given: dict) -> bool:
+        stands = usual(which, given)
+        return len(verbatim | {found[k][1] for k in which if all(stands[v] == w for v, w, _, _ in slots[k])}) >= need
+
+    if enough(list(range(len(found))), {}):
+        return True
+    order = sorted(range(len(found)), key=lambda k: found[k][0])
+    places = [found[k][0] for k in order]
+    diagonals = defaultdict(list)
+    for k in order:
+        diagonals[found[k][0] - found[k][1]].append(k)
+    tried = set()
+    for seed in sorted(diagonals.values(), key=len, reverse=True):
+        given = usual(seed, {})
+        near = order[bisect_left(places, found[seed[0]][0] - len(kinds)) : bisect_right(places, found[seed[-1]][0] + len(kinds))]
+        key = (frozenset(given.items()), near[0], near[-1])
+        if key in tried:
+            continue
+        tried.add(key)
+        if enough([k for k in near if all(given.get(v, w) == w for v, w, _, _ in slots[k])], given):
+            return True
+    return False
+
+
 def matches(block: Block, texts: pa.Array) -> dict[int, list[int]]:
     """Row -> items of the block (by index) that contaminate it."""
     t = template(texts)
@@ -180,14 +224,8 @@ def matches(block: Block, texts: pa.Array) -> dict[int, list[int]]:
                 hits[int(t.row[p]), int(block.item[k])].append((p, int(block.place[k]), n))
     out: dict[int, list[int]] = defaultdict(list)
     for (row, item), found in hits.items():
-        kinds, values = block.kinds[item], block.values[item]
-        slots = [[((kinds[q + j], values[q + j]), t.value[p + j]) for j in range(n) if kinds[q + j] != WORD] for p, q, n in found]
-        stands = defaultdict(Counter)
-        for pair in {(p + j, q + j) for p, q, n in found for j in range(n) if kinds[q + j] != WORD}:
-            stands[kinds[pair[1]], values[pair[1]]][t.value[pair[0]]] += 1
-        usual = {v: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for v, c in stands.items()}
-        agreed = {q for (_, q, _), s in zip(found, slots, strict=True) if all(usual[v] == w for v, w in s)}
-        if len(agreed) >= block.share * block.total[item]:
+        need = block.share * block.total[item]
+        if len({q for _, q, _ in found}) >= need and _occurs(block.kinds[item], block.values[item], t.value, found, need):
             out[row].append(item)
     return out
 

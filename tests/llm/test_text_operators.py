@@ -363,3 +363,37 @@ def test_copies_and_reparameterised_items_are_found(spark):
     strict = {r.doc_id: r["items"] for r in contaminated_by(docs, items, share=0.9, block_items=1).collect()}
     assert strict[2] == [1] and strict[3] == []
     assert contaminated_by(docs, items.limit(0)).where(F.size("items") > 0).count() == 0 and contaminated_by(docs.limit(0), items).count() == 0
+
+
+def test_copies_beside_variants_and_items_with_parallel_clauses_are_found(spark):
+    rng = random.Random(4)
+    names = ["Tom", "Sara", "Peter", "Susan", "Maria", "Ivan", "Bob", "Ann", "Karl", "Nina"]
+    days = ["Monday", "Tuesday", "Friday", "Sunday"]
+
+    def values():
+        return [rng.choice(names) for _ in range(3)], [rng.randrange(2, 99) for _ in range(6)], rng.sample(days, 2)
+
+    def clauses(a, n, d):
+        return f"The baker sells {n[0]} loaves and {n[1]} cakes to {a[0]} for {n[2]} dollars on {d[0]}, then {n[3]} loaves and {n[4]} cakes to {a[1]} for {n[5]} dollars on {d[1]}."
+
+    def question(a, n, d):
+        return f"In the shop {a[0]} has {n[0]} apples and gives {n[1]} apples to {a[1]} in the morning before lunch, then buys {n[2]} pears from {a[2]} at the market, so how many fruits are left after {n[3]} hours?"
+
+    items, texts, want = [], [], []
+    for i in range(40):
+        make = (clauses, question)[i % 2]
+        item = make(*values())
+        items.append((i, item))
+        sheet = [make(*values()) for _ in range((0, 1, 4, 9)[i // 2 % 4])]
+        sheet.insert(rng.randrange(len(sheet) + 1), item)
+        texts.append("\n".join(sheet))
+        want.append(i)
+    for i in range(40):
+        first = values()
+        changed = [[names[(names.index(x) + 5) % 10] for x in first[0]], [x + 100 + k for k, x in enumerate(first[1])], first[2]]
+        make = (clauses, question)[i % 2]
+        items.append((40 + i, make(*first)))
+        texts.append("\n".join([make(*values()), make(*changed), make(*values())]))
+        want.append(40 + i)
+    got = {r.doc_id: r["items"] for r in contaminated_by(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [i for i, k in enumerate(want) if k not in got[i]] == []
