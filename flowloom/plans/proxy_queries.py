@@ -390,3 +390,9 @@ def l11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lowest = p.withColumn("__n", F.row_number().over(W.partitionBy("sample_id").orderBy("point_id"))).where("__n <= 48").drop("__n")
     return rounded(metrics.divergence(lowest))
+
+
+@register("l11_divergence_all_points")
+def l11_divergence_all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points go to the operator, which takes its own subset by crc32. DuckDB cannot name that, so a test holds this against brute force."""
+    return rounded(metrics.divergence(proxies.compact(proxies.bank(framed(spark, sf_dir)))))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from flowloom.functions import strings
 from flowloom.functions.vectors import clip, unit, vec
 from flowloom.operators import frames, metrics, proxies, quality_control, selection
+from flowloom.plans import proxy_queries
 
 
 def test_clip_keeps_nan(spark):
@@ -143,3 +146,29 @@ def test_extentless_sample_is_refused(spark):
     flat = spark.createDataFrame([("a", 1.0, 1.0, 1.0)] * 2, "sample_id string, x double, y double, z double")
     with pytest.raises(PySparkException):
         selection.normalised(flat).collect()
+
+
+def brute_divergence(rows, k=8, subset=256):
+    """Mean square divergence of (id, xyz, uvw) rows, one point after another."""
+    drawn = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))[:subset]
+    total = 0.0
+    for _, p, q in drawn:
+        near = sorted((math.dist(p, b), i, b, f) for i, b, f in drawn)[1 : k + 1]
+        sigma = max(np.mean([d for d, *_ in near]), 1e-4)
+        w = np.exp([-d / sigma for d, *_ in near])
+        dp, dv = (np.array([np.subtract(n[j], o) for n in near]) for j, o in ((2, p), (3, q)))
+        c = (dp * w[:, None]).T @ dp + 1e-4 * np.eye(3)
+        total += np.trace((dv * w[:, None]).T @ dp @ np.linalg.inv(c)) ** 2
+    return total / len(drawn)
+
+
+def test_divergence_of_all_points_is_that_of_brute_force(spark, sf_dir, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(s, i, *map(float, rng.normal(size=6))) for s, n in (("a", 300), ("b", 60)) for i in range(n)]
+    given = spark.createDataFrame(rows, "sample_id string, point_id long, x double, y double, z double, u double, v double, w double")
+    monkeypatch.setattr(proxy_queries, "framed", lambda *_: given)
+    monkeypatch.setattr(proxies, "bank", lambda df: df)
+    monkeypatch.setattr(proxies, "compact", lambda df: df)
+    got = {r.sample_id: r.divergence for r in proxy_queries.l11_divergence_all_points(spark, sf_dir).collect()}
+    want = {s: brute_divergence([(r[1], r[2:5], r[5:8]) for r in rows if r[0] == s]) for s in "ab"}
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-5 * max(1, want[s]) for s in want)
