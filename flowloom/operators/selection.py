@@ -185,6 +185,25 @@ def hashed_folds(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     return ranked.withColumn("fold", fold.cast("int")).drop("__r")
 
 
+def split_positions(rows: DataFrame, split: str, index: str) -> DataFrame:
+    """The indices of each split in order as rows of split, position (from 0) and index (a number); null indices are in none.
+
+    A split is ranked in ranges of the index, as many as there are shuffle partitions, so no task holds a whole split.
+    """
+    given = rows.select(F.col(split).alias("split"), F.col(index).alias("index")).where(F.col("index").isNotNull())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [i / parts for i in range(1, parts)]
+    edges = sorted(set(given.agg(F.percentile_approx("index", cuts)).first()[0] or [])) if cuts else []
+    of = sum((F.when(F.col("index") >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    dealt = given.withColumn("__b", of)
+    counts = dealt.groupBy("split", "__b").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy("split").orderBy("__b")) - F.col("__n")
+    starts = counts.select(F.col("split").alias("__s"), F.col("__b").alias("__c"), before.alias("__start"))
+    ranked = dealt.withColumn("__r", F.row_number().over(W.partitionBy("split", "__b").orderBy("index")))
+    joined = ranked.join(starts, F.col("split").eqNullSafe(F.col("__s")) & F.col("__b").eqNullSafe(F.col("__c")))
+    return joined.select("split", (F.col("__start") + F.col("__r") - 1).cast("long").alias("position"), "index")
+
+
 def group_folds(groups: DataFrame, k: int, seed: int, group: str = "group", size: str = "rows", strata: list[str] | None = None) -> list[list[str]]:
     """Folds of whole groups, greedily balanced: groups, shuffled by the seed, in order of size go to the smallest fold.
 

@@ -331,6 +331,12 @@ def a16_split_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("o_orderstatus").alias("split")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("indices"))
 
 
+@register("a16_split_positions", "SELECT o_orderstatus AS split, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS position, o_orderkey AS index FROM orders")
+def a16_split_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of each split, a row an index; a16_split_lists gives the lists of a few customers only."""
+    return sel.split_positions(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey")
+
+
 @register("u1_union_roles", f"WITH {CFD}, {POINTS} SELECT role, count(*) AS n, count(x) AS with_position FROM (SELECT 'volume' AS role, x FROM points UNION ALL SELECT 'surface', NULL FROM cfd) GROUP BY role")
 def u1_union_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, c = points(spark, sf_dir).withColumn("role", F.lit("volume")), cfd(spark, sf_dir).withColumn("role", F.lit("surface"))

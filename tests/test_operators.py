@@ -172,3 +172,12 @@ def test_divergence_of_all_points_is_that_of_brute_force(spark, sf_dir, monkeypa
     got = {r.sample_id: r.divergence for r in proxy_queries.l11_divergence_all_points(spark, sf_dir).collect()}
     want = {s: brute_divergence([(r[1], r[2:5], r[5:8]) for r in rows if r[0] == s]) for s in "ab"}
     assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-5 * max(1, want[s]) for s in want)
+
+
+def test_split_positions_list_every_row(spark):
+    rows = [(("a", "b", None)[i % 3], i * 7 % 500 if i % 50 else None) for i in range(400)]
+    got = selection.split_positions(spark.createDataFrame(rows, "s string, i long"), "s", "i").collect()
+    for s in ("a", "b", None):
+        mine = sorted((r.position, r["index"]) for r in got if r.split == s)
+        assert mine == list(enumerate(sorted(i for x, i in rows if x == s and i is not None)))
+    assert selection.split_positions(spark.createDataFrame([], "s string, i long"), "s", "i").count() == 0
