@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task's vectorised code holds at once; a longer text is a slice of its own.
@@ -16,11 +16,17 @@ SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Unset (tests): one of this machine's."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir, which driver and executors share, or the context's checkpoint folder.
+
+    With neither set, a local session (tests) gets a folder of this machine; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='flowloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='flowloom-')}")
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -44,11 +50,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_or_whole(df: DataFrame, name: str, most_rows: int = 100_000) -> tuple[DataFrame, int]:
-    """``df`` as a table and its number of rows; marked for broadcast only if they are at most ``most_rows``."""
+def small_or_whole(df: DataFrame, name: str, most_rows: int = 100_000, size: Column | None = None, most_bytes: int = 32 << 20) -> tuple[DataFrame, bool]:
+    """``df`` as a table, and whether it is small: at most ``most_rows`` rows and, if ``size`` gives a row's bytes, ``most_bytes``.
+
+    Only a small table is marked for broadcast; larger ones are joined as Spark chooses.
+    """
     table = materialize(df, name)
-    rows = table.count()
-    return (F.broadcast(table) if rows <= most_rows else table), rows
+    rows, total = table.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
+    small = rows <= most_rows and total <= most_bytes
+    return (F.broadcast(table) if small else table), small
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

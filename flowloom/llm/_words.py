@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Moduli are prime: modulo a power of two, some pairs of words of 1,024 bytes agree whatever the base.
+_FIELDS = ((2**31 - 1, 0x4B379A21), (2**31 - 19, 0x2545F491))  # (modulus, base)
+_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _FIELDS]
 
 _code = np.arange(256)
 #: White space that ends a word: space and the characters 9 to 13.
@@ -27,23 +28,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n."""
-    if len(_powers[0]) <= n:
-        size = 1 << int(n).bit_length()
-        for i, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def _grown(field: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a field's base and of its inverse, up to n."""
+    modulus, base = _FIELDS[field]
+    while len(_powers[field][0]) <= n:
+        size = len(_powers[field][0])
+        steps = (np.uint64(pow(base, size, modulus)), np.uint64(pow(base, -size, modulus)))
+        _powers[field] = tuple(np.concatenate([x, x * step % np.uint64(modulus)]) for x, step in zip(_powers[field], steps, strict=True))
+    return _powers[field]
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each range of bytes: the mixed value of a polynomial modulo 2**64, by one running sum over all bytes."""
-    power, inverse = _grown(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start])
+    """A hash of each range of bytes: the mixed values of a polynomial modulo two primes of 31 bits, by a running sum over all bytes for each."""
+    found = np.zeros(len(start), np.uint64)
+    for field, (modulus, _) in enumerate(_FIELDS):
+        p = np.uint64(modulus)
+        power, inverse = _grown(field, len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)] % p, out=sums[1:])  # fits up to 2**33 bytes
+        found = found << np.uint64(31) | (sums[end] - sums[start]) % p * inverse[start] % p
+    return mix(found)
 
 
 @dataclass
