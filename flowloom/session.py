@@ -30,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder that ``spark.checkpoint.dir`` names; only where that is unset (tests), in one of this machine's."""
+    """``df`` as a checkpoint in the folder that ``spark.checkpoint.dir`` names. Where that is unset, a local session gets a folder of this machine; a cluster, an error."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowloom-checkpoint-"))
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='flowloom-checkpoint-')}")
     return df.checkpoint()
 
 

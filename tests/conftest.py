@@ -18,7 +18,8 @@ def spark(tmp_path_factory):
 
     session = local_session(4, 4, "6g")
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}") if not session.conf.get("spark.checkpoint.dir", None) else None
+    if not session.sparkContext.getCheckpointDir():
+        session.sparkContext.setCheckpointDir(f"file://{tmp_path_factory.mktemp('shared')}")
     yield session
     session.stop()
 
