@@ -88,8 +88,8 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 """
 
 
-#: Labels may be learnt from only where this remainder isn't 0.
-HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
+#: Labels may be learnt from only where this remainder isn't 0. A null id has no labels and counts as not held out.
+HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)"
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,11 @@ class Model:
     bias: float
     leak: float
 
+    @property
+    def learnt(self) -> bool:
+        """Whether any word has a weight. If not, every document with words scores the base rate, which tells none from another."""
+        return len(self.buckets) > 0
+
 
 def sentences(w: Words) -> np.ndarray:
     """The sentence of each word, numbered through the batch. Full stops, marks and line ends between words end one."""
@@ -97,15 +102,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     whose share of toxic documents is less than ``min_z`` standard errors from the common share, get no weight. A word
     with which alone a sentence is less likely toxic than a document at large marks no sentence: many of its sentences
     would add up. Without
-    any label of one kind, every score is the base rate. What comes to the driver is a count for each bucket and, of the
-    documents, only the words that have weights.
+    labels of both kinds, every document with words scores the base rate (a half without any label). Of the texts that
+    share an id, the least is learnt from. What comes to the driver is a count for each bucket and, of the documents,
+    only the words that have weights.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.where(where) if where is not None else known
     known = known.groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(max_rows)  # bounded by max_rows
     texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = materialize(texts.join(F.broadcast(sample), "key").select("label", "text"), "toxicity-sample")
+    texts = materialize(texts.join(F.broadcast(sample), "key").groupBy("key").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text"), "toxicity-sample")
     held = texts.mapInArrow(_counts, "bucket int, docs bigint, toxic bigint").groupBy("bucket").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     held = held.where(f"bucket = -1 OR docs >= {int(min_docs)}").orderBy("bucket").toArrow()  # bounded by BUCKETS
     bucket, docs_with, toxic_with = (held.column(c).to_numpy() for c in ("bucket", "docs", "toxic"))
