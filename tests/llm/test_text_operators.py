@@ -8,6 +8,7 @@ import math
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -189,6 +190,93 @@ def test_model_adds_secrets_and_redaction_hides_all(spark):
     assert sum("[secret]" in r.t and hexes[r.doc_id] not in r.t for r in hidden if r.doc_id < 60) >= 55
 
 
+def planted_secrets(seed, n):
+    """Texts with planted keys of several formats and numbers, and what only looks like them; the planted spans of each."""
+    rng = random.Random(seed)
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    upper, lower, digits = "ABCDEFGHJKLMNPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+    def card():
+        body = pick(digits, 15)
+        return body + next(c for c in digits if luhn(body + c))
+
+    real = [lambda: pick("0123456789abcdef", 40), lambda: "AKIA" + pick(upper + digits, 16), lambda: "ghp_" + pick(upper + lower + digits, 36), card, lambda: f"{pick(lower, 6)}@{pick(lower, 5)}.org"]
+    fake = [lambda: f"release-{rng.randrange(9)}-{rng.randrange(99)}-candidate-{pick(lower, 8)}", lambda: f"/srv/{pick(lower, 6)}/v{rng.randrange(9)}/{pick(lower, 7)}.txt", lambda: str(rng.randrange(10**8, 10**9)), lambda: f"{pick(lower, 4)}@{pick(lower, 4)}", lambda: "2024-05-17 10-22-31"]
+    texts, planted = [], []
+    for _ in range(n):
+        text, spans = "", []
+        for _ in range(rng.randrange(1, 5)):
+            text += " ".join(pick(lower, 5) for _ in range(6)) + rng.choice([" ", " value = ", " see: "])
+            is_real = rng.random() < 0.5
+            value = rng.choice(real if is_real else fake)()
+            spans += [(len(text), len(text) + len(value))] * is_real
+            text += value + " "
+        texts.append(text)
+        planted.append(spans)
+    return texts, planted
+
+
+def test_planted_secrets_of_texts_not_learnt_from(spark):
+    """Precision and recall on texts of another seed than those that the model is fitted on."""
+    model = pii.fit(documents(spark, planted_secrets(1, 1500)[0]))
+    texts, planted = planted_secrets(2, 400)
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in pii.find(documents(spark, texts), model).collect()}
+    inside = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    told = [(s, planted[i]) for i, spans in found.items() for s in spans]
+    recall = sum(any(s[0] <= p[0] and s[1] >= p[1] for s in found[i]) for i, ps in enumerate(planted) for p in ps) / sum(map(len, planted))
+    precision = sum(any(inside(s, p) for p in ps) for s, ps in told) / len(told)
+    assert recall >= 0.95 and precision >= 0.9, (recall, precision)
+
+
+def test_spans_are_those_of_all_pairs(spark):
+    """Placing and dropping spans, against plain Python over the scores that the operator gives when nothing is dropped."""
+    model = pii.fit(documents(spark, planted_secrets(1, 600)[0]))
+    texts = [*planted_secrets(3, 60)[0], *ODD, " ".join(planted_secrets(4, 30)[0])]
+    docs = documents(spark, texts)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    kinds = [k for k in pii.MORE if k in model.thresholds]
+    named = lambda k: F.transform(k, lambda s: F.struct(F.lit(k).alias("kind"), s.alias("s")))
+    each = pii._found(rows, "t", pii.MORE).select("doc_id", F.explode(F.flatten(F.array(*map(named, kinds)))).alias("c"))
+    scored = each.select("doc_id", "c.kind", "c.s.start", "c.s.end", "c.s.text", model.probability(pii._features(F.col("c.kind"), F.col("c.s"))).alias("p")).collect()
+    more = {i: [] for i in range(len(texts))}
+    for r in scored:
+        assert texts[r.doc_id][r.start : r.end] == r.text
+        if r.p >= model.thresholds[r.kind]:
+            more[r.doc_id].append((r.kind, r.start, r.end))
+    for i, spans in {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(docs, model).collect()}.items():
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_spans(texts[i]).split(",") if x)]
+        holds = lambda b, s: b[1] <= s[1] and b[2] >= s[2]
+        larger = lambda b, s: holds(b, s) and (b[2] - b[1] > s[2] - s[1] or b[0] > s[0])
+        free = [s for s in more[i] if not any(holds(b, s) for b in base) and not any(larger(b, s) for b in more[i])]
+        assert spans == base + sorted(free, key=lambda s: (list(pii.MORE).index(s[0]), s[1]))
+
+
+def test_a_long_text_of_many_matches_ends(spark):
+    model = pii.fit(documents(spark, planted_secrets(1, 600)[0]))
+    line = "10.0.0.1 mail a@b.org token = 0123456789abcdef0123456789abcdef01234567 call +1 234 555 0199\n"
+    n = 4_000_000 // len(line)
+    began = time.time()
+    (r,) = pii.find(documents(spark, [line * n]), model).select(F.size("base").alias("base"), F.size("spans").alias("spans")).collect()
+    assert r.base == 3 * n and r.spans >= 4 * n and time.time() - began < 60
+
+
+def test_cutoffs_are_calibrated():
+    assert pii.cutoff({10: (50, 0), 90: (50, 50)}, 0.95) == (90 + 10 + 1) / 200
+    assert pii.cutoff({60: (10, 10), 90: (50, 50)}, 0.95) == 0.5 and pii.cutoff({90: (50, 10)}, 0.95) is None
+    assert pii.cutoff({5: (100, 0), 70: (20, 20), 80: (20, 16), 90: (100, 100)}, 0.95) == (90 + 80 + 1) / 200  # 70 and 80 are pooled
+
+
+def test_redaction_of_overlapping_spans(spark):
+    row = spark.sql("select 'abcdefghij' as t, array(named_struct('kind','x','start',2,'end',5), named_struct('kind','y','start',4,'end',7), named_struct('kind','z','start',8,'end',9)) as s")
+    assert row.select(pii.redact(F.col("t"), F.col("s")).alias("r")).first().r == "ab[x]h[z]j"
+
+
+def test_the_sample_is_bounded_by_rows_and_characters(spark):
+    texts = planted_secrets(5, 300)[0]
+    assert pii.fit(documents(spark, texts), sample_docs=100) is not None
+    assert pii.fit(documents(spark, ["x" * 1000] * 50), sample_chars=10) is None
+
+
 def test_personal_data_in_odd_rows(spark, odd):
     assert pii.find(odd, pii.fit(odd)).count() == odd.count()
     assert pii.fit(odd.limit(0)) is None and pii.find(odd.limit(0), None).count() == 0
