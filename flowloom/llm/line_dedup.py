@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from flowloom.llm._common import small_or_whole
 
-#: With at most this many hosts that have boilerplate, their lines are broadcast.
-SENT_HOSTS = 10_000
+#: Boilerplate lines are broadcast if they are those of at most this many hosts and of at most this many bytes in all.
+SENT_HOSTS, SENT_BYTES = 10_000, 64 << 20
 _TRIM = " \t\r\x0b\x0c"
 
 
@@ -46,16 +46,19 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     and stays null. Blank lines are never dropped. A page with nothing dropped keeps its text as it is; one with
     every line dropped has an empty text.
     """
-    hot, hosts = small_or_whole(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate", SENT_HOSTS)
+    hot, small = small_or_whole(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate", SENT_HOSTS, F.size("lines").cast("long") * 48 + 64, SENT_BYTES)
     hot = hot.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    if hosts <= SENT_HOSTS:
+    if small:
         joined = docs.join(hot, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    else:  # too many hosts to send everywhere: each host's lines go to every salt, its pages are dealt over the salts
+    else:  # too many hosts or lines to send everywhere: each host's lines go to every salt, its pages are dealt over the salts
         salted = docs.withColumn("__salt", F.pmod(F.xxhash64(F.length(text_col), F.substring(text_col, 1, 64)), F.lit(salts)))
         spread = hot.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = salted.join(spread, F.col(host_col).eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__of")), "left").drop("__salt", "__of")
-    kept = F.filter(_lines(F.col(text_col)), lambda line: ~F.array_contains("__lines", _key(line)))
-    marked = joined.withColumn("__kept", F.when(F.col("__lines").isNotNull(), kept))
+    # a page's own lines are looked up in the host's by hash, once; what is compared line by line is only what it shares with them
+    shared = F.array_intersect(F.transform(_lines(F.col(text_col)), _key), "__lines")
+    joined = joined.withColumn("__shared", F.when(F.col("__lines").isNotNull(), shared))
+    kept = F.filter(_lines(F.col(text_col)), lambda line: ~F.array_contains("__shared", _key(line)))
+    marked = joined.withColumn("__kept", F.when(F.size("__shared") > 0, kept))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_lines(F.col(text_col)))).cast("long")
     out = marked.withColumns({"n_lines": n_lines, "n_dropped": F.when(F.col("__kept").isNull(), 0).otherwise(n_lines - F.size("__kept")).cast("long"), text_col: F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))})
-    return out.drop("__host", "__lines", "__kept")
+    return out.drop("__host", "__lines", "__shared", "__kept")
