@@ -21,6 +21,8 @@ from flowloom.llm._common import delete, materialize, scratch_path, small_or_who
 
 MAGIC = "WARC/1.1\r\n"
 CRLF = "\r\n"
+#: Digests are told apart by so many slots where those that repeat are too many to send everywhere: 16 bytes a slot.
+SLOTS = 1 << 20
 _BASE32, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
@@ -34,12 +36,20 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """A record per row. Of equal payloads of ``min_revisit_bytes`` or more, that of the smallest id is response, others revisit.
 
     A null payload is an empty one. Rows that repeat the smallest id are responses too; a null id is larger than
-    any other and, like a null URL, has no header line. Line breaks in a URL are written as %0D and %0A.
+    any other and, like a null URL, has no header line. Line breaks in a URL are written as %0D and %0A. Payloads of any
+    length are written whole; other columns of ``pages`` are ignored, whatever their names.
     """
     text = F.coalesce(F.col(payload_col), F.lit("")).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("payload")).withColumns({"digest": base32_sha1(F.encode("payload", "UTF-8")), "size": F.octet_length("payload")})
-    first, _ = small_or_whole(rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-first")
-    told = rows.join(first, ["digest", "size"], "left")
+    first, small = small_or_whole(rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-first")
+    if small:
+        told = rows.join(first, ["digest", "size"], "left")
+    else:  # only payloads whose slot holds a repeated digest are shuffled; the slots are few enough to send, however many digests there are
+        slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS))
+        slots = F.broadcast(materialize(first.select(slot.alias("slot")).distinct(), "warc-slots"))
+        slotted = rows.withColumn("slot", slot)
+        alone = slotted.join(slots, "slot", "left_anti").withColumn("first", F.lit(None).cast(rows.schema["id"].dataType))
+        told = slotted.join(slots, "slot", "left_semi").join(first, ["digest", "size"], "left").drop("slot").unionByName(alone.drop("slot"))
     revisit = F.coalesce(F.col("first") < F.col("id"), F.col("first").isNotNull() & F.col("id").isNull())
     head = lambda name, value, when=F.lit(True): F.when(when & value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF))).otherwise("")
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
@@ -130,17 +140,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     offset = lambda df: df.join(base, ["file", "block"]).withColumn("offset", F.col("base") + F.col("local") - len(MAGIC)).drop("base").where("offset >= 0").withColumn("successor", F.col("offset") + len(MAGIC) + F.col("head") + 8 + F.col("length"))
     pieces = offset(found)
     reach = reachable(pieces.where("length is not null").select("file", "offset", "successor"))
-    rejected, lost_count = small_or_whole(pieces.join(reach, ["file", "offset"], "left_anti").select(*at), "warc-rejected")
+    gone = materialize(pieces.join(reach, ["file", "offset"], "left_anti").select(*at, "offset"), "warc-rejected-pieces")
+    rejected, _ = small_or_whole(gone.select(*at), "warc-rejected")
     every = offset(_pieces(spark, path, body=True))
     out = ["file", "offset", "successor", "header"]
-    if not lost_count:
+    if gone.isEmpty():
         return every.select(*out, F.substring("body", F.lit(1), F.col("length").cast("int")).alias("payload"))
     records = every.join(rejected, at, "left_anti")
     whole = F.octet_length("body") >= F.col("length")
     text = F.concat(F.encode(F.concat(F.lit(MAGIC), F.when(F.col("length").isNotNull(), F.concat("header", F.lit(CRLF * 2))).otherwise("")), "UTF-8"), "body")
     lost = every.join(rejected, at, "left_semi").select("file", F.col("offset").alias("at"), text.alias("text"))
     open_ = records.where(~whole)
-    inside = open_.select("file", "offset", "successor").join(lost, "file").where("at > offset and at < successor").groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    # the record that a rejected piece is in is the last one that begins before it, found on numbers only
+    begins = reach.select("file", "offset", F.col("offset").alias("record")).unionByName(gone.select("file", "offset", F.lit(None).cast("long").alias("record")))
+    owner = F.last("record", ignorenulls=True).over(W.partitionBy("file").orderBy("offset"))
+    owned = begins.withColumn("owner", owner).where("record is null and owner is not null").select("file", F.col("offset").alias("at"), F.col("owner").alias("offset"))
+    inside = lost.join(owned, ["file", "at"]).join(open_.select("file", "offset", "successor"), ["file", "offset"]).where("at < successor")
+    inside = inside.groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
     rest = F.aggregate("parts", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["text"]))
     filled = open_.join(inside.select("file", "offset", rest.alias("rest")), ["file", "offset"], "left").withColumn("body", F.concat("body", F.coalesce("rest", F.lit("").cast("binary"))))
     return records.where(whole).unionByName(filled.drop("rest")).select(*out, F.substring("body", F.lit(1), F.col("length").cast("int")).alias("payload"))
