@@ -260,9 +260,13 @@ def _setter(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def _dealt(rows: DataFrame, group: str, node: str, members: str, block: int) -> DataFrame:
+#: Shingles that a block of texts holds, besides those of its longest text: 32 MB of hashes.
+BLOCK_SHINGLES = 4 << 20
+
+
+def _dealt(rows: DataFrame, group: str, node: str, blocks: Column) -> DataFrame:
     """Each member once for every pair of blocks of its group that its own block is in."""
-    blocks = rows.withColumn("blocks", F.ceil(F.col(members) / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64(node), "blocks").cast("int"))
+    blocks = rows.withColumn("blocks", blocks.cast("int")).withColumn("mine", F.pmod(F.xxhash64(node), "blocks").cast("int"))
     other = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = other.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}).drop("other")
     return pairs.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
@@ -290,13 +294,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signature = members.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"))
     buckets = signature.groupBy("members", "s", "x").agg(F.min("key").alias("key")).select("key", "members")
     compared = members.join(buckets, "key").join(classes.select("rep", "sketch"), "rep").select("key", "rep", "members", "sketch")
-    edges = _dealt(compared, "key", "rep", "members", block).mapInArrow(_pruner(threshold, tolerance), f"a {kind}, b {kind}")
+    edges = _dealt(compared, "key", "rep", F.ceil(F.col("members") / block)).mapInArrow(_pruner(threshold, tolerance), f"a {kind}, b {kind}")
     component = materialize(connected_components(edges), "components")
-    sizes = component.groupBy("component").agg(F.count("*").alias("members"))
-    alike = component.join(sizes, "component").join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("copies").alias("copies")), "node")
-    whole = alike.join(texts.withColumnRenamed("id", "node"), "node").select("component", "node", "members", "copies", "text")
-    sets = whole.mapInArrow(_setter(size), f"component {kind}, node {kind}, members long, copies long, set binary")
-    verified = materialize(_dealt(sets, "component", "node", "members", max(1, block // 4)).mapInArrow(_verifier(threshold), f"node {kind}, links long, root {kind}, blocks int"), "verified")
+    nodes = component.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("copies").alias("copies"), F.max("n").alias("n")), "node")
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    alike = nodes.join(sizes, "component")
+    whole = alike.join(texts.withColumnRenamed("id", "node"), "node").select("component", "node", "members", "shingles", "copies", "text")
+    sets = whole.mapInArrow(_setter(size), f"component {kind}, node {kind}, members long, shingles long, copies long, set binary")
+    blocks = F.ceil(F.greatest(F.col("members") / max(1, block // 4), F.col("shingles") / BLOCK_SHINGLES))
+    verified = materialize(_dealt(sets, "component", "node", blocks).mapInArrow(_verifier(threshold), f"node {kind}, links long, root {kind}, blocks int"), "verified")
     large = verified.where("blocks > 1")
     roots = verified.where("blocks = 1").select("node", "root")
     if not large.isEmpty():
