@@ -4,8 +4,9 @@ Numbers, names and units become typed placeholders, their values slots. Windows
 the benchmark's, and a match counts only where the slots agree: a value of the item stands for one value throughout an
 occurrence of the item. A document is contaminated by an item of whose windows enough match in one occurrence.
 
-The benchmark is a stated query set: it is sent to the tasks in blocks of bounded size, and each block is joined with
-every window of every document in one pass without a shuffle.
+The benchmark is a stated query set: it is sent to the tasks in blocks of bounded size (items and characters), and each
+block is joined with every window of every document in one pass without a shuffle. With several blocks, what one
+found is written to the shared folder before the next is made, so neither the driver nor a task ever holds two.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm._common import slices
+from flowloom.llm._common import delete, scratch_path, slices
 from flowloom.llm._words import NOT_ALNUM, SPACE, mix, range_hashes, raw
 
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half".split()
@@ -97,25 +98,30 @@ def template(texts: pa.Array) -> Template:
     return Template(row, kind, np.where(kind == WORD, value, mix(kind.astype(np.uint64))), value)
 
 
-def windows(t: Template, size: int, plain: int, verbatim: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the runs of ``size`` template words in one row that hold ``plain`` ordinary words at least.
+#: How words count in windows. TYPED: by their placeholders. NAMED: names as the words they are, in windows with a name, for
+#: copies all in capitals or in small letters, in which no name can be told. LITERAL: all words and numbers as they are.
+TYPED, NAMED, LITERAL = range(3)
 
-    ``verbatim``: those with a name among them, where names count as the words they are. A copy all in capitals
-    or in small letters, in which no name can be told, still has these.
-    """
+
+def windows(t: Template, size: int, plain: int, mode: int = TYPED) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the runs of ``size`` template words in one row that hold ``plain`` ordinary words (literal ones: any) at least."""
     m = max(0, len(t.row) - size + 1)
     if not m:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.full(m, size, np.uint64)
+    total = np.full(m, size + (mode == LITERAL) * 1000, np.uint64)
     factor = mix(np.arange(11, 11 + size, dtype=np.uint64)) | np.uint64(1)
-    token = np.where(t.kind == NAME, t.value, t.token) if verbatim else t.token
+    token = t.value if mode == LITERAL else np.where(t.kind == NAME, t.value, t.token) if mode == NAMED else t.token
     for j in range(size):
         total += token[j : j + m] * factor[j]
     count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     words, names = count(t.kind == WORD), count(t.kind == NAME)
-    ordinary = words + names if verbatim else words
-    fits = (t.row[:m] == t.row[size - 1 :]) & (ordinary[size:] - ordinary[:m] >= plain)
-    at = np.flatnonzero(fits & (names[size:] > names[:m])) if verbatim else np.flatnonzero(fits)
+    fits = t.row[:m] == t.row[size - 1 :]
+    if mode != LITERAL:
+        ordinary = words + names if mode == NAMED else words
+        fits &= ordinary[size:] - ordinary[:m] >= plain
+    if mode == NAMED:
+        fits &= names[size:] > names[:m]
+    at = np.flatnonzero(fits)
     return at, mix(total[at])
 
 
@@ -132,40 +138,46 @@ class Block:
     names: list
     kinds: list[np.ndarray]
     values: list[np.ndarray]
-    total: list[int]
+    total: np.ndarray
     lengths: list[int]
+    literal: bool
 
     def __post_init__(self):
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, plain: int, share: float, block_items: int) -> Iterator[Block]:
-    """Benchmark blocks of ``block_items`` items. Null texts and texts without a window are in none.
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, plain: int, share: float, block_items: int, block_chars: int) -> Iterator[Block]:
+    """Benchmark blocks of about ``block_items`` items and ``block_chars`` characters. Null texts and texts without a window are in none.
 
-    An item of fewer than ``size`` template words is one window of its own length, all of ordinary words.
+    An item of fewer than ``size`` template words is one window of its own length, all of ordinary words. An item of
+    ``size`` words or more that has no window of ``plain`` ordinary words (formulas, lists of numbers) has literal ones.
     """
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = max(1, -(-items.count() // block_items))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // block_items), -(-chars // block_chars))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("text", "id"), F.lit(parts)))
     for p in range(parts):
-        rows = dealt.where(F.col("part") == p).select("id", "text").toArrow()
+        rows = dealt.where(F.col("part") == p).select("id", "text").toArrow()  # bounded as above, on average over the parts
         t = template(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
         cut = np.searchsorted(t.row, np.arange(rows.num_rows + 1))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         lengths = np.minimum(np.diff(cut), size)
-        for n in sorted(set(lengths.tolist()) - {0}):
-            for verbatim in (False, True):
-                at, h = windows(t, n, min(plain, n), verbatim)
-                mine = lengths[t.row[at]] == n
+        bare = lengths == size  # until a window of the other sorts is found
+        for mode in (TYPED, NAMED, LITERAL):
+            for k in sorted(set(lengths.tolist()) - {0}):
+                at, h = windows(t, k, min(plain, k), mode)
+                mine = (lengths[t.row[at]] == k) & (bare[t.row[at]] if mode == LITERAL else True)
                 found.append((h[mine], t.row[at[mine]], at[mine] - cut[t.row[at[mine]]]))
+            if mode == NAMED:
+                bare[np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])] = False
         if not found:
             continue
         h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(h, kind="stable")
         total = np.bincount(np.unique(item.astype(np.int64) << 32 | place) >> 32, minlength=rows.num_rows)
         each = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        yield Block(size, plain, share, h[order], item[order], place[order], rows.column("id").to_pylist(), [t.kind[s] for s in each], [t.value[s] for s in each], total.tolist(), sorted(set(lengths.tolist()) - {0}))
+        yield Block(size, plain, share, h[order], item[order], place[order], rows.column("id").to_pylist(), [t.kind[s] for s in each], [t.value[s] for s in each], total, sorted(set(lengths.tolist()) - {0}), bool(bare.any()))
 
 
 def _occurs(kinds: np.ndarray, values: np.ndarray, own: np.ndarray, found: list[tuple[int, int, int]], need: float) -> bool:
@@ -214,18 +226,27 @@ def _occurs(kinds: np.ndarray, values: np.ndarray, own: np.ndarray, found: list[
 def matches(block: Block, texts: pa.Array) -> dict[int, list[int]]:
     """Row -> items of the block (by index) that contaminate it."""
     t = template(texts)
-    hits: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for n, at, h in ((n, *windows(t, n, min(block.plain, n), verbatim)) for n in block.lengths for verbatim in (False, True)):
+    found: list[tuple[np.ndarray, ...]] = []
+    for n, mode in [(n, mode) for n in block.lengths for mode in (TYPED, NAMED)] + [(block.size, LITERAL)] * block.literal:
+        at, h = windows(t, n, min(block.plain, n), mode)
         keep = block.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
         at, h = at[keep], h[keep]
         left, right = np.searchsorted(block.hash, h, "left"), np.searchsorted(block.hash, h, "right")
-        for p, a, b in zip(at.tolist(), left.tolist(), right.tolist(), strict=True):
-            for k in range(a, b):
-                hits[int(t.row[p]), int(block.item[k])].append((p, int(block.place[k]), n))
+        count = right - left
+        k = np.arange(count.sum()) + np.repeat(left - np.cumsum(count) + count, count)
+        p = np.repeat(at, count)
+        found.append((t.row[p].astype(np.int64) << 32 | block.item[k], block.place[k], p, np.full(len(p), n)))
+    pair, place, p, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else np.zeros((4, 0), np.int64)
+    names, of = np.unique(pair, return_inverse=True)
+    different = np.bincount(np.unique(of.astype(np.int64) << 32 | place) >> 32, minlength=len(names))
+    need = block.share * block.total[names & 0xFFFFFFFF]
     out: dict[int, list[int]] = defaultdict(list)
-    for (row, item), found in hits.items():
-        need = block.share * block.total[item]
-        if len({q for _, q, _ in found}) >= need and _occurs(block.kinds[item], block.values[item], t.value, found, need):
+    order = np.argsort(of, kind="stable")
+    cut = np.searchsorted(of[order], np.arange(len(names) + 1))
+    for i in np.flatnonzero(different >= need).tolist():  # others cannot have matches enough, whatever their slots
+        row, item, which = int(names[i] >> 32), int(names[i] & 0xFFFFFFFF), order[cut[i] : cut[i + 1]]
+        hits = list(zip(p[which].tolist(), place[which].tolist(), n[which].tolist(), strict=True))
+        if _occurs(block.kinds[item], block.values[item], t.value, hits, need[i]):
             out[row].append(item)
     return out
 
@@ -239,18 +260,19 @@ def _finder(sent, keep_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
             found = matches(block, part.column("text"))
             items = part.column("items").to_pylist()
             for r, new in found.items():
-                items[r] = [*items[r], *(block.names[i] for i in new if block.names[i] is not None)]
+                items[r] = [*items[r], *(block.names[i] for i in new)]
             made = [pa.array(items, part.schema.field("items").type), *([part.column("text")] if keep_text else [])]
             yield pa.record_batch([*part.columns[:-2], *made], names=part.schema.names[: len(part.columns) - 2 + len(made)])
 
     return run
 
 
-def contaminated_by(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: list[str] | None = None, item_col: str = "item_id", item_text_col: str = "text", size: int = 8, plain: int = 4, share: float = 0.5, block_items: int = 50_000) -> DataFrame:
+def contaminated_by(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: list[str] | None = None, item_col: str = "item_id", item_text_col: str = "text", size: int = 8, plain: int = 4, share: float = 0.5, block_items: int = 50_000, block_chars: int = 50_000_000) -> DataFrame:
     """Every row's ``carry`` columns (all, if not given) with ``items``: the ids of the benchmark items that contaminate it, in order.
 
-    An item does if ``share`` of its windows match with slots that agree. A null or empty text has none, and a null
-    item id is not reported. Rows that repeat are each judged; an existing column ``items`` is replaced.
+    An item does if ``share`` of its windows match with slots that agree. A null or empty text has none. Items of a null
+    id are one null at the end of ``items``, so they mark a document without naming it; items that share a text are each
+    named. Rows that repeat are each judged; an existing column ``items`` is replaced.
     """
     spark, kind = docs.sparkSession, benchmark.schema[item_col].dataType.simpleString()
     carry = [c for c in docs.columns if c != "items"] if carry is None else carry
@@ -258,10 +280,21 @@ def contaminated_by(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     names = [f"c{i}" for i in range(len(other))]
     kinds = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(other)), f"items array<{kind}>"])
     rows = docs.select(*(F.col(f"`{c}`") for c in other), F.array().cast(f"array<{kind}>"), F.col(text_col)).toDF(*names, "items", "text")
-    found = list(blocks(benchmark, item_col, item_text_col, size, plain, share, block_items))
-    for i, block in enumerate(found):
-        keep = text_col in carry or i < len(found) - 1
-        rows = rows.mapInArrow(_finder(spark.sparkContext.broadcast(block), keep), kinds + ", text string" * keep)
+    made, last = blocks(benchmark, item_col, item_text_col, size, plain, share, block_items, block_chars), None
+    block = next(made, None)
+    while block is not None:
+        sent = spark.sparkContext.broadcast(block)
+        block = next(made, None)  # the next is only made to see whether there is one; the one sent is in the broadcast alone
+        keep = text_col in carry or block is not None
+        rows = rows.mapInArrow(_finder(sent, keep), kinds + ", text string" * keep)
+        if block is not None:
+            path = scratch_path(spark, "decontamination")
+            rows.write.parquet(path)
+            rows = spark.read.schema(rows.schema).parquet(path)
+            sent.destroy()
+            if last:
+                delete(spark, last)
+            last = path
     out = rows.withColumn("items", F.array_sort(F.array_distinct("items")))
     return out.select(*(F.col("text" if c == text_col else names[other.index(c)]).alias(c) for c in carry), "items")
 

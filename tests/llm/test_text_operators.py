@@ -449,10 +449,10 @@ def test_copies_and_reparameterised_items_are_found(spark):
     ]
     docs = documents(spark, texts).withColumn("items", F.lit("old"))
     got = {r.doc_id: r["items"] for r in contaminated_by(docs, items).collect()}
-    assert got[0] == got[1] == got[2] == [1] and got[4] == [2]
+    assert got[0] == got[1] == got[2] == [1, None] and got[4] == [2]
     assert got[5] == [] and all(got[i] == [] for i in range(6, len(texts)))
     strict = {r.doc_id: r["items"] for r in contaminated_by(docs, items, share=0.9, block_items=1).collect()}
-    assert strict[2] == [1] and strict[3] == []
+    assert strict[2] == [1, None] and strict[3] == []
     assert contaminated_by(docs, items.limit(0)).where(F.size("items") > 0).count() == 0 and contaminated_by(docs.limit(0), items).count() == 0
 
 
@@ -488,3 +488,62 @@ def test_copies_beside_variants_and_items_with_parallel_clauses_are_found(spark)
         want.append(40 + i)
     got = {r.doc_id: r["items"] for r in contaminated_by(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert [i for i, k in enumerate(want) if k not in got[i]] == []
+
+
+def test_formulas_have_literal_windows(spark):
+    formula = "Compute 12 + 7 - 3 * 45 / 9 + 61 - 8 * 14 + 90"
+    items = spark.createDataFrame([(1, formula), (2, "5 6 7"), (None, "9 8 7 6 5 4 3 2 1 0 11 12")], "item_id long, text string")
+    texts = [f"task: {formula}", formula.replace("45", "46").replace("12", "99").replace("8", "77"), "5 6 7 8", "so 9 8 7 6 5 4 3 2 1 0 11 12 end", None]
+    got = {r.doc_id: r["items"] for r in contaminated_by(documents(spark, texts), items).collect()}
+    assert got == {0: [1], 1: [], 2: [], 3: [None], 4: []}
+
+
+def test_contamination_with_repeated_rows_and_tied_items(spark):
+    text = "the quick brown fox jumps over the lazy dog near the quiet river bank today"
+    items = spark.createDataFrame([(5, text), (3, text), (4, "something else that no document has in it at all here")], "item_id long, text string")
+    docs = documents(spark, [text, "nothing"]).unionByName(documents(spark, [text]))
+    for size in ({}, {"block_items": 1}, {"block_chars": 10}):
+        assert sorted((r.doc_id, r["items"]) for r in contaminated_by(docs, items, **size).collect()) == [(0, [3, 5]), (0, [3, 5]), (1, [])]
+
+
+def test_repeated_payloads_too_many_to_send(spark, monkeypatch):
+    from flowloom.llm import warc
+
+    pages = [(i, f"u{i}", EVIL if i % 7 == 0 else f"p{i % 5}" if i % 2 else f"own {i}") for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("id", "payload", "first", "size", "slot")})
+    want = {r.page_id: (r.record_type, r.refers_to, r.payload_digest) for r in round_trip(df).collect()}
+    monkeypatch.setattr(warc, "small_or_whole", lambda t, name, *a: (t, False))
+    assert {r.page_id: (r.record_type, r.refers_to, r.payload_digest) for r in round_trip(df).collect()} == want and len(want) == 60
+
+
+def test_a_long_payload_full_of_magic(spark):
+    html = "x" * 3_000_000 + EVIL * 300
+    df = spark.createDataFrame([(1, "u", html), (2, "v", "after")], "page_id long, url string, html string")
+    rows = {r.page_id: bytes(r.payload) for r in round_trip(df).collect()}
+    assert rows == {1: html.encode(), 2: b"after"}
+
+
+def test_words_of_all_lengths_have_hashes_of_their_own():
+    from flowloom.llm import _words
+
+    x = [0]
+    while len(x) < 4096:
+        x += [1 - v for v in x]
+    for n in (1024, 2048, 4096):
+        a, b = bytes(65 + v for v in x[:n]), bytes(66 - v for v in x[:n])
+        one, two = _words.words(pa.array([a.decode(), b.decode()])).hash
+        assert one != two
+
+
+def test_rows_of_one_id_with_two_texts(spark):
+    text = [" ".join(f"{k}{i}" for i in range(30)) for k in "ab"]
+    docs = spark.createDataFrame([(1, text[0]), (1, text[1]), (2, text[1])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in near_duplicates(docs).collect()) == [(1, 1), (1, 1), (2, 1)]
+
+
+def test_near_duplicates_in_blocks_of_few_shingles(spark, monkeypatch):
+    from flowloom.llm import near_duplicates as module
+
+    monkeypatch.setattr(module, "BLOCK_SHINGLES", 500)
+    docs = documents(spark, near_copies(30))
+    assert {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(docs).collect()} == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
