@@ -4,7 +4,8 @@ A text of up to ``huge_chars`` characters is encoded whole. A longer one is cut
 overlap, the chunks are dealt out over the cluster and encoded with offsets, and neighbouring chunks are
 spliced at a boundary that both found and that is proven stable: a token starts there in both encodings, with
 the same id, and the character before it is white space, which no token, merge or normalisation of a
-white-space-splitting tokenizer crosses. Where an overlap holds no such boundary, the document is encoded
+white-space-splitting tokenizer crosses, or a punctuation mark that the tokenizer's own pre-tokenizer cuts from a letter
+or digit after it. Where an overlap holds no such boundary, the document is encoded
 again with wider chunks and overlaps, at last as one chunk; so every count equals that of the whole text.
 """
 
@@ -23,6 +24,9 @@ from flowloom.llm._common import materialize, slices
 
 #: White space that ends a token for sure; other white space is left out, which costs at most a wider overlap.
 STABLE_BEFORE = frozenset(" \t\n\r")
+#: Marks that the pre-tokenizer is asked about, and what may stand after one: letters and digits that no normal form joins to it.
+MARKS = ".,;:!?\"()[]{}<>/\\|*+=~#$%&@^`_-。、，．！？；：「」『』（）【】《》"
+SAMPLES = "aZé5ñЖ日のテ한"
 _ID_BITS = 20  # a boundary is packed as position << 20 | token id
 
 
@@ -37,6 +41,32 @@ def _tokenizer(path: str):
     return found
 
 
+@lru_cache(maxsize=2)
+def _breaks_of(path: str) -> frozenset:
+    return breaks(_tokenizer(path))
+
+
+def breaks(tokenizer) -> frozenset:
+    """The marks after which the pre-tokenizer always cuts, whatever letter or digit follows and whatever stands before."""
+    if tokenizer.pre_tokenizer is None:
+        return frozenset()
+
+    def cuts(mark: str) -> bool:
+        for before in ("a", "5", "日", ".", "'", mark):
+            for after in SAMPLES:
+                text = f"{before}{mark}{after}{after}"
+                if not any(start == 2 for _, (start, _) in tokenizer.pre_tokenizer.pre_tokenize_str(text)):
+                    return False
+        return True
+
+    return frozenset(m for m in MARKS if cuts(m))
+
+
+def _is_plain(c: str) -> bool:
+    """ASCII and Latin-1 letters and digits, Cyrillic, kana, Han and Hangul syllables: never joined to a mark before them."""
+    return c.isalnum() and (c < "\u0180" or "\u0400" <= c <= "\u0482" or "\u3041" <= c <= "\u3096" or "\u30a1" <= c <= "\u30fa" or "\u4e00" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3")
+
+
 def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
@@ -64,20 +94,23 @@ def _chunker(chunk: int, overlap: int) -> Callable[[Iterator[pa.RecordBatch]], I
 def _seams(path: str, chunk: int, overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Encodes chunks with offsets; keeps the stable boundaries in both overlaps and the tokens before each."""
 
-    def boundaries(text: str, ids: list[int], offsets: list[tuple[int, int]], low: int, high: int, base: int) -> tuple[list[int], list[int]]:
+    def stable(text: str, at: int, marks: frozenset) -> bool:
+        return text[at - 1] in STABLE_BEFORE or (text[at - 1] in marks and _is_plain(text[at]))
+
+    def boundaries(text: str, ids: list[int], offsets: list[tuple[int, int]], low: int, high: int, base: int, marks: frozenset) -> tuple[list[int], list[int]]:
         first, last = (bisect_left(offsets, (x, 0)) for x in (max(low, 1), high))
-        at = [(((base + offsets[n][0]) << _ID_BITS) | ids[n], n) for n in range(first, last) if text[offsets[n][0] - 1] in STABLE_BEFORE]
+        at = [(((base + offsets[n][0]) << _ID_BITS) | ids[n], n) for n in range(first, last) if stable(text, offsets[n][0], marks) and offsets[n][0] != offsets[n - 1][0]]
         return [x for x, _ in at], [n for _, n in at]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer, marks = _tokenizer(path), _breaks_of(path)
         for part in slices(batches, "text", 1 << 18):
             texts, ks = part.column("text").to_pylist(), part.column("k").to_pylist()
             heads, tails, totals = [], [], []
             for text, k, found in zip(texts, ks, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
                 ids, offsets = found.ids, found.offsets
-                heads.append(boundaries(text, ids, offsets, 0, overlap, k * chunk) if k else ([], []))
-                tails.append(boundaries(text, ids, offsets, chunk, chunk + overlap, k * chunk))
+                heads.append(boundaries(text, ids, offsets, 0, overlap, k * chunk, marks) if k else ([], []))
+                tails.append(boundaries(text, ids, offsets, chunk, chunk + overlap, k * chunk, marks))
                 totals.append(len(ids))
             longs = pa.list_(pa.int64())
             yield pa.record_batch([*part.columns[:5], *(pa.array([x[i] for x in xs], longs) for xs in (heads, tails) for i in (0, 1)), pa.array(totals, pa.int64())], names=["key", "n_bytes", "fingerprint", "k", "n", "head", "head_before", "tail", "tail_before", "total"])
