@@ -26,6 +26,10 @@ URL_RULES = [
     UrlRule("block", "*spam-farm*", subdomains=False, named=False),
     UrlRule("block", "*cheap-pills*", subdomains=False, named=False),
     UrlRule("block", "*casino*", subdomains=False, named=False),
+    UrlRule("block", "*free-bet?.*", subdomains=False, named=False),
+    UrlRule("block", "*adult-?.*", subdomains=False, named=False),
+    UrlRule("block", "*ads-t*k.*", subdomains=False, named=False),
+    UrlRule("block", "*", "*/wp-*.php", subdomains=False, named=False),
 ]
 
 
@@ -82,7 +86,8 @@ r AS (SELECT *, CASE
     WHEN ends_with('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
     WHEN ends_with('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
-  CASE WHEN contains(host, 'spam-farm') THEN '*spam-farm*' WHEN contains(host, 'cheap-pills') THEN '*cheap-pills*' WHEN contains(host, 'casino') THEN '*casino*' END AS hit FROM p)
+  CASE WHEN contains(host, 'cheap-pills') THEN '*cheap-pills*' WHEN regexp_matches(host, '(?s)free-bet.[.]') THEN '*free-bet?.*' WHEN contains(host, 'spam-farm') THEN '*spam-farm*' WHEN regexp_matches(path, '(?s)/wp-.*[.]php') THEN '**/wp-*.php'
+    WHEN regexp_matches(host, '(?s)adult-.[.]') THEN '*adult-?.*' WHEN regexp_matches(host, '(?s)ads-t.*k[.]') THEN '*ads-t*k.*' WHEN contains(host, 'casino') THEN '*casino*' END AS hit FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR hit IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
   CASE WHEN rule IS NULL THEN hit END AS glob FROM r
 """

@@ -59,6 +59,20 @@ def test_token_counts_are_the_library_s(spark, odd, sizes):
     assert token_counts(odd.limit(0), WORDS).count() == 0
 
 
+def test_texts_without_white_space_are_spliced_at_marks(spark):
+    from tokenizers import Tokenizer
+
+    from flowloom.llm import token_counts as module
+
+    rng, t = random.Random(3), Tokenizer.from_file(WORDS)
+    letters = "日本語のテキスト한국éЖabc'e\u0301\u030a5"
+    texts = ["".join(rng.choice(letters) if rng.random() < 0.9 else rng.choice("。、,.;!'\"") for _ in range(3000)) for _ in range(20)]
+    assert {"。", ",", "."} <= module.breaks(t) and "'" not in module.breaks(t)
+    rows = {r.doc_id: r for r in token_counts(documents(spark, texts), WORDS, huge_chars=500, chunk_chars=400, overlap_chars=100).collect()}
+    assert all(rows[i].n_tokens == len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts))
+    assert sum(r.n_chunks == 8 for r in rows.values()) >= 15
+
+
 def test_pieces_are_the_library_s(spark, odd):
     import sentencepiece
 
@@ -312,6 +326,18 @@ def test_urls_of_odd_shapes(spark):
     assert got[7] == ("b.net", None, "allow") and got[8][1:] == ("net/fr/", "block") and got[9][1:] == ("com/", "allow")
 
 
+def test_registered_rules_on_made_urls_are_those_of_the_sql(spark, tmp_path):
+    from flowloom.llm.queries import OP5_SQL, op5_url_filter
+    from tests.oracle import compare
+
+    rng = random.Random(6)
+    hosts = ["free-bets.example.net", "a.free-bet.example.net", "adult-x.example.org", "adult-xx.org", "ads-track.net", "ads-tk.org", "x.com", "casino.free-betz.cheap-pills.org", "spam-farm.example.net", "www.example.com"]
+    paths = ["", "/en/1", "/es/", "/fr/x", "/wp-login.php", "/a/b/wp-.php?x", "/wp-x", "/en/wp-admin/y.php"]
+    rows = [(i, f"http://{rng.choice(hosts)}{rng.choice(paths)}", "", "clash") for i in range(300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, host string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert compare(op5_url_filter(spark, str(tmp_path)), OP5_SQL, str(tmp_path)) == ""
+
+
 # ---- toxicity ----------------------------------------------------------------------------------------------------
 
 
