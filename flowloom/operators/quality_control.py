@@ -81,24 +81,36 @@ def measures(triangles: DataFrame, min_face_area: float = 1e-12, mesh: str = "me
     return triangles.withColumns({"__area": area, "__volume": a.dot(b.cross(c)) / 6.0}).groupBy(mesh).agg(F.sum("__area").alias("surface_area"), F.sum("__volume").alias("volume"), F.count_if(F.col("__area") <= min_face_area).alias("degenerate_faces"))
 
 
-def components(faces: DataFrame, mesh: str = "mesh_id", rounds: int = 64) -> DataFrame:
-    """Per mesh: connected components by shared vertices: their number, the largest's faces and its share of all.
+def component_labels(faces: DataFrame, mesh: str = "mesh_id") -> DataFrame:
+    """Faces with component: the least vertex of those that are connected by shared vertices.
 
     Labels of vertices spread along faces and are halved by pointer jumping, so rounds grow with the logarithm of a
-    component's breadth; each round is a checkpoint, in the folder that spark.checkpoint.dir names.
+    component's breadth. Each round is a checkpoint in the folder that spark.checkpoint.dir names, and rounds go on until
+    one changes no label.
     """
     label = faces.select(mesh, F.explode(F.array("a", "b", "c")).alias("v")).distinct().withColumn("l", F.col("v"))
-    seen = None
-    for _ in range(rounds):
+    while True:
         at = lambda k: label.select(mesh, F.col("v").alias(k), F.col("l").alias(f"l{k}"))  # noqa: E731,B023
         low = faces.join(at("a"), [mesh, "a"]).join(at("b"), [mesh, "b"]).join(at("c"), [mesh, "c"]).withColumn("m", F.least("la", "lb", "lc"))
         spread = low.select(mesh, F.explode(F.array("a", "b", "c", "la", "lb", "lc")).alias("v"), "m").groupBy(mesh, "v").agg(F.min("m").alias("m"))
         hop = spread.select(mesh, F.col("v").alias("m"), F.col("m").alias("m2"))
-        label = spread.join(hop, [mesh, "m"], "left").select(mesh, "v", F.least("m", "m2").alias("l"))
-        label = cut_lineage(label)
-        total = label.agg(F.sum(F.hash(mesh, "v", "l").cast("decimal(20,0)"))).first()[0]
-        if total == seen:
+        moved = spread.join(hop, [mesh, "m"], "left").join(label, [mesh, "v"]).select(mesh, "v", F.least("m", "m2").alias("next"), "l")
+        kept = cut_lineage(moved.select(mesh, "v", F.col("next").alias("l"), (F.col("next") != F.col("l")).alias("changed")))
+        label = kept.select(mesh, "v", "l")
+        if kept.where("changed").isEmpty():
             break
-        seen = total
-    parts = faces.join(label.select(mesh, F.col("v").alias("a"), "l"), [mesh, "a"]).groupBy(mesh, "l").agg(F.count("*").alias("faces"))
+    return faces.join(label.select(mesh, F.col("v").alias("a"), F.col("l").alias("component")), [mesh, "a"]).select(*faces.columns, "component")
+
+
+def components(faces: DataFrame, mesh: str = "mesh_id") -> DataFrame:
+    """Per mesh: connected components by shared vertices: their number, the largest's faces and its share of all."""
+    parts = component_labels(faces, mesh).groupBy(mesh, "component").agg(F.count("*").alias("faces"))
     return parts.groupBy(mesh).agg(F.count("*").alias("n_components"), F.max("faces").alias("largest_component_faces"), (F.max("faces") / F.sum("faces")).alias("largest_component_fraction"))
+
+
+def largest_component(faces: DataFrame, mesh: str = "mesh_id") -> DataFrame:
+    """The faces of each mesh's component of the most faces (ties: of the least vertex)."""
+    named = component_labels(faces, mesh)
+    sizes = named.groupBy(mesh, "component").agg(F.count("*").alias("faces"))
+    best = sizes.groupBy(mesh).agg(F.min(F.struct((-F.col("faces")).alias("n"), "component"))["component"].alias("component"))
+    return named.join(best, [mesh, "component"], "left_semi").select(*faces.columns)
