@@ -60,13 +60,7 @@ def filter_words(text: Column) -> Column:
     return F.when((F.size(words) > 0) & ~F.exists(words, lambda x: F.lower(x) == "all"), words)
 
 
-def second_or_number(name: Column) -> Column:
-    """A case id: the second ``_`` part of a stem, or an all-digit stem; else null."""
+def numbered_case(name: Column, prefix: str = "aneumo") -> Column:
+    """A case id: the part after ``prefix`` (in any case) of a stem parted by ``_``, or an all-digit stem; else null."""
     parts = F.split(name, "_")
-    return F.when(F.size(parts) > 1, parts[1]).when(name.rlike(r"^[0-9]+$"), name)
-
-
-def middle_parts(name: Column) -> Column:
-    """The fallback case id: parts 1 to 4 of a stem parted by ``_``, or the stem if it has fewer."""
-    parts = F.split(name, "_")
-    return F.when(F.size(parts) >= 4, F.array_join(F.slice(parts, 1, 4), "_")).otherwise(name)
+    return F.when((F.size(parts) > 1) & (F.lower(parts[0]) == prefix), parts[1]).when(name.rlike(r"^[0-9]+$"), name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions.draws import key_hash
 from flowloom.functions.vectors import vec
 
 EPS32 = 1.1920928955078125e-07  # the machine epsilon of 32-bit floats
@@ -153,12 +154,12 @@ def combined_loss(geometry: Column, physics: Column, dictionary: Column, batch:
 def divergence(df: DataFrame, k: int = 8, subset: int = 256, key: str = "sample_id", point: str = "point_id") -> DataFrame:
     """Per sample: the mean square divergence of a flow by moving least squares on ``subset`` points and their ``k`` neighbours.
 
-    The subset is that of the least hashes of the point id, so pairs are at most ``subset`` squared for each sample.
+    The subset is that of the least seeded hashes of the point id, so pairs are at most ``subset`` squared for each sample.
     Ranks break ties of distance by the point id; the first rank (the point itself, or a twin) is dropped.
     """
     from pyspark.sql import Window as W
 
-    drawn = df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(F.crc32(F.col(point).cast("string")), point))).where(F.col("__r") <= subset)
+    drawn = df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(key_hash(0, point), point))).where(F.col("__r") <= subset)
     a = drawn.select(key, *(F.col(c).alias(f"a{c}") for c in ("x", "y", "z", "u", "v", "w")), F.col(point).alias("__i"))
     b = drawn.select(key, *(F.col(c).alias(f"b{c}") for c in ("x", "y", "z", "u", "v", "w")), F.col(point).alias("__j"))
     dp, dv = vec("b") - vec("a"), vec("b", "uvw") - vec("a", "uvw")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowloom.functions.strings import path_key
+from flowloom.functions.strings import path_key, stem
+from flowloom.functions.draws import key_hash, uniform
 
 
 def first_match(files: DataFrame, manifest: DataFrame, keys: list[Column], manifest_key: str, file_id: str, take: list[str]) -> DataFrame:
@@ -17,21 +18,33 @@ def first_match(files: DataFrame, manifest: DataFrame, keys: list[Column], manif
     return files.join(best, file_id, "left").select(*files.columns, *(F.col("__row")[t].alias(t) for t in take))
 
 
-def manifest_lookup(manifest: DataFrame, order: str, path: str, dataset: str, name: str, root: str) -> DataFrame:
-    """key, status, row order: a row for each of three keys (path, dataset/name, absolute path); the last row of a key wins; statuses lower-cased."""
-    keys = F.array(path_key(F.col(path)), F.concat_ws("/", dataset, name), F.concat(F.lit(root), path_key(F.col(path))))
-    each = manifest.select(F.explode(keys).alias("key"), F.lower("status").alias("status"), order)
+def manifest_lookup(manifest: DataFrame, order: str, relative: str, dataset: str, name: str, absolute: str) -> DataFrame:
+    """key, status: a row for each of a row's three keys (relative path, dataset/name, its own absolute path); the last row of a key wins.
+
+    Keys have forward slashes and no dots or slashes at their front (``path_key``), so files are looked up by such keys. A
+    null part gives no key; a null status counts as unknown; statuses are lower-cased.
+    """
+    both = F.when(F.col(dataset).isNotNull() & F.col(name).isNotNull(), F.concat_ws("/", dataset, name))
+    keys = F.array_compact(F.array(path_key(F.col(relative)), path_key(both), path_key(F.col(absolute))))
+    each = manifest.select(F.explode(keys).alias("key"), F.lower(F.coalesce("status", F.lit("unknown"))).alias("status"), order)
     return each.groupBy("key").agg(F.max_by("status", order).alias("status"))
 
 
+def stem_lookup(manifest: DataFrame, order: str, dataset: str, name: str, take: list[str]) -> DataFrame:
+    """dataset, stem and ``take`` of the last manifest row of each (dataset, file name without its last extension)."""
+    rows = manifest.where((F.coalesce(dataset, F.lit("")) != "") & (F.coalesce(name, F.lit("")) != ""))
+    last = rows.groupBy(F.col(dataset).alias("dataset"), stem(F.col(name)).alias("stem")).agg(F.max_by(F.struct(*take), order).alias("__row"))
+    return last.select("dataset", "stem", *(F.col("__row")[t].alias(t) for t in take))
+
+
 def by_status(files: DataFrame, allowed: list[str], require_match: bool) -> DataFrame:
     """Adds decision: kept, skipped_status, or unmatched_qc for a null status that must match."""
     return files.withColumn("decision", F.when(F.col("status").isNull(), F.lit("unmatched_qc" if require_match else "kept")).when(F.lower("status").isin(*allowed), "kept").otherwise("skipped_status"))
 
 
 def meta_keeps(meta: DataFrame, allowed: list[str]) -> DataFrame:
-    """Adds keep: unreadable or failed meta drops a sample; else its status decides, else the manifest's, else it stays."""
-    ok = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.lower(c).isin(*allowed))
+    """Adds keep: unreadable or failed meta drops a sample; else its status decides, an empty one too, else the manifest's, else it stays."""
+    ok = lambda c: F.when(F.col(c).isNotNull(), F.lower(c).isin(*allowed))
     return meta.withColumn("keep", F.when(~F.col("readable") | ~F.coalesce("success", F.lit(True)), False).otherwise(F.coalesce(ok("meta_status"), ok("manifest_status"), F.lit(True))))
 
 
@@ -82,6 +95,16 @@ def longest_prefix(names: DataFrame, reserved: DataFrame, name: str = "stem", ca
     return names.join(best, name, "left")
 
 
+def vessel_cases(files: DataFrame, reserved: DataFrame, name: str, key: str, prefix: str = "VMR_") -> DataFrame:
+    """``files`` with vessel_case: for stems that begin with ``prefix``, the longest reserved id, else parts 1 to 4 if there are as many; else null."""
+    inner = files.where(F.startswith(name, F.lit(prefix))).select(key, F.substring(F.col(name), len(prefix) + 1, 2**30).alias("__stem"))
+    known = longest_prefix(inner.select("__stem").distinct(), reserved, "__stem", "case_id")
+    found = inner.join(known, "__stem").select(key, F.col("case_id").alias("__case"))
+    parts = F.split(F.col(name), "_")
+    rest = F.when(F.startswith(name, F.lit(prefix)) & (F.size(parts) >= 5), F.array_join(F.slice(parts, 2, 4), "_"))
+    return files.join(found, key, "left").withColumn("vessel_case", F.coalesce("__case", rest)).drop("__case")
+
+
 def without_reserved(rows: DataFrame, reserved: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't reserved; a null key stays."""
     return rows.join(reserved.select(key), key, "left_anti")
@@ -93,9 +116,9 @@ def first_of_each(rows: DataFrame, group: str, order: list[str], n: int) -> Data
 
 
 def latest_restart(files: DataFrame, simulation: str, path: str) -> DataFrame:
-    """Per simulation: the file whose name ends in the largest step; names without a number count as -1; ties by name."""
-    step = F.coalesce(F.regexp_extract(path, r"\.(\d+)(?:\.\d+)?$", 1).try_cast("long"), F.lit(-1).cast("long"))
-    return files.withColumn("step", step).groupBy(simulation).agg(F.max(F.struct("step", path)).alias("b")).select(simulation, f"b.{path}", "b.step")
+    """Per simulation: the file of the largest step, told by ``restart.<step>.`` in its name; other names count as -1; ties: the first path."""
+    step = F.coalesce(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"restart\.(\d+)\.", 1).try_cast("long"), F.lit(-1).cast("long"))
+    return files.withColumn("step", step).groupBy(simulation).agg(F.min(F.struct((-F.col("step")).alias("s"), path)).alias("b")).select(simulation, f"b.{path}", (-F.col("b.s")).alias("step"))
 
 
 def fallback_walk(walks: DataFrame, wanted: int, sample: str = "sample_id", walk: str = "walk_idx") -> DataFrame:
@@ -172,25 +195,43 @@ def speed_bins(stats: DataFrame, bins: int) -> DataFrame:
 
 def hashed_folds(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """Plain k folds whose sizes differ by one at most (the larger ones first), in the order of a seeded hash."""
-    order = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-    dealt = rows.withColumn("__h", order).withColumn("__b", F.shiftrightunsigned("__h", 54))
-    counts = dict(dealt.groupBy("__b").count().collect())  # at most 1024 rows
+    dealt = rows.withColumn("__h", key_hash(seed, key)).withColumn("__b", F.substring("__h", 1, 3))
+    counts = dict(dealt.groupBy("__b").count().collect())  # at most 4096 rows
     before, total = {}, 0
     for b in sorted(counts):
         before[b], total = total, total + counts[b]
-    start = F.create_map(*(F.lit(x) for kv in (before or {0: 0}).items() for x in kv))[F.col("__b")]
+    start = F.create_map(*(F.lit(x) for kv in (before or {"": 0}).items() for x in kv))[F.col("__b")]
     ranked = dealt.withColumn("__r", start + F.row_number().over(W.partitionBy("__b").orderBy("__h", key)) - 1).drop("__h", "__b")
     big, size = total % k, total // k
     fold = F.when(F.col("__r") < big * (size + 1), F.floor(F.col("__r") / (size + 1))).otherwise(big + F.floor((F.col("__r") - big * (size + 1)) / max(size, 1)))
     return ranked.withColumn("fold", fold.cast("int")).drop("__r")
 
 
-def split_positions(rows: DataFrame, split: str, index: str) -> DataFrame:
-    """The indices of each split in order as rows of split, position (from 0) and index (a number); null indices are in none.
+def pretrain_split(rows: DataFrame, key: str, ntrain: int, ntest: int, seed: int) -> DataFrame:
+    """``rows`` of the split, in the order of a seeded hash: the first are train, the next test, a tenth at most and one at least.
+
+    Fewer than two rows fail, as no split is then independent. What is ordered in one place are the rows of the split,
+    which ``ntrain`` and ``ntest`` bound.
+    """
+    if min(ntrain, ntest) <= 0:
+        raise ValueError("ntrain and ntest must be positive")
+    n = rows.count()
+    if n < 2:
+        raise ValueError("two samples at least are needed for train and test")
+    test = min(ntest, max(1, n // 10))
+    train = min(ntrain, n - test)
+    first = rows.withColumn("__h", key_hash(seed, key)).orderBy("__h", key).limit(train + test)
+    ranked = first.withColumn("__r", F.row_number().over(W.orderBy("__h", key)))
+    return ranked.withColumn("split", F.when(F.col("__r") <= train, "train").otherwise("test")).drop("__h", "__r")
+
+
+def split_positions(rows: DataFrame, split: str, index: str, carry: list[str] | None = None) -> DataFrame:
+    """split, position (from 0), index (a number) and ``carry`` of each row, in the order of the index within its split; null indices are left out.
 
     A split is ranked in ranges of the index, as many as there are shuffle partitions, so no task holds a whole split.
     """
-    given = rows.select(F.col(split).alias("split"), F.col(index).alias("index")).where(F.col("index").isNotNull())
+    carry = carry or []
+    given = rows.select(F.col(split).alias("split"), F.col(index).alias("index"), *carry).where(F.col("index").isNotNull())
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = [i / parts for i in range(1, parts)]
     edges = sorted(set(given.agg(F.percentile_approx("index", cuts)).first()[0] or [])) if cuts else []
@@ -199,18 +240,73 @@ def split_positions(rows: DataFrame, split: str, index: str) -> DataFrame:
     counts = dealt.groupBy("split", "__b").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(W.partitionBy("split").orderBy("__b")) - F.col("__n")
     starts = counts.select(F.col("split").alias("__s"), F.col("__b").alias("__c"), before.alias("__start"))
-    ranked = dealt.withColumn("__r", F.row_number().over(W.partitionBy("split", "__b").orderBy("index")))
+    ranked = dealt.withColumn("__r", F.row_number().over(W.partitionBy("split", "__b").orderBy("index", *carry)))
     joined = ranked.join(starts, F.col("split").eqNullSafe(F.col("__s")) & F.col("__b").eqNullSafe(F.col("__c")))
-    return joined.select("split", (F.col("__start") + F.col("__r") - 1).cast("long").alias("position"), "index")
+    return joined.select("split", (F.col("__start") + F.col("__r") - 1).cast("long").alias("position"), "index", *carry)
+
+
+def split_blocks(rows: DataFrame, split: str, index: str, block: int = 1000) -> DataFrame:
+    """The indices of each split in order, as lists of ``block``: split, block (from 0) and indices, so that no row holds a whole split."""
+    at = split_positions(rows, split, index).withColumn("block", F.floor(F.col("position") / block))
+    return at.groupBy("split", "block").agg(F.array_sort(F.collect_list(F.struct("position", "index")))["index"].alias("indices"))
 
 
-def group_folds(groups: DataFrame, k: int, seed: int, group: str = "group", size: str = "rows", strata: list[str] | None = None) -> list[list[str]]:
+def dealt_group_folds(groups: DataFrame, k: int, seed: int, group: str = "group", size: str = "rows", strata: list[str] | None = None) -> DataFrame:
+    """group, fold, ``size``: whole groups dealt to k folds within each stratum, the largest first, to and fro (0 to k - 1, k - 1 to 0, ...).
+
+    Groups of one size come in the order of a seeded hash. Sizes of a stratum's folds differ by its largest group at most.
+    Groups of any number stay in Spark; see ``group_folds`` for the greedy assignment on the driver.
+    """
+    stratum = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata)) if strata else F.lit("")
+    order = groups.select(stratum.alias("__s"), (uniform(seed, group) - F.col(size)).alias("__i"), F.col(group), F.col(size))
+    at = split_positions(order, "__s", "__i", [group, size])
+    turn, place = F.floor(F.col("position") / k), F.pmod("position", F.lit(k))
+    return at.select(group, F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"), size)
+
+
+def carved_groups(groups: DataFrame, target: int, seed: int, fold: int, group: str = "group", size: str = "rows") -> DataFrame:
+    """``groups`` with validation: whether a group is taken for it, in the order of a hash, until ``target`` rows are reached, leaving one group at least."""
+    dealt = groups.withColumn("__h", uniform(seed + 1009 + fold, group)).withColumn("__b", F.floor(F.col("__h") * 1024))
+    sums = {r["__b"]: (r["n"], r["s"]) for r in dealt.groupBy("__b").agg(F.count("*").alias("n"), F.sum(size).alias("s")).collect()}  # at most 1024 rows
+    starts, count, total = {}, 0, 0
+    for b in sorted(sums):
+        starts[b] = (count, total)
+        count, total = count + sums[b][0], total + sums[b][1]
+    start = lambda i: F.create_map(*(F.lit(x) for b, v in (starts or {0: (0, 0)}).items() for x in (b, v[i])))[F.col("__b")]
+    w = W.partitionBy("__b").orderBy("__h", group)
+    before = start(1) + F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    taken = (before < target) & (start(0) + F.row_number().over(w) < count)
+    return dealt.withColumn("validation", taken).drop("__h", "__b")
+
+
+def strict_folds(folds: DataFrame, tests: DataFrame, fold: int, evaluate: str, ntrain: int | None = None, neval: int | None = None) -> DataFrame:
+    """role, index of one fold: its training indices and, to evaluate on, its validation indices (``val``) or the independent tests (``test``).
+
+    ``folds`` has fold, role (train or val), position and index; ``tests`` position and index. Limits keep the first
+    positions. A fold that isn't there fails the query.
+    """
+    if evaluate not in ("val", "test"):
+        raise ValueError("evaluate must be val or test")
+    mine = folds.where(F.col("fold") == fold)
+    if mine.isEmpty():
+        raise ValueError(f"there is no fold {fold}")
+    first = lambda df, n: df if n is None else df.where(F.col("position") < n)
+    train = first(mine.where("role = 'train'"), ntrain).select(F.lit("train").alias("role"), "index")
+    held = first(mine.where("role = 'val'") if evaluate == "val" else tests, neval).select(F.lit("eval").alias("role"), "index")
+    return train.unionByName(held)
+
+
+def group_folds(groups: DataFrame, k: int, seed: int, group: str = "group", size: str = "rows", strata: list[str] | None = None, max_groups: int = 1_000_000) -> list[list[str]]:
     """Folds of whole groups, greedily balanced: groups, shuffled by the seed, in order of size go to the smallest fold.
 
-    Strata are dealt one after another over the same folds. What comes to the driver is a name and a size per group.
+    Strata are dealt one after another over the same folds. What comes to the driver is a name and a size per group, of at
+    most ``max_groups``: more are an error, and ``dealt_group_folds`` deals any number in Spark.
     """
     import numpy as np
 
+    if groups.limit(max_groups + 1).count() > max_groups:
+        raise ValueError(f"more than {max_groups} groups: use dealt_group_folds")
+
     rows = sorted(groups.select(group, size, *(strata or [])).collect(), key=lambda r: (*(r[s] for s in strata or []), r[group]))
     rng, folds, sizes = np.random.default_rng(seed), [[] for _ in range(k)], [0] * k
     by: dict[tuple, list] = {}
@@ -234,9 +330,11 @@ def validation_groups(remaining: list[str], sizes: dict[str, int], target: int,
     names = list(remaining)
     np.random.default_rng(seed + 1009 + fold).shuffle(names)
     taken: list[str] = []
+    total = 0
     for name in names[:-1]:
         taken.append(name)
-        if sum(sizes[n] for n in taken) >= target:
+        total += sizes[name]
+        if total >= target:
             break
     return taken
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.vectors import vec
 from flowloom.operators import frames, metrics, proxies
 from flowloom.plans.adapters import POINTS, points, rounded
-from flowloom.plans.registry import register
+from flowloom.plans.registry import ORACLES, register
 
 UVWS = ("sample_id", "point_id", "u", "v", "w", "speed")
 UVWC = ("sample_id", "point_id", "u", "v", "w", "scalar")
@@ -371,8 +371,8 @@ def l14_combined_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "l11_divergence",
-    COMPACT + """, r0 AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY crc, point_id) AS r FROM (SELECT *, point_id AS crc FROM x)),
-n0 AS (SELECT * FROM r0 WHERE r <= 48),
+    COMPACT + """, r0 AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5('0|' || point_id), point_id) AS r FROM x),
+n0 AS (SELECT * FROM r0 WHERE r <= 256),
 p0 AS (SELECT a.sample_id, a.point_id AS i, b.point_id AS j, b.x - a.x AS px, b.y - a.y AS py, b.z - a.z AS pz, b.u - a.u AS qx, b.v - a.v AS qy, b.w - a.w AS qz, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2)) AS dist FROM n0 a JOIN n0 b USING (sample_id)),
 k0 AS (SELECT *, row_number() OVER (PARTITION BY sample_id, i ORDER BY dist, j) AS kk FROM p0),
 k1 AS (SELECT *, exp(-dist / greatest(avg(dist) OVER (PARTITION BY sample_id, i), 1e-4)) AS kern FROM k0 WHERE kk BETWEEN 2 AND 9),
@@ -384,15 +384,9 @@ d0 AS (SELECT sample_id, (mxx * (cyy * czz - cyz * cyz) + myy * (cxx * czz - cxz
 SELECT sample_id, """ + _r(divergence="avg(d * d)") + " FROM d0 GROUP BY sample_id",
 )
 def l11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 48 lowest point ids of each sample stand in for the hashed subset, so that SQL can name the same points."""
-    p = proxies.compact(proxies.bank(framed(spark, sf_dir)))
-    from pyspark.sql import Window as W
-
-    lowest = p.withColumn("__n", F.row_number().over(W.partitionBy("sample_id").orderBy("point_id"))).where("__n <= 48").drop("__n")
-    return rounded(metrics.divergence(lowest))
+    """All points go to the operator, which takes its own subset of 256 for each sample by a hash that SQL can name."""
+    return rounded(metrics.divergence(proxies.compact(proxies.bank(framed(spark, sf_dir)))))
 
 
-@register("l11_divergence_all_points")
-def l11_divergence_all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All points go to the operator, which takes its own subset by crc32. DuckDB cannot name that, so a test holds this against brute force."""
-    return rounded(metrics.divergence(proxies.compact(proxies.bank(framed(spark, sf_dir)))))
+#: The name under which all points were first compared; the same query as l11_divergence since that reads all points too.
+register("l11_divergence_all_points", ORACLES["l11_divergence"])(l11_divergence)

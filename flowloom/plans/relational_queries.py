@@ -70,10 +70,21 @@ def p11_filter_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select("r_regionkey", strings.filter_words(text).alias("words"))
 
 
-@register("s28_case_ids", "SELECT o_orderkey, split_part(replace(o_orderpriority, '-', '_'), '_', 2) AS case_id FROM orders WHERE contains(o_orderpriority, '-')")
+_FILES = "(SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'VMR_' || (c_custkey % 40) || '_' || (c_custkey % 7) || '_H_AO_x.stl' WHEN 1 THEN 'aneumo_' || c_custkey || '_m.stl' WHEN 2 THEN c_custkey || '.stl' WHEN 3 THEN 'VMR_' || c_custkey || '_a_b_c.stl' WHEN 4 THEN 'VMR_a_b.stl' ELSE 'other_' || c_custkey || '.stl' END AS name FROM customer)"
+_RESERVED = "(SELECT DISTINCT (s_suppkey % 40) || CASE WHEN s_suppkey % 3 > 0 THEN '_' || (s_suppkey % 7) ELSE '' END AS case_id FROM supplier)"
+
+
+@register("s28_case_ids", f"""WITH f AS (SELECT c_custkey, regexp_replace(name, '[.][^.]*$', '') AS stem FROM {_FILES}),
+r AS (SELECT f.c_custkey, arg_max(c.case_id, length(c.case_id)) AS reserved FROM f JOIN {_RESERVED} c ON starts_with(stem, 'VMR_') AND (stem[5:] = c.case_id OR starts_with(stem[5:], c.case_id || '_')) GROUP BY f.c_custkey)
+SELECT f.c_custkey, coalesce(r.reserved, CASE WHEN starts_with(stem, 'VMR_') AND len(string_split(stem, '_')) >= 5 THEN array_to_string(string_split(stem, '_')[2:5], '_') END) AS vessel_case,
+  CASE WHEN len(string_split(stem, '_')) >= 2 AND lower(split_part(stem, '_', 1)) = 'aneumo' THEN split_part(stem, '_', 2) WHEN regexp_full_match(stem, '[0-9]+') THEN stem END AS numbered_case FROM f LEFT JOIN r USING (c_custkey)""")
 def s28_case_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = table(spark, sf_dir, "orders").where(F.contains("o_orderpriority", F.lit("-")))
-    return named.select("o_orderkey", strings.second_or_number(F.replace("o_orderpriority", F.lit("-"), F.lit("_"))).alias("case_id"))
+    """The three rules on file names: the longest reserved id, else parts 1 to 4, and a second part or an all-digit stem."""
+    c = table(spark, sf_dir, "customer")
+    files = c.selectExpr("c_custkey", "CASE c_custkey % 6 WHEN 0 THEN 'VMR_' || (c_custkey % 40) || '_' || (c_custkey % 7) || '_H_AO_x.stl' WHEN 1 THEN 'aneumo_' || c_custkey || '_m.stl' WHEN 2 THEN c_custkey || '.stl' WHEN 3 THEN 'VMR_' || c_custkey || '_a_b_c.stl' WHEN 4 THEN 'VMR_a_b.stl' ELSE 'other_' || c_custkey || '.stl' END AS name")
+    reserved = table(spark, sf_dir, "supplier").selectExpr("(s_suppkey % 40) || CASE WHEN s_suppkey % 3 > 0 THEN '_' || (s_suppkey % 7) ELSE '' END AS case_id").distinct()
+    told = sel.vessel_cases(files.withColumn("stem", strings.stem(F.col("name"))), reserved, "stem", "c_custkey")
+    return told.select("c_custkey", "vessel_case", strings.numbered_case(F.col("stem")).alias("numbered_case"))
 
 
 # ---- quality control ---------------------------------------------------------------------------------------------
@@ -139,19 +150,19 @@ def p5_status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j1_manifest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are known by their path, by dataset and name, by their absolute path, or not at all."""
     rows = qc_rows(spark, sf_dir).withColumn("name", F.concat(F.lit("m"), "p_partkey", F.lit(".stl")))
-    manifest = rows.where("p_partkey % 4 <> 3").select(F.concat_ws("/", F.lit("./raw"), "dataset", "name").alias("path"), "dataset", "name", F.upper("status").alias("status"), F.col("p_partkey").alias("line"))
+    manifest = rows.where("p_partkey % 4 <> 3").select(F.concat_ws("/", F.lit("./raw"), "dataset", "name").alias("path"), "dataset", "name", F.concat_ws("/", F.lit("/elsewhere/kept"), "name").alias("absolute"), F.upper("status").alias("status"), F.col("p_partkey").alias("line"))
     stale = manifest.withColumns({"status": F.lit("OLD"), "line": F.lit(-1).cast("long")})
-    found = sel.manifest_lookup(manifest.unionByName(stale), "line", "path", "dataset", "name", "/abs/")
-    keys = [F.when(F.col("p_partkey") % 4 == 0, F.concat_ws("/", F.lit("raw"), "dataset", "name")), F.when(F.col("p_partkey") % 4 == 1, F.concat_ws("/", "dataset", "name")), F.concat_ws("/", F.lit("/abs/raw"), "dataset", "name")]
+    found = sel.manifest_lookup(manifest.unionByName(stale), "line", "path", "dataset", "name", "absolute")
+    keys = [F.when(F.col("p_partkey") % 4 == 0, F.concat_ws("/", F.lit("raw"), "dataset", "name")), F.when(F.col("p_partkey") % 4 == 1, F.concat_ws("/", "dataset", "name")), F.concat_ws("/", F.lit("elsewhere/kept"), "name")]
     return sel.first_match(rows.select("p_partkey", "dataset", "name"), found.withColumnRenamed("status", "found"), keys, "key", "p_partkey", ["found"]).select("p_partkey", "found")
 
 
-@register("p6_meta_filter", "SELECT event_type, count(*) AS n, count(*) FILTER (NOT (event_id % 5 = 0 OR event_id % 7 = 0) AND CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 WHEN event_id % 3 = 1 THEN event_id % 4 < 2 ELSE true END) AS kept FROM events GROUP BY event_type")
+@register("p6_meta_filter", "SELECT event_type, count(*) AS n, count(*) FILTER (NOT (event_id % 5 = 0 OR event_id % 7 = 0) AND CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 WHEN event_id % 11 = 3 THEN false WHEN event_id % 3 = 1 THEN event_id % 4 < 2 ELSE true END) AS kept FROM events GROUP BY event_type")
 def p6_meta_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     meta = table(spark, sf_dir, "events").select(
         "event_type", (e % 5 != 0).alias("readable"), F.when(e % 7 == 0, False).when(e % 2 == 0, True).alias("success"),
-        F.when(e % 3 == 0, F.when(e % 2 == 0, F.lit("Pass")).otherwise("fail")).alias("meta_status"), F.when(e % 3 == 1, F.when(e % 4 < 2, F.lit("warn")).otherwise("fail")).alias("manifest_status"),
+        F.when(e % 3 == 0, F.when(e % 2 == 0, F.lit("Pass")).otherwise("fail")).when(e % 11 == 3, "").alias("meta_status"), F.when(e % 3 == 1, F.when(e % 4 < 2, F.lit("warn")).otherwise("fail")).alias("manifest_status"),
     )
     return sel.meta_keeps(meta, ["pass", "warn"]).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("keep").alias("kept"))
 
@@ -220,10 +231,13 @@ def s22_first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.first_of_each(table(spark, sf_dir, "part"), "p_brand", ["p_name", "p_partkey"], 5).select("p_brand", "p_partkey")
 
 
-@register("s11_latest_restart", "SELECT user_id, arg_max('restart.' || CASE WHEN event_id % 9 = 0 THEN 'x' ELSE (event_id * 7 % 1000)::VARCHAR END, (CASE WHEN event_id % 9 = 0 THEN -1 ELSE event_id * 7 % 1000 END)) AS path, max(CASE WHEN event_id % 9 = 0 THEN -1 ELSE event_id * 7 % 1000 END) AS step FROM events GROUP BY user_id")
+_RESTARTS = "'sim/' || CASE event_id % 5 WHEN 0 THEN 'restart.' || (event_id * 7 % 40) || '.gz' WHEN 1 THEN 'restart.' || (event_id * 7 % 40) || '.0.gz' WHEN 2 THEN 'restart.' || (event_id % 900) WHEN 3 THEN 'restart.x.' || event_id ELSE 'restart.' || (event_id * 3 % 40) || '.1' END"
+
+
+@register("s11_latest_restart", f"WITH f AS (SELECT user_id, {_RESTARTS} AS path FROM events), s AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(path, 'restart[.]([0-9]+)[.]', 1), '') AS BIGINT), -1) AS step FROM f) SELECT user_id, path, step FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY step DESC, path) = 1")
 def s11_latest_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "events").selectExpr("user_id", "'restart.' || CASE WHEN event_id % 9 = 0 THEN 'x' ELSE CAST(event_id * 7 % 1000 AS STRING) END AS path")
-    return sel.latest_restart(files, "user_id", "path")
+    """Names of all shapes: with and without a part after the step, without a step, and ties."""
+    return sel.latest_restart(table(spark, sf_dir, "events").selectExpr("user_id", f"{_RESTARTS} AS path"), "user_id", "path")
 
 
 @register("s4_fallback_walk", "WITH w AS (SELECT user_id AS sample_id, list_sort(list(DISTINCT (event_id % 20)::INT)) AS a FROM events WHERE event_id % 3 <> 0 GROUP BY user_id) SELECT sample_id, CASE WHEN list_contains(a, 7) THEN 7 ELSE a[7 % len(a) + 1] END AS walk_idx, list_contains(a, 7) AS present FROM w")
@@ -303,37 +317,70 @@ def x5_speed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.speed_bins(_groups(spark, sf_dir), 4).select("grp", "bin")
 
 
-@register("x4_group_folds", _GROUPED + "SELECT 5 AS folds, count(*) AS groups, sum(rows)::BIGINT AS rows, true AS balanced, true AS whole FROM g")
+def _u(seed: int, key: str) -> str:
+    return f"(('0x' || substr(md5('{seed}|' || {key}), 1, 13))::BIGINT / {2**52}.0)"
+
+
+_BY_CUSTOMER = """SELECT o_custkey AS grp, arg_min(territory, (-k, territory)) AS territory, sum(k)::BIGINT AS rows, sum(s) / sum(k) AS speed FROM (SELECT o_custkey, split_part(o_orderpriority, '-', 1) AS territory, count(*) AS k, sum(CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE sqrt(o_totalprice) END) AS s FROM orders GROUP BY ALL) GROUP BY o_custkey"""
+
+
+def _dealt(strata: str) -> str:
+    return f"p AS (SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY {_u(2026, 'grp')} - rows, grp) - 1 AS pos FROM g), d AS (SELECT grp, rows, (CASE WHEN pos // 5 % 2 = 0 THEN pos % 5 ELSE 4 - pos % 5 END)::INT AS fold FROM p)"
+
+
+_FOLDS = f"WITH g AS ({_BY_CUSTOMER}), {_dealt('territory')}\n"
+
+
+def _customer_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("grp"), F.split("o_orderpriority", "-")[0].alias("territory"), F.when(F.col("o_orderkey") % 6 != 0, F.sqrt("o_totalprice")).alias("vmax"))
+    return sel.group_stats(rows, "grp", "territory", "vmax")
+
+
+@register("x4_group_folds", _FOLDS + "SELECT grp, fold, rows FROM d")
 def x4_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invariants of greedy group folds: every group in one fold, sizes within the largest group of each other."""
-    g = _groups(spark, sf_dir)
-    folds = sel.group_folds(g, 5, 2026, "grp", "rows", ["territory"])
-    named = [(i, n) for i, f in enumerate(folds) for n in f]
-    sized = spark.createDataFrame(named, "fold int, grp long").join(g, "grp").groupBy("fold").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
-    top = g.agg(F.max("rows")).first()[0]
-    return sized.agg(F.count("*").cast("int").alias("folds"), F.sum("n").alias("groups"), F.sum("rows").alias("rows"), (F.max("rows") - F.min("rows") <= top).alias("balanced")).withColumn("whole", F.lit(len({n for _, n in named}) == len(named)))
+    """Every customer's orders in one of five folds, dealt by size within a territory."""
+    return sel.dealt_group_folds(_customer_groups(spark, sf_dir), 5, 2026, "grp", "rows", ["territory"])
+
+
+@register("x5_stratified_folds", f"WITH g0 AS ({_BY_CUSTOMER}), q AS (SELECT quantile_cont(speed, 0.25) AS a, quantile_cont(speed, 0.5) AS b, quantile_cont(speed, 0.75) AS c FROM g0), g AS (SELECT *, (speed >= a)::INT + (speed >= b)::INT + (speed >= c)::INT AS bin FROM g0, q), {_dealt('territory, bin')} SELECT grp, fold, rows FROM d")
+def x5_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five folds of whole customers, dealt within strata of territory and speed bin."""
+    binned = sel.speed_bins(_customer_groups(spark, sf_dir), 4)
+    return sel.dealt_group_folds(binned, 5, 2026, "grp", "rows", ["territory", "bin"])
+
+
+@register("x6_validation_groups", _FOLDS + f", r AS (SELECT grp, rows, {_u(2026 + 1009 + 2, 'grp')} AS h FROM d WHERE fold <> 2), w AS (SELECT *, coalesce(sum(rows) OVER (ORDER BY h, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY h, grp) AS k, count(*) OVER () AS n FROM r) SELECT grp, rows, before < (SELECT greatest(1, count(*) // 10) FROM orders) AND k < n AS validation FROM w")
+def x6_validation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the customers that fold 2 trains on, those carved out for validation: a tenth of all orders."""
+    folds = x4_group_folds(spark, sf_dir)
+    target = max(1, table(spark, sf_dir, "orders").count() // 10)
+    return sel.carved_groups(folds.where("fold <> 2").select("grp", "rows"), target, 2026, 2, "grp", "rows")
 
 
-@register("x3_plain_folds", "SELECT fold::INT AS fold, n::BIGINT AS n FROM (SELECT unnest(range(7)) AS fold, (SELECT count(*) FROM customer) AS t), LATERAL (SELECT t // 7 + CASE WHEN fold < t % 7 THEN 1 ELSE 0 END AS n)")
+@register("x3_plain_folds", "WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('2026|' || c_custkey), c_custkey) - 1 AS r, count(*) OVER () AS n FROM customer) SELECT c_custkey, (CASE WHEN r < (n % 7) * (n // 7 + 1) THEN r // (n // 7 + 1) ELSE n % 7 + (r - (n % 7) * (n // 7 + 1)) // greatest(n // 7, 1) END)::INT AS fold FROM r")
 def x3_plain_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sel.hashed_folds(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 7, 2026).groupBy("fold").agg(F.count("*").alias("n"))
+    return sel.hashed_folds(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 7, 2026)
 
 
-@register("x8_folds_disjoint", "SELECT count(*) AS n, 0::BIGINT AS straddling FROM customer")
+@register("x8_folds_disjoint", _FOLDS + "SELECT fold, count(*) AS n_groups, count(o.o_orderkey) AS n_rows, 0::BIGINT AS straddling FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders) o JOIN d ON d.grp = o.o_custkey GROUP BY fold".replace("count(*) AS n_groups", "count(DISTINCT grp) AS n_groups"))
 def x8_folds_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = sel.hashed_folds(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 7, 2026).groupBy("c_custkey").agg(F.countDistinct("fold").alias("k"))
-    return f.agg(F.count("*").alias("n"), F.count_if(F.col("k") > 1).alias("straddling"))
+    """Per fold: its groups and orders, none of them empty, and how many of its groups stand in another fold too."""
+    folds = x4_group_folds(spark, sf_dir)
+    each = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("grp")).distinct().join(folds, "grp")
+    several = folds.groupBy("grp").agg((F.countDistinct("fold") > 1).alias("several"))
+    return each.join(several, "grp").groupBy("fold").agg(F.countDistinct("grp").alias("n_groups"), F.count("o_orderkey").alias("n_rows"), F.count_if("several").alias("straddling"))
 
 
-@register("a16_split_lists", "SELECT o_orderstatus AS split, list(o_orderkey ORDER BY o_orderkey) AS indices FROM orders WHERE o_custkey < 30 GROUP BY o_orderstatus")
+@register("a16_split_lists", "WITH r AS (SELECT o_orderstatus AS split, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS pos FROM orders) SELECT split, pos // 1000 AS block, list(o_orderkey ORDER BY pos) AS indices FROM r GROUP BY ALL")
 def a16_split_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_custkey < 30")
-    return rows.groupBy(F.col("o_orderstatus").alias("split")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("indices"))
+    """Every order of each split in order, as lists of 1,000."""
+    return sel.split_blocks(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey")
 
 
 @register("a16_split_positions", "SELECT o_orderstatus AS split, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS position, o_orderkey AS index FROM orders")
 def a16_split_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order of each split, a row an index; a16_split_lists gives the lists of a few customers only."""
+    """Every order of each split, a row an index."""
     return sel.split_positions(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey")
 
 
@@ -349,12 +396,17 @@ def u3_except_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left_anti").select("n_name").distinct()
 
 
-@register("l16_early_stop", "WITH RECURSIVE h AS (SELECT user_id, event_id, abs(value) AS l, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS e FROM events), r AS (SELECT user_id, 1::BIGINT AS e, l AS best, 1::BIGINT AS best_e FROM h WHERE e = 1 UNION ALL SELECT r.user_id, h.e, CASE WHEN h.l < r.best - 0.5 THEN h.l ELSE r.best END, CASE WHEN h.l < r.best - 0.5 THEN h.e ELSE r.best_e END FROM r JOIN h ON h.user_id = r.user_id AND h.e = r.e + 1) SELECT user_id, " + _r(best="arg_max(best, e)") + ", arg_max(best_e, e) AS best_epoch FROM r GROUP BY user_id")
+@register("l16_early_stop", """WITH RECURSIVE h AS (SELECT user_id, abs(value) AS l, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS e FROM events),
+r AS (SELECT user_id, 1::BIGINT AS e, l AS best, 1::BIGINT AS best_e, 0 AS bad, NULL::BIGINT AS stop FROM h WHERE e = 1
+  UNION ALL SELECT r.user_id, h.e, CASE WHEN r.stop IS NULL AND h.l < r.best - 0.5 THEN h.l ELSE r.best END, CASE WHEN r.stop IS NULL AND h.l < r.best - 0.5 THEN h.e ELSE r.best_e END,
+  CASE WHEN r.stop IS NOT NULL THEN r.bad WHEN h.l < r.best - 0.5 THEN 0 ELSE r.bad + 1 END, CASE WHEN r.stop IS NULL AND h.l >= r.best - 0.5 AND r.bad + 1 >= 6 THEN h.e ELSE r.stop END FROM r JOIN h ON h.user_id = r.user_id AND h.e = r.e + 1)
+SELECT user_id, """ + _r(best="arg_max(best, e)") + ", arg_max(best_e, e) AS best_epoch, max(stop) AS stop_epoch FROM r GROUP BY user_id")
 def l16_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patience of six epochs."""
     from pyspark.sql import Window as W
 
     history = table(spark, sf_dir, "events").select("user_id", F.abs("value").alias("loss"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("epoch"))
-    return rounded(sel.early_stop(history, "user_id", "epoch", "loss", 0.5, 10**6).select("user_id", "best", "best_epoch"))
+    return rounded(sel.early_stop(history, "user_id", "epoch", "loss", 0.5, 6).select("user_id", "best", "best_epoch", "stop_epoch"))
 
 
 @register("a22_weighted_mean", "SELECT l_returnflag, " + _r(loss="sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1)") + " FROM lineitem GROUP BY l_returnflag")

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowloom.functions.vectors import vec
 from flowloom.operators import frames, sampling
 from flowloom.operators import selection as sel
 from flowloom.plans.adapters import CFD, POINTS, cfd, points, rounded
-from flowloom.plans.geometry_queries import HALF, cubes
+from flowloom.plans.geometry_queries import CUBE, HALF, cubes
 from flowloom.plans.registry import register
 from flowloom.session import table
 
@@ -19,57 +18,80 @@ def _r(**cols: str) -> str:
     return ", ".join(f"round(({v})::DOUBLE, 6) + 0.0 AS {k}" for k, v in cols.items())
 
 
-@register("f17_probe_walks", f"WITH {POINTS} SELECT sample_id, 6 * count(*) AS n, true AS unit, true AS steps, 0::BIGINT AS wall_steps, true AS cyclic FROM points GROUP BY sample_id")
+def _u(seed: int, *keys: str) -> str:
+    """The draw of a seed and keys in SQL."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT / {2**52}.0)"
+
+
+def _sphere(seed: int, *keys: str) -> dict[str, str]:
+    phi, cosine = f"2 * pi() * {_u(seed, *keys)}", f"(2 * {_u(seed + 1, *keys)} - 1)"
+    sine = f"sqrt(greatest(1 - {cosine} * {cosine}, 0))"
+    return {"x": f"{sine} * cos({phi})", "y": f"{sine} * sin({phi})", "z": cosine}
+
+
+def _walks(walks: int, base: int, sigma: float, seed: int, wall: str) -> str:
+    """Probe walks in SQL: the base direction and, for a sigma, noise; normalised."""
+    keys = ("sample_id", "point_id")
+    noise = lambda i: f"{sigma} * sqrt(-2 * ln(1 - {_u(2 * (seed + 100 + i), *keys, 'walk_idx')})) * cos(2 * pi() * {_u(2 * (seed + 100 + i) + 1, *keys, 'walk_idx')})"
+    start = _sphere(seed, *keys, "b")
+    moved = ", ".join(f"{v} + {noise(i) if sigma else 0} AS q{c}" for i, (c, v) in enumerate(start.items()))
+    return f"""WITH {POINTS}, e AS (SELECT sample_id, point_id, {wall} AS is_wall, walk_idx, walk_idx % {min(walks, base)} AS b FROM points, range({walks}) AS r(walk_idx)),
+q AS (SELECT *, {moved}, CASE WHEN is_wall THEN 0 ELSE {sampling.MIN_STEP} + {sampling.MAX_STEP - sampling.MIN_STEP} * {_u(seed + 7, *keys, 'b')} END AS step FROM e)
+SELECT sample_id, point_id, walk_idx::INT AS walk_idx, """ + _r(**{f"d{c}": f"q{c} / sqrt(qx * qx + qy * qy + qz * qz)" for c in "xyz"}, step="step") + " FROM q"
+
+
+@register("f17_probe_walks", _walks(6, 4, 0.0, 11, "point_id % 7 = 0"))
 def f17_probe_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six walks on four base walks without noise: unit directions, steps in range, none on the wall, walk 4 equal to walk 0."""
+    """Six walks on four base walks without noise; every seventh point stands on the wall."""
     p = points(spark, sf_dir).withColumn("is_wall", F.col("point_id") % 7 == 0)
-    w = sampling.probe_walks(p, 6, 4, 0.0, 11, ["sample_id", "point_id"])
-    same = w.groupBy("sample_id", "point_id").agg((F.max(F.when(F.col("walk_idx") == 4, F.col("dx"))) == F.max(F.when(F.col("walk_idx") == 0, F.col("dx")))).alias("same")).groupBy("sample_id").agg(F.bool_and("same").alias("cyclic"))
-    step = F.col("step").between(sampling.MIN_STEP, sampling.MAX_STEP) | F.col("is_wall")
-    told = w.groupBy("sample_id").agg(F.count("*").alias("n"), F.bool_and(F.abs(vec("d").norm() - 1) < 1e-9).alias("unit"), F.bool_and(step).alias("steps"), F.count_if(F.col("is_wall") & (F.col("step") != 0)).alias("wall_steps"))
-    return told.join(same, "sample_id")
+    return rounded(sampling.probe_walks(p, 6, 4, 0.0, 11, ["sample_id", "point_id"]).select("sample_id", "point_id", "walk_idx", "dx", "dy", "dz", "step"))
 
 
-@register("f17_perturbed_walks", f"WITH {POINTS} SELECT sample_id, count(*) AS n, true AS unit, true AS near, true AS differ FROM points GROUP BY sample_id")
+@register("f17_perturbed_walks", _walks(3, 2, 0.05, 11, "false"))
 def f17_perturbed_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).withColumn("is_wall", F.lit(False))
-    w = sampling.probe_walks(p, 2, 1, 0.05, 11, ["sample_id", "point_id"])
-    a, b = (w.where(F.col("walk_idx") == i).select("sample_id", "point_id", *(F.col(f"d{c}").alias(f"{n}{c}") for c in "xyz")) for i, n in ((0, "a"), (1, "b")))
-    both = a.join(b, ["sample_id", "point_id"]).withColumn("c", vec("a").dot(vec("b")))
-    return both.groupBy("sample_id").agg(F.count("*").alias("n"), F.bool_and(F.abs(vec("a").norm() - 1) < 1e-9).alias("unit"), F.bool_and(F.col("c") > 0.8).alias("near"), F.bool_and(F.col("c") < 1 - 1e-12).alias("differ"))
+    return rounded(sampling.probe_walks(p, 3, 2, 0.05, 11, ["sample_id", "point_id"]).select("sample_id", "point_id", "walk_idx", "dx", "dy", "dz", "step"))
 
 
-@register("f18_sampled_points", f"WITH {POINTS}, k AS (SELECT sample_id, count(*) AS c FROM points GROUP BY sample_id) SELECT sample_id, 60::BIGINT AS n, least(c, 60) AS different FROM k")
+@register("f18_sampled_points", f"WITH {POINTS}, r AS (SELECT sample_id, point_id, row_number() OVER (PARTITION BY sample_id ORDER BY md5('5|' || point_id), point_id) AS r, count(*) OVER (PARTITION BY sample_id) AS n FROM points), t AS (SELECT *, CASE WHEN n >= 60 THEN (r <= 60)::INT ELSE (60 - r) // n + 1 END AS times FROM r) SELECT sample_id, point_id, unnest(range(times))::INT AS copy FROM t")
 def f18_sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sampling.sampled(points(spark, sf_dir).select("sample_id", "point_id"), 60, 5, "sample_id", "point_id")
-    return s.groupBy("sample_id").agg(F.count("*").alias("n"), F.countDistinct("point_id").alias("different"))
+    return sampling.sampled(points(spark, sf_dir).select("sample_id", "point_id"), 60, 5, "sample_id", "point_id").select("sample_id", "point_id", "copy")
+
+
+_SURFACE = f"""WITH {CUBE}, m AS (SELECT 's' || m AS mesh_id FROM range(10) AS r(m)), t AS (SELECT mesh_id, c.*, {", ".join(f"(b_{p} - a_{p}) * (c_{q} - a_{q}) - (b_{q} - a_{q}) * (c_{p} - a_{p}) AS m{c}" for c, p, q in ("xyz", "yzx", "zxy"))} FROM m, cube c),
+s AS (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS l, sum(0.5 * sqrt(mx * mx + my * my + mz * mz)) OVER (PARTITION BY mesh_id ORDER BY tri) AS run FROM t),
+w AS (SELECT *, max(run) OVER (PARTITION BY mesh_id) AS total, coalesce(lag(run) OVER (PARTITION BY mesh_id ORDER BY tri), 0) AS before FROM s),
+k AS (SELECT *, unnest(range((floor(250 * run / total + {_u(3, 'mesh_id')}) - floor(250 * before / total + {_u(3, 'mesh_id')}))::BIGINT))::INT AS k FROM w),
+d AS (SELECT *, sqrt({_u(4, 'mesh_id', 'tri', 'k')}) AS r, {_u(5, 'mesh_id', 'tri', 'k')} AS s FROM k)
+SELECT mesh_id, tri::INT AS tri, k, """ + _r(**{c: f"a_{c} * (1 - r) + b_{c} * r * (1 - s) + c_{c} * r * s" for c in "xyz"}, **{f"n{c}": f"m{c} / l" for c in "xyz"}) + " FROM d"
 
 
-@register("g3_surface_points", "SELECT 's' || m AS mesh_id, true AS on_wall, true AS enough, true AS outward FROM range(10) AS r(m)")
+@register("g3_surface_points", _SURFACE)
 def g3_surface_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sampling.surface_points(cubes(spark), 240, 3)
-    on = F.abs(F.greatest(*(F.abs(c) for c in "xyz")) - HALF) < 1e-9
-    return s.groupBy("mesh_id").agg(F.bool_and(on).alias("on_wall"), F.count("*").between(228, 252).alias("enough"), F.bool_and(F.abs(F.abs(vec("n").dot(vec(""))) - HALF) < 1e-9).alias("outward"))
+    return rounded(sampling.surface_points(cubes(spark), 250, 3))
 
 
-@register("g4_interior_points", "SELECT 's' || m AS mesh_id, 100::BIGINT AS n, true AS inside FROM range(10) AS r(m)")
+@register("g4_interior_points", "SELECT 's' || m AS mesh_id, k::INT AS k, 0 AS copy, 400 AS found, " + _r(**{c: f"{-HALF} + {2 * HALF} * {_u(3 + i, repr('s') + ' || m', 'k')}" for i, c in enumerate("xyz")}) + " FROM range(10) AS r(m), range(400) AS s(k)")
 def g4_interior_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sampling.interior_points(cubes(spark), 100, 160, 3)
-    return s.groupBy("mesh_id").agg(F.count("*").alias("n"), F.bool_and(F.greatest(*(F.abs(c) for c in "xyz")) < HALF).alias("inside"))
+    """400 points in rounds of 160: in a cube every draw is inside."""
+    s = sampling.interior_points(cubes(spark), 400, 160, 3)
+    return rounded(s.select("mesh_id", F.col("k").cast("int").alias("k"), "copy", F.col("found").cast("int").alias("found"), "x", "y", "z"))
+
+
+_MASKED = {"all": ("wall_dist", "nx", "ny", "nz"), "distance": ("wall_dist",), "direction": ("nx", "ny", "nz")}
 
 
-@register("p4_wall_mask", f"WITH {POINTS} SELECT sample_id, count(*) AS n, true AS whole FROM points GROUP BY sample_id")
+@register("p4_wall_mask", f"WITH {POINTS} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, sample_id, point_id, " + _r(**{c: f"CASE WHEN {_u(9, 'sample_id')} < 0.5 THEN 0 ELSE {c} END" if c in cs else c for c in _MASKED["all"]}) + " FROM points" for m, cs in _MASKED.items()))
 def p4_wall_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = sampling.wall_mask(points(spark, sf_dir), 0.5, 9)
-    zero = (F.col("wall_dist") == 0) & (F.col("nx") == 0) & (F.col("ny") == 0)
-    return m.groupBy("sample_id").agg(F.count("*").alias("n"), ((F.count_if(zero) == F.count("*")) | (F.count_if(F.col("masked")) == 0)).alias("whole"))
+    """The three modes, one after another."""
+    p = points(spark, sf_dir)
+    each = [sampling.wall_mask(p, 0.5, 9, m).select(F.lit(m).alias("mode"), "sample_id", "point_id", *_MASKED["all"]) for m in _MASKED]
+    return rounded(each[0].unionByName(each[1]).unionByName(each[2]))
 
 
-@register("s27_synthetic_cylinder", "SELECT 'c' || m AS sample_id, 64::BIGINT AS n, true AS sound FROM range(4) AS r(m)")
+@register("s27_synthetic_cylinder", f"WITH d AS (SELECT id, sqrt({_u(2026, 'id')}) AS r, 2 * pi() * {_u(2027, 'id')} AS phi FROM range(256) AS t(id)) SELECT 'c' || (id // 64) AS sample_id, id % 64 AS point_id, " + _r(x=f"2 * {_u(2028, 'id')} - 1", y="r * cos(phi)", z="r * sin(phi)", wall_dist="greatest(1 - r, 0)", nx="0", ny="cos(phi)", nz="sin(phi)") + " FROM d")
 def s27_synthetic_cylinder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = sampling.synthetic_cylinder(spark, 4, 64, 2026)
-    sound = (F.abs(F.sqrt(F.col("y") ** 2 + F.col("z") ** 2) + F.col("wall_dist") - 1) < 1e-9) & (F.abs("x") <= 1)
-    return c.groupBy("sample_id").agg(F.count("*").alias("n"), F.bool_and(sound).alias("sound"))
+    return rounded(sampling.synthetic_cylinder(spark, 4, 64, 2026))
 
 
 @register("s20_finite_samples", f"WITH {CFD} SELECT sample_id FROM cfd GROUP BY sample_id HAVING bool_and(NOT (sample_id % 9 = 0 AND u > 0.9))")
@@ -91,16 +113,10 @@ def x1_split_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("n_name", "split").agg(F.count("*").alias("n"))
 
 
-@register("x7_pretrain_split", "SELECT least(12, greatest(1, count(*) // 10)) AS n_test, least(80, count(*) - least(12, greatest(1, count(*) // 10))) AS n_train, 0::BIGINT AS overlap FROM customer")
+@register("x7_pretrain_split", "WITH n AS (SELECT least(12, greatest(1, count(*) // 10)) AS t, count(*) AS c FROM customer), r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('7|' || c_custkey), c_custkey) AS r FROM customer) SELECT c_custkey, CASE WHEN r <= least(80, c - t) THEN 'train' ELSE 'test' END AS split FROM r, n WHERE r <= least(80, c - t) + t")
 def x7_pretrain_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the samples in the order of a seeded hash, the first for training and the next for the test."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey")
-    n = rows.count()
-    test = min(12, max(1, n // 10))
-    train = min(80, n - test)
-    first = rows.orderBy(F.xxhash64(F.lit(7), "c_custkey"), "c_custkey").limit(train + test).withColumn("__r", F.row_number().over(W.orderBy(F.xxhash64(F.lit(7), "c_custkey"), "c_custkey")))
-    told = first.withColumn("split", F.when(F.col("__r") <= train, "train").otherwise("test"))
-    return told.agg(F.count_if(F.col("split") == "test").alias("n_test"), F.count_if(F.col("split") == "train").alias("n_train"), (F.count("*") - F.countDistinct("c_custkey")).alias("overlap"))
+    return sel.pretrain_split(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 80, 12, 7)
 
 
 @register("p13_split_filter", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderstatus")
@@ -134,8 +150,8 @@ def s24_first_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("s29_running_index", "SELECT p_brand, p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS idx FROM part")
 def s29_running_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running index over configurations: counts of those before, which are few, plus the place within one's own."""
+    """A running index over configurations: the counts of those before, by a window over their few counts, plus the place within one's own."""
     p = table(spark, sf_dir, "part").select("p_brand", "p_partkey")
     counts = p.groupBy("p_brand").agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(counts.select(F.col("p_brand").alias("b"), F.col("n").alias("m")), F.col("b") < F.col("p_brand"), "left").groupBy("p_brand").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("start"))
+    before = counts.select("p_brand", (F.sum("n").over(W.orderBy("p_brand")) - F.col("n")).alias("start"))
     return p.join(before, "p_brand").withColumn("idx", (F.col("start") + F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long")).select("p_brand", "p_partkey", "idx")

@@ -84,13 +84,26 @@ def read_restart(spark: SparkSession, path: str, pattern: str = "*.gz") -> DataF
 
 
 def read_stl(spark: SparkSession, path: str, pattern: str = "*.stl") -> DataFrame:
-    """path, tri, a_*, b_*, c_*: the triangles of binary STL files. One that is shorter than its header says fails."""
+    """path, tri, a_*, b_*, c_*: the triangles of STL files, binary or text; a text's solids, one after another, are one mesh.
+
+    A file is binary if its size is that of the number of triangles its header tells; else it must be a text that begins
+    with ``solid``, and every three of its vertices are a triangle. Others fail.
+    """
     record = np.dtype([("n", "<f4", 3), ("v", "<f4", 9), ("pad", "<u2")])
     corners = [f"{p}_{x}" for p in "abc" for x in "xyz"]
 
     def decode(p: str, content: bytes) -> pd.DataFrame:
-        n = struct.unpack("<I", content[80:84])[0]
-        v = np.frombuffer(content, record, count=n, offset=84)["v"].astype(float)
+        n = struct.unpack("<I", content[80:84])[0] if len(content) >= 84 else -1
+        if len(content) == 84 + record.itemsize * n:
+            v = np.frombuffer(content, record, count=n, offset=84)["v"].astype(float)
+        elif content.lstrip()[:5].lower() == b"solid":
+            found = re.findall(rb"(?im)^\s*vertex\s+(\S+)\s+(\S+)\s+(\S+)\s*$", content)
+            if len(found) % 3:
+                raise ValueError(f"{p}: {len(found)} vertices do not make triangles")
+            v = np.array(found, dtype="S").astype(float).reshape(-1, 9) if found else np.zeros((0, 9))
+        else:
+            raise ValueError(f"{p}: neither a binary nor a text STL file")
+        n = len(v)
         return pd.DataFrame({"path": p, "tri": np.arange(n, dtype=np.int32), **{c: v[:, i] for i, c in enumerate(corners)}})
 
     return _decoded(spark, path, pattern, decode, "path string, tri int, " + ", ".join(f"{c} double" for c in corners))

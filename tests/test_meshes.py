@@ -91,3 +91,27 @@ def test_the_largest_component_stays(spark):
     faces = spark.createDataFrame(rows, "mesh_id string, tri int, a long, b long, c long")
     kept = quality_control.largest_component(faces).groupBy("mesh_id").agg(F.sort_array(F.collect_list("tri")).alias("t")).collect()
     assert {r.mesh_id: r.t for r in kept} == {"m": [2, 3, 4], "k": [0], "long": list(range(300))}
+
+
+def test_walks_in_a_cube_step_by_step(spark):
+    """Every step's displacement, against a box's nearest point and slab test."""
+    from flowloom.plans.geometry_queries import HALF, cubes
+
+    rng = np.random.default_rng(8)
+    start = rng.uniform(-0.14, 0.14, (40, 3))
+    walk = rng.normal(size=(40, 3))
+    walk /= np.linalg.norm(walk, axis=1, keepdims=True)
+    rows = [("s1", i, *map(float, p), *map(float, w), 0.06, i % 5 == 0) for i, (p, w) in enumerate(zip(start, walk, strict=True))]
+    walkers = spark.createDataFrame(rows, "mesh_id string, point_id int, x double, y double, z double, walk_x double, walk_y double, walk_z double, step double, is_wall boolean")
+    got = {(r.point_id, r.walk_step): (r.dx, r.dy, r.dz) for r in geometry.constrained_walk(walkers, cubes(spark), ["mesh_id", "point_id"]).collect()}
+    assert len(got) == 120
+    for i in range(40):
+        p = start[i].copy()
+        for k in range(3):
+            axis = int(np.argmax(np.abs(p)))
+            wall = p.copy()
+            wall[axis] = math.copysign(HALF, p[axis])
+            assert np.allclose(got[i, k], p - wall, atol=1e-9)
+            if i % 5:
+                t = min((math.copysign(HALF, w) - x) / w for x, w in zip(p, walk[i], strict=True) if w)
+                p = p + walk[i] * (t * 0.99 if t <= 0.06 else 0.06)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 
 import numpy as np
 import pytest
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import strings
 from flowloom.functions.vectors import clip, unit, vec
-from flowloom.operators import frames, metrics, proxies, quality_control, selection
+from flowloom.operators import frames, inference, metrics, proxies, quality_control, sampling, selection
 from flowloom.plans import proxy_queries
 
 
@@ -66,8 +66,9 @@ def test_relative_l2_does_not_change_with_scale(spark, sf_dir):
     assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
-def test_combined_loss_of_the_known_case():
-    assert 18.0 + 0.25 * (8.0 + 5.0 * 2.0) == 22.5
+def test_combined_loss_of_the_known_case(spark):
+    row = spark.createDataFrame([(18.0, 8.0, 5.0, 2.0)], "g double, p double, d double, b double")
+    assert row.select(metrics.combined_loss(F.col("g"), F.col("p"), F.col("d"), F.col("b"), 0.25).alias("l")).first().l == 22.5
 
 
 def test_parse_bool_refuses_other_words(spark):
@@ -150,7 +151,7 @@ def test_extentless_sample_is_refused(spark):
 
 def brute_divergence(rows, k=8, subset=256):
     """Mean square divergence of (id, xyz, uvw) rows, one point after another."""
-    drawn = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))[:subset]
+    drawn = sorted(rows, key=lambda r: (hashlib.md5(f"0|{r[0]}".encode()).hexdigest(), r[0]))[:subset]
     total = 0.0
     for _, p, q in drawn:
         near = sorted((math.dist(p, b), i, b, f) for i, b, f in drawn)[1 : k + 1]
@@ -169,7 +170,7 @@ def test_divergence_of_all_points_is_that_of_brute_force(spark, sf_dir, monkeypa
     monkeypatch.setattr(proxy_queries, "framed", lambda *_: given)
     monkeypatch.setattr(proxies, "bank", lambda df: df)
     monkeypatch.setattr(proxies, "compact", lambda df: df)
-    got = {r.sample_id: r.divergence for r in proxy_queries.l11_divergence_all_points(spark, sf_dir).collect()}
+    got = {r.sample_id: r.divergence for r in proxy_queries.l11_divergence(spark, sf_dir).collect()}
     want = {s: brute_divergence([(r[1], r[2:5], r[5:8]) for r in rows if r[0] == s]) for s in "ab"}
     assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-5 * max(1, want[s]) for s in want)
 
@@ -181,3 +182,72 @@ def test_split_positions_list_every_row(spark):
         mine = sorted((r.position, r["index"]) for r in got if r.split == s)
         assert mine == list(enumerate(sorted(i for x, i in rows if x == s and i is not None)))
     assert selection.split_positions(spark.createDataFrame([], "s string, i long"), "s", "i").count() == 0
+
+
+def plain_network(rows, encoder, router):
+    """The routing weights of (features, trajectory) rows, one number after another."""
+    gelu = lambda x: 0.5 * x * (1 + math.erf(x / math.sqrt(2)))
+    layer = lambda v, w, b: [sum(x * w[i][j] for i, x in enumerate(v)) + b[j] for j in range(len(b))]
+
+    def norm(v, scale, shift):
+        mean = sum(v) / len(v)
+        sd = math.sqrt(sum((x - mean) ** 2 for x in v) / len(v) + 1e-5)
+        return [(x - mean) / sd * a + b for x, a, b in zip(v, scale, shift, strict=True)]
+
+    out = []
+    for features, walk in rows:
+        steps = []
+        for k in range(3):
+            h = [gelu(x) for x in norm(layer(walk[3 * k : 3 * k + 3], encoder["w1"], encoder["b1"]), encoder["n1_scale"], encoder["n1_shift"])]
+            steps.append([gelu(x) + s for x, s in zip(layer(h, encoder["w2"], encoder["b2"]), encoder["step"][k], strict=True)])
+        pooled = [sum(c) / 3 for c in zip(*steps, strict=True)] + [max(c) for c in zip(*steps, strict=True)]
+        code = [gelu(x) for x in norm(layer(pooled, encoder["w3"], encoder["b3"]), encoder["n3_scale"], encoder["n3_shift"])]
+        h = [gelu(x) for x in layer([*features, *code], router["w1"], router["b1"])]
+        h = layer([gelu(x) for x in layer(h, router["w2"], router["b2"])], router["w3"], router["b3"])
+        e = [math.exp(x - max(h)) for x in h]
+        out.append([x / sum(e) for x in e])
+    return out
+
+
+def test_routing_weights_and_learned_basis_number_by_number(spark):
+    rng = np.random.default_rng(4)
+    encoder, router = inference.seeded_weights(inference.trajectory_shapes(), 1), inference.seeded_weights(inference.gate_shapes(2 + 16), 2)
+    rows = [(i, *map(float, rng.normal(size=2)), [float(x) for x in rng.normal(size=9) * 3]) for i in range(12)]
+    df = spark.createDataFrame(rows, "i int, f double, g double, trajectory array<double>")
+    got = {r.i: r.weights for r in inference.routing_weights(df, encoder, router, ["i"], ["f", "g"]).collect()}
+    want = plain_network([((f, g), t) for _, f, g, t in rows], encoder, router)
+    assert all(np.allclose(got[i], w, atol=1e-6) for i, w in enumerate(want))
+    basis = inference.seeded_weights(inference.basis_shapes(2, 2, 5), 3)
+    gelu = np.vectorize(lambda x: 0.5 * x * (1 + math.erf(x / math.sqrt(2))))
+    for r in inference.learned_basis(df, basis, ["i"], ["f", "g"]).collect():
+        h = np.array(rows[r.i][1:3])
+        for k in (1, 2):
+            h = h @ basis[f"w{k}"] + basis[f"b{k}"]
+            h = gelu((h - h.mean()) / np.sqrt(h.var() + 1e-5) * basis[f"n{k}_scale"] + basis[f"n{k}_shift"])
+        assert np.allclose(r.modes, gelu(h @ basis["w3"] + basis["b3"]) @ basis["w4"] + basis["b4"], atol=1e-6)
+
+
+def test_error_function_over_arrays():
+    x = np.linspace(-6, 6, 2001)
+    assert np.abs(inference._erf(x) - np.array([math.erf(v) for v in x])).max() < 2e-7
+
+
+def test_interior_points_repeat_and_fail(spark):
+    thin = spark.createDataFrame([("tet", 0, *map(float, (0, 0, 0, 0, 1, 0, 1, 0, 0))), ("tet", 1, *map(float, (0, 0, 0, 1, 0, 0, 0, 0, 1))), ("tet", 2, *map(float, (0, 0, 0, 0, 0, 1, 0, 1, 0))), ("tet", 3, *map(float, (1, 0, 0, 0, 1, 0, 0, 0, 1)))], "mesh_id string, tri int, " + ", ".join(f"{p}_{x} double" for p in "abc" for x in "xyz"))
+    rows = sampling.interior_points(thin, 40, 30, 1, rounds=2).collect()
+    found = rows[0].found
+    assert 0 < found < 40 and len(rows) == 40 and len({r.k for r in rows}) == found and all(r.x + r.y + r.z < 1 for r in rows)
+    assert sampling.interior_points(thin, 40, 30, 1, rounds=2, least=39).count() == 0
+    whole = sampling.interior_points(thin, 40, 60, 1)
+    assert whole.count() == 40 and {r.copy for r in whole.collect()} == {0}
+
+
+def test_a_sample_outside_the_root_fails(spark):
+    from flowloom.operators import datasets
+
+    rows = spark.createDataFrame([("/root/a",), ("/rooted/b",)], "path string")
+    with pytest.raises(PySparkException):
+        datasets.audited(rows, "/root").collect()
+    with pytest.raises(ValueError, match="no fold"):
+        datasets_folds = spark.createDataFrame([(0, "train", 0, 1)], "fold int, role string, position int, index int")
+        selection.strict_folds(datasets_folds, datasets_folds, 3, "val")

@@ -171,3 +171,15 @@ def test_nearest_points_of_a_cylinder(spark):
     p = spark.createDataFrame(pts, "mesh_id string, point_id int, x double, y double, z double")
     got = geometry.closest_points(geometry.cylinder_wall(p), t, ["mesh_id", "point_id"]).select("dist", "wall_dist", (vec("dir_").dot(vec("n"))).alias("c")).collect()
     assert all(abs(r.dist - r.wall_dist) < 0.005 and r.c > 0.95 for r in got)
+
+
+def test_text_stl_with_two_solids(spark, tmp_path):
+    facet = "facet normal 0 0 1\n outer loop\n  vertex 0 0 {z}\n  vertex 1e0 0 {z}\n  vertex 0 1 {z}\n endloop\nendfacet\n"
+    (tmp_path / "a.stl").write_text("solid one\n" + facet.format(z=0) + "endsolid one\nsolid two\n" + facet.format(z=2.5) * 2 + "endsolid two\n")
+    (tmp_path / "none.stl").write_text("solid empty\nendsolid empty\n")
+    rows = files.read_stl(spark, str(tmp_path)).orderBy("tri").collect()
+    assert [(r.tri, r.b_x, r.c_y, r.a_z) for r in rows] == [(0, 1.0, 1.0, 0.0), (1, 1.0, 1.0, 2.5), (2, 1.0, 1.0, 2.5)]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "b.stl").write_bytes(b"x" * 200)
+    with pytest.raises(Exception, match="neither"):
+        files.read_stl(spark, str(tmp_path / "bad")).collect()
