@@ -35,7 +35,7 @@ def _kept_length(text: Column, drop: str) -> Column:
 def measures(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, window: int = 5) -> DataFrame:
     """Every row's ``carry`` columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the ratios need.
 
-    A null text is an empty one. Windows are compared by a 64-bit hash of their words; positions are sorted, not
+    A null text is an empty one, repeated rows are each measured, and texts of any length are read whole. Windows are compared by a 64-bit hash of their words; positions are sorted, not
     compared all with all, so a text of repetitions only costs n log n.
     """
     carry = ["doc_id"] if carry is None else carry

@@ -69,7 +69,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.BASE), F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.BASE), F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
