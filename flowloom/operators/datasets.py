@@ -164,3 +164,27 @@ def first_of_split(rows: DataFrame, split: str, index: str, limits: dict[str, in
 def components_by_size(parts: DataFrame, mesh: str, faces: str, component: str) -> DataFrame:
     """Components with rank: the most faces first, ties by the least component."""
     return parts.withColumn("rank", F.row_number().over(W.partitionBy(mesh).orderBy(F.desc(faces), component)))
+
+
+def matching_weights(saved: DataFrame, wanted: DataFrame, skip: tuple[str, ...] = ("mlp2", "ln_3")) -> DataFrame:
+    """The saved parameters (name, shape, values) that a model wants: of the same name and shape, and not of the heads in ``skip``."""
+    named = saved.where(~F.coalesce(F.array_contains(F.transform(F.array(*map(F.lit, skip)), lambda s: F.contains("name", s)), True), F.lit(False)))
+    return named.join(wanted.select("name", "shape"), ["name", "shape"], "left_semi")
+
+
+#: The vessel configurations of the older format: name, vessel type, inlet velocity, viscosity (fixed values).
+CONFIGURATIONS = [("C1", 0, 0.3, 0.0035), ("ICA_norm", 1, 0.3, 0.0035), ("ICA_ste", 2, 0.3, 0.0035)]
+
+
+def configured(files: DataFrame) -> DataFrame:
+    """config, split, path with their configuration's constants and index, counted through configurations, splits (train first) and paths.
+
+    Files of other configurations are left out. Paths are ranked within a configuration and split in ranges, and the counts
+    of those before come from the few configurations.
+    """
+    known = files.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(CONFIGURATIONS)], "__order int, config string, vessel_type int, inlet double, viscosity double")
+    rows = files.join(F.broadcast(known), "config").withColumn("__s", F.col("__order") * 2 + F.when(F.col("split") == "train", 0).otherwise(1))
+    counts = rows.groupBy("__s").agg(F.count("*").alias("__n"))
+    before = counts.select("__s", (F.sum("__n").over(W.orderBy("__s")) - F.col("__n")).alias("__before"))
+    placed = rows.join(before, "__s").withColumn("index", F.col("__before") + F.row_number().over(W.partitionBy("__s").orderBy("path")) - 1)
+    return placed.select("config", "split", "path", "vessel_type", "inlet", "viscosity", "index")

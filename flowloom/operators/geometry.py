@@ -144,6 +144,28 @@ def clamped_move(rays: DataFrame, triangles: DataFrame, keys: list[str], mesh: s
     return moved.withColumn("__w", way).withColumns({k: v for k, v in (vec("") + vec("walk_") * F.col("__w")).named("").items()}).drop("__w", "hit")
 
 
+def bisected_move(rays: DataFrame, triangles: DataFrame, keys: list[str], rounds: int = 6, mesh: str = "mesh_id") -> DataFrame:
+    """Positions moved by step along walk_*; those that would end outside move 0.99 of the way that ``rounds`` bisections find.
+
+    It asks only whether points are inside, so it does for meshes whose faces no ray hits soundly; ``clamped_move`` is exact.
+    """
+
+    def inside(df: DataFrame, way: Column) -> DataFrame:
+        at = df.withColumns((vec("") + vec("walk_") * way).named("__p"))
+        probes = at.select(*dict.fromkeys([mesh, *keys]), *(F.col(f"__p{x}").alias(x) for x in "xyz"))
+        return df.join(winding_numbers(probes, triangles, keys, mesh).select(*keys, F.col("inside").alias("__in")), keys)
+
+    now = inside(rays, F.col("step")).withColumns({"__out": ~F.col("__in"), "__lo": F.lit(0.0), "__hi": F.col("step").cast("double")}).drop("__in")
+    held = cut_lineage(now)
+    moving = held.where("__out")
+    for _ in range(rounds):
+        middle = (F.col("__lo") + F.col("__hi")) / 2
+        told = inside(moving, middle)
+        moving = cut_lineage(told.withColumns({"__lo": F.when(F.col("__in"), middle).otherwise(F.col("__lo")), "__hi": F.when(F.col("__in"), F.col("__hi")).otherwise(middle)}).drop("__in"))
+    ways = moving.withColumn("__way", (F.col("__lo") + F.col("__hi")) / 2 * 0.99).unionByName(held.where("not __out").withColumn("__way", F.col("step").cast("double")))
+    return ways.withColumns({k: v for k, v in (vec("") + vec("walk_") * F.col("__way")).named("").items()}).drop("__way", "__lo", "__hi", "__out")
+
+
 def constrained_walk(rays: DataFrame, triangles: DataFrame, keys: list[str], steps: int = 3, mesh: str = "mesh_id") -> DataFrame:
     """A row per walker and step: its displacement from the nearest wall point. Walkers on the wall (is_wall) stay; the last step doesn't move."""
     now, out = rays, None

@@ -127,6 +127,13 @@ def fallback_walk(walks: DataFrame, wanted: int, sample: str = "sample_id", walk
     return found.select(sample, F.when(F.array_contains("a", wanted), F.lit(wanted)).otherwise(F.get("a", F.pmod(F.lit(wanted), F.size("a")))).cast("int").alias("walk_idx"), F.array_contains("a", wanted).alias("present"))
 
 
+def random_walk(walks: DataFrame, epochs: int, seed: int, sample: str = "sample_id", walk: str = "walk_idx") -> DataFrame:
+    """epoch, sample, walk: for each epoch, one of the sample's own walks, drawn by a hash of sample and epoch."""
+    found = walks.groupBy(sample).agg(F.array_sort(F.collect_set(walk)).alias("a"))
+    each = found.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
+    return each.select("epoch", sample, F.get("a", F.floor(F.size("a") * uniform(seed, sample, "epoch")).cast("int")).alias(walk))
+
+
 def solution_stats(rows: DataFrame, key: str = "sample_id") -> DataFrame:
     """Norms, extremes and deviations of p, u, v, w per sample, in one pass. v_std is that of all velocity components together."""
     c = F.col

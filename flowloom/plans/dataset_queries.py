@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators import datasets, inference
+from flowloom.operators import datasets, geometry, inference
 from flowloom.operators import quality_control as qc
 from flowloom.operators import selection as sel
 from flowloom.plans.adapters import POINTS, points, rounded
-from flowloom.plans.geometry_queries import _MESHED, _faces
+from flowloom.plans.geometry_queries import _MESHED, BOX, HALF, _faces, cubes, walkers
 from flowloom.plans.registry import register
 from flowloom.plans.relational_queries import QC, _r, qc_rows
-from flowloom.session import table
+from flowloom.session import scratch, table
+from flowloom.sources import files, sinks
 
 # ---- arrays ------------------------------------------------------------------------------------------------------
 
@@ -256,3 +257,103 @@ def m5_slice_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m5_deslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, tokens = _attended(spark, sf_dir)
     return rounded(inference.deslice(p, tokens, "w", ["y", "z"], ["sample_id", "point_id"]))
+
+
+# ---- written and read back ---------------------------------------------------------------------------------------
+
+
+@register("s8_k6_metadata_round_trip", "SELECT p_partkey::VARCHAR AS index, p_brand AS dataset, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_name END AS name, p_size AS size_json FROM part")
+def s8_k6_metadata_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata written as CSV and JSON lines, read back as strings and typed."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("index"), F.col("p_brand").alias("dataset"), F.when(F.col("p_size") % 7 != 0, F.col("p_name")).alias("name"), F.col("p_size").alias("size"))
+    path = scratch(spark, "metadata")
+    sinks.write_metadata(rows, datasets.split_info(rows.withColumn("split", F.lit("train"))), path)
+    csv = files.read_manifest_csv(spark, f"{path}/metadata_csv").select("index", "dataset", "name")
+    told = files.read_manifest_json(spark, f"{path}/metadata_json", "index long, size int").select(F.col("index").cast("string").alias("index"), F.col("size").alias("size_json"))
+    return csv.join(told, "index")
+
+
+@register("s9_text_table", f"WITH {POINTS} SELECT point_id, " + _r(**{c: c for c in ("x", "y", "z", "p")}) + " FROM (SELECT point_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(tp, 6) AS p FROM points WHERE point_id % 5 <> 0)")
+def s9_text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of numbers parted by odd white space; every fifth has a word among them and is left out."""
+    p = points(spark, sf_dir)
+    number = lambda c: F.format_string("%.6f", c)
+    last = F.when(F.col("point_id") % 5 == 0, F.lit("none")).otherwise(number(F.col("tp")))
+    path = scratch(spark, "text-table")
+    p.select(F.concat(F.lit(" "), F.concat_ws("\t ", F.col("point_id").cast("string"), number(F.col("x")), number(F.col("y")), number(F.col("z")), last), F.lit(" ")).alias("value")).write.text(path)
+    return rounded(files.read_table(spark, path, ["point_id", "x", "y", "z", "p"]).select(F.col("point_id").cast("long").alias("point_id"), "x", "y", "z", "p"))
+
+
+@register("k1_k5_appended_manifest", QC + "SELECT dataset, status, count(*) AS n, 2 * count(*) AS lines FROM qc GROUP BY ALL")
+def k1_k5_appended_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples written by data set, and a manifest to which they are appended twice; both read back."""
+    rows = qc_rows(spark, sf_dir).select("p_partkey", "dataset", "status")
+    path = scratch(spark, "samples")
+    sinks.write_samples(rows, f"{path}/samples")
+    for _ in range(2):
+        sinks.append_manifest(rows, f"{path}/manifest")
+    manifest = files.read_manifest_json(spark, f"{path}/manifest", "dataset string, status string").groupBy("dataset", "status").agg(F.count("*").alias("lines"))
+    return spark.read.parquet(f"{path}/samples").groupBy("dataset", "status").agg(F.count("*").alias("n")).join(manifest, ["dataset", "status"])
+
+
+@register("k4_qc_round_trip", QC + "SELECT p_partkey, status, reasons FROM qc")
+def k4_qc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rows written as JSON lines and CSV; statuses read from the one, reasons from the other."""
+    path = scratch(spark, "qc")
+    sinks.write_qc(qc_rows(spark, sf_dir).select("p_partkey", "status", "reasons"), path)
+    said = files.read_manifest_json(spark, f"{path}/qc_manifest_json", "p_partkey long, status string")
+    why = files.read_manifest_csv(spark, f"{path}/qc_manifest_csv").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.coalesce("reasons", F.lit("")).alias("reasons"))
+    return said.join(why, "p_partkey")
+
+
+# ---- weights, configurations, walks ------------------------------------------------------------------------------
+
+
+@register("s26_matching_weights", "SELECT p_partkey, p_brand || CASE p_partkey % 5 WHEN 0 THEN '.mlp2.w' WHEN 1 THEN '.ln_3.b' ELSE '.w' || p_partkey END AS name FROM part WHERE p_partkey % 5 > 1 AND p_partkey % 3 > 0 AND p_size % 4 > 0")
+def s26_matching_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved parameters that the model has in the same shape, without its heads."""
+    name = F.concat("p_brand", F.when(F.col("p_partkey") % 5 == 0, F.lit(".mlp2.w")).when(F.col("p_partkey") % 5 == 1, ".ln_3.b").otherwise(F.concat(F.lit(".w"), "p_partkey")))
+    saved = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.array("p_size", F.lit(2)).alias("shape"), "p_size")
+    wanted = saved.where("p_partkey % 3 > 0").select("name", F.when(F.col("p_size") % 4 > 0, F.col("shape")).otherwise(F.array(F.lit(2), "p_size")).alias("shape")).distinct()
+    return datasets.matching_weights(saved, wanted).where("p_size % 4 > 0").select("p_partkey", "name")
+
+
+@register("s29_configured", """WITH f AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'C1' WHEN 1 THEN 'ICA_norm' WHEN 2 THEN 'ICA_ste' ELSE 'other' END AS config, CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM customer)
+SELECT config, split, config || '/' || split || '/' || c_custkey || '.txt' AS path, CASE config WHEN 'C1' THEN 0 WHEN 'ICA_norm' THEN 1 ELSE 2 END AS vessel_type, 0.3::DOUBLE AS inlet, 0.0035::DOUBLE AS viscosity,
+  row_number() OVER (ORDER BY config, split DESC, config || '/' || split || '/' || c_custkey || '.txt') - 1 AS index FROM f WHERE config <> 'other'""")
+def s29_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three configurations with their constants and one running index through all of them."""
+    c = F.col("c_custkey")
+    config = F.when(c % 4 == 0, "C1").when(c % 4 == 1, "ICA_norm").when(c % 4 == 2, "ICA_ste").otherwise("other")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", config.alias("config"), F.when(c % 5 == 0, "test").otherwise("train").alias("split"))
+    return datasets.configured(rows.select("config", "split", F.concat(F.concat_ws("/", "config", "split", "c_custkey"), F.lit(".txt")).alias("path")))
+
+
+@register("s3_random_walk", f"WITH {POINTS}, w AS (SELECT sample_id, list_sort(list(DISTINCT (point_id % 7)::INT)) AS a FROM points WHERE point_id % 3 > 0 GROUP BY sample_id) SELECT epoch, sample_id, a[floor(len(a) * (('0x' || substr(md5(concat_ws('|', '41', sample_id, epoch)), 1, 13))::BIGINT / {2**52}.0))::INT + 1] AS walk_idx FROM w, range(5) AS e(epoch)")
+def s3_random_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk that each sample is trained on in each of five epochs, drawn from those it has."""
+    walks = points(spark, sf_dir).where("point_id % 3 > 0").select("sample_id", (F.col("point_id") % 7).cast("int").alias("walk_idx"))
+    return sel.random_walk(walks, 5, 41)
+
+
+@register("u2_intersect", "SELECT c_nationkey AS nation FROM customer WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
+def u2_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("nation"))
+    return a.intersect(table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("nation")))
+
+
+_INSIDE = lambda way: f"greatest(abs(x + wx * {way}), abs(y + wy * {way}), abs(z + wz * {way})) < {HALF}"
+_BISECT = BOX.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+s AS (SELECT *, {_INSIDE('step')} AS ends FROM i WHERE inside),
+b AS (SELECT mesh_id, point_id, x, y, z, wx, wy, wz, 0.0::DOUBLE AS lo, step AS hi, 0 AS k FROM s WHERE NOT ends
+  UNION ALL SELECT mesh_id, point_id, x, y, z, wx, wy, wz, CASE WHEN {_INSIDE('((lo + hi) / 2)')} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_INSIDE('((lo + hi) / 2)')} THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM b WHERE k < 6),
+e AS (SELECT mesh_id, point_id, x, y, z, wx, wy, wz, (lo + hi) / 2 * 0.99 AS way FROM b WHERE k = 6 UNION ALL SELECT mesh_id, point_id, x, y, z, wx, wy, wz, step FROM s WHERE ends)
+"""
+
+
+@register("g7_bisected_move", _BISECT + "SELECT mesh_id, point_id, " + _r(**{c: f"{c} + w{c} * way" for c in "xyz"}) + " FROM e")
+def g7_bisected_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walkers that start inside, clamped by six bisections."""
+    keys = ["mesh_id", "point_id"]
+    inside = F.greatest(*(F.abs(c) for c in "xyz")) < HALF
+    return rounded(geometry.bisected_move(walkers(spark, sf_dir).where(inside), cubes(spark), keys).select(*keys, "x", "y", "z"))

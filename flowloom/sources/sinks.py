@@ -22,6 +22,13 @@ def write_qc(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(f"{path}/qc_manifest_csv")
 
 
+def write_metadata(rows: DataFrame, info: DataFrame, path: str) -> None:
+    """A data set's metadata as CSV and as JSON lines, and its lists of indices (list, position, index) as Parquet by list."""
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/metadata_csv")
+    rows.write.mode("overwrite").json(f"{path}/metadata_json")
+    info.write.mode("overwrite").partitionBy("list").parquet(f"{path}/split_info")
+
+
 def with_qc(samples: DataFrame, qc: DataFrame, key: str) -> DataFrame:
     """Samples with qc_status and qc_reasons of their row in ``qc``; null without one."""
     return samples.drop("qc_status", "qc_reasons").join(qc.select(key, F.col("status").alias("qc_status"), F.col("reasons").alias("qc_reasons")), key, "left")
