@@ -18,18 +18,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm._common import delete, scratch_path, slices
 from flowloom.llm._words import NOT_ALNUM, SPACE, mix, range_hashes, raw
 
-NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half".split()
-UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet foot inch inches yard yards s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years l ml liter liters litre litres gallon gallons dollar dollars cent cents euro euros pound pounds percent degrees kmh mph".split()
+#: Number words and units of English, Spanish, French and German, but for those that are common words of another kind (articles, "once").
+NUMBER_WORDS = """one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half
+tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil
+deux trois quatre cinq sept huit dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille
+zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend""".split()
+UNITS = """kg g mg lb lbs oz km m cm mm mi mile miles ft feet foot inch inches yard yards s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years l ml liter liters litre litres gallon gallons dollar dollars cent cents euro euros pound pounds percent degrees kmh mph
+kilo kilos gramos metro metros kilómetros segundos minutos hora horas día días semana semanas mes meses año años litro litros pesos grados
+grammes mètre mètres kilomètres secondes heure heures jour jours semaine semaines mois ans années francs degrés
+gramm kilogramm meter kilometer sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren grad prozent""".split()
 WORD, NUMBER, NAME, UNIT = range(4)
 
 _code = np.arange(256)
-_LOWER = np.where((_code >= 65) & (_code <= 90), _code + 32, _code).astype(np.uint8)
 _DIGIT = (_code >= 48) & (_code <= 57)
 _LETTER = ~NOT_ALNUM & ~_DIGIT
 _FIRST = _LETTER & ((_code & 0xC0) != 0x80)  # the first byte of each letter
@@ -52,12 +59,27 @@ class Template:
     value: np.ndarray
 
 
+def _lowered(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts' bytes in lower case, place by place: letters whose lower case has another number of bytes stay as they are."""
+    found, at = raw(pc.utf8_lower(pc.fill_null(texts, "")))
+    size, given = np.diff(at), np.diff(offsets)
+    if np.array_equal(size, given):
+        return found
+    out, same = np.zeros(len(data), np.uint8), size == given
+    out[np.repeat(same, given)] = found[np.repeat(same, size)]
+    for i in np.flatnonzero(~same).tolist():
+        text = texts[i].as_py()
+        low = {ord(c): c.lower() for c in set(text) if len(c.lower().encode()) == len(c.encode())}
+        out[offsets[i] : offsets[i + 1]] = np.frombuffer(text.translate(low).encode(), np.uint8)
+    return out
+
+
 def template(texts: pa.Array) -> Template:
     """White-space words without the punctuation around them, in lower case; words of punctuation only are left out.
 
     A word of digits and no letters, one that begins with a digit, and a number word is a number; a unit's name after a
-    number is a unit; a capitalised word (not all in capitals) that doesn't begin a sentence is a name, and
-    then it is one wherever the text has it with a capital.
+    number is a unit; a capitalised word (not all in capitals; of any script that has them) that doesn't begin a sentence is
+    a name, and then it is one wherever the text has it with a capital.
     """
     data, offsets = raw(texts)
     n = len(data)
@@ -74,11 +96,7 @@ def template(texts: pa.Array) -> Template:
     start, low, high = start[some], low[some], high[some]
     first, last = (solid[low], solid[high - 1] + 1) if len(solid) else (low, high)
     row = np.searchsorted(offsets, start, "right") - 1
-    lower = _LOWER[data]
-    if n:
-        latin = np.zeros(n, bool)
-        latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        lower = np.where(latin, lower + 0x20, lower).astype(np.uint8)
+    lower = _lowered(texts, data, offsets)
     value = range_hashes(lower, first, last)
     count = lambda mask: np.concatenate([[0], np.cumsum(mask[data])])
     digits, letters, stops = count(_DIGIT), count(_LETTER), count(_STOP)
@@ -88,8 +106,13 @@ def template(texts: pa.Array) -> Template:
     unit[1:] = number[:-1] & (row[1:] == row[:-1]) & ~number[1:] & np.isin(value[1:], _hashes_of(UNITS))
     opens = np.ones(len(row), bool)
     opens[1:] = (row[1:] != row[:-1]) | (stops[first[1:]] > stops[last[:-1]])
-    capital = lower[np.minimum(first + (data[first] == 0xC3), n - 1)] != data[np.minimum(first + (data[first] == 0xC3), n - 1)] if len(first) else np.zeros(0, bool)
-    changed, starts = np.concatenate([[0], np.cumsum(lower != data)]), count(_FIRST)
+    # a letter is changed if any byte of it is; letters are counted at their first bytes
+    letter = np.flatnonzero((data & 0xC0) != 0x80)
+    altered = np.zeros(n, bool)
+    if len(letter):
+        altered[letter] = np.logical_or.reduceat(lower != data, letter)
+    changed, starts = np.concatenate([[0], np.cumsum(altered)]), count(_FIRST)
+    capital = altered[first] if len(first) else np.zeros(0, bool)
     capital &= changed[last] - changed[first] < starts[last] - starts[first]  # in a text all in capitals, they tell nothing
     name = capital & ~opens & ~number & ~unit
     of_row = mix(value ^ mix(row.astype(np.uint64)))

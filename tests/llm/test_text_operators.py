@@ -573,3 +573,14 @@ def test_near_duplicates_in_blocks_of_few_shingles(spark, monkeypatch):
     monkeypatch.setattr(module, "BLOCK_SHINGLES", 500)
     docs = documents(spark, near_copies(30))
     assert {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(docs).collect()} == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_names_and_numbers_of_other_languages_are_placeholders(spark):
+    pairs = [
+        ("heute haben wir zwölf davon gesehen und dann noch fünf mehr gekauft aber Ömer wollte nach drei Tagen wieder alles zurück haben weil er ja sonst nie etwas sagt", "heute haben wir neun davon gesehen und dann noch zwei mehr gekauft aber Élodie wollte nach vier Wochen wieder alles zurück haben weil er ja sonst nie etwas sagt"),
+        ("в магазине утром Иван купил 12 яблок и отдал 5 яблок соседке Марии сколько яблок осталось вечером у мальчика Иван", "в магазине утром Пётр купил 31 яблок и отдал 7 яблок соседке Ольге сколько яблок осталось вечером у мальчика Пётр"),
+    ]
+    items = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "item_id long, text string")
+    texts = [b for _, b in pairs] + [a.upper() for a, _ in pairs] + ["İ " + pairs[0][0], "heute haben wir alles gesehen und er sagt nie etwas"]
+    got = {r.doc_id: r["items"] for r in contaminated_by(documents(spark, texts), items).collect()}
+    assert got == {0: [0], 1: [1], 2: [0], 3: [1], 4: [0], 5: []}
