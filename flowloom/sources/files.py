@@ -26,7 +26,8 @@ def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool
     return files.select("path", F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("parent"), "length")
 
 
-def _decoded(spark: SparkSession, path: str, pattern: str, decode: Callable[[str, bytes], pd.DataFrame], schema: str) -> DataFrame:
+def decoded(spark: SparkSession, path: str, pattern: str, decode: Callable[[str, bytes], pd.DataFrame], schema: str) -> DataFrame:
+    """The rows that ``decode`` makes of each file's path and content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
     empty = pd.DataFrame(columns=[x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema)])
 
@@ -61,7 +62,7 @@ def read_npy(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFram
         flat = array.reshape(array.shape[0] if array.ndim else 1, -1).astype(float)
         return pd.DataFrame({"path": p, "row": np.arange(len(flat), dtype=np.int64), "values": list(flat)})
 
-    return _decoded(spark, path, pattern, decode, "path string, row long, values array<double>")
+    return decoded(spark, path, pattern, decode, "path string, row long, values array<double>")
 
 
 def read_restart(spark: SparkSession, path: str, pattern: str = "*.gz") -> DataFrame:
@@ -80,7 +81,7 @@ def read_restart(spark: SparkSession, path: str, pattern: str = "*.gz") -> DataF
         block = np.frombuffer(raw, "<f8", count=n * variables, offset=found.end()).reshape(variables, n)
         return pd.DataFrame({"path": p, "row": np.arange(n, dtype=np.int64), **{c: block[i] for i, c in enumerate("puvw")}})
 
-    return _decoded(spark, path, pattern, decode, "path string, row long, p double, u double, v double, w double")
+    return decoded(spark, path, pattern, decode, "path string, row long, p double, u double, v double, w double")
 
 
 def read_stl(spark: SparkSession, path: str, pattern: str = "*.stl") -> DataFrame:
@@ -106,7 +107,7 @@ def read_stl(spark: SparkSession, path: str, pattern: str = "*.stl") -> DataFram
         n = len(v)
         return pd.DataFrame({"path": p, "tri": np.arange(n, dtype=np.int32), **{c: v[:, i] for i, c in enumerate(corners)}})
 
-    return _decoded(spark, path, pattern, decode, "path string, tri int, " + ", ".join(f"{c} double" for c in corners))
+    return decoded(spark, path, pattern, decode, "path string, tri int, " + ", ".join(f"{c} double" for c in corners))
 
 
 def indexed_mesh(triangles: DataFrame, mesh: str = "mesh_id", digits: int = 8) -> tuple[DataFrame, DataFrame]:

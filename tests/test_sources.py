@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import io
 import json
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.vectors import vec
 from flowloom.operators import geometry, inference, quality_control
 from flowloom.plans.geometry_queries import FACES
-from flowloom.sources import files, sinks, solver_text
+from flowloom.sources import files, meshes, sinks, solver_text
 from flowloom.streaming.manifests import manifest_stream, status_counts
 
 
@@ -183,3 +185,76 @@ def test_text_stl_with_two_solids(spark, tmp_path):
     (tmp_path / "bad" / "b.stl").write_bytes(b"x" * 200)
     with pytest.raises(Exception, match="neither"):
         files.read_stl(spark, str(tmp_path / "bad")).collect()
+
+
+XYZ = np.arange(15, dtype="<f8").reshape(5, 3) / 2
+NODES = np.array([30, 10, 50, 20, 40], dtype="<i4")
+
+
+def packed(array, compressed):
+    raw = array.tobytes()
+    if not compressed:
+        return struct.pack("<I", len(raw)), raw
+    half = -(-len(raw) // 2)
+    blocks = [zlib.compress(raw[:half]), zlib.compress(raw[half:])]
+    return struct.pack("<5I", 2, half, len(raw) - half, *map(len, blocks)), b"".join(blocks)
+
+
+def mesh_file(form, compressed=False):
+    """A mesh of five points, as text, base64 or appended."""
+    if form == "ascii":
+        body = lambda a: ("", " ".join(map(str, a.ravel())))
+    elif form == "binary":
+        def body(a):
+            head, data = packed(a, compressed)
+            return "", (base64.b64encode(head) + base64.b64encode(data) if compressed else base64.b64encode(head + data)).decode()
+    else:
+        blob = []
+
+        def body(a):
+            at = sum(map(len, blob))
+            blob.append(b"".join(packed(a, compressed)))
+            return f' offset="{at}"', ""
+
+    array = lambda a, kind, name, width: '<DataArray type="{}" Name="{}" NumberOfComponents="{}" format="{}"{}>{}</DataArray>'.format(kind, name, width, form, *body(a))
+    text = f'<?xml version="1.0"?><VTKFile type="UnstructuredGrid" byte_order="LittleEndian" header_type="UInt32"{" compressor=" + chr(34) + "vtkZLibDataCompressor" + chr(34) if compressed else ""}><UnstructuredGrid><Piece NumberOfPoints="5"><PointData>{array(NODES, "Int32", "GlobalNodeID", 1)}</PointData><Points>{array(XYZ, "Float64", "Points", 3)}</Points></Piece></UnstructuredGrid>'
+    if form == "appended":
+        return text.encode() + b'<AppendedData encoding="raw">_' + b"".join(blob) + b"</AppendedData></VTKFile>"
+    return text.encode() + b"</VTKFile>"
+
+
+@pytest.mark.parametrize(("form", "compressed"), [("ascii", False), ("binary", False), ("binary", True), ("appended", False), ("appended", True)])
+def test_mesh_points_come_in_the_order_of_their_nodes(spark, tmp_path, form, compressed):
+    (tmp_path / "m.vtu").write_bytes(mesh_file(form, compressed))
+    rows = meshes.read_mesh_points(spark, f"file://{tmp_path}").orderBy("row").collect()
+    order = np.argsort(NODES)
+    assert [r.node for r in rows] == NODES[order].tolist() and [[r.x, r.y, r.z] for r in rows] == XYZ[order].tolist()
+
+
+def test_surfaces_become_triangles(spark, tmp_path):
+    square = '<VTKFile type="PolyData"><PolyData><Piece><Points><DataArray type="Float32" NumberOfComponents="3" format="ascii">0 0 0 1 0 0 1 1 0 0 1 0 2 0 0</DataArray></Points><Polys><DataArray type="Int64" Name="connectivity" format="ascii">0 1 2 3 0 1 4 1 2 4</DataArray><DataArray type="Int64" Name="offsets" format="ascii">4 7 10</DataArray></Polys></Piece></PolyData></VTKFile>'
+    (tmp_path / "w.vtp").write_text(square)
+    rows = meshes.read_surfaces(spark, f"file://{tmp_path}").orderBy("tri").collect()
+    assert [(r.a_x, r.b_x, r.b_y, r.c_x, r.c_y) for r in rows] == [(0, 1, 0, 1, 1), (0, 1, 1, 0, 1), (1, 1, 1, 2, 0)]
+
+
+def image(values, order="<", dims=3, slope=0.0):
+    head = bytearray(352)
+    struct.pack_into(order + "i", head, 0, 348)
+    struct.pack_into(order + "8h", head, 40, dims, *values.shape, *[2 if dims > 3 else 1] * (7 - values.ndim))
+    struct.pack_into(order + "h", head, 70, 4)
+    struct.pack_into(order + "4f", head, 76, 1, 0.5, 1, 2)
+    struct.pack_into(order + "3f", head, 108, 352, slope, 0)
+    head[344:348] = b"n+1\0"
+    return bytes(head) + values.astype(order + "i2").tobytes(order="F")
+
+
+def test_masks_give_their_voxels(spark, tmp_path):
+    values = np.zeros((3, 4, 5), dtype=np.int16)
+    values[1, 2, 3], values[2, 0, 4], values[0, 0, 0] = 7, 1, -3
+    (tmp_path / "a.nii").write_bytes(image(values))
+    (tmp_path / "b.nii.gz").write_bytes(gzip.compress(image(values, ">", slope=2.0)))
+    rows = sorted(tuple(r)[1:] for r in meshes.read_masks(spark, f"file://{tmp_path}").collect())
+    assert rows == sorted([(1, 2, 3, v * s, 0.5, 2.0, 6.0) if v == 7 else (2, 0, 4, v * s, 1.0, 0.0, 8.0) for v in (7, 1) for s in (1.0, 2.0)])
+    with pytest.raises(ValueError, match="three axes"):
+        meshes.image_values(image(values, dims=4))
