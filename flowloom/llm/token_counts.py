@@ -15,6 +15,7 @@ import os
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,12 +68,19 @@ def _is_plain(c: str) -> bool:
     return c.isalnum() and (c < "\u0180" or "\u0400" <= c <= "\u0482" or "\u3041" <= c <= "\u3096" or "\u30a1" <= c <= "\u30fa" or "\u4e00" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3")
 
 
-def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counter(path: str, remembered: int = 200_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Encodes whole texts; copies of a text that the task has just counted are told by a digest of 128 bits, and not encoded again."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer, known = _tokenizer(path), {}
         for part in slices(batches, "text", 1 << 18):
-            found = tokenizer.encode_batch_fast(part.column("text").to_pylist(), add_special_tokens=False)
-            yield pa.record_batch([*part.columns[:2], pa.array([len(x) for x in found], pa.int64()), pa.array([1] * len(found), pa.int32())], names=["key", "n_bytes", "n_tokens", "n_chunks"])
+            texts = part.column("text").to_pylist()
+            prints = [blake2b(t.encode(), digest_size=16).digest() for t in texts]
+            new = {p: t for p, t in zip(prints, texts, strict=True) if p not in known}
+            known.update(zip(new, map(len, tokenizer.encode_batch_fast(list(new.values()), add_special_tokens=False)), strict=True))
+            yield pa.record_batch([*part.columns[:2], pa.array([known[p] for p in prints], pa.int64()), pa.array([1] * len(texts), pa.int32())], names=["key", "n_bytes", "n_tokens", "n_chunks"])
+            if len(known) > remembered:
+                known.clear()
 
     return count
 
