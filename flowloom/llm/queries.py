@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm import pii
 from flowloom.llm.decontamination import contaminated_by, is_clean
+from flowloom.llm.divergence import PRIOR, SCALE, TERM, divergence
 from flowloom.llm.line_dedup import drop_boilerplate
 from flowloom.llm.near_duplicates import near_duplicates
 from flowloom.llm.pieces import encode_decode
@@ -164,5 +165,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", ~is_clean(F.col("items")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op4_pii, op5_url_filter, op6_toxicity, op7_line_dedup, op8_quality, op9_warc, op10_decontamination)}
-ORACLES = {"op3_near_duplicates": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_warc": OP9_SQL}
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'TERM') AS t FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(t) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(t)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+z AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (SCALE::HUGEINT * (n + PRIOR)) // (sum(n) OVER (PARTITION BY lang, source) + PRIOR * v) AS p FROM z JOIN v USING (lang)),
+l AS (SELECT lang, term, 1 + (SCALE::HUGEINT * (n + PRIOR)) // (sum(n) OVER (PARTITION BY lang) + PRIOR * v) AS q FROM (SELECT lang, term, sum(n) AS n FROM z GROUP BY ALL) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 50
+""".replace("TERM", TERM).replace("SCALE", str(SCALE)).replace("PRIOR", str(PRIOR))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op4_pii, op5_url_filter, op6_toxicity, op7_line_dedup, op8_quality, op9_warc, op10_decontamination, op12_divergence)}
+ORACLES = {"op3_near_duplicates": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_warc": OP9_SQL, "op12_divergence": OP12_SQL}
