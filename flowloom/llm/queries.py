@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import pii
+from flowloom.llm.conversation_trie import conversation_trie
 from flowloom.llm.decontamination import contaminated_by, is_clean
 from flowloom.llm.divergence import PRIOR, SCALE, TERM, divergence
 from flowloom.llm.line_dedup import drop_boilerplate
@@ -166,6 +167,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations share the head of the first of their hundred, of zero to five turns."""
+    return conversation_trie(table(spark, sf_dir, "conversations"), F.expr("conv - conv % 100"), F.expr("crc32(cast(conv as string)) % 6"), most=5)
+
+
+OP11_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS at FROM conversations WHERE conv_id IS NOT NULL),
+bits(n) AS (SELECT 0 UNION ALL SELECT n + 1 FROM bits WHERE n < 255), poly(n, v, k) AS (SELECT n, n::BIGINT, 0 FROM bits UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM poly WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS c FROM poly WHERE k = 8),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+  lambda a, b: xor(crc.c[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+a AS (SELECT c.conv_id, 0 AS part, t.at, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.at < c.h UNION ALL SELECT c.conv_id, 1, t.at, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.at >= c.h),
+r AS (SELECT c.conv_id, list((a.role, a.text) ORDER BY a.part, a.at) FILTER (a.at IS NOT NULL) AS turns FROM c LEFT JOIN a USING (conv_id) GROUP BY c.conv_id),
+p AS (SELECT conv_id, d AS depth, len(coalesce(turns, [])) AS n, turns[1:d] AS prefix, CASE WHEN d > 0 THEN turns[1:d - 1] END AS upper, CASE WHEN d > 0 THEN length(turns[d][2]) ELSE 0 END AS chars
+  FROM (SELECT *, unnest(range(len(coalesce(turns, [])) + 1)) AS d FROM (SELECT conv_id, coalesce(turns, []) AS turns FROM r))),
+n AS (SELECT depth, prefix, any_value(upper) AS upper, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends FROM p GROUP BY depth, prefix),
+k AS (SELECT depth - 1 AS depth, upper AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, prefix)),
+s AS (SELECT d AS depth, prefix[1:d] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s USING (depth, prefix) LEFT JOIN n u ON u.depth = f.depth - 1 AND u.prefix = f.upper
+"""
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -186,5 +212,5 @@ SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PAR
 """.replace("TERM", TERM).replace("SCALE", str(SCALE)).replace("PRIOR", str(PRIOR))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op4_pii, op5_url_filter, op6_toxicity, op7_line_dedup, op8_quality, op9_warc, op10_decontamination, op12_divergence)}
-ORACLES = {"op3_near_duplicates": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_warc": OP9_SQL, "op12_divergence": OP12_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op4_pii, op5_url_filter, op6_toxicity, op7_line_dedup, op8_quality, op9_warc, op10_decontamination, op11_conversation_trie, op12_divergence)}
+ORACLES = {"op3_near_duplicates": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_warc": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op12_divergence": OP12_SQL}
