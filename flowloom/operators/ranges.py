@@ -81,7 +81,7 @@ def _carried(ends: list, sums: list[str], powers: list[str]) -> dict[int, list[i
         before = state if of is not None and of == tuple(e["head"]) else [0] * (1 + len(sums) + len(powers))
         if before[0]:
             carry[e["range"]] = before
-        own = [e["tail"]["n"], *(e["tail"][c] % 2**64 for c in [*sums, *powers])]
+        own = [e["tail"]["rows"], *(x % 2**64 for x in e["tail"]["totals"][1:])]
         if e["tail"]["first"]:  # one group fills the range, or what is left of it
             raised = pow(BASE, before[0], 2**64)
             own = [before[0] + own[0], *((b + o * (raised if i >= len(sums) else 1)) % 2**64 for i, (b, o) in enumerate(zip(before[1:], own[1:], strict=True)))]
@@ -133,7 +133,7 @@ def running(rows: DataFrame, group: list[str], order: list[str], sums: list[str]
     path = scratch(spark, "running")
     ranged.mapInArrow(_scan(group, sums, powers), kind).write.parquet(path)
     at = spark.read.schema(kind).parquet(path)
-    tail = F.struct(F.struct(F.lit(0), *group).alias("group"), (F.col("position") + 1).alias("n"), F.col("__first").alias("first"), *(F.col(f"{c}_through").alias(c) for c in [*sums, *powers]))
+    tail = F.struct(F.struct(F.lit(0), *group).alias("group"), (F.col("position") + 1).alias("rows"), F.col("__first").alias("first"), F.array(F.lit(0).cast("long"), *(f"{c}_through" for c in [*sums, *powers])).alias("totals"))
     ends = at.groupBy(F.col("__range").alias("range")).agg(F.min_by(F.struct(F.lit(0), *group), "__row").alias("head"), F.max_by(tail, "__row").alias("tail")).collect()  # at most ``parts`` rows
     carry = _carried(ends, sums, powers)
     return at.mapInArrow(_joined(carry, sums, powers), StructType([*rows.schema.fields, *long]))

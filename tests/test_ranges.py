@@ -28,12 +28,12 @@ def test_groups_reach_over_ranges_and_batches(spark, batch):
     rng.shuffle(rows)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        got = running(spark.createDataFrame(rows, "g string, o long, v long").withColumnRenamed("v", "w").selectExpr("*", "w as p"), ["g"], ["o"], ["w"], ["p"], parts=7).collect()
+        got = running(spark.createDataFrame(rows, "g string, o long, n long").selectExpr("*", "n as p"), ["g"], ["o"], ["n"], ["p"], parts=7).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = expected(rows)
     assert len(got) == len(rows)
-    assert {(r.g, r.o): (r.position, r.w_before, r.w_through, r.p_through % 2**64) for r in got} == want
+    assert {(r.g, r.o): (r.position, r.n_before, r.n_through, r.p_through % 2**64) for r in got} == want
 
 
 def test_no_group_and_an_empty_table(spark):
