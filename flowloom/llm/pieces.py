@@ -45,7 +45,6 @@ class ChunkTable:
 
     def __init__(self, processor, limit: int = 300_000, longest: int = 256):
         self.processor, self.limit, self.longest = processor, limit, longest
-        self.mark = processor.piece_to_id(MARK)
         self.hash, self.check, self.used, self.bytes = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
         self.ids, self.cut = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -53,7 +52,22 @@ class ChunkTable:
         """The library puts a marker before what it is given: a chunk's own first one is left out."""
         inner = [c[1:].replace(" ", MARK) for c in chunks]
         found = self.processor.encode(inner, num_threads=1)
-        return [x if c else [self.mark] for c, x in zip(inner, found, strict=True)]
+        mark = self.processor.piece_to_id(MARK)
+        return [x if c else [mark] for c, x in zip(inner, found, strict=True)]
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return self.processor.encode(texts, num_threads=1)
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of the marked texts, where each text begins in them, and where each chunk does: at every run of markers."""
+        texts = pc.replace_substring(texts, MARK, " ")  # a marker in a text is what a space becomes
+        data, offsets = raw(pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, "")))
+        space = data == 0x20
+        begins = np.zeros(len(data) + 1, bool)
+        begins[offsets] = True
+        after = np.ones(len(data), bool)
+        after[1:] = ~space[:-1]
+        return data, offsets, np.flatnonzero(space & (after | begins[:-1]))
 
     def _take(self, keep: np.ndarray) -> None:
         """Only the entries ``keep``, in that order."""
@@ -79,35 +93,33 @@ class ChunkTable:
             self._take(keep)
             self.used //= 2
 
-    def _places(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each chunk stands in the table, and whether it does."""
+    def _places(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Where each chunk stands in the table, whether it does, and whether another chunk of its hash does."""
         if not len(self.hash):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool), False
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        if ((self.hash[at] == hashes) & (self.check[at] != checks)).any():
-            raise ValueError("two chunks have the same hash")
-        return at, self.hash[at] == hashes
+        known = self.hash[at] == hashes
+        return at, known, bool((known & (self.check[at] != checks)).any())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and where each text's begin (and the last's end)."""
-        texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")  # a marker in a text is what a space becomes
-        data, offsets = raw(pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, "")))
-        space = data == 0x20
-        begins = np.zeros(len(data) + 1, bool)
-        begins[offsets] = True
-        after = np.ones(len(data), bool)
-        after[1:] = ~space[:-1]
-        start = np.flatnonzero(space & (after | begins[:-1]))
+        """The ids of all texts, one after another, and where each text's begin (and the last's end).
+
+        Where two chunks share a hash, the texts are encoded whole and the table stays as it is.
+        """
+        texts = pc.fill_null(texts, "")
+        data, offsets, start = self._cut(texts)
         end = np.append(start[1:], len(data))
         hashes, checks = range_hashes(data, start, end), _check_sums(data, start, end)
         distinct, first, which, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        if (checks[first][which] != checks).any():
-            raise ValueError("two chunks have the same hash")
-        _, known = self._places(distinct, checks[first])
+        _, known, clash = self._places(distinct, checks[first])
+        if clash or (checks[first][which] != checks).any():
+            made = self._whole(texts.to_pylist())
+            cut = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int64)
+            return np.fromiter((i for x in made for i in x), np.uint32, int(cut[-1])), cut
         if not known.all():
             new = first[~known]
             self._add(data, start[new], end[new], hashes[new], checks[new])
-        at, _ = self._places(distinct, checks[first])
+        at, _, _ = self._places(distinct, checks[first])
         self.used[at] += often
         size = np.diff(self.cut)[at][which]
         cut = np.concatenate([[0], np.cumsum(size)])

@@ -15,6 +15,7 @@ from flowloom.llm.near_duplicates import near_duplicates
 from flowloom.llm.pieces import encode_decode
 from flowloom.llm.quality import GRID, judge
 from flowloom.llm.token_counts import token_counts
+from flowloom.llm.token_files import token_round_trip
 from flowloom.llm.toxicity import fit, score
 from flowloom.llm.url_filter import UrlRule, judge_urls
 from flowloom.llm.warc import round_trip
@@ -212,5 +213,9 @@ SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PAR
 """.replace("TERM", TERM).replace("SCALE", str(SCALE)).replace("PRIOR", str(PRIOR))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op4_pii, op5_url_filter, op6_toxicity, op7_line_dedup, op8_quality, op9_warc, op10_decontamination, op11_conversation_trie, op12_divergence)}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pieces, op3_near_duplicates, op4_pii, op5_url_filter, op6_toxicity, op7_line_dedup, op8_quality, op9_warc, op10_decontamination, op11_conversation_trie, op12_divergence, op13_token_files)}
 ORACLES = {"op3_near_duplicates": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_quality": OP8_SQL, "op9_warc": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op12_divergence": OP12_SQL}
