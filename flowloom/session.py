@@ -49,6 +49,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes what ``scratch`` named, when nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)

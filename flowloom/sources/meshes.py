@@ -12,7 +12,10 @@ from xml.etree import ElementTree
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowloom.operators import meshes, voxels
+from flowloom.session import cut_lineage
 from flowloom.sources.files import decoded
 
 _KINDS = {"Float32": "f4", "Float64": "f8", **{f"{u}Int{8 * n}": f"{k}{n}" for u, k in (("", "i"), ("U", "u")) for n in (1, 2, 4, 8)}}
@@ -108,8 +111,34 @@ def read_surfaces(spark: SparkSession, path: str, pattern: str = "*.vtp") -> Dat
     return decoded(spark, path, pattern, decode, "path string, tri int, " + ", ".join(f"{c} double" for c in corners))
 
 
-def image_values(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
-    """A single-file NIfTI image, gzipped or not: its values (scaled as its header says) and the sizes of its voxels. It must have three axes."""
+def _rotation(b: float, c: float, d: float) -> np.ndarray:
+    """The rotation of a unit quaternion, given without its first part, which is at least 0."""
+    a = np.sqrt(max(0.0, 1.0 - b * b - c * c - d * d))
+    if a < 1e-7:  # a half turn: the other parts may need scaling to length 1
+        b, c, d = np.array([b, c, d]) / np.sqrt(b * b + c * c + d * d)
+        a = 0.0
+    return np.array([
+        [a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)],
+        [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)],
+        [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c],
+    ])
+
+
+def image_affine(header: bytes, order: str) -> np.ndarray:
+    """The matrix (3 x 4) from a voxel's indices to its place: the header's rows, else its quaternion, else (the format's first method) the voxels' sizes."""
+    number = lambda form, at: struct.unpack_from(order + form, header, at)
+    sizes = np.array(number("4f", 76))
+    by_quaternion, by_rows = number("2h", 252)
+    if by_rows > 0:
+        return np.array(number("12f", 280)).reshape(3, 4)
+    if by_quaternion > 0:
+        turn = _rotation(*number("3f", 256)) * sizes[1:] * [1, 1, -1 if sizes[0] < 0 else 1]
+        return np.column_stack([turn, number("3f", 268)])
+    return np.column_stack([np.diag(sizes[1:]), np.zeros(3)])
+
+
+def image_values(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A single-file NIfTI image, gzipped or not: its values (scaled as its header says) and its affine. It must have three axes."""
     raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
     order = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
     if struct.unpack(order + "i", raw[:4])[0] != 348 or raw[344:347] != b"n+1":
@@ -123,18 +152,53 @@ def image_values(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]
     code = struct.unpack(order + "h", raw[70:72])[0]
     if code not in _IMAGE_KINDS:
         raise ValueError(f"image values of type {code} are not read")
-    spacing = struct.unpack(order + "3f", raw[80:92])
     offset, slope, inter = struct.unpack(order + "3f", raw[108:120])
     values = np.frombuffer(raw, order + _IMAGE_KINDS[code], count=int(np.prod(shape)), offset=int(offset)).reshape(shape, order="F")
-    return values * slope + inter if slope not in (0.0, 1.0) or (slope and inter) else values, spacing
+    scaled = values * slope + inter if slope not in (0.0, 1.0) or (slope and inter) else values
+    return scaled, image_affine(raw[:348], order)
 
 
-def read_masks(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
-    """path, i, j, k, value, x, y, z: the voxels of image masks whose value is above 0, with their position by voxel size."""
+def read_masks(spark: SparkSession, path: str, pattern: str = "*.nii*", labels: list[float] | None = None) -> DataFrame:
+    """path, i, j, k, value, x, y, z, affine: the voxels of image masks, placed by the image's affine (twelve numbers, row by row).
+
+    Those whose value is above 0 or, with ``labels``, near one of these (to 1e-8 and a hundred-thousandth of it). An image
+    without such voxels gives no row.
+    """
+
+    def decode(p: str, content: bytes) -> pd.DataFrame:
+        values, affine = image_values(content)
+        near = values > 0 if labels is None else np.any([np.isclose(values, x) for x in labels], axis=0) if labels else np.zeros(values.shape, bool)
+        at = np.argwhere(near)
+        place = at @ affine[:, :3].T + affine[:, 3]
+        return pd.DataFrame({"path": p, **{c: at[:, n].astype(np.int32) for n, c in enumerate("ijk")}, "value": values[tuple(at.T)].astype(float), **{c: place[:, n] for n, c in enumerate("xyz")}, "affine": [affine.ravel().tolist()] * len(at)})
+
+    return decoded(spark, path, pattern, decode, "path string, i int, j int, k int, value double, x double, y double, z double, affine array<double>")
+
+
+def read_cells(spark: SparkSession, path: str, pattern: str = "*.vtu") -> DataFrame:
+    """path, cell, type, nodes: the cells of XML volume meshes, nodes as numbers of points in the file's order from 0."""
 
     def decode(p: str, content: bytes) -> pd.DataFrame:
-        values, spacing = image_values(content)
-        at = np.argwhere(values > 0)
-        return pd.DataFrame({"path": p, **{c: at[:, n].astype(np.int32) for n, c in enumerate("ijk")}, "value": values[tuple(at.T)].astype(float), **{c: at[:, n] * float(spacing[n]) for n, c in enumerate("xyz")}})
+        arrays = xml_arrays(content)
+        at, ends = arrays["Cells/connectivity"].astype(np.int64), arrays["Cells/offsets"].astype(np.int64)
+        return pd.DataFrame({"path": p, "cell": np.arange(len(ends), dtype=np.int64), "type": arrays["Cells/types"].astype(np.int32), "nodes": [x.tolist() for x in np.split(at, ends[:-1])] if len(ends) else []})
+
+    return decoded(spark, path, pattern, decode, "path string, cell long, type int, nodes array<long>")
 
-    return decoded(spark, path, pattern, decode, "path string, i int, j int, k int, value double, x double, y double, z double")
+
+def mask_surfaces(spark: SparkSession, path: str, pattern: str = "*.nii*", labels: list[float] | None = None, min_voxels: int = 0, min_fraction: float = 0.0, rounds: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(faces, vertices) of image masks, by path: components that are large enough, closed surfaces around them, placed by the affine, smoothed ``rounds`` times.
+
+    Where an affine mirrors space, faces are turned, so normals point outwards there too.
+    """
+    read = cut_lineage(read_masks(spark, path, pattern, labels).select(F.col("path").alias("mesh_id"), "i", "j", "k", "affine"))
+    kept = voxels.kept_components(voxels.labelled(read, "mesh_id"), min_voxels, min_fraction, "mesh_id")
+    found = cut_lineage(voxels.surface(kept, "mesh_id"))
+    placed = read.groupBy("mesh_id").agg(F.first("affine").alias("affine"))
+    m = lambda r, c: F.get("affine", F.lit(4 * r + c))
+    minor = lambda r, s: m(1, r) * m(2, s) - m(1, s) * m(2, r)
+    mirrors = m(0, 0) * minor(1, 2) - m(0, 1) * minor(0, 2) + m(0, 2) * minor(0, 1) < 0
+    turned = found.join(placed.select("mesh_id", mirrors.alias("turn")), "mesh_id")
+    faces = turned.select("mesh_id", "tri", "a", F.when(F.col("turn"), F.col("c")).otherwise(F.col("b")).alias("b"), F.when(F.col("turn"), F.col("b")).otherwise(F.col("c")).alias("c"))
+    vertices = voxels.to_world(voxels.surface_vertices(found, "mesh_id").join(placed, "mesh_id"), F.col("affine")).select("mesh_id", "vertex", "x", "y", "z")
+    return faces, meshes.smoothed(vertices, faces, rounds) if rounds else vertices
