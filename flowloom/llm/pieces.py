@@ -27,9 +27,12 @@ from flowloom.llm._words import mix, range_hashes, raw
 MARK = "▁"
 
 
+_MIXED = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def _check_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A second number for each range, of other making than its hash: chunks count as equal only if both are."""
-    each = mix(data.astype(np.uint64) + np.uint64(1))
+    each = _MIXED[data]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(each * (np.arange(len(data), dtype=np.uint64) + np.uint64(1)), out=sums[1:])
     plain = np.zeros(len(data) + 1, np.uint64)
@@ -37,6 +40,11 @@ def _check_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return sums[end] - sums[start] - start.astype(np.uint64) * (plain[end] - plain[start])
 
 
+def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in lists], np.int64)
+    return np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())), sizes
+
+
 class ChunkTable:
     """Distinct chunks (hash and check sum, sorted by hash) and their ids, one after another.
 
@@ -48,12 +56,12 @@ class ChunkTable:
         self.hash, self.check, self.used, self.bytes = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
         self.ids, self.cut = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _segment(self, chunks: list[str]) -> list[list[int]]:
-        """The library puts a marker before what it is given: a chunk's own first one is left out."""
+    def _segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' ids, one after another, and how many each has. The library puts a marker before what it is given: a chunk's own first one is left out."""
         inner = [c[1:].replace(" ", MARK) for c in chunks]
         found = self.processor.encode(inner, num_threads=1)
         mark = self.processor.piece_to_id(MARK)
-        return [x if c else [mark] for c, x in zip(inner, found, strict=True)]
+        return joined([x if c else [mark] for c, x in zip(inner, found, strict=True)])
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return self.processor.encode(texts, num_threads=1)
@@ -78,11 +86,10 @@ class ChunkTable:
 
     def _add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> None:
         whole = data.tobytes()
-        made = self._segment([whole[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        ids, sizes = self._segment([whole[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
         self.hash, self.check = np.append(self.hash, hashes), np.append(self.check, checks)
-        self.used, self.bytes = np.append(self.used, np.zeros(len(made), np.int64)), np.append(self.bytes, end - start)
-        self.cut = np.append(self.cut, self.cut[-1] + np.cumsum([len(x) for x in made]))
-        self.ids = np.append(self.ids, np.fromiter((i for x in made for i in x), np.uint32, int(self.cut[-1]) - len(self.ids)))
+        self.used, self.bytes = np.append(self.used, np.zeros(len(sizes), np.int64)), np.append(self.bytes, end - start)
+        self.cut, self.ids = np.append(self.cut, self.cut[-1] + np.cumsum(sizes)), np.append(self.ids, ids)
         self._take(np.argsort(self.hash, kind="stable"))
 
     def _shrink(self) -> None:
@@ -113,9 +120,8 @@ class ChunkTable:
         distinct, first, which, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         _, known, clash = self._places(distinct, checks[first])
         if clash or (checks[first][which] != checks).any():
-            made = self._whole(texts.to_pylist())
-            cut = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int64)
-            return np.fromiter((i for x in made for i in x), np.uint32, int(cut[-1])), cut
+            ids, sizes = joined(self._whole(texts.to_pylist()))
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
         if not known.all():
             new = first[~known]
             self._add(data, start[new], end[new], hashes[new], checks[new])

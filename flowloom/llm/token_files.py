@@ -4,13 +4,13 @@ The dictionary is trained by zstandard on the serialized id arrays of a bounded
 gain from one. A file has a header, the documents' frames in the order of their ids, an index of offsets and a
 footer, so a reader that wants a few documents takes the footer, the index and their frames:
 
-    header   magic (8 bytes), SHA-256 of the dictionary (32), bytes an id (1), ids in all files before (8)
+    header   magic (8 bytes), SHA-256 of the dictionary (32), bytes an id (1), number of the file (8)
     frames   one zstandard frame for each document, of its ids in little-endian order
     index    for each document: whether its id is null (1), its id (8), offset of its frame (8), its number of ids (8)
     footer   offset of the index (8), documents (8), magic (8), and a line break, with which Spark's text sink ends a row
 
-The folder holds ``files`` (a file in each ``shard=<n>``), ``dictionary`` (one file) and ``manifest`` (Parquet: for each file
-its number, smallest and largest id, documents, ids, and ids before it). All numbers are little-endian.
+The folder holds ``files`` (a file in each ``shard=<n>``, in the order of n), ``dictionary`` (one file) and ``manifest`` (Parquet: for
+each file its number, smallest and largest id, documents, ids, and ids before it). All numbers are little-endian.
 """
 
 from __future__ import annotations
@@ -20,16 +20,18 @@ import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm._common import delete, materialize, scratch_path, slices
-from flowloom.llm._words import raw
-from flowloom.llm.pieces import ChunkTable
+from flowloom.llm._words import NOT_ALNUM, raw
+from flowloom.llm.pieces import ChunkTable, joined
 from flowloom.operators.ranges import running
 
 MAGIC = b"IDFILE01"
@@ -38,19 +40,41 @@ INDEX = np.dtype([("null", "u1"), ("id", "<i8"), ("offset", "<u8"), ("n", "<u8")
 
 _code = np.arange(256)
 _WHITE = (_code == 0x20) | ((_code >= 9) & (_code <= 13))
+_SOLID = ~NOT_ALNUM & (_code < 128)
+_MARK = NOT_ALNUM & (_code > 32) & (_code < 127)
 #: The last two bytes of white-space characters beyond ASCII, and some that share them.
 _WIDE = [(0xC2, 0x85), (0xC2, 0xA0), (0x9A, 0x80), *((0x80, x) for x in [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), (0x81, 0x9F)]
 
 
 class WordTable(ChunkTable):
-    """The table of distinct chunks for a byte-level tokenizer that cuts texts at white space before it merges.
+    """The table of distinct chunks for a byte-level tokenizer that cuts texts at white space and at marks before it merges.
 
     A chunk begins at the first character of a run of white space. What comes before such a run never joins it, whatever
-    follows; a run goes on after white space of any kind, so places after a character that may be some are not cut.
+    follows; a run goes on after white space of any kind, so places after a character that may be some are not cut. One
+    begins at an ASCII mark after an ASCII letter or digit too, as a run of letters or digits ends there; places
+    that lie within a special token's string are not cut.
     """
 
-    def _segment(self, chunks: list[str]) -> list[list[int]]:
-        return self._whole(chunks)
+    def __init__(self, processor, **limits):
+        super().__init__(processor, **limits)
+        names = [t.content.encode() for t in processor.get_added_tokens_decoder().values()]
+        self.inside = sorted({a << 8 | b for name in names for a, b in pairwise(name)})
+        between = [(i, t.content) for i, t in processor.get_added_tokens_decoder().items() if t.content]
+        self.between = between[0] if between else None
+
+    def _segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many chunks are one text, with a special token's string between them, at which the library cuts first; those that hold its id themselves go alone."""
+        if self.between is None:
+            return joined(self._whole(chunks))
+        mark, name = self.between
+        if any(name in c for c in chunks):
+            return joined(self._whole(chunks))
+        made = self.processor.encode_batch_fast([name.join(chunks[i : i + 256]) + name for i in range(0, len(chunks), 256)], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in made])
+        ends = np.flatnonzero(ids == mark)
+        if len(ends) != len(chunks):  # a name cut across two chunks
+            return joined(self._whole(chunks))
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.processor.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,6 +88,8 @@ class WordTable(ChunkTable):
         pair = np.zeros(n, np.int64)  # the two bytes before each place
         pair[2:] = data[:-2].astype(np.int64) << 8 | data[1:-1]
         starts &= ~np.isin(pair, [a << 8 | b for a, b in _WIDE])
+        around = np.flatnonzero(_MARK[data[1:]] & _SOLID[data[:-1]]) + 1
+        starts[around[~np.isin(data[around - 1].astype(np.int64) << 8 | data[around], self.inside)]] = True
         starts[offsets[:-1][np.diff(offsets) > 0]] = True
         return data, offsets, np.flatnonzero(starts)
 
@@ -154,29 +180,27 @@ def _number(x: int) -> bytes:
     return int(x).to_bytes(8, "little")
 
 
-def _files(sent, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows in the order of shard and start become one row for each shard: its file."""
+def _files(sent, width: int, file_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A range's rows, in order, become files of about ``file_bytes``, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = hashlib.sha256(sent.value).digest()
-        shard, parts, index, at = None, [], [], 0
+        digest, shard = hashlib.sha256(sent.value).digest(), TaskContext.get().partitionId() << 32
+        parts, index, at = [], [], HEADER
 
         def done() -> pa.RecordBatch:
-            table = np.array(index, INDEX).tobytes()
-            whole = b"".join([*parts, table, _number(at), _number(len(index)), MAGIC])
+            head = MAGIC + digest + bytes([width]) + _number(shard)
+            whole = b"".join([head, *parts, np.array(index, INDEX).tobytes(), _number(at), _number(len(index)), MAGIC])
             return pa.record_batch([pa.array([shard], pa.int64()), pa.array([whole], pa.binary())], names=["shard", "file"])
 
         for batch in batches:
-            for s, i, start, n, frame in zip(*(batch.column(c).to_pylist() for c in ("shard", "id", "start", "n", "frame")), strict=True):
-                if s != shard:
-                    if shard is not None:
-                        yield done()
-                    shard, index, at = s, [], HEADER
-                    parts = [MAGIC + digest + bytes([width]) + _number(start)]
+            for i, n, frame in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "frame")), strict=True):
                 index.append((i is None, i or 0, at, n))
                 parts.append(frame)
                 at += len(frame)
-        if shard is not None:
+                if at >= file_bytes:
+                    yield done()
+                    shard, parts, index, at = shard + 1, [], [], HEADER
+        if index:
             yield done()
 
     return run
@@ -197,13 +221,45 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     kept.select(F.col("file").cast("string")).write.text(f"{path}/dictionary")
     tied = rows.select("id", F.xxhash64("text").alias("tie"), "text")
     framed = materialize(tied.mapInArrow(_framed(tokenizer, sent, end_id, width, level), "id bigint, tie bigint, n bigint, size bigint, frame binary"), "token-frames")
-    at = running(framed, [], ["id", "tie"], ["n", "size"])
-    # a document belongs to the file in which its first byte falls
-    dealt = at.select(F.floor(F.col("size_before") / F.lit(file_bytes)).alias("shard"), "id", F.col("n_before").alias("start"), "n", "frame")
-    manifest = dealt.groupBy("shard").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), (F.count("*") > F.count("id")).alias("null_ids"), F.count("*").alias("documents"), F.sum("n").alias("ids"), F.min("start").alias("start"))
-    manifest.write.parquet(f"{path}/manifest")
-    whole = dealt.repartition("shard").sortWithinPartitions("shard", "start").mapInArrow(_files(sent, width), "shard bigint, file binary")
+    total = framed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // file_bytes), -(-total // (8 * file_bytes)))
+    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    ranged = framed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    whole = ranged.mapInArrow(_files(sent, width, file_bytes), "shard bigint, file binary")
     whole.select("shard", F.col("file").cast("string").alias("value")).write.partitionBy("shard").text(f"{path}/files")
+    indexed = _opened(spark, path).mapInArrow(_summaries(sent), "shard bigint, first_id bigint, last_id bigint, documents bigint, ids bigint") if total else spark.createDataFrame([], "shard bigint, first_id bigint, last_id bigint, documents bigint, ids bigint")
+    placed = running(indexed, [], ["shard"], ["ids"])
+    placed.select("shard", "first_id", "last_id", "documents", "ids", F.col("ids_before").alias("start")).write.parquet(f"{path}/manifest")
+
+
+def _opened(spark: SparkSession, path: str, shards: list[int] | None = None) -> DataFrame:
+    paths = [f"{path}/files"] if shards is None else [f"{path}/files/shard={s}" for s in shards]
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(paths).select("content")
+
+
+def _parsed(file: pa.Scalar, dictionary: bytes) -> tuple[memoryview, int, int, np.ndarray, int]:
+    """A file's bytes, bytes an id, number, index, and where its index begins."""
+    data = memoryview(file.as_buffer())
+    if bytes(data[: len(MAGIC)]) != MAGIC or bytes(data[-1 - len(MAGIC) : -1]) != MAGIC:
+        raise ValueError("not a whole file of token ids")
+    if bytes(data[len(MAGIC) : len(MAGIC) + 32]) != hashlib.sha256(dictionary).digest():
+        raise ValueError("the file was written with another dictionary")
+    foot = len(data) - FOOTER
+    begin, count = (int.from_bytes(data[foot + 8 * k : foot + 8 * k + 8], "little") for k in (0, 1))
+    return data, data[HEADER - 9], int.from_bytes(data[HEADER - 8 : HEADER], "little"), np.frombuffer(data, INDEX, count, begin), begin
+
+
+def _summaries(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column("content"):
+                _, _, shard, index, _ = _parsed(file, sent.value)
+                known = index["id"][index["null"] == 0]
+                ends = [int(known[0]), int(known[-1])] if len(known) else [None, None]
+                row = [shard, *ends, len(index), int(index["n"].sum())]
+                yield pa.record_batch([pa.array([x], pa.int64()) for x in row], names=["shard", "first_id", "last_id", "documents", "ids"])
+
+    return run
 
 
 def read_dictionary(spark: SparkSession, path: str) -> bytes:
@@ -213,28 +269,19 @@ def read_dictionary(spark: SparkSession, path: str) -> bytes:
 
 def _documents(sent, wanted: np.ndarray | None, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dictionary = sent.value
-        _, decompressor = _codecs(dictionary, 3)
+        _, decompressor = _codecs(sent.value, 3)
         for batch in batches:
             for file in batch.column("content"):
-                data = memoryview(file.as_buffer())
-                if bytes(data[: len(MAGIC)]) != MAGIC or bytes(data[-1 - len(MAGIC) : -1]) != MAGIC:
-                    raise ValueError("not a whole file of token ids")
-                if bytes(data[len(MAGIC) : len(MAGIC) + 32]) != hashlib.sha256(dictionary).digest():
-                    raise ValueError("the file was written with another dictionary")
-                width, first = data[HEADER - 9], int.from_bytes(data[HEADER - 8 : HEADER], "little")
-                foot = len(data) - FOOTER
-                begin, count = (int.from_bytes(data[foot + 8 * k : foot + 8 * k + 8], "little") for k in (0, 1))
-                index = np.frombuffer(data, INDEX, count, begin)
-                start = first + np.concatenate([[0], np.cumsum(index["n"].astype(np.int64))])[:-1]
+                data, width, shard, index, begin = _parsed(file, sent.value)
+                start = np.concatenate([[0], np.cumsum(index["n"].astype(np.int64))])[:-1]
                 end = np.append(index["offset"][1:], begin).astype(np.int64)
-                take = np.arange(count) if wanted is None else np.flatnonzero(np.isin(index["id"], wanted) & (index["null"] == 0))
+                take = np.arange(len(index)) if wanted is None else np.flatnonzero(np.isin(index["id"], wanted) & (index["null"] == 0))
                 for lot in np.array_split(take, max(1, -(-int(index["n"][take].sum()) // (1 << 20)))):  # about a million ids at once
                     each = [np.frombuffer(decompressor.decompress(data[index["offset"][k] : end[k]], max_output_size=int(index["n"][k]) * width), f"<u{width}").astype("<u4") for k in lot.tolist()]
                     if any(len(x) != n for x, n in zip(each, index["n"][lot].tolist(), strict=True)):
                         raise ValueError("a document has another number of ids than the index says")
-                    made = [pa.array(index["id"][lot], pa.int64(), mask=index["null"][lot] == 1), pa.array(start[lot], pa.int64()), pa.array(index["n"][lot].astype(np.int64)), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
-                    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                    made = [pa.array(np.full(len(lot), shard)), pa.array(index["id"][lot], pa.int64(), mask=index["null"][lot] == 1), pa.array(start[lot], pa.int64()), pa.array(index["n"][lot].astype(np.int64)), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
+                    names = ["shard", "doc_id", "inside", "n_tokens", "ids_crc32"]
                     if keep_ids:
                         made, names = [*made, pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32()))], [*names, "ids"]
                     yield pa.record_batch(made, names=names)
@@ -249,22 +296,19 @@ def read_token_files(spark: SparkSession, path: str, ids: list[int] | None = Non
     wanted documents' frames are decompressed; an id that no document has gives no row. A file of another dictionary, cut short or
     of other lengths than its index says fails the query.
     """
-    dictionary = read_dictionary(spark, path)
-    sent = spark.sparkContext.broadcast(dictionary)
-    kind = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
+    sent = spark.sparkContext.broadcast(read_dictionary(spark, path))
     manifest = spark.read.parquet(f"{path}/manifest")
-    wanted = None if ids is None else np.array(sorted(set(ids)), np.int64)
-    if wanted is not None:
+    wanted, shards = None, None
+    if ids is not None:
+        wanted = np.array(sorted(set(ids)), np.int64)
         few = spark.createDataFrame([(x,) for x in wanted.tolist()], "wanted bigint")
-        manifest = manifest.join(F.broadcast(few), F.col("wanted").between(F.col("first_id"), F.col("last_id")), "left_semi")
-    if wanted is None:
-        paths = [] if manifest.isEmpty() else [f"{path}/files"]
-    else:
-        paths = [f"{path}/files/shard={r['shard']}" for r in manifest.select("shard").collect()]  # at most a file or so for each wanted id
-    if not paths:
-        return spark.createDataFrame([], kind)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(paths).select("content")
-    return files.mapInArrow(_documents(sent, wanted, keep_ids), kind)
+        held = manifest.join(F.broadcast(few), F.col("wanted").between(F.col("first_id"), F.col("last_id")), "left_semi")
+        shards = [r["shard"] for r in held.select("shard").collect()]  # at most a file or so for each wanted id
+    if shards == [] or manifest.isEmpty():
+        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
+    kind = "shard bigint, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
+    found = _opened(spark, path, shards).mapInArrow(_documents(sent, wanted, keep_ids), kind).join(manifest.select("shard", F.col("start").alias("before")), "shard")
+    return found.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
