@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowloom.operators.ranges import running
 from flowloom.operators.selection import meta_keeps, split_positions, walk_contract
 
 LEGACY_GEOMETRY, LEGACY_CONDITION = 4, 12
@@ -179,12 +180,8 @@ CONFIGURATIONS = [("C1", 0, 0.3, 0.0035), ("ICA_norm", 1, 0.3, 0.0035), ("ICA_st
 def configured(files: DataFrame) -> DataFrame:
     """config, split, path with their configuration's constants and index, counted through configurations, splits (train first) and paths.
 
-    Files of other configurations are left out. Paths are ranked within a configuration and split in ranges, and the counts
-    of those before come from the few configurations.
+    Files of other configurations are left out. All are ranked in ranges of that order, so no task holds a configuration.
     """
     known = files.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(CONFIGURATIONS)], "__order int, config string, vessel_type int, inlet double, viscosity double")
     rows = files.join(F.broadcast(known), "config").withColumn("__s", F.col("__order") * 2 + F.when(F.col("split") == "train", 0).otherwise(1))
-    counts = rows.groupBy("__s").agg(F.count("*").alias("__n"))
-    before = counts.select("__s", (F.sum("__n").over(W.orderBy("__s")) - F.col("__n")).alias("__before"))
-    placed = rows.join(before, "__s").withColumn("index", F.col("__before") + F.row_number().over(W.partitionBy("__s").orderBy("path")) - 1)
-    return placed.select("config", "split", "path", "vessel_type", "inlet", "viscosity", "index")
+    return running(rows, [], ["__s", "path"]).select("config", "split", "path", "vessel_type", "inlet", "viscosity", F.col("position").alias("index"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.strings import path_key, stem
 from flowloom.functions.draws import key_hash, uniform
+from flowloom.operators.ranges import running
 
 
 def first_match(files: DataFrame, manifest: DataFrame, keys: list[Column], manifest_key: str, file_id: str, take: list[str]) -> DataFrame:
@@ -193,25 +194,40 @@ def group_stats(rows: DataFrame, group: str, territory: str, speed: str) -> Data
     return n.groupBy(group).agg(F.min(F.struct((-F.col("k")).alias("k"), F.col(territory).alias("t")))["t"].alias("territory"), F.try_divide(F.sum("s"), F.sum("c")).alias("speed"), F.sum("k").alias("rows"))
 
 
-def speed_bins(stats: DataFrame, bins: int) -> DataFrame:
-    """Adds bin: how many distinct quantile edges are at or below the group's speed. The edges are a handful of constants."""
+def speed_bins(stats: DataFrame, bins: int, speed: str = "speed") -> DataFrame:
+    """Adds bin: how many distinct quantile edges are at or below the group's speed. The edges, a handful of constants, are those of finite speeds."""
     cuts = [i / bins for i in range(1, bins)]
-    edges = sorted(set(stats.where(~F.isnan("speed")).agg(F.percentile("speed", F.array(*map(F.lit, cuts)))).first()[0] or [])) if cuts else []
-    return stats.withColumn("bin", sum((F.when(F.col("speed") >= e, 1).otherwise(0) for e in edges), F.lit(0)))
+    finite = stats.where(~F.isnan(speed) & ~F.abs(speed).isin(float("inf")))
+    edges = sorted(set(finite.agg(F.percentile(speed, F.array(*map(F.lit, cuts)))).first()[0] or [])) if cuts else []
+    return stats.withColumn("bin", sum((F.when(F.col(speed) >= e, 1).otherwise(0) for e in edges), F.lit(0)))
+
+
+def hash_ranked(rows: DataFrame, key: str, seed: int, sums: list[str] | None = None) -> DataFrame:
+    """``rows`` with rank (from 0), total and, for each of ``sums``, ``<c>_before``, in the order of a seeded hash of the key.
+
+    Rows are ranked within the 4,096 ranges that the hash's first digits make, which are even, and the ranges' counts are
+    added up by a window over them: one plan, whose size hangs on nothing, and no task with more than its ranges.
+    """
+    sums = sums or []
+    dealt = rows.withColumn("__h", key_hash(seed, key)).withColumn("__b", F.substring("__h", 1, 3))
+    counts = dealt.groupBy("__b").agg(F.count("*").alias("__n"), *(F.sum(c).alias(f"__s_{c}") for c in sums))
+    w, every = W.orderBy("__b"), W.partitionBy()  # over 4,096 rows at most
+    starts = counts.select(F.col("__b").alias("__c"), (F.sum("__n").over(w) - F.col("__n")).alias("__start"), F.sum("__n").over(every).alias("total"), *((F.sum(f"__s_{c}").over(w) - F.col(f"__s_{c}")).alias(f"__start_{c}") for c in sums))
+    within = W.partitionBy("__b").orderBy("__h", key)
+    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1)
+    for c in sums:
+        ranked = ranked.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    joined = ranked.join(F.broadcast(starts), F.col("__b") == F.col("__c"))
+    joined = joined.withColumn("rank", (F.col("rank") + F.col("__start")).cast("long")).withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"__start_{c}") for c in sums})
+    return joined.select(*rows.columns, "rank", "total", *(f"{c}_before" for c in sums))
 
 
 def hashed_folds(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """Plain k folds whose sizes differ by one at most (the larger ones first), in the order of a seeded hash."""
-    dealt = rows.withColumn("__h", key_hash(seed, key)).withColumn("__b", F.substring("__h", 1, 3))
-    counts = dict(dealt.groupBy("__b").count().collect())  # at most 4096 rows
-    before, total = {}, 0
-    for b in sorted(counts):
-        before[b], total = total, total + counts[b]
-    start = F.create_map(*(F.lit(x) for kv in (before or {"": 0}).items() for x in kv))[F.col("__b")]
-    ranked = dealt.withColumn("__r", start + F.row_number().over(W.partitionBy("__b").orderBy("__h", key)) - 1).drop("__h", "__b")
-    big, size = total % k, total // k
-    fold = F.when(F.col("__r") < big * (size + 1), F.floor(F.col("__r") / (size + 1))).otherwise(big + F.floor((F.col("__r") - big * (size + 1)) / max(size, 1)))
-    return ranked.withColumn("fold", fold.cast("int")).drop("__r")
+    big, size, rank = F.col("total") % k, F.floor(F.col("total") / k), F.col("rank")
+    rest = big + F.floor((rank - big * (size + 1)) / F.greatest(size, F.lit(1)))
+    fold = F.when(rank < big * (size + 1), F.floor(rank / (size + 1))).otherwise(rest)
+    return hash_ranked(rows, key, seed).withColumn("fold", fold.cast("int")).select(*rows.columns, "fold")
 
 
 def pretrain_split(rows: DataFrame, key: str, ntrain: int, ntest: int, seed: int) -> DataFrame:
@@ -232,24 +248,15 @@ def pretrain_split(rows: DataFrame, key: str, ntrain: int, ntest: int, seed: int
     return ranked.withColumn("split", F.when(F.col("__r") <= train, "train").otherwise("test")).drop("__h", "__r")
 
 
-def split_positions(rows: DataFrame, split: str, index: str, carry: list[str] | None = None) -> DataFrame:
-    """split, position (from 0), index (a number) and ``carry`` of each row, in the order of the index within its split; null indices are left out.
+def split_positions(rows: DataFrame, split: str | list[str], index: str, carry: list[str] | None = None) -> DataFrame:
+    """split, position (from 0), index (a number or name) and ``carry`` of each row, in the order of the index within its split; null indices are left out.
 
-    A split is ranked in ranges of the index, as many as there are shuffle partitions, so no task holds a whole split.
+    ``split`` may be several columns, which then keep their names. A split is ranked in ranges of the index (see ``running``), so no task holds a whole one.
     """
-    carry = carry or []
-    given = rows.select(F.col(split).alias("split"), F.col(index).alias("index"), *carry).where(F.col("index").isNotNull())
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [i / parts for i in range(1, parts)]
-    edges = sorted(set(given.agg(F.percentile_approx("index", cuts)).first()[0] or [])) if cuts else []
-    of = sum((F.when(F.col("index") >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    dealt = given.withColumn("__b", of)
-    counts = dealt.groupBy("split", "__b").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(W.partitionBy("split").orderBy("__b")) - F.col("__n")
-    starts = counts.select(F.col("split").alias("__s"), F.col("__b").alias("__c"), before.alias("__start"))
-    ranked = dealt.withColumn("__r", F.row_number().over(W.partitionBy("split", "__b").orderBy("index", *carry)))
-    joined = ranked.join(starts, F.col("split").eqNullSafe(F.col("__s")) & F.col("__b").eqNullSafe(F.col("__c")))
-    return joined.select("split", (F.col("__start") + F.col("__r") - 1).cast("long").alias("position"), "index", *carry)
+    names, carry = ([split] if isinstance(split, str) else split), carry or []
+    told = ["split"] if isinstance(split, str) else names
+    given = rows.select(*(F.col(c).alias(t) for c, t in zip(names, told, strict=True)), F.col(index).alias("index"), *carry).where(F.col("index").isNotNull())
+    return running(given, told, ["index", *carry]).select(*told, "position", "index", *carry)
 
 
 def split_blocks(rows: DataFrame, split: str, index: str, block: int = 1000) -> DataFrame:
@@ -258,32 +265,89 @@ def split_blocks(rows: DataFrame, split: str, index: str, block: int = 1000) ->
     return at.groupBy("split", "block").agg(F.array_sort(F.collect_list(F.struct("position", "index")))["index"].alias("indices"))
 
 
-def dealt_group_folds(groups: DataFrame, k: int, seed: int, group: str = "group", size: str = "rows", strata: list[str] | None = None) -> DataFrame:
-    """group, fold, ``size``: whole groups dealt to k folds within each stratum, the largest first, to and fro (0 to k - 1, k - 1 to 0, ...).
+def _phases(sizes: list[int], count: int, size: int) -> list[tuple[int, list[int]]]:
+    """How ``count`` groups of one size are dealt, each to the smallest fold (of equals the first): (place of the first, folds in turn), and ``sizes`` is what they are then.
 
-    Groups of one size come in the order of a seeded hash. Sizes of a stratum's folds differ by its largest group at most.
-    Groups of any number stay in Spark; see ``group_folds`` for the greedy assignment on the driver.
+    Folds whose turn comes round before any other's take turns. They go on until the next smallest one is reached, so there
+    are no more phases than folds, however many groups.
+    """
+    out, at = [], 0
+    while at < count:
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+        if size == 0:
+            return [*out, (at, [order[0]])]
+        first = order[0]
+        turn = [i for i in order if (sizes[i], i) < (sizes[first] + size, first)]
+        others = order[len(turn) :]
+        take = count - at
+        if others:
+            j = others[0]
+            take = min(take, sum((sizes[j] - sizes[i]) // size + 1 if i < j else -(-(sizes[j] - sizes[i]) // size) for i in turn))
+        out.append((at, turn))
+        for n, i in enumerate(turn):
+            sizes[i] += size * (take // len(turn) + (n < take % len(turn)))
+        at += take
+    return out
+
+
+def greedy_group_folds(groups: DataFrame, k: int, seed: int, group: str = "group", size: str = "rows", strata: list[str] | None = None, max_runs: int = 1_000_000) -> DataFrame:
+    """group, fold, ``size``: whole groups in k folds, each put to the fold that has the fewest rows (of equals the first), the largest groups first.
+
+    Strata are dealt one after another, in their order, over the same folds; groups of one size come in the order of a seeded
+    hash. Groups of one stratum and size are a run: only runs come to the driver, with their counts, and go back with the
+    turns that their groups take (``_phases``). There are as many as different sizes in each stratum; more than
+    ``max_runs`` are an error. A fold without a group fails the query, as its training or test part would be empty.
     """
-    stratum = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata)) if strata else F.lit("")
-    order = groups.select(stratum.alias("__s"), (uniform(seed, group) - F.col(size)).alias("__i"), F.col(group), F.col(size))
-    at = split_positions(order, "__s", "__i", [group, size])
-    turn, place = F.floor(F.col("position") / k), F.pmod("position", F.lit(k))
-    return at.select(group, F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"), size)
+    strata = strata or []
+    given = groups.select(*strata, F.col(group).alias("__g"), F.col(size).cast("long").alias("__size"), key_hash(seed, group).alias("__h"))
+    ranked = running(given, [*strata, "__size"], ["__h", "__g"])
+    runs = ranked.groupBy(*strata, "__size").agg(F.count("*").alias("n"))
+    order = [*(F.col(c).asc_nulls_first() for c in strata), F.col("__size").desc()]
+    rows = runs.orderBy(*order).limit(max_runs + 1).collect()
+    if len(rows) > max_runs:
+        raise ValueError(f"more than {max_runs} sizes of groups")
+    sizes, dealt, made = [0] * k, [0] * k, []
+    for r in rows:
+        phases = _phases(sizes, r["n"], r["__size"])
+        for (at, turn), end in zip(phases, [*(p[0] for p in phases[1:]), r["n"]], strict=True):
+            for n, i in enumerate(turn):
+                dealt[i] += (end - at) // len(turn) + (n < (end - at) % len(turn))
+        made.append((*(r[c] for c in [*strata, "__size"]), phases))
+    if 0 in dealt:
+        raise ValueError(f"fold {dealt.index(0)} of {k} has no group")
+    kind = ", ".join([*(f"`__s{i}` {groups.schema[c].dataType.simpleString()}" for i, c in enumerate(strata)), "__n bigint", "phases array<struct<at: bigint, turn: array<int>>>"])
+    turns = groups.sparkSession.createDataFrame(made, kind)
+    same = F.col("__size") == F.col("__n")
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"__s{i}"))
+    last = F.element_at(F.filter("phases", lambda p: p["at"] <= F.col("position")), -1)
+    fold = F.get(last["turn"], ((F.col("position") - last["at"]) % F.size(last["turn"])).cast("int"))
+    return ranked.join(turns, same).select(F.col("__g").alias(group), fold.alias("fold"), F.col("__size").cast(groups.schema[size].dataType).alias(size))
+
+
+def stratified_group_folds(stats: DataFrame, bins: int, k: int, seed: int, group: str = "group", size: str = "rows", territory: str = "territory", speed: str = "speed") -> DataFrame:
+    """Greedy folds within strata of territory and speed bin; without any finite speed, without strata."""
+    finite = ~F.isnan(speed) & ~F.abs(speed).isin(float("inf"))
+    if stats.where(F.col(speed).isNotNull() & finite).isEmpty():
+        return greedy_group_folds(stats, k, seed, group, size)
+    return greedy_group_folds(speed_bins(stats, bins, speed), k, seed, group, size, [territory, "bin"])
 
 
 def carved_groups(groups: DataFrame, target: int, seed: int, fold: int, group: str = "group", size: str = "rows") -> DataFrame:
     """``groups`` with validation: whether a group is taken for it, in the order of a hash, until ``target`` rows are reached, leaving one group at least."""
-    dealt = groups.withColumn("__h", uniform(seed + 1009 + fold, group)).withColumn("__b", F.floor(F.col("__h") * 1024))
-    sums = {r["__b"]: (r["n"], r["s"]) for r in dealt.groupBy("__b").agg(F.count("*").alias("n"), F.sum(size).alias("s")).collect()}  # at most 1024 rows
-    starts, count, total = {}, 0, 0
-    for b in sorted(sums):
-        starts[b] = (count, total)
-        count, total = count + sums[b][0], total + sums[b][1]
-    start = lambda i: F.create_map(*(F.lit(x) for b, v in (starts or {0: (0, 0)}).items() for x in (b, v[i])))[F.col("__b")]
-    w = W.partitionBy("__b").orderBy("__h", group)
-    before = start(1) + F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    taken = (before < target) & (start(0) + F.row_number().over(w) < count)
-    return dealt.withColumn("validation", taken).drop("__h", "__b")
+    ranked = hash_ranked(groups, group, seed + 1009 + fold, [size])
+    taken = (F.col(f"{size}_before") < target) & (F.col("rank") + 1 < F.col("total"))
+    return ranked.withColumn("validation", taken).select(*groups.columns, "validation")
+
+
+def fold_parts(folds: DataFrame, fold: int, validation: DataFrame, group: str = "group") -> DataFrame:
+    """``folds`` with role for one fold: test, val (those that ``validation`` takes) or train. A part without a group fails the query."""
+    val = validation.where("validation").select(group).withColumn("__val", F.lit(True))
+    told = folds.join(val, group, "left").withColumn("role", F.when(F.col("fold") == fold, "test").when(F.col("__val"), "val").otherwise("train")).drop("__val")
+    lacking = {"train", "val", "test"} - {r["role"] for r in told.select("role").distinct().collect()}
+    if lacking:
+        raise ValueError(f"fold {fold} has no {' and no '.join(sorted(lacking))}")
+    return told
 
 
 def strict_folds(folds: DataFrame, tests: DataFrame, fold: int, evaluate: str, ntrain: int | None = None, neval: int | None = None) -> DataFrame:
@@ -303,49 +367,6 @@ def strict_folds(folds: DataFrame, tests: DataFrame, fold: int, evaluate: str, n
     return train.unionByName(held)
 
 
-def group_folds(groups: DataFrame, k: int, seed: int, group: str = "group", size: str = "rows", strata: list[str] | None = None, max_groups: int = 1_000_000) -> list[list[str]]:
-    """Folds of whole groups, greedily balanced: groups, shuffled by the seed, in order of size go to the smallest fold.
-
-    Strata are dealt one after another over the same folds. What comes to the driver is a name and a size per group, of at
-    most ``max_groups``: more are an error, and ``dealt_group_folds`` deals any number in Spark.
-    """
-    import numpy as np
-
-    if groups.limit(max_groups + 1).count() > max_groups:
-        raise ValueError(f"more than {max_groups} groups: use dealt_group_folds")
-
-    rows = sorted(groups.select(group, size, *(strata or [])).collect(), key=lambda r: (*(r[s] for s in strata or []), r[group]))
-    rng, folds, sizes = np.random.default_rng(seed), [[] for _ in range(k)], [0] * k
-    by: dict[tuple, list] = {}
-    for r in rows:
-        by.setdefault(tuple(r[s] for s in strata or []), []).append(r)
-    for stratum in sorted(by):
-        names = np.array([r[group] for r in by[stratum]], dtype=object)
-        of = {r[group]: r[size] for r in by[stratum]}
-        rng.shuffle(names)
-        for name in sorted(names, key=lambda n: -of[n]):
-            target = int(np.argmin(sizes))
-            folds[target].append(name)
-            sizes[target] += of[name]
-    return folds
-
-
-def validation_groups(remaining: list[str], sizes: dict[str, int], target: int, seed: int, fold: int) -> list[str]:
-    """Groups for validation out of those that a fold trains on: shuffled, taken until ``target`` rows, leaving one group at least."""
-    import numpy as np
-
-    names = list(remaining)
-    np.random.default_rng(seed + 1009 + fold).shuffle(names)
-    taken: list[str] = []
-    total = 0
-    for name in names[:-1]:
-        taken.append(name)
-        total += sizes[name]
-        if total >= target:
-            break
-    return taken
-
-
 def early_stop(history: DataFrame, run: str, epoch: str, loss: str, min_delta: float, patience: int) -> DataFrame:
     """Per run: the best accepted loss, its epoch, and the epoch at which ``patience`` epochs had brought no improvement (null: never).
 

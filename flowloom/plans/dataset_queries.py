@@ -168,7 +168,7 @@ def x2_strict_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold 2, evaluated on its validation indices, with limits, and on the independent tests, whole."""
     o = table(spark, sf_dir, "orders")
     named = o.where("o_orderstatus <> 'P'").select((F.col("o_custkey") % 4).alias("fold"), F.when(F.col("o_orderkey") % 5 == 0, "val").otherwise("train").alias("role"), "o_orderkey")
-    at = sel.split_positions(named.withColumn("s", F.struct("fold", "role")), "s", "o_orderkey").select("split.*", "position", "index")
+    at = sel.split_positions(named, ["fold", "role"], "o_orderkey")
     tests = sel.split_positions(o.where("o_orderstatus = 'P'"), "o_orderstatus", "o_orderkey").select("position", "index")
     each = [sel.strict_folds(at, tests, 2, e, *limits).withColumn("evaluate", F.lit(e)) for e, limits in (("val", (100, 40)), ("test", ()))]
     return each[0].unionByName(each[1]).select("evaluate", "role", "index")

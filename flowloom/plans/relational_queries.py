@@ -10,7 +10,7 @@ from flowloom.operators import quality_control as qc
 from flowloom.operators import selection as sel
 from flowloom.plans.adapters import CFD, POINTS, cfd, points, rounded
 from flowloom.plans.registry import register
-from flowloom.session import table
+from flowloom.session import cut_lineage, table
 
 
 def _r(**cols: str) -> str:
@@ -324,11 +324,15 @@ def _u(seed: int, key: str) -> str:
 _BY_CUSTOMER = """SELECT o_custkey AS grp, arg_min(territory, (-k, territory)) AS territory, sum(k)::BIGINT AS rows, sum(s) / sum(k) AS speed FROM (SELECT o_custkey, split_part(o_orderpriority, '-', 1) AS territory, count(*) AS k, sum(CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE sqrt(o_totalprice) END) AS s FROM orders GROUP BY ALL) GROUP BY o_custkey"""
 
 
-def _dealt(strata: str) -> str:
-    return f"p AS (SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY {_u(2026, 'grp')} - rows, grp) - 1 AS pos FROM g), d AS (SELECT grp, rows, (CASE WHEN pos // 5 % 2 = 0 THEN pos % 5 ELSE 4 - pos % 5 END)::INT AS fold FROM p)"
+def _greedy(order: str) -> str:
+    """Groups in order, each to the fold of the fewest rows so far, of equals the first: by recursion over all groups."""
+    return f"""o AS (SELECT grp, rows, row_number() OVER (ORDER BY {order} rows DESC, md5('2026|' || grp), grp) AS n FROM g),
+z AS (SELECT 0::BIGINT AS n, [0, 0, 0, 0, 0]::BIGINT[] AS sizes, NULL::BIGINT AS grp, NULL::BIGINT AS rows, NULL::INT AS fold
+  UNION ALL SELECT n, list_transform(sizes, lambda x, i: x + CASE WHEN i = fold + 1 THEN rows ELSE 0 END), grp, rows, fold FROM (SELECT o.n, z.sizes, o.grp, o.rows, (list_position(z.sizes, list_min(z.sizes)) - 1)::INT AS fold FROM z JOIN o ON o.n = z.n + 1)),
+d AS (SELECT grp, rows, fold FROM z WHERE n > 0)"""
 
 
-_FOLDS = f"WITH g AS ({_BY_CUSTOMER}), {_dealt('territory')}\n"
+_FOLDS = f"WITH RECURSIVE g AS ({_BY_CUSTOMER}), {_greedy('')}\n"
 
 
 def _customer_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,15 +343,14 @@ def _customer_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("x4_group_folds", _FOLDS + "SELECT grp, fold, rows FROM d")
 def x4_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer's orders in one of five folds, dealt by size within a territory."""
-    return sel.dealt_group_folds(_customer_groups(spark, sf_dir), 5, 2026, "grp", "rows", ["territory"])
+    """Every customer's orders in one of five folds, the largest first, each to the smallest fold."""
+    return sel.greedy_group_folds(_customer_groups(spark, sf_dir), 5, 2026, "grp", "rows")
 
 
-@register("x5_stratified_folds", f"WITH g0 AS ({_BY_CUSTOMER}), q AS (SELECT quantile_cont(speed, 0.25) AS a, quantile_cont(speed, 0.5) AS b, quantile_cont(speed, 0.75) AS c FROM g0), g AS (SELECT *, (speed >= a)::INT + (speed >= b)::INT + (speed >= c)::INT AS bin FROM g0, q), {_dealt('territory, bin')} SELECT grp, fold, rows FROM d")
+@register("x5_stratified_folds", f"WITH RECURSIVE g0 AS ({_BY_CUSTOMER}), q AS (SELECT quantile_cont(speed, 0.25) AS a, quantile_cont(speed, 0.5) AS b, quantile_cont(speed, 0.75) AS c FROM g0), g AS (SELECT *, (speed >= a)::INT + (speed >= b)::INT + (speed >= c)::INT AS bin FROM g0, q), {_greedy('territory, bin,')} SELECT grp, fold, rows FROM d")
 def x5_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five folds of whole customers, dealt within strata of territory and speed bin."""
-    binned = sel.speed_bins(_customer_groups(spark, sf_dir), 4)
-    return sel.dealt_group_folds(binned, 5, 2026, "grp", "rows", ["territory", "bin"])
+    """Five folds of whole customers, dealt stratum by stratum (territory and speed bin) over the same folds."""
+    return sel.stratified_group_folds(_customer_groups(spark, sf_dir), 4, 5, 2026, "grp", "rows")
 
 
 @register("x6_validation_groups", _FOLDS + f", r AS (SELECT grp, rows, {_u(2026 + 1009 + 2, 'grp')} AS h FROM d WHERE fold <> 2), w AS (SELECT *, coalesce(sum(rows) OVER (ORDER BY h, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY h, grp) AS k, count(*) OVER () AS n FROM r) SELECT grp, rows, before < (SELECT greatest(1, count(*) // 10) FROM orders) AND k < n AS validation FROM w")
@@ -363,13 +366,16 @@ def x3_plain_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.hashed_folds(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 7, 2026)
 
 
-@register("x8_folds_disjoint", _FOLDS + "SELECT fold, count(*) AS n_groups, count(o.o_orderkey) AS n_rows, 0::BIGINT AS straddling FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders) o JOIN d ON d.grp = o.o_custkey GROUP BY fold".replace("count(*) AS n_groups", "count(DISTINCT grp) AS n_groups"))
+@register("x8_folds_disjoint", _FOLDS + f", r AS (SELECT grp, rows, md5('{2026 + 1009 + 2}|' || grp) AS h FROM d WHERE fold <> 2), c AS (SELECT grp, coalesce(sum(rows) OVER (ORDER BY h, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (SELECT greatest(1, count(*) // 10) FROM orders) AND row_number() OVER (ORDER BY h, grp) < count(*) OVER () AS validation FROM r), p AS (SELECT d.grp, d.fold, CASE WHEN d.fold = 2 THEN 'test' WHEN c.validation THEN 'val' ELSE 'train' END AS role FROM d LEFT JOIN c USING (grp)) SELECT role, count(DISTINCT grp) AS n_groups, count(o.o_orderkey) AS n_rows, 0::BIGINT AS straddling FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders) o JOIN p ON p.grp = o.o_custkey GROUP BY role")
 def x8_folds_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per fold: its groups and orders, none of them empty, and how many of its groups stand in another fold too."""
-    folds = x4_group_folds(spark, sf_dir)
-    each = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("grp")).distinct().join(folds, "grp")
-    several = folds.groupBy("grp").agg((F.countDistinct("fold") > 1).alias("several"))
-    return each.join(several, "grp").groupBy("fold").agg(F.countDistinct("grp").alias("n_groups"), F.count("o_orderkey").alias("n_rows"), F.count_if("several").alias("straddling"))
+    """Train, validation and test of fold 2: groups and orders of each, none empty, and how many groups stand in another part too."""
+    folds = cut_lineage(x4_group_folds(spark, sf_dir))
+    target = max(1, table(spark, sf_dir, "orders").count() // 10)
+    taken = sel.carved_groups(folds.where("fold <> 2").select("grp", "rows"), target, 2026, 2, "grp", "rows")
+    parts = sel.fold_parts(folds, 2, taken, "grp")
+    each = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("grp")).distinct().join(parts, "grp")
+    several = parts.groupBy("grp").agg((F.countDistinct("role") > 1).alias("several"))
+    return each.join(several, "grp").groupBy("role").agg(F.countDistinct("grp").alias("n_groups"), F.count("o_orderkey").alias("n_rows"), F.countDistinct(F.when(F.col("several"), F.col("grp"))).alias("straddling"))
 
 
 @register("a16_split_lists", "WITH r AS (SELECT o_orderstatus AS split, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS pos FROM orders) SELECT split, pos // 1000 AS block, list(o_orderkey ORDER BY pos) AS indices FROM r GROUP BY ALL")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators import frames, sampling
 from flowloom.operators import selection as sel
+from flowloom.operators.ranges import running
 from flowloom.plans.adapters import CFD, POINTS, cfd, points, rounded
 from flowloom.plans.geometry_queries import CUBE, HALF, cubes
 from flowloom.plans.registry import register
@@ -150,8 +151,6 @@ def s24_first_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("s29_running_index", "SELECT p_brand, p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS idx FROM part")
 def s29_running_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running index over configurations: the counts of those before, by a window over their few counts, plus the place within one's own."""
+    """A running index over configurations, ranked in ranges of brand and key."""
     p = table(spark, sf_dir, "part").select("p_brand", "p_partkey")
-    counts = p.groupBy("p_brand").agg(F.count("*").alias("n"))
-    before = counts.select("p_brand", (F.sum("n").over(W.orderBy("p_brand")) - F.col("n")).alias("start"))
-    return p.join(before, "p_brand").withColumn("idx", (F.col("start") + F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long")).select("p_brand", "p_partkey", "idx")
+    return running(p, [], ["p_brand", "p_partkey"]).select("p_brand", "p_partkey", F.col("position").alias("idx"))

@@ -127,14 +127,53 @@ def test_null_case_is_not_reserved(spark):
     assert [r.i for r in kept.collect()] == [2]
 
 
-def test_group_folds_keep_groups_whole_and_repeat(spark):
-    g = spark.createDataFrame([(f"g{i}", i % 5 + 1, "AB"[i % 2]) for i in range(12)], "group string, rows int, t string")
-    a, b = (selection.group_folds(g, 3, 7, strata=["t"]) for _ in range(2))
-    assert a == b and sorted(x for f in a for x in f) == sorted(f"g{i}" for i in range(12))
-    sizes = [sum(int(n[1:]) % 5 + 1 for n in f) for f in a]
-    assert max(sizes) - min(sizes) <= 5
-    val = selection.validation_groups(a[0] + a[1], {f"g{i}": i % 5 + 1 for i in range(12)}, 3, 7, 2)
-    assert 0 < len(val) < len(a[0] + a[1])
+def greedy(rows, k, seed):
+    """The rule itself, one group after another."""
+    import hashlib
+
+    sizes, out = [0] * k, {}
+    for t, _, _, name, n in sorted((t, -n, hashlib.md5(f"{seed}|{g}".encode()).hexdigest(), g, n) for g, n, t in rows):
+        fold = sizes.index(min(sizes))
+        out[name], sizes[fold] = fold, sizes[fold] + n
+    return out, sizes
+
+
+@pytest.mark.parametrize(("count", "strata"), [(12, 12), (24, 8), (200, 3), (60, 1)])
+def test_greedy_folds_are_those_of_the_rule(spark, count, strata):
+    rows = [(f"g{i}", (i * i) % 7 + (40 if i % 29 == 5 else 0) + (i < 20), f"t{i % strata:02d}") for i in range(count)]
+    df = spark.createDataFrame(rows, "group string, rows int, t string")
+    got = selection.greedy_group_folds(df, 5, 7, strata=["t"]).collect()
+    want, sizes = greedy(rows, 5, 7)
+    assert {r.group: r.fold for r in got} == want and len(got) == count
+    assert max(sizes) - min(sizes) <= max(n for _, n, _ in rows)
+
+
+def test_phases_deal_like_the_rule():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        k, size, count = rng.randrange(1, 7), rng.randrange(0, 5), rng.randrange(0, 60)
+        sizes = [rng.randrange(0, 40) for _ in range(k)]
+        after, want = list(sizes), []
+        for _ in range(count):
+            want.append(after.index(min(after)))
+            after[want[-1]] += size
+        phases = selection._phases(sizes, count, size)
+        got = [turn[(p - at) % len(turn)] for p in range(count) for at, turn in [[x for x in phases if x[0] <= p][-1]]]
+        assert got == want and sizes == after and len(phases) <= k + 1
+
+
+def test_a_part_without_groups_fails(spark):
+    few = spark.createDataFrame([(f"g{i}", 2) for i in range(3)], "group string, rows int")
+    with pytest.raises(ValueError, match="no group"):
+        selection.greedy_group_folds(few, 5, 7)
+    folds = selection.greedy_group_folds(few, 3, 7)
+    none = few.withColumn("validation", F.lit(False))
+    with pytest.raises(ValueError, match="no val"):
+        selection.fold_parts(folds, 1, none)
+    spread = selection.stratified_group_folds(spark.createDataFrame([(f"g{i}", 1, f"t{i}", float("nan") if i % 2 else float(i)) for i in range(12)], "group string, rows int, territory string, speed double"), 4, 5, 1)
+    assert sorted(r["count"] for r in spread.groupBy("fold").count().collect()) == [2, 2, 2, 3, 3]
 
 
 def test_early_stop_counts_only_accepted_improvements(spark):
