@@ -69,8 +69,11 @@ class WordTable(ChunkTable):
         mark, name = self.between
         if any(name in c for c in chunks):
             return joined(self._whole(chunks))
-        made = self.processor.encode_batch_fast([name.join(chunks[i : i + 256]) + name for i in range(0, len(chunks), 256)], add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, np.uint32) for x in made])
+        ids = []
+        for lot in range(0, len(chunks), 1 << 13):  # what the library makes of a lot is freed before the next
+            many = [name.join(chunks[i : i + 256]) + name for i in range(lot, min(lot + (1 << 13), len(chunks)), 256)]
+            ids += [np.array(x.ids, np.uint32) for x in self.processor.encode_batch_fast(many, add_special_tokens=False)]
+        ids = np.concatenate(ids)
         ends = np.flatnonzero(ids == mark)
         if len(ends) != len(chunks):  # a name cut across two chunks
             return joined(self._whole(chunks))
@@ -127,7 +130,7 @@ def encoded(texts: pa.Array, path: str) -> list[np.ndarray]:
 
 def _serialized(path: str, end_id: int | None, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text"):
             made = [_ended(x, end_id).astype(f"<u{width}").tobytes() for x in encoded(part.column("text"), path)]
             yield pa.record_batch([pa.array(made, pa.binary())], names=["ids"])
 
@@ -142,8 +145,9 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str, end
     """A zstandard dictionary of the id arrays of at most ``max_rows`` documents of ``max_chars`` characters or less, those of the lowest hash; empty if they are too few."""
     import zstandard
 
-    short = docs.where((F.length(text_col) > 0) & (F.length(text_col) <= max_chars))
-    sample = short.orderBy(F.xxhash64(F.col(id_col).cast("string"), text_col), text_col).limit(max_rows).select(F.col(text_col).alias("text"))
+    short = docs.where((F.length(text_col) > 0) & (F.length(text_col) <= max_chars)).select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("hash"), F.col(text_col).alias("text"))
+    last = short.select("hash").orderBy("hash").limit(max_rows).agg(F.max("hash")).first()[0]
+    sample = short.where(F.col("hash") <= F.lit(last)).limit(max_rows).select("text")  # more only where rows repeat
     rows = sample.mapInArrow(_serialized(path, end_id, width), "ids binary").toArrow().column("ids").to_pylist()  # bounded by both parameters
     rows = sorted(x for x in rows if len(x) >= 8)
     try:
@@ -165,7 +169,7 @@ def _framed(path: str, sent, end_id: int | None, width: int, level: int) -> Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor, _ = _codecs(sent.value, level)
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text"):
             each = [_ended(x, end_id) for x in encoded(part.column("text"), path)]
             if any(len(x) and int(x.max()) >> 8 * width for x in each):
                 raise ValueError(f"an id does not fit {width} bytes")
@@ -206,7 +210,7 @@ def _files(sent, width: int, file_bytes: int) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 16 << 20, level: int = 3, max_rows: int = 2_000, max_chars: int = 8_192, dictionary_bytes: int = 112_640) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 8 << 20, level: int = 3, max_rows: int = 2_000, max_chars: int = 8_192, dictionary_bytes: int = 112_640) -> None:
     """Writes every document's ids, in ascending order of the documents' ids, in files of about ``file_bytes``.
 
     A null text is an empty one: of the end id alone. Null ids come first; rows that share an id are each written, in the order of a
