@@ -80,11 +80,35 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def words(texts: pa.Array, separators: np.ndarray = SPACE, lower: bool = False) -> Words:
-    """The maximal runs of bytes that aren't ``separators`` in each text."""
+def places_of(data: np.ndarray, names: list[bytes]) -> np.ndarray:
+    """Whether each byte is the last of one of ``names``."""
+    found = np.zeros(len(data), bool)
+    for name in names:
+        hit = np.ones(max(0, len(data) - len(name) + 1), bool)
+        for k, byte in enumerate(name):
+            hit &= data[k : k + len(hit)] == byte
+        found[len(name) - 1 :] |= hit
+    return found
+
+
+def _ideographs(data: np.ndarray) -> np.ndarray:
+    """Whether a kana or an ideograph, of three bytes, begins at each byte."""
+    found = np.zeros(len(data), bool)
+    found[:-2] = ((data[:-2] == 0xE3) & (data[1:-1] >= 0x81)) | ((data[:-2] >= 0xE4) & (data[:-2] <= 0xE9))
+    return found
+
+
+def words(texts: pa.Array, separators: np.ndarray = SPACE, lower: bool = False, marks: list[bytes] | None = None) -> Words:
+    """The maximal runs of bytes that aren't ``separators`` in each text; with ``marks``, these part words too, and each ideograph is one."""
     data, offsets = raw(pc.utf8_lower(texts) if lower else texts)
     n = len(data)
     inside = ~separators[data]
+    alone = np.zeros(n + 3, bool)
+    if marks is not None:
+        for name in {len(m) for m in marks}:
+            ends = np.flatnonzero(places_of(data, [m for m in marks if len(m) == name]))
+            inside[(ends[:, None] - np.arange(name)).ravel()] = False
+        alone[:n] = _ideographs(data) & inside
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
     before = np.empty(n, bool)
@@ -93,8 +117,10 @@ def words(texts: pa.Array, separators: np.ndarray = SPACE, lower: bool = False)
     after = np.empty(n, bool)
     after[-1:] = False
     after[:-1] = inside[1:]
-    start = np.flatnonzero(inside & (~before | begins[:n]))
-    end = np.flatnonzero(inside & (~after | begins[1:])) + 1
+    apart = begins[: n + 1] | alone[: n + 1]  # before an ideograph and after it
+    apart[3:] |= alone[: n - 2] if n > 2 else False
+    start = np.flatnonzero(inside & (~before | apart[:n]))
+    end = np.flatnonzero(inside & (~after | apart[1:])) + 1
     return Words(data, offsets, start, end, np.searchsorted(offsets, start, "right") - 1, range_hashes(data, start, end))
 
 

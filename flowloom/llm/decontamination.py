@@ -149,32 +149,104 @@ def windows(t: Template, size: int, plain: int, mode: int = TYPED) -> tuple[np.n
 
 
 @dataclass
-class Block:
-    """Part of the benchmark: its windows by hash (with item and place), and each item's template words."""
+class Group:
+    """Items of one template whose values are equal at the same places: what an occurrence says of one, it says of all but for their values.
 
-    size: int
-    plain: int
-    share: float
+    kinds, same: of each template word, its kind and the number of its value among the item's; values: items x words; hash, place: its windows.
+    """
+
+    kinds: np.ndarray
+    same: np.ndarray
+    values: np.ndarray
+    items: np.ndarray
     hash: np.ndarray
-    item: np.ndarray
     place: np.ndarray
-    names: list
-    kinds: list[np.ndarray]
-    values: list[np.ndarray]
-    total: np.ndarray
-    lengths: list[int]
-    literal: bool
+    length: int
+    need: float
+
+
+@dataclass
+class Index:
+    """Windows of many owners, sorted by hash: hash, owner, place."""
+
+    hash: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
 
     def __post_init__(self):
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.owner, self.place = self.hash[order], self.owner[order], self.place[order]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
+    def held(self, h: np.ndarray) -> np.ndarray:
+        """Whether each hash is in the index."""
+        keep = self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        some = np.flatnonzero(keep)
+        at = np.minimum(np.searchsorted(self.hash, h[some]), max(0, len(self.hash) - 1))
+        keep[some] = self.hash[at] == h[some] if len(self.hash) else False
+        return keep
+
+    def places(self, row: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row << 32 | owner, place) of the owners of each row's windows, each once, for some rows at a time.
+
+        A row's different windows are looked up, so it has no more of these than the index has windows.
+        """
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+        row, h = row[new], h[new]
+        left = np.searchsorted(self.hash, h, "left")
+        count = np.searchsorted(self.hash, h, "right") - left
+        begins = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+        total, start = np.concatenate([[0], np.cumsum(count)]), 0
+        for i in range(len(begins)):
+            end = begins[i + 1] if i + 1 < len(begins) else len(row)
+            if i + 1 < len(begins) and total[begins[i + 1]] - total[start] < LOOKED_UP:
+                continue
+            c = count[start:end]
+            k = np.arange(c.sum()) + np.repeat(left[start:end] - np.cumsum(c) + c, c)
+            pair = np.repeat(row[start:end], c).astype(np.int64) << 32 | self.owner[k]
+            both = np.unique(np.stack([pair, self.place[k].astype(np.int64)], 1), axis=0) if len(k) else np.zeros((0, 2), np.int64)
+            yield both[:, 0], both[:, 1]
+            start = end
+
+
+#: Owners of windows that are looked up at once, besides those of one more row.
+LOOKED_UP = 1 << 20
+
+
+@dataclass
+class Block:
+    """Part of the benchmark. Typed windows belong to groups, those with names to parts of groups with equal names, literal ones to items."""
+
+    size: int
+    plain: int
+    names: list
+    groups: list[Group]
+    parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+    typed: Index
+    named: Index
+    literal: Index
+    need: np.ndarray
+    lengths: dict[int, list[int]]
+
+
+def _by_rows(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal rows: the first's number, and each row's place among the different ones."""
+    seen: dict[bytes, int] = {}
+    of = np.array([seen.setdefault(r, len(seen)) for r in rows], np.int64)
+    first = np.zeros(len(seen), np.int64)
+    first[of[::-1]] = np.arange(len(rows))[::-1]
+    return first, of
+
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, plain: int, share: float, block_items: int, block_chars: int) -> Iterator[Block]:
     """Benchmark blocks of about ``block_items`` items and ``block_chars`` characters. Null texts and texts without a window are in none.
 
-    An item of fewer than ``size`` template words is one window of its own length, all of ordinary words. An item of
-    ``size`` words or more that has no window of ``plain`` ordinary words (formulas, lists of numbers) has literal ones.
+    An item of fewer than ``size`` template words is one window of its own length, all of ordinary words. An item without
+    such windows (formulas, lists of numbers, short questions with numbers) has literal ones, of its own length if that is less, but of two words at least.
     """
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
@@ -182,39 +254,68 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, plain: i
     dealt = items.withColumn("part", F.pmod(F.xxhash64("text", "id"), F.lit(parts)))
     for p in range(parts):
         rows = dealt.where(F.col("part") == p).select("id", "text").toArrow()  # bounded as above, on average over the parts
-        t = template(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
-        cut = np.searchsorted(t.row, np.arange(rows.num_rows + 1))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        lengths = np.minimum(np.diff(cut), size)
-        bare = lengths == size  # until a window of the other sorts is found
-        for mode in (TYPED, NAMED, LITERAL):
-            for k in sorted(set(lengths.tolist()) - {0}):
-                at, h = windows(t, k, min(plain, k), mode)
-                mine = (lengths[t.row[at]] == k) & (bare[t.row[at]] if mode == LITERAL else True)
-                found.append((h[mine], t.row[at[mine]], at[mine] - cut[t.row[at[mine]]]))
-            if mode == NAMED:
-                bare[np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])] = False
-        if not found:
-            continue
-        h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(h, kind="stable")
-        total = np.bincount(np.unique(item.astype(np.int64) << 32 | place) >> 32, minlength=rows.num_rows)
-        each = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        yield Block(size, plain, share, h[order], item[order], place[order], rows.column("id").to_pylist(), [t.kind[s] for s in each], [t.value[s] for s in each], total, sorted(set(lengths.tolist()) - {0}), bool(bare.any()))
-
-
-def _occurs(kinds: np.ndarray, values: np.ndarray, own: np.ndarray, found: list[tuple[int, int, int]], need: float) -> bool:
-    """Whether ``need`` of an item's windows match in one occurrence. ``found`` has each hit's place in the document, in the item, and size.
-
-    Windows with the item's own values count in every occurrence. Each diagonal (place in the document less place in
-    the item) is tried as an occurrence: it says what each value of the item stands for, and hits at most the item's
-    length away count if they agree with it, so that words put in or left out cost only the windows around them.
-    The whole document is tried too, for occurrences torn further apart.
+        if rows.num_rows:
+            yield _block(rows.column("text").combine_chunks(), rows.column("id").to_pylist(), size, plain, share)
+
+
+def _block(texts: pa.Array, ids: list, size: int, plain: int, share: float) -> Block:
+    t = template(texts)
+    cut = np.searchsorted(t.row, np.arange(len(ids) + 1))
+    lengths = np.minimum(np.diff(cut), size)
+    bare = lengths > 1  # until a window of the other sorts is found
+    found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for mode in (TYPED, NAMED, LITERAL):
+        made = []
+        for k in sorted(set(lengths.tolist()) - {0}):
+            at, h = windows(t, k, min(plain, k), mode)
+            mine = (lengths[t.row[at]] == k) & (bare[t.row[at]] if mode == LITERAL else True)
+            made.append((h[mine], t.row[at[mine]], at[mine] - cut[t.row[at[mine]]]))
+        found[mode] = tuple(np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        bare[found[mode][1]] = False if mode != LITERAL else bare[found[mode][1]]
+    both = np.unique(np.concatenate([np.stack(found[m][1:], 1).astype(np.int64) for m in found]), axis=0)
+    need = share * np.bincount(both[:, 0], minlength=len(ids))
+    each = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    same = [np.unique(mix(t.value[s] ^ mix(t.kind[s].astype(np.uint64))), return_inverse=True)[1] for s in each]
+    # the number of a value is that of its first place, so that equal numbers say equal patterns
+    same = [x if not len(x) else np.unique(x, return_index=True)[1][x] for x in same]
+    of_item = lambda mode: np.searchsorted(order[mode][1], np.arange(len(ids) + 1))
+    order = {m: tuple(x[np.argsort(found[m][1], kind="stable")] for x in found[m]) for m in (TYPED, NAMED)}
+    windowed = np.flatnonzero(np.isin(np.arange(len(ids)), np.concatenate([found[TYPED][1], found[NAMED][1]])))
+    typed_cut, named_cut = of_item(TYPED), of_item(NAMED)
+    slotted = [np.where(t.kind[s] == WORD, -1, x) for s, x in zip(each, same, strict=True)]
+    first, of = _by_rows([t.token[each[i]].tobytes() + slotted[i].tobytes() for i in windowed.tolist()])
+    split = lambda owner, n: np.split(np.argsort(owner, kind="stable"), np.cumsum(np.bincount(owner, minlength=n))[:-1]) if n else []
+    groups, typed, members = [], [], [windowed[x] for x in split(of, len(first))]
+    for g, i in enumerate(windowed[first].tolist()):
+        a, b = typed_cut[i], typed_cut[i + 1]
+        h, place = order[TYPED][0][a:b], order[TYPED][2][a:b]
+        groups.append(Group(t.kind[each[i]], slotted[i], np.stack([t.value[each[j]] for j in members[g].tolist()]), members[g], h, place, int(lengths[i]), need[i]))
+        typed.append((h, np.full(len(h), g), place))
+    fine, of_part = _by_rows([bytes(order[NAMED][0][named_cut[i] : named_cut[i + 1]]) + int(g).to_bytes(8, "little") for i, g in zip(windowed.tolist(), of, strict=True)])
+    parts, named = [], []
+    inside = np.zeros(len(windowed), np.int64)  # each item's place within its group
+    for g in members:
+        inside[np.searchsorted(windowed, g)] = np.arange(len(g))
+    for k, mine in enumerate(split(of_part, len(fine))):
+        i = int(windowed[fine[k]])
+        h, place = (order[NAMED][x][named_cut[i] : named_cut[i + 1]] for x in (0, 2))
+        parts.append((int(of[fine[k]]), inside[mine], h, place))
+        named.append((h, np.full(len(h), k), place))
+    whole = lambda made: Index(*(np.concatenate(x) for x in zip(*made, strict=True))) if made else Index(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    every = sorted({int(lengths[i]) for i in windowed.tolist()})
+    used = {TYPED: every, NAMED: every, LITERAL: sorted({int(lengths[i]) for i in found[LITERAL][1].tolist()})}
+    return Block(size, plain, ids, groups, parts, whole(typed), whole(named), Index(*found[LITERAL]), need, used)
+
+
+def _readings(group: Group, own: np.ndarray, found: list[tuple[int, int]]) -> Iterator[set[int]]:
+    """What occurrences say: for each, the places in the item whose windows agree with it. ``found`` has each hit's place in the document and in the item.
+
+    Each diagonal (place in the document less place in the item) is read as an occurrence: it says what each value of
+    the item stands for, and hits at most the item's length away count if they agree with it, so that words put in or left
+    out cost only the windows around them. The whole document is read too, for occurrences torn further apart.
     """
-    slots = [[((kinds[q + j], values[q + j]), own[p + j], p + j, q + j) for j in range(n) if kinds[q + j] != WORD] for p, q, n in found]
-    verbatim = {q for (_, q, _), s in zip(found, slots, strict=True) if all(v[1] == w for v, w, _, _ in s)}
-    if len(verbatim) >= need:
-        return True
+    n = group.length
+    slots = [[(int(group.same[q + j]), int(own[p + j]), p + j, q + j) for j in range(n) if group.same[q + j] >= 0] for p, q in found]
 
     def usual(which: list[int], given: dict) -> dict:
         stands = defaultdict(Counter)
@@ -222,12 +323,11 @@ def _occurs(kinds: np.ndarray, values: np.ndarray, own: np.ndarray, found: list[
             stands[v][w] += 1
         return given | {v: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for v, c in stands.items()}
 
-    def enough(which: list[int], given: dict) -> bool:
+    def agreeing(which: list[int], given: dict) -> set[int]:
         stands = usual(which, given)
-        return len(verbatim | {found[k][1] for k in which if all(stands[v] == w for v, w, _, _ in slots[k])}) >= need
+        return {found[k][1] for k in which if all(stands[v] == w for v, w, _, _ in slots[k])}
 
-    if enough(list(range(len(found))), {}):
-        return True
+    yield agreeing(list(range(len(found))), {})
     order = sorted(range(len(found)), key=lambda k: found[k][0])
     places = [found[k][0] for k in order]
     diagonals = defaultdict(list)
@@ -236,42 +336,93 @@ def _occurs(kinds: np.ndarray, values: np.ndarray, own: np.ndarray, found: list[
     tried = set()
     for seed in sorted(diagonals.values(), key=len, reverse=True):
         given = usual(seed, {})
-        near = order[bisect_left(places, found[seed[0]][0] - len(kinds)) : bisect_right(places, found[seed[-1]][0] + len(kinds))]
+        near = order[bisect_left(places, found[seed[0]][0] - len(group.kinds)) : bisect_right(places, found[seed[-1]][0] + len(group.kinds))]
         key = (frozenset(given.items()), near[0], near[-1])
-        if key in tried:
-            continue
-        tried.add(key)
-        if enough([k for k in near if all(given.get(v, w) == w for v, w, _, _ in slots[k])], given):
-            return True
-    return False
+        if key not in tried:
+            tried.add(key)
+            yield agreeing([k for k in near if all(given.get(v, w) == w for v, w, _, _ in slots[k])], given)
+
+
+def _matching(group: Group, rows: np.ndarray, own: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which of the group's items (of its ``rows``) occur: enough of their windows agree with one reading, or have the item's own values.
+
+    Windows with the item's own values count in every occurrence. They are compared for all items of the group at once.
+    """
+    places, n = np.unique(q), group.length
+    spot = {int(x): i for i, x in enumerate(places)}
+    read = set()
+    for agree in _readings(group, own, list(zip(p.tolist(), q.tolist(), strict=True))):
+        if len(agree) >= group.need:
+            return rows
+        read.add(frozenset(agree))
+    said = np.zeros((len(read), len(places)), np.float32)
+    for i, agree in enumerate(read):
+        said[i, [spot[x] for x in agree]] = 1
+    out = []
+    for lot in np.array_split(rows, max(1, len(rows) // 4096)):
+        verbatim = np.zeros((len(lot), len(places)), np.float32)
+        for i, x in enumerate(places.tolist()):
+            at = np.flatnonzero(group.same[x : x + n] >= 0)
+            seen, mine = np.zeros(int((q == x).sum()), np.uint64), np.zeros(len(lot), np.uint64)
+            for j in at.tolist():
+                seen, mine = mix(seen + own[p[q == x] + j]), mix(mine + group.values[lot, x + j])
+            verbatim[:, i] = np.isin(mine, seen)
+        most = verbatim.sum(1) + ((1 - verbatim) @ said.T).max(1, initial=0)
+        out.append(lot[most >= group.need])
+    return np.concatenate(out)
 
 
 def matches(block: Block, texts: pa.Array) -> dict[int, list[int]]:
     """Row -> items of the block (by index) that contaminate it."""
     t = template(texts)
-    found: list[tuple[np.ndarray, ...]] = []
-    for n, mode in [(n, mode) for n in block.lengths for mode in (TYPED, NAMED)] + [(block.size, LITERAL)] * block.literal:
-        at, h = windows(t, n, min(block.plain, n), mode)
-        keep = block.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
+    out: dict[int, set[int]] = defaultdict(set)
+    looked = {(n, m): windows(t, n, min(block.plain, n), m) for m, lengths in block.lengths.items() for n in lengths}
+
+    def hits(modes: tuple[int, ...], index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and hashes of the windows that the index holds, by row and hash, and where each row's begin."""
+        made = [looked[n, m] for m in modes for n in block.lengths[m]]
+        at, h = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        keep = index.held(h)
         at, h = at[keep], h[keep]
-        left, right = np.searchsorted(block.hash, h, "left"), np.searchsorted(block.hash, h, "right")
-        count = right - left
+        order = np.lexsort((at, h, t.row[at]))
+        return at[order], h[order], np.searchsorted(t.row[at[order]], np.arange(len(texts) + 1))
+
+    def occurrences(found: tuple[np.ndarray, np.ndarray, np.ndarray], row: int, hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """(place in the document, place in the item) of every window of a row that has one of ``hashes``."""
+        at, h, cut = found
+        mine = h[cut[row] : cut[row + 1]]
+        left = np.searchsorted(mine, hashes, "left")
+        count = np.searchsorted(mine, hashes, "right") - left
         k = np.arange(count.sum()) + np.repeat(left - np.cumsum(count) + count, count)
-        p = np.repeat(at, count)
-        found.append((t.row[p].astype(np.int64) << 32 | block.item[k], block.place[k], p, np.full(len(p), n)))
-    pair, place, p, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else np.zeros((4, 0), np.int64)
-    names, of = np.unique(pair, return_inverse=True)
-    different = np.bincount(np.unique(of.astype(np.int64) << 32 | place) >> 32, minlength=len(names))
-    need = block.share * block.total[names & 0xFFFFFFFF]
-    out: dict[int, list[int]] = defaultdict(list)
-    order = np.argsort(of, kind="stable")
-    cut = np.searchsorted(of[order], np.arange(len(names) + 1))
-    for i in np.flatnonzero(different >= need).tolist():  # others cannot have matches enough, whatever their slots
-        row, item, which = int(names[i] >> 32), int(names[i] & 0xFFFFFFFF), order[cut[i] : cut[i + 1]]
-        hits = list(zip(p[which].tolist(), place[which].tolist(), n[which].tolist(), strict=True))
-        if _occurs(block.kinds[item], block.values[item], t.value, hits, need[i]):
-            out[row].append(item)
-    return out
+        return np.stack([at[cut[row] : cut[row + 1]][k], np.repeat(places, count)], 1).astype(np.int64)
+
+    def owners(found: tuple[np.ndarray, np.ndarray, np.ndarray], index: Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row << 32 | owner) and how many different places of the owner the row has."""
+        for pair, _ in index.places(t.row[found[0]], found[1]):
+            yield np.unique(pair, return_counts=True)
+
+    for pair, count in owners(hits((LITERAL,), block.literal), block.literal):  # these windows have the item's own values
+        for x in pair[count >= block.need[pair & 0xFFFFFFFF]].tolist():
+            out[x >> 32].add(x & 0xFFFFFFFF)
+    # names in a text all in capitals or small letters are words, so windows of either sort may be the other's
+    typed, need = hits((TYPED, NAMED), block.typed), np.array([g.need for g in block.groups])
+    for pair, count in owners(typed, block.typed):
+        for x in pair[count >= need[pair & 0xFFFFFFFF]].tolist():  # others cannot have matches enough, whatever their slots
+            row, group = x >> 32, block.groups[x & 0xFFFFFFFF]
+            both = occurrences(typed, row, group.hash, group.place)
+            out[row].update(group.items[_matching(group, np.arange(len(group.items)), t.value, both[:, 0], both[:, 1])].tolist())
+    named = hits((TYPED, NAMED), block.named)
+    for pair, _ in owners(named, block.named):
+        for x in pair.tolist():
+            row, (g, inside, hashes, places) = x >> 32, block.parts[x & 0xFFFFFFFF]
+            group = block.groups[g]
+            left = inside[~np.isin(group.items[inside], list(out[row]))]
+            if not len(left):
+                continue
+            both = np.unique(np.concatenate([occurrences(typed, row, group.hash, group.place), occurrences(named, row, hashes, places)]), axis=0)
+            if len(np.unique(both[:, 1])) >= group.need:
+                out[row].update(group.items[_matching(group, left, t.value, both[:, 0], both[:, 1])].tolist())
+    return {row: sorted(items) for row, items in out.items() if items}
 
 
 def _finder(sent, keep_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm._common import materialize, slices
 from flowloom.llm._words import mix, shingles, words
-from flowloom.llm.graph import connected_components
+from flowloom.operators.graphs import connected_components
 
 HASHES, BAND = 128, 4  # 32 bands of 4: a pair at 0.8 agrees in none with probability 5e-8
 _STEP = 16  # values compared before each decision
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = signature.groupBy("members", "s", "x").agg(F.min("key").alias("key")).select("key", "members")
     compared = members.join(buckets, "key").join(classes.select("rep", "sketch"), "rep").select("key", "rep", "members", "sketch")
     edges = _dealt(compared, "key", "rep", F.ceil(F.col("members") / block)).mapInArrow(_pruner(threshold, tolerance), f"a {kind}, b {kind}")
-    component = materialize(connected_components(edges), "components")
+    component = materialize(connected_components(edges).select("node", "component"), "components")
     nodes = component.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("copies").alias("copies"), F.max("n").alias("n")), "node")
     sizes = nodes.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     alike = nodes.join(sizes, "component")
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = verified.where("blocks > 1")
     roots = verified.where("blocks = 1").select("node", "root")
     if not large.isEmpty():
-        roots = roots.unionByName(connected_components(large.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "root"))
+        roots = roots.unionByName(connected_components(large.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", F.col("component").alias("root")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     told = classes.select(*same, "rep", "copies").join(links.join(roots.groupBy("node").agg(F.min("root").alias("root")), "node", "left").withColumnRenamed("node", "rep"), "rep", "left")
     out = sketches.select("id", *same).join(told, same, "left")

@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm._common import materialize, slices
-from flowloom.llm._words import NOT_ALNUM, Words, words
+from flowloom.llm._words import NOT_ALNUM, Words, places_of, words
 
 BUCKETS = 1 << 20
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
+#: Sentence ends beyond ASCII: of East Asian, South Asian and Arabic scripts, and the ellipsis.
+WIDE_ENDS = [c.encode() for c in "。．！？｡…।॥؟۔"]
 
 
 @dataclass(frozen=True)
@@ -41,9 +43,9 @@ class Model:
 
 
 def sentences(w: Words) -> np.ndarray:
-    """The sentence of each word, numbered through the batch. Full stops, marks and line ends between words end one."""
+    """The sentence of each word, numbered through the batch. Full stops, marks (of other scripts too) and line ends between words end one."""
     marks = np.zeros(len(w.data) + 1, np.int64)
-    np.cumsum(_ENDS[w.data], out=marks[1:])
+    np.cumsum(_ENDS[w.data] | places_of(w.data, WIDE_ENDS), out=marks[1:])
     new = np.ones(len(w.start), bool)
     new[1:] = (marks[w.start[1:]] > marks[w.end[:-1]]) | (w.row[1:] != w.row[:-1])
     return np.cumsum(new) - 1
@@ -58,7 +60,7 @@ def _features(w: Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For training: the documents and the toxic documents that hold each bucket, and under -1 all that have words."""
     for part in slices(batches, "text"):
-        w = words(part.column("text"), NOT_ALNUM, lower=True)
+        w = words(part.column("text"), NOT_ALNUM, lower=True, marks=WIDE_ENDS)
         label = part.column("label").to_numpy()
         pair = np.unique((w.row.astype(np.int64) << 20) | (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64))
         names, which, docs_with = np.unique(pair & (BUCKETS - 1), return_inverse=True, return_counts=True)
@@ -72,7 +74,7 @@ def _bags(names: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            w = words(part.column("text"), NOT_ALNUM, lower=True)
+            w = words(part.column("text"), NOT_ALNUM, lower=True, marks=WIDE_ENDS)
             of = sentences(w)
             s, b = _features(w, of)
             row = w.row[np.searchsorted(of, s)] if len(s) else s
@@ -94,7 +96,7 @@ def _places(names: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, names[at] == buckets
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, max_rows: int = 5_000, min_docs: int = 5, min_z: float = 4.0, steps: int = 120, ridge: float = 0.1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, max_rows: int = 5_000, min_docs: int = 5, min_z: float = 4.0, steps: int = 300, ridge: float = 0.1) -> Model:
     """The model, from at most ``max_rows`` labelled documents of any length, those of the lowest hash of their ids.
 
     ``where`` limits the ids that may be learnt from. Labels that contradict each other count as 1; null ids, null
@@ -129,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _solve(label: np.ndarray, sentence: pa.ListArray, place: pa.ListArray, names: np.ndarray, marks: np.ndarray, steps: int, ridge: float) -> Model:
-    """Adam on the mean log loss of the leaky noisy-or."""
+    """Adam on the mean log loss of the leaky noisy-or, over the words' weights, what marked sentences have in common (bias), and the leak."""
     n = len(label)
     row = np.repeat(np.arange(n), np.diff(sentence.offsets.to_numpy()))
     s, at = sentence.values.to_numpy().astype(np.int64), place.values.to_numpy()
@@ -149,8 +151,9 @@ def _solve(label: np.ndarray, sentence: pa.ListArray, place: pa.ListArray, names
         grad = np.concatenate([np.bincount(at, g[of], len(names)) + ridge / n * theta, [g.sum(), blame.sum() / (1 + np.exp(-leak))]])
         moment = 0.9 * moment + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
-        move = 0.15 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-9)
-        theta, leak = theta - move[:-2], leak - move[-1]
+        pace = 0.15 * min(1.0, 2 * (1 - t / (steps + 1))) ** 2  # slower from half way on, so that it comes to rest
+        move = pace * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-9)
+        theta, bias, leak = theta - move[:-2], bias - move[-2], leak - move[-1]
     return Model(names, theta, marks, float(bias), float(1 / (1 + np.exp(-leak))))
 
 
@@ -167,7 +170,7 @@ def _scorer(model, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for part in slices(batches, "text"):
-            w = words(part.column("text"), NOT_ALNUM, lower=True)
+            w = words(part.column("text"), NOT_ALNUM, lower=True, marks=WIDE_ENDS)
             of = sentences(w)
             count = int(of[-1]) + 1 if len(of) else 0
             p = sentence_scores(m, w, of, count)
@@ -190,7 +193,7 @@ def _scorer(model, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
 def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """Every row's ``carry`` columns with score (0 to 1) and spans: start, end (characters) and score of each sentence at ``threshold`` or more.
 
-    A null or empty text and one without words have no sentence and score 0. Rows that repeat are each scored.
+    Texts of any length are scored whole; words of kana and ideographs are single characters. A null or empty text and one without words have no sentence and score 0. Rows that repeat are each scored.
     Spans refer to the lower-cased text, which for a few letters of some scripts is of another length.
     """
     carry = ["doc_id"] if carry is None else carry
