@@ -246,7 +246,8 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, plain: i
     """Benchmark blocks of about ``block_items`` items and ``block_chars`` characters. Null texts and texts without a window are in none.
 
     An item of fewer than ``size`` template words is one window of its own length, all of ordinary words. An item without
-    such windows (formulas, lists of numbers, short questions with numbers) has literal ones, of its own length if that is less, but of two words at least.
+    such windows (formulas, lists of numbers, short questions with numbers) has literal ones, of its own length if that is less. Such short
+    ones have two words at least, one of them no number: a few numbers in a row are everywhere.
     """
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
@@ -262,7 +263,8 @@ def _block(texts: pa.Array, ids: list, size: int, plain: int, share: float) -> B
     t = template(texts)
     cut = np.searchsorted(t.row, np.arange(len(ids) + 1))
     lengths = np.minimum(np.diff(cut), size)
-    bare = lengths > 1  # until a window of the other sorts is found
+    worded = np.bincount(t.row[(t.kind == WORD) | (t.kind == NAME)], minlength=len(ids)) > 0
+    bare = (lengths > 1) & (worded | (lengths == size))  # until a window of the other sorts is found
     found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for mode in (TYPED, NAMED, LITERAL):
         made = []
