@@ -83,7 +83,7 @@ def interior_points(triangles: DataFrame, n: int, candidates: int, seed: int, me
         inside = cut_lineage(drawn.join(winding_numbers(drawn, triangles, [mesh, "k"], mesh).where("inside").select(mesh, "k"), [mesh, "k"]))
         kept = inside if kept is None else kept.unionByName(inside)
         enough = kept.groupBy(mesh).count().where(F.col("count") >= n).select(mesh)
-        lacking = lacking.join(enough, mesh, "left_anti")
+        lacking = cut_lineage(lacking.join(enough, mesh, "left_anti"))  # a round plans no earlier one
         if lacking.isEmpty():
             break
     w = W.partitionBy(mesh)

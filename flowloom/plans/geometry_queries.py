@@ -10,6 +10,7 @@ from flowloom.operators import geometry, inference
 from flowloom.operators import quality_control as qc
 from flowloom.plans.adapters import POINTS, points, rounded
 from flowloom.plans.registry import register
+from flowloom.session import table
 
 #: Triangles of a cube as corner numbers; bit i of a number is the corner's i-th coordinate.
 FACES = [(0, 3, 1), (0, 2, 3), (4, 7, 6), (4, 5, 7), (0, 5, 4), (0, 1, 5), (2, 7, 3), (2, 6, 7), (0, 6, 2), (0, 4, 6), (1, 7, 5), (1, 3, 7)]
@@ -31,6 +32,17 @@ def cubes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "mesh_id string, tri int, " + ", ".join(f"{p}_{x} double" for p in "abc" for x in "xyz"))
 
 
+def meshes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube for each sample that the points' table has."""
+    samples = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("s"), F.col("label")).alias("mesh_id")).distinct()
+    cube = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(_COLS.split(", "), r, strict=True))) for r in _ROWS))
+    return samples.select("mesh_id", F.explode(cube).alias("t")).select("mesh_id", "t.*")
+
+
+#: The same names as a table of SQL.
+NAMES = "(SELECT DISTINCT label AS m FROM embeddings)"
+
+
 def walkers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points with the direction and step of their probe; every seventh is taken as standing on the wall."""
     p = points(spark, sf_dir)
@@ -54,13 +66,18 @@ def g5_closest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(geometry.closest_points(walkers(spark, sf_dir), cubes(spark), ["mesh_id", "point_id"]).select("mesh_id", "point_id", "dist"))
 
 
-@register("g5_wall_directions", BOX + "SELECT mesh_id, count(*) AS n, true AS on_wall, true AS unit FROM i GROUP BY mesh_id")
+#: A point's nearest wall of a box: the side that is nearest inside, the clamped place outside.
+_NEAREST = BOX.rstrip() + f""",
+d AS (SELECT *, {HALF} - abs(x) AS ex, {HALF} - abs(y) AS ey, {HALF} - abs(z) AS ez FROM i),
+c AS (SELECT *, """ + ", ".join(f"CASE WHEN NOT inside THEN least(greatest({c}, -{HALF}), {HALF}) WHEN e{c} <= least(ex, ey, ez) THEN CASE WHEN {c} < 0 THEN -{HALF} ELSE {HALF} END ELSE {c} END AS q{c}" for c in "xyz") + """ FROM d)
+"""
+
+
+@register("g5_wall_directions", _NEAREST + "SELECT mesh_id, point_id, " + _r(qx="qx", qy="qy", qz="qz", **{f"d{c}": f"CASE WHEN sqrt(pow(qx - x, 2) + pow(qy - y, 2) + pow(qz - z, 2)) > 1e-3 THEN abs((q{c} - {c}) / (sqrt(pow(qx - x, 2) + pow(qy - y, 2) + pow(qz - z, 2)) + 1e-8)) END" for c in "xyz"}) + " FROM c")
 def g5_wall_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest points lie on the cube, and directions to them have length 1 wherever the point isn't on the wall."""
+    """The nearest point of the cube and, where it isn't the point itself, the direction to it without its sign."""
     c = geometry.closest_points(walkers(spark, sf_dir), cubes(spark), ["mesh_id", "point_id"])
-    on = F.abs(F.greatest(*(F.abs(f"q_{x}") for x in "xyz")) - HALF) < 1e-9
-    one = (F.abs(vec("dir_").norm() - 1) < 1e-4) | (F.col("dist") < 1e-3)
-    return c.groupBy("mesh_id").agg(F.count("*").alias("n"), F.bool_and(on).alias("on_wall"), F.bool_and(one).alias("unit"))
+    return rounded(c.select("mesh_id", "point_id", *(F.col(f"q_{x}").alias(f"q{x}") for x in "xyz"), *(F.when(F.col("dist") > 1e-3, F.abs(f"dir_{x}")).alias(f"d{x}") for x in "xyz")))
 
 
 @register("g6_inside", BOX + "SELECT mesh_id, point_id, inside FROM i")
@@ -130,9 +147,9 @@ def a12_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.components(_faces(spark, sf_dir))
 
 
-@register("a13_measures", f"SELECT 's' || m AS mesh_id, " + _r(surface_area=f"6 * pow(2 * {HALF}, 2)", volume=f"pow(2 * {HALF}, 3)") + ", 0::BIGINT AS degenerate_faces FROM range(10) AS r(m)")
+@register("a13_measures", f"SELECT 's' || m AS mesh_id, " + _r(surface_area=f"6 * pow(2 * {HALF}, 2)", volume=f"pow(2 * {HALF}, 3)") + f", 0::BIGINT AS degenerate_faces FROM {NAMES}")
 def a13_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = qc.measures(cubes(spark))
+    m = qc.measures(meshes_of(spark, sf_dir))
     return rounded(m.withColumn("volume", F.abs("volume")))
 
 

@@ -7,7 +7,7 @@ from itertools import combinations, pairwise, permutations, product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators import meshes, voxels
+from flowloom.operators import meshes, sampling, voxels
 from flowloom.operators import quality_control as qc
 from flowloom.plans.adapters import rounded
 from flowloom.plans.geometry_queries import FACES, _corner, _r
@@ -166,3 +166,23 @@ def s17_cleaned_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, used = meshes.cleaned(loose.unionByName(flat), spots, tolerance=0.005)
     counts = qc.topology(kept).select("mesh_id", "n_faces", "n_edges", "boundary_edges", "euler_number")
     return counts.join(used.groupBy("mesh_id").agg(F.count("*").alias("n_vertices")), "mesh_id")
+
+
+#: A prism that is half of its box, cut across: corners 0 to 2 below, 3 to 5 above.
+_PRISM = [(0, 2, 1), (3, 4, 5), (0, 1, 4), (0, 4, 3), (1, 2, 5), (1, 5, 4), (2, 0, 3), (2, 3, 5)]
+_PRISM_AT = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (0, 1, 1)]
+
+
+def _draw(seed: int) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', mesh_id, k)), 1, 13))::BIGINT / {2**52}.0)"
+
+
+@register("g4_interior_of_prisms", f"WITH m AS (SELECT n_name AS mesh_id, 1 + n_nationkey / 7 AS s FROM nation), d AS (SELECT mesh_id, k, s, s * {_draw(3)} AS x, s * {_draw(4)} AS y, s * {_draw(5)} AS z FROM m, range(1600) AS r(k)), i AS (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY k) AS n FROM d WHERE x + y < s) SELECT mesh_id, k::INT AS k, 0 AS copy, 100 AS found, " + _r(x="x", y="y", z="z") + " FROM i WHERE n <= 100")
+def g4_interior_of_prisms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred points within a prism for each nation, in rounds of 80: about half of the draws fall outside and are rejected."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("mesh_id"), (1 + F.col("n_nationkey") / 7).alias("s"))
+    faces = F.array(*(F.struct(F.lit(t).alias("tri"), *(F.lit(float(_PRISM_AT[v][a])).alias(f"{c}_{x}") for c, v in zip("abc", f, strict=True) for a, x in enumerate("xyz"))) for t, f in enumerate(_PRISM)))
+    each = n.select("mesh_id", "s", F.explode(faces).alias("f")).select("mesh_id", "s", "f.*")
+    sized = each.select("mesh_id", "tri", *((F.col(f"{c}_{x}") * F.col("s")).alias(f"{c}_{x}") for c in "abc" for x in "xyz"))
+    s = sampling.interior_points(sized, 100, 80, 3)
+    return rounded(s.select("mesh_id", F.col("k").cast("int").alias("k"), "copy", F.col("found").cast("int").alias("found"), "x", "y", "z"))

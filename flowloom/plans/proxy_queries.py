@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.vectors import vec
 from flowloom.operators import frames, metrics, proxies
 from flowloom.plans.adapters import POINTS, points, rounded
+from flowloom.session import table
 from flowloom.plans.registry import ORACLES, register
 
 UVWS = ("sample_id", "point_id", "u", "v", "w", "speed")
@@ -364,9 +365,11 @@ def l7_dataset_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.agg(*(F.avg(c).alias(c) for c in ("rel", "vel_rel", "pressure_center_rel", "vel_mag_err")), F.count("*").alias("n")))
 
 
-@register("l14_combined_loss", "SELECT 22.5 AS loss".replace("22.5", "22.5::DOUBLE"))
+@register("l14_combined_loss", "SELECT l_orderkey, count(*) AS n, " + _r(loss="sum(l_quantity + 0.25 * (l_tax + l_discount * l_linenumber))") + " FROM lineitem GROUP BY l_orderkey")
 def l14_combined_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(metrics.combined_loss(F.lit(18.0), F.lit(8.0), F.lit(5.0), F.lit(2.0), 0.25).alias("loss"))
+    """Losses of every line's terms, summed by order."""
+    loss = metrics.combined_loss(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount"), F.col("l_linenumber"), 0.25)
+    return rounded(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(loss).alias("loss")))
 
 
 @register(

@@ -10,7 +10,7 @@ from flowloom.operators import frames, sampling
 from flowloom.operators import selection as sel
 from flowloom.operators.ranges import running
 from flowloom.plans.adapters import CFD, POINTS, cfd, points, rounded
-from flowloom.plans.geometry_queries import CUBE, HALF, cubes
+from flowloom.plans.geometry_queries import CUBE, HALF, NAMES, meshes_of
 from flowloom.plans.registry import register
 from flowloom.session import table
 
@@ -59,7 +59,7 @@ def f18_sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sampled(points(spark, sf_dir).select("sample_id", "point_id"), 60, 5, "sample_id", "point_id").select("sample_id", "point_id", "copy")
 
 
-_SURFACE = f"""WITH {CUBE}, m AS (SELECT 's' || m AS mesh_id FROM range(10) AS r(m)), t AS (SELECT mesh_id, c.*, {", ".join(f"(b_{p} - a_{p}) * (c_{q} - a_{q}) - (b_{q} - a_{q}) * (c_{p} - a_{p}) AS m{c}" for c, p, q in ("xyz", "yzx", "zxy"))} FROM m, cube c),
+_SURFACE = f"""WITH {CUBE}, m AS (SELECT 's' || m AS mesh_id FROM {NAMES}), t AS (SELECT mesh_id, c.*, {", ".join(f"(b_{p} - a_{p}) * (c_{q} - a_{q}) - (b_{q} - a_{q}) * (c_{p} - a_{p}) AS m{c}" for c, p, q in ("xyz", "yzx", "zxy"))} FROM m, cube c),
 s AS (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS l, sum(0.5 * sqrt(mx * mx + my * my + mz * mz)) OVER (PARTITION BY mesh_id ORDER BY tri) AS run FROM t),
 w AS (SELECT *, max(run) OVER (PARTITION BY mesh_id) AS total, coalesce(lag(run) OVER (PARTITION BY mesh_id ORDER BY tri), 0) AS before FROM s),
 k AS (SELECT *, unnest(range((floor(250 * run / total + {_u(3, 'mesh_id')}) - floor(250 * before / total + {_u(3, 'mesh_id')}))::BIGINT))::INT AS k FROM w),
@@ -69,13 +69,13 @@ SELECT mesh_id, tri::INT AS tri, k, """ + _r(**{c: f"a_{c} * (1 - r) + b_{c} * r
 
 @register("g3_surface_points", _SURFACE)
 def g3_surface_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sampling.surface_points(cubes(spark), 250, 3))
+    return rounded(sampling.surface_points(meshes_of(spark, sf_dir), 250, 3))
 
 
-@register("g4_interior_points", "SELECT 's' || m AS mesh_id, k::INT AS k, 0 AS copy, 400 AS found, " + _r(**{c: f"{-HALF} + {2 * HALF} * {_u(3 + i, repr('s') + ' || m', 'k')}" for i, c in enumerate("xyz")}) + " FROM range(10) AS r(m), range(400) AS s(k)")
+@register("g4_interior_points", "SELECT 's' || m AS mesh_id, k::INT AS k, 0 AS copy, 400 AS found, " + _r(**{c: f"{-HALF} + {2 * HALF} * {_u(3 + i, repr('s') + ' || m', 'k')}" for i, c in enumerate("xyz")}) + f" FROM {NAMES}, range(400) AS s(k)")
 def g4_interior_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """400 points in rounds of 160: in a cube every draw is inside."""
-    s = sampling.interior_points(cubes(spark), 400, 160, 3)
+    s = sampling.interior_points(meshes_of(spark, sf_dir), 400, 160, 3)
     return rounded(s.select("mesh_id", F.col("k").cast("int").alias("k"), "copy", F.col("found").cast("int").alias("found"), "x", "y", "z"))
 
 
@@ -90,9 +90,10 @@ def p4_wall_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(each[0].unionByName(each[1]).unionByName(each[2]))
 
 
-@register("s27_synthetic_cylinder", f"WITH d AS (SELECT id, sqrt({_u(2026, 'id')}) AS r, 2 * pi() * {_u(2027, 'id')} AS phi FROM range(256) AS t(id)) SELECT 'c' || (id // 64) AS sample_id, id % 64 AS point_id, " + _r(x=f"2 * {_u(2028, 'id')} - 1", y="r * cos(phi)", z="r * sin(phi)", wall_dist="greatest(1 - r, 0)", nx="0", ny="cos(phi)", nz="sin(phi)") + " FROM d")
+@register("s27_synthetic_cylinder", f"WITH d AS (SELECT id, sqrt({_u(2026, 'id')}) AS r, 2 * pi() * {_u(2027, 'id')} AS phi FROM range((SELECT count(DISTINCT label) FROM embeddings) * 64) AS t(id)) SELECT 'c' || (id // 64) AS sample_id, id % 64 AS point_id, " + _r(x=f"2 * {_u(2028, 'id')} - 1", y="r * cos(phi)", z="r * sin(phi)", wall_dist="greatest(1 - r, 0)", nx="0", ny="cos(phi)", nz="sin(phi)") + " FROM d")
 def s27_synthetic_cylinder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sampling.synthetic_cylinder(spark, 4, 64, 2026))
+    """As many cylinders as there are samples of points, of 64 points each."""
+    return rounded(sampling.synthetic_cylinder(spark, table(spark, sf_dir, "embeddings").select("label").distinct().count(), 64, 2026))
 
 
 @register("s20_finite_samples", f"WITH {CFD} SELECT sample_id FROM cfd GROUP BY sample_id HAVING bool_and(NOT (sample_id % 9 = 0 AND u > 0.9))")

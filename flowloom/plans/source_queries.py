@@ -36,6 +36,16 @@ def s15_resistance_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(solver_text.resistance_blocks(lines))
 
 
+@register("j9_solver_texts", "WITH i AS (SELECT user_id, avg(abs(value)) AS m, stddev_pop(value) / (avg(abs(value)) + 1e-8) AS p, count(value) AS n FROM events GROUP BY user_id), c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 150 END AS s, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS f, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 130 END AS r, (SELECT max(s_suppkey) FROM supplier) AS top FROM customer) SELECT c_custkey, " + _r(density="CASE WHEN s BETWEEN 1 AND top AND s % 3 <> 0 THEN 1 + s % 7 / 10 ELSE 1.06 END", viscosity="0.04", time_step_size="CASE WHEN s BETWEEN 1 AND top THEN s % 5 / 100 ELSE 0 END", flow_mean_abs="coalesce(m, 0)", flow_pulsatility="coalesce(p, 0)", rcr_resistance_mean="CASE WHEN r IS NULL OR r NOT BETWEEN 1 AND top THEN 0 WHEN r % 4 = 0 THEN 30 ELSE 20 END") + ", coalesce(n, 0) AS flow_n, CASE WHEN r IS NULL OR r NOT BETWEEN 1 AND top THEN 0 WHEN r % 4 = 0 THEN 1 ELSE 2 END::BIGINT AS rcr_count FROM c LEFT JOIN i ON i.user_id = c.f")
+def j9_solver_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as cases whose texts are suppliers' settings and resistances and users' inflows; many name none, or one that isn't there."""
+    k = F.col("c_custkey")
+    cases = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 2 == 0, k % 150).alias("solver_inp"), F.when(k % 3 != 0, k).alias("inflow_flow"), F.when(k % 5 != 0, k % 130).alias("rcrt_dat"))
+    inflows = solver_text.inflow_summary(table(spark, sf_dir, "events"), "user_id", "value").withColumnRenamed("user_id", "file")
+    told = solver_text.with_solver_texts(cases, s13_solver_settings(spark, sf_dir), inflows, s15_resistance_blocks(spark, sf_dir))
+    return rounded(told.select("c_custkey", "density", "viscosity", "time_step_size", "flow_mean_abs", "flow_pulsatility", "flow_n", "rcr_count", "rcr_resistance_mean"))
+
+
 _CASE = "SELECT p_partkey, p_size / 50 AS fam, p_retailprice AS q, p_size * 1.0 AS s FROM part"
 
 

@@ -60,6 +60,18 @@ def resistance_blocks(lines: DataFrame) -> DataFrame:
     return lines.select("file").distinct().join(some, "file", "left").na.fill(0)
 
 
+def with_solver_texts(cases: DataFrame, settings: DataFrame, inflows: DataFrame, resistances: DataFrame, solver: str = "solver_inp", inflow: str = "inflow_flow", resistance: str = "rcrt_dat") -> DataFrame:
+    """``cases`` with what their three texts say: solver settings, inflow summary, resistance summary, each by the file that the case names.
+
+    Every case stays: one that names no file, or one that isn't there, has the settings' defaults and zeros.
+    """
+    defaults = dict(SETTINGS.values()) | dict.fromkeys([c for t in (inflows, resistances) for c in t.columns if c != "file"], 0.0)
+    out = cases
+    for column, told in ((solver, settings), (inflow, inflows), (resistance, resistances)):
+        out = out.join(told.withColumnRenamed("file", f"__{column}"), F.col(column) == F.col(f"__{column}"), "left").drop(f"__{column}")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(d).cast(out.schema[c].dataType)) for c, d in defaults.items()})
+
+
 def territory_condition(rows: DataFrame, target_length: float = 5.0) -> DataFrame:
     """Adds cond: the twelve channels of a case, from its family id share, flow, solver, resistance, scale and restart columns."""
     c = F.col
