@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.vectors import vec
-from flowloom.operators import geometry, inference
+from flowloom.operators import geometry, inference, slice_network
 from flowloom.operators import quality_control as qc
+from flowloom.plans import network_sql as sql
 from flowloom.plans.adapters import POINTS, points, rounded
 from flowloom.plans.registry import register
 from flowloom.session import table
@@ -160,19 +161,51 @@ def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).withColumn("trajectory", F.array(*(F.col(f"d{c}") * (k + 1) * F.col("step") for k in range(3) for c in "xyz")))
 
 
-@register("m1_m2_routing_weights", f"WITH {POINTS} SELECT sample_id, count(*) AS n, 8 AS modes, true AS sums_to_one FROM points GROUP BY sample_id")
+_ENCODER, _ROUTER, _BASIS = inference.seeded_weights(inference.trajectory_shapes(), 1), inference.seeded_weights(inference.gate_shapes(len(GEOMETRY) + 16), 2), inference.seeded_weights(inference.basis_shapes(), 3)
+
+
+def _routing_sql() -> str:
+    e, g = _ENCODER, _ROUTER
+    walked, last = sql.steps("t", "sample_id, point_id, k", sql.linear("h", e["w1"], e["b1"]), sql.norm("h", e["n1_scale"], e["n1_shift"]), sql.gelu("h"), sql.linear("h", e["w2"], e["b2"]), sql.gelu("h"), sql.plus("h", f"{sql.literal(e['step'])}[k]"), tag="a")
+    each = "list_transform(hs, lambda x: x[i])"
+    pooled = f"p AS MATERIALIZED (SELECT sample_id, point_id, list_concat(list_transform(range(1, 17), lambda i: list_avg({each})), list_transform(range(1, 17), lambda i: list_max({each}))) AS h FROM (SELECT sample_id, point_id, list(h) AS hs FROM {last} GROUP BY ALL))"
+    coded, last = sql.steps("p", "sample_id, point_id", sql.linear("h", e["w3"], e["b3"]), sql.norm("h", e["n3_scale"], e["n3_shift"]), sql.gelu("h"), tag="b")
+    given = f"f AS MATERIALIZED (SELECT c.sample_id, c.point_id, list_concat([{', '.join(GEOMETRY)}]::DOUBLE[], c.h) AS h FROM {last} c JOIN points USING (sample_id, point_id))"
+    gated, last = sql.steps("f", "sample_id, point_id", sql.linear("h", g["w1"], g["b1"]), sql.gelu("h"), sql.linear("h", g["w2"], g["b2"]), sql.gelu("h"), sql.linear("h", g["w3"], g["b3"]), sql.softmax("h"), tag="c")
+    return f"WITH {POINTS}, t AS (SELECT sample_id, point_id, k, [dx * k * step, dy * k * step, dz * k * step] AS h FROM points, range(1, 4) AS r(k)), {walked}, {pooled}, {coded}, {given}, {gated} SELECT sample_id, point_id, m::INT AS mode, " + _r(weight="h[m]") + f" FROM {last}, range(1, 9) AS r(m)"
+
+
+@register("m1_m2_routing_weights", _routing_sql())
 def m1_m2_routing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoder = inference.seeded_weights(inference.trajectory_shapes(), 1)
-    router = inference.seeded_weights(inference.gate_shapes(len(GEOMETRY) + 16), 2)
-    w = inference.routing_weights(_walked(spark, sf_dir), encoder, router, ["sample_id", "point_id"], GEOMETRY)
-    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
-    return w.groupBy("sample_id").agg(F.count("*").alias("n"), F.max(F.size("weights")).alias("modes"), F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+    """Every point's weight of each mode, from its geometry and its encoded walk."""
+    w = inference.routing_weights(_walked(spark, sf_dir), _ENCODER, _ROUTER, ["sample_id", "point_id"], GEOMETRY)
+    return rounded(w.select("sample_id", "point_id", F.posexplode("weights").alias("mode", "weight")).withColumn("mode", F.col("mode") + 1))
+
+
+_AROUND = ["x", "y", "z", "wall_dist", "nx", "ny", "nz"]
 
 
-@register("m4_learned_basis", f"WITH {POINTS} SELECT sample_id, count(*) AS n, 12 AS width, true AS finite FROM points GROUP BY sample_id")
+def _basis_sql() -> str:
+    b = _BASIS
+    made, last = sql.steps("f", "sample_id, point_id", sql.linear("h", b["w1"], b["b1"]), sql.norm("h", b["n1_scale"], b["n1_shift"]), sql.gelu("h"), sql.linear("h", b["w2"], b["b2"]), sql.norm("h", b["n2_scale"], b["n2_shift"]), sql.gelu("h"), sql.linear("h", b["w3"], b["b3"]), sql.gelu("h"), sql.linear("h", b["w4"], b["b4"]), tag="a")
+    return f"WITH {POINTS}, f AS (SELECT sample_id, point_id, [{', '.join(_AROUND)}]::DOUBLE[] AS h FROM points), {made} SELECT sample_id, point_id, m::INT AS place, " + _r(value="h[m]") + f" FROM {last}, range(1, 13) AS r(m)"
+
+
+@register("m4_learned_basis", _basis_sql())
 def m4_learned_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = inference.learned_basis(points(spark, sf_dir), inference.seeded_weights(inference.basis_shapes(), 3), ["sample_id", "point_id"], ["x", "y", "z", "wall_dist", "nx", "ny", "nz"])
-    return b.groupBy("sample_id").agg(F.count("*").alias("n"), F.max(F.size("modes")).alias("width"), F.bool_and(F.forall("modes", lambda m: ~F.isnan(m))).alias("finite"))
+    """Every point's learned modes, twelve numbers."""
+    b = inference.learned_basis(points(spark, sf_dir), _BASIS, ["sample_id", "point_id"], _AROUND)
+    return rounded(b.select("sample_id", "point_id", F.posexplode("modes").alias("place", "value")).withColumn("place", F.col("place") + 1))
+
+
+_SLICED = slice_network.seeded(7, 4, 5, hidden=8, layers=2, heads=2, slices=4, ratio=2)
+
+
+@register("m6_slice_network", f"WITH {POINTS}, src AS (SELECT sample_id AS sid, point_id AS pid, [{', '.join(_AROUND)}]::DOUBLE[] AS h FROM points), {sql.slice_network(_SLICED, 'src')} SELECT sid AS sample_id, pid AS point_id, " + _r(**{c: f"h[{i + 1}]" for i, c in enumerate("puvw")}) + " FROM done")
+def m6_slice_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layers of two heads over all points, in blocks of 16 points so that every sample is several."""
+    out = slice_network.forward(points(spark, sf_dir), _SLICED, _AROUND, block=16)
+    return rounded(out.select("sample_id", "point_id", *(F.get("out", F.lit(i)).alias(c) for i, c in enumerate("puvw"))))
 
 
 @register("m5_slice_tokens", f"WITH {POINTS}, s AS (SELECT *, unnest(range(4)) AS slice FROM points), w AS (SELECT *, exp(-abs(x) * (slice + 1)) AS w FROM s) SELECT sample_id, slice, " + _r(y="sum(w * y) / (sum(w) + 1e-5)", z="sum(w * z) / (sum(w) + 1e-5)") + " FROM w GROUP BY sample_id, slice")
