@@ -7,10 +7,10 @@ from itertools import combinations, pairwise, permutations, product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators import meshes, sampling, voxels
+from flowloom.operators import meshes, sampling, scenes, voxels
 from flowloom.operators import quality_control as qc
 from flowloom.plans.adapters import rounded
-from flowloom.plans.geometry_queries import FACES, _corner, _r
+from flowloom.plans.geometry_queries import FACES, _corner, _r, meshes_of
 from flowloom.plans.registry import register
 from flowloom.session import cut_lineage, table
 
@@ -186,3 +186,21 @@ def g4_interior_of_prisms(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = each.select("mesh_id", "tri", *((F.col(f"{c}_{x}") * F.col("s")).alias(f"{c}_{x}") for c in "abc" for x in "xyz"))
     s = sampling.interior_points(sized, 100, 80, 3)
     return rounded(s.select("mesh_id", F.col("k").cast("int").alias("k"), "copy", F.col("found").cast("int").alias("found"), "x", "y", "z"))
+
+
+def _times(outer: str, inner: str) -> str:
+    cell = lambda r, k: " + ".join([*(f"{outer}[{4 * r + n + 1}] * {inner}[{4 * n + k + 1}]" for n in range(3)), *([f"{outer}[{4 * r + 4}]"] if k == 3 else [])])
+    return "[" + ", ".join(cell(r, k) for r in range(3) for k in range(4)) + "]"
+
+
+_NODES = "n AS (SELECT n_nationkey % 3 AS scene, n_nationkey AS node, CASE WHEN n_nationkey >= 3 THEN n_nationkey - 3 END AS parent, [0, -1, 0, n_nationkey, 1, 0, 0, 1, 0, 0, 0.5, n_nationkey / 10]::DOUBLE[] AS m FROM nation)"
+
+
+@register("s16_placed_scene", f"WITH RECURSIVE {_NODES}, w AS (SELECT scene, node, m FROM n WHERE parent IS NULL UNION ALL SELECT n.scene, n.node, {_times('w.m', 'n.m')} FROM w JOIN n ON n.scene = w.scene AND n.parent = w.node) SELECT scene, node, f.tri, " + _r(**{f"{c}_{x}": f"m[{4 * r + 1}] * q{c}x + m[{4 * r + 2}] * q{c}y + m[{4 * r + 3}] * q{c}z + m[{4 * r + 4}]" for c in "abc" for r, x in enumerate("xyz")}) + f" FROM w, (VALUES {', '.join(str((t, *(x for v in f for x in _corner(v)))) for t, f in enumerate(FACES))}) AS f(tri, {', '.join(f'q{c}{x}' for c in 'abc' for x in 'xyz')}) WHERE node % 4 <> 1")
+def s16_placed_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scenes of nations in chains, each turned and moved against the one before it; every fourth has no mesh of its own."""
+    k = F.col("n_nationkey")
+    m = F.array(*(x.cast("double") for x in (F.lit(0), F.lit(-1), F.lit(0), k, F.lit(1), F.lit(0), F.lit(0), F.lit(1), F.lit(0), F.lit(0), F.lit(0.5), k / 10)))
+    nodes = table(spark, sf_dir, "nation").select((k % 3).alias("scene"), k.alias("node"), F.when(k >= 3, k - 3).alias("parent"), m.alias("matrix"), F.when(k % 4 != 1, F.lit("cube")).alias("mesh_id"))
+    cube = meshes_of(spark, sf_dir).where("mesh_id = 's0'").withColumn("mesh_id", F.lit("cube"))
+    return rounded(scenes.placed(scenes.world_transforms(nodes), cube).withColumn("tri", F.col("tri").cast("int")))
