@@ -59,7 +59,7 @@ def read_npy(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFram
 
     def decode(p: str, content: bytes) -> pd.DataFrame:
         array = npy_array(content)
-        flat = array.reshape(array.shape[0] if array.ndim else 1, -1).astype(float)
+        flat = array.reshape(array.shape[0] if array.ndim else 1, int(np.prod(array.shape[1:], dtype=np.int64))).astype(float)
         return pd.DataFrame({"path": p, "row": np.arange(len(flat), dtype=np.int64), "values": list(flat)})
 
     return decoded(spark, path, pattern, decode, "path string, row long, values array<double>")
