@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each one of the text operators applied to what its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows as Parquet to the
-shared folder and reads them back as the next one's documents. All stages but the last keep the columns of documents.
+shared folder and reads them back as the next one's documents. All stages but the last return the five columns of
+documents, ``COLUMNS``; other columns are dropped. Texts of any length are judged whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -446,7 +446,8 @@ def _finder(sent, keep_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
 def contaminated_by(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: list[str] | None = None, item_col: str = "item_id", item_text_col: str = "text", size: int = 8, plain: int = 4, share: float = 0.5, block_items: int = 50_000, block_chars: int = 50_000_000) -> DataFrame:
     """Every row's ``carry`` columns (all, if not given) with ``items``: the ids of the benchmark items that contaminate it, in order.
 
-    An item does if ``share`` of its windows match with slots that agree. A null or empty text has none. Items of a null
+    An item does if ``share`` of its windows match with slots that agree. A null or empty text has none; texts of any length
+    are read whole. Items of a null
     id are one null at the end of ``items``, so they mark a document without naming it; items that share a text are each
     named. Rows that repeat are each judged; an existing column ``items`` is replaced.
     """

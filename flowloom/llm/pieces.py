@@ -176,11 +176,11 @@ def encode_decode(docs: DataFrame, model: str, text_col: str = "text", carry: li
     """Every row's ``carry`` columns with n_tokens, ids_sha256 and decoded_sha256 of its whole text; ids and decoded too if ``keep_ids``.
 
     Ids have begin and end ids around them, as the library gives them; a null text counts as an empty one. Each
-    row gives one row, repeated or not. A model whose pieces cross markers is applied to whole texts instead.
+    row gives one row, repeated or not; a carried column of a name that is made is replaced. A model whose pieces cross markers is applied to whole texts instead.
     """
-    carry = ["doc_id"] if carry is None else carry
+    made = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
+    carry = [c for c in (["doc_id"] if carry is None else carry) if c not in made]
     rows = docs.select(*(F.col(c) for c in carry), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).toDF(*(f"c{i}" for i in range(len(carry))), "text")
     kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
-    made = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
     schema = ", ".join([*kinds, "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>", "decoded string"] if keep_ids else [])])
     return rows.mapInArrow(_worker(model, table_limit, keep_ids), schema).toDF(*carry, *made)

@@ -193,10 +193,10 @@ def _scorer(model, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
 def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """Every row's ``carry`` columns with score (0 to 1) and spans: start, end (characters) and score of each sentence at ``threshold`` or more.
 
-    Texts of any length are scored whole; words of kana and ideographs are single characters. A null or empty text and one without words have no sentence and score 0. Rows that repeat are each scored.
+    Texts of any length are scored whole; words of kana and ideographs are single characters. A null or empty text and one without words have no sentence and score 0. Rows that repeat are each scored; carried columns called score or spans are replaced.
     Spans refer to the lower-cased text, which for a few letters of some scripts is of another length.
     """
-    carry = ["doc_id"] if carry is None else carry
+    carry = [c for c in (["doc_id"] if carry is None else carry) if c not in ("score", "spans")]
     rows = docs.select(*(F.col(c) for c in carry), F.coalesce(F.col(text_col), F.lit(""))).toDF(*(f"c{i}" for i in range(len(carry))), "text")
     # NumPy and pandas types of the carried columns are kept: they pass through Arrow untouched
     sent = docs.sparkSession.sparkContext.broadcast(model)

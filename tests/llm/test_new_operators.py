@@ -299,3 +299,19 @@ def test_empty_tables_and_long_texts(spark):
     docs = spark.createDataFrame([(1, long + item), (2, long)], "doc_id long, text string")
     got = contaminated_by(docs, spark.createDataFrame([(9, item)], "item_id long, text string"), carry=["doc_id"]).collect()
     assert {r.doc_id: r["items"] for r in got} == {1: [9], 2: []}
+
+
+def test_carried_columns_of_made_names_are_replaced(spark):
+    df = spark.createDataFrame([(1, "some words", "x", "y")], "doc_id long, text string, n_tokens string, score string")
+    assert encode_decode(df, public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id", "n_tokens"]).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    none = toxicity.Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), 0.0, 0.1)
+    got = toxicity.score(df, none, carry=["doc_id", "score"])
+    assert got.columns == ["doc_id", "score", "spans"] and 0 < got.first().score < 0.2
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
