@@ -72,13 +72,13 @@ _ROUNDS = 2
 _UNIT = [(t, *f) for t, f in enumerate(FACES)]
 _EDGES = sorted({(p, q) for f in FACES for a, b in zip(f, f[1:] + f[:1]) for p, q in ((a, b), (b, a))})
 #: Cubes for nations, each of its own size, whose corners are moved a little, all by what SQL can name.
-CORNERS = f"p0 AS (SELECT n_name AS mesh_id, v AS vertex, x * (1 + n_nationkey / 7) + (v * v % 3) / 11 AS x, y * (1 + n_nationkey / 7) AS y, z * (1 + n_nationkey / 7) - (v % 4) / 20 AS z FROM nation, (VALUES {', '.join(str((v, *_corner(v))) for v in range(8))}) AS c(v, x, y, z))"
+CORNERS = f"p0 AS (SELECT n_name AS mesh_id, v AS vertex, x * (1 + n_nationkey / 7) / 1.37 + (v * v % 3) / 11 AS x, y * (1 + n_nationkey / 7) / 1.37 AS y, z * (1 + n_nationkey / 7) / 1.37 - (v % 4) / 20 AS z FROM nation, (VALUES {', '.join(str((v, *_corner(v))) for v in range(8))}) AS c(v, x, y, z))"
 
 
 def _cubes_of_nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("mesh_id"), "n_nationkey")
     corner = F.array(*(F.struct(F.lit(v).cast("long").alias("v"), *(F.lit(x).alias(c) for c, x in zip("xyz", _corner(v), strict=True))) for v in range(8)))
-    size = 1 + F.col("n_nationkey") / 7
+    size = (1 + F.col("n_nationkey") / 7) / 1.37
     at = n.select("mesh_id", "n_nationkey", F.explode(corner).alias("c")).select("mesh_id", F.col("c.v").alias("vertex"), (F.col("c.x") * size + (F.col("c.v") * F.col("c.v") % 3) / 11).alias("x"), (F.col("c.y") * size).alias("y"), (F.col("c.z") * size - (F.col("c.v") % 4) / 20).alias("z"))
     face = F.array(*(F.struct(*(F.lit(x).cast("long").alias(c) for c, x in zip(("tri", *"abc"), row, strict=True))) for row in _UNIT))
     return n.select("mesh_id", F.explode(face).alias("f")).select("mesh_id", "f.*"), at
