@@ -39,11 +39,13 @@ def legacy_shape(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"fx": padded(F.col("fx"), LEGACY_GEOMETRY), "cond": F.concat(padded(F.slice("cond", 1, 3), LEGACY_CONDITION - 1), F.array(F.lit(-1.0)))})
 
 
-def discovered(files: DataFrame, meta: DataFrame, root: str, allowed: list[str], walks: int, steps: int, min_x: int = 1000, min_pair: int = 100) -> DataFrame:
+def discovered(files: DataFrame, meta: DataFrame, root: str, allowed: list[str], walks: int, steps: int, min_x: int = 1000, min_pair: int = 100, levels: int | None = None, most: int | None = None) -> DataFrame:
     """sample: the folders under ``root`` that are complete samples, from a listing (path, length) and the samples' meta.
 
     A folder needs an x.npy of more than ``min_x`` bytes, a condition_j.npy and a supervise_j.npy of the same j of more
     than ``min_pair`` bytes each, a status that is allowed (see ``meta_keeps``) and the walks that the contract asks for.
+    With ``levels``, it must lie exactly so many folders below the root (2: cohort and case); with ``most``, only the first
+    so many are taken, by the folder that holds them and then by name.
     """
     name = F.element_at(F.split("path", "/"), -1)
     inside = files.where(F.startswith("path", F.lit(root.rstrip("/") + "/"))).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("sample"), name.alias("name"), "length")
@@ -51,7 +53,10 @@ def discovered(files: DataFrame, meta: DataFrame, root: str, allowed: list[str],
     found = inside.groupBy("sample").agg(F.max(F.when(F.col("name") == "x.npy", F.col("length"))).alias("x"), walk("condition").alias("c"), walk("supervise").alias("s"))
     whole = found.where((F.col("x") > min_x) & F.arrays_overlap("c", "s")).select("sample")
     told = whole.join(meta, "sample", "left").withColumn("readable", F.coalesce("readable", F.lit(True)))
-    return walk_contract(meta_keeps(told, allowed).where("keep"), walks, steps).select("sample")
+    sound = walk_contract(meta_keeps(told, allowed).where("keep"), walks, steps).select("sample")
+    if levels is not None:
+        sound = sound.where(F.size(F.split(F.substring("sample", len(root.rstrip("/")) + 2, 2**30), "/")) == levels)
+    return sound if most is None else sound.orderBy(F.regexp_extract("sample", "^(.*)/[^/]*$", 1), "sample").limit(most)
 
 
 # ---- meshes, solutions and walls ---------------------------------------------------------------------------------

@@ -55,10 +55,12 @@ def s2_legacy_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- discovery and manifests -------------------------------------------------------------------------------------
 
 
-@register("s23_discovered", """SELECT CASE WHEN p_partkey % 11 = 0 THEN '/other/data/' ELSE '/root/data/' END || p_brand || '/case' || p_partkey AS sample FROM part
-WHERE p_partkey % 11 <> 0 AND p_size * 100 > 1000 AND (p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 OR p_partkey % 7 = 0) AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 5 AND p_partkey % 4 <> 1 AND p_partkey % 9 <> 2""")
-def s23_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders under the root with a large x, a complete pair of walks, a sound meta and the walks asked for."""
+_SOUND = """SELECT CASE WHEN p_partkey % 11 = 0 THEN '/other/data/' ELSE '/root/data/' END || p_brand || '/case' || p_partkey AS sample FROM part
+WHERE p_partkey % 11 <> 0 AND p_size * 100 > 1000 AND (p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 OR p_partkey % 7 = 0) AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 5 AND p_partkey % 4 <> 1 AND p_partkey % 9 <> 2"""
+
+
+def _sample_listing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files and meta of samples made from parts: some outside of the root, small, without a pair, unsound or of other walks."""
     k = F.col("p_partkey")
     root = F.when(k % 11 == 0, "/other/data/").otherwise("/root/data/")
     p = table(spark, sf_dir, "part").withColumn("sample", F.concat(root, "p_brand", F.lit("/case"), "p_partkey"))
@@ -72,9 +74,27 @@ def s23_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sample", (k % 13 != 0).alias("readable"), (k % 17 != 5).alias("success"), F.when(k % 4 == 1, "fail").when(k % 4 == 2, "Pass").alias("meta_status"), F.when(k % 4 == 3, "warn").alias("manifest_status"),
         F.when(k % 9 == 2, F.lit(4)).otherwise(20).alias("n_random_walks"), F.lit(0.05).alias("perturb_sigma"), F.lit(3).alias("walk_steps"),
     )
+    return listing, meta
+
+
+@register("s23_discovered", _SOUND)
+def s23_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders under the root with a large x, a complete pair of walks, a sound meta and the walks asked for."""
+    listing, meta = _sample_listing(spark, sf_dir)
     return datasets.discovered(listing, meta, "/root/data", ["pass", "warn"], 20, 3)
 
 
+@register("s23_first_discovered", f"SELECT sample FROM ({_SOUND}) ORDER BY regexp_extract(sample, '^(.*)/', 1), sample LIMIT 40")
+def s23_first_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty of them by cohort and case, where every third one has a copy a folder deeper and every fourth one a folder higher, which don't count."""
+    listing, meta = _sample_listing(spark, sf_dir)
+    deeper = lambda df, c: df.withColumn(c, F.replace(c, F.lit("/case"), F.lit("/more/case"))).where(F.length(c) % 3 == 0)
+    higher = lambda df, c: df.withColumn(c, F.regexp_replace(c, "data/[^/]*/case", "data/case")).where(F.length(c) % 4 == 0)
+    listing = listing.unionByName(deeper(listing, "path")).unionByName(higher(listing, "path"))
+    meta = meta.unionByName(deeper(meta, "sample")).unionByName(higher(meta, "sample"))
+    return datasets.discovered(listing, meta, "/root/data", ["pass", "warn"], 20, 3, levels=2, most=40)
+
+
 @register("s7_stem_lookup", QC + "SELECT dataset, 'm' || (p_partkey // 2) || '.v' AS stem, arg_max(status, p_partkey) AS status, max(p_partkey) AS line FROM qc WHERE p_partkey % 6 <> 0 GROUP BY ALL")
 def s7_stem_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last manifest row of each data set and stem; rows without a name are left out."""
