@@ -1,8 +1,8 @@
 """Personal data: generators with high recall, boosted trees over their candidates, calibrated thresholds.
 
 Native DataFrame expressions throughout: regular expressions propose spans, arrays hold them within the row, and the
-boosted trees, fitted by Spark's own gradient boosting on a bounded sample, are applied as one expression. Nothing is
-shuffled but that sample.
+boosted trees, fitted by Spark's own gradient boosting on the candidates of all texts, are applied as one expression. What is
+shuffled are counts of candidates that are alike.
 
 The base detectors (e-mail, ip, card, phone) report exactly the spans that their definition gives. The other generators
 propose more: assigned secrets, keys of mixed characters, long numbers, loose addresses. What of those is redacted is
@@ -13,6 +13,7 @@ alone. So the trees carry over to text what validators vouch for; they find no k
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -105,15 +106,17 @@ def _found(docs: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
 
 
 def _features(kind: Column, span: Column) -> dict[str, Column]:
-    """Format and context of a candidate."""
+    """Format and context of a candidate. Shares are in 64ths, and counts above 64 in eighths of a doubling, so each has a few hundred values at most."""
     text, length = span["text"], F.length(span["text"]).cast("double")
-    share = lambda drop: F.length(F.regexp_replace(text, drop, "")) / length
+    share = lambda drop: part(F.length(F.regexp_replace(text, drop, "")))
+    part = lambda n: F.floor(64 * n / length) / 64
+    coarse = lambda n: F.when(n <= 64, n).otherwise(16 + F.floor(8 * F.log2(n)))
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
     return {
-        "length": length, "digits": share("[^0-9]"), "letters": share("[^A-Za-z]"), "upper": share("[^A-Z]"), "others": share("[A-Za-z0-9]"),
-        "at": flag(F.contains(text, F.lit("@"))), "dots": F.length(F.regexp_replace(text, r"[^.]", "")).cast("double"), "plus": flag(F.startswith(text, F.lit("+"))),
+        "length": coarse(length), "digits": share("[^0-9]"), "letters": share("[^A-Za-z]"), "upper": share("[^A-Z]"), "others": share("[A-Za-z0-9]"),
+        "at": flag(F.contains(text, F.lit("@"))), "dots": coarse(F.length(F.regexp_replace(text, r"[^.]", "")).cast("double")), "plus": flag(F.startswith(text, F.lit("+"))),
         "named": flag(span["before"].rlike(KEYWORDS)), "assigned": flag(span["before"].rlike(r"[=:][\x20\"']*$")), "called": flag(span["before"].rlike(CALLS)),
-        "hex": flag(text.rlike("^[0-9a-f]+$|^[0-9A-F]+$")), "variety": F.size(F.array_distinct(F.split(text, ""))) / length,
+        "hex": flag(text.rlike("^[0-9a-f]+$|^[0-9A-F]+$")), "variety": part(F.size(F.array_distinct(F.split(text, "")))),
         **{f"is_{k}": flag(kind == k) for k in MORE},
     }
 
@@ -176,37 +179,60 @@ def cutoff(bins: dict[int, tuple[float, float]], precision: float) -> float | No
     return min(pools[0][0], 50) / 100 if first == 0 else (pools[first][0] + pools[first - 1][1] + 1) / 200
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 6_000, sample_chars: int = 50_000_000, max_candidates: int = 20_000, trees: int = 16, depth: int = 4, precision: float = 0.95) -> Model | None:
-    """Trees and thresholds from the ``sample_docs`` documents of the lowest hashes of their ids, of any length.
+def _bounded(given: DataFrame, most_docs: int, most_chars: int) -> DataFrame:
+    """The ``most_docs`` rows of the lowest hashes of their ids, up to the one with which they would hold more than ``most_chars`` characters; the first is always there."""
+    from pyspark.sql import Window as W
+
+    order = ["draw", "id", "print"]
+    known = given.where(F.col("id").isNotNull() & F.col("text").isNotNull()).withColumn("print", F.xxhash64("text"))
+    chosen = materialize(known.select("id", "print", F.length("text").alias("chars"), F.xxhash64("id", F.lit(17)).alias("draw")).orderBy(*order).limit(most_docs), "pii-chosen")
+    running = F.sum("chars").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))  # over most_docs rows at most
+    within = chosen.withColumn("total", running).where((F.col("total") <= most_chars) | (F.col("total") == F.col("chars"))).select("id", "print").distinct()
+    return known.join(F.broadcast(within), ["id", "print"], "left_semi").dropDuplicates(["id", "print"]).select("id", "text")
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What the trees learn from: kind, held, label, the features, and weight, the number of candidates of all texts that are alike in these.
+
+    A candidate is held out (a fifth are) by a hash of its document's id and its start. Features are whole numbers and shares in
+    64ths, so the rows are far fewer than the candidates, and no candidate is left out.
+    """
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    named_as = lambda k: F.transform(F.col(k), lambda s: F.struct(F.lit(k).alias("kind"), s.alias("span")))
+    every = F.flatten(F.array(*map(named_as, MORE)))
+    each = _found(given, "text", MORE).select("id", F.explode(every).alias("c")).select("id", "c.kind", "c.span")
+    held = (F.pmod(F.xxhash64("id", "span.start"), F.lit(1_000_003)) % 5 == 0).alias("held")
+    named = each.select("kind", held, vouched(F.col("kind"), F.col("span")).alias("label"), *(v.cast("double").alias(k) for k, v in _features(F.col("kind"), F.col("span")).items()))
+    return named.groupBy("kind", "held", "label", *FEATURES).agg(F.count("*").cast("double").alias("weight"))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int | None = None, sample_chars: int | None = None, trees: int = 16, depth: int = 4, precision: float = 0.95) -> Model | None:
+    """Trees and thresholds from every candidate of every text.
+
+    Four fifths of the candidates fit the trees, and on the rest each kind's scores are calibrated: see ``cutoff``. Candidates that
+    are alike are one row with a weight, and every value of a feature may be a split, as there are bins enough for Spark ML to draw
+    no rows in looking for splits. A kind without any score that holds is never redacted. Null texts have no
+    candidates. None where those to be fitted are of one sort only, for example none.
 
-    The sample ends before the document with which it would hold more than ``sample_chars`` characters; the first is
-    always in it. Four fifths of at most ``max_candidates`` of its candidates fit the trees, and on the rest each kind's
-    scores are calibrated: see ``cutoff``. A kind without any score that holds is never redacted. Null ids and null texts
-    are left out. None where the sample has candidates of one sort only, for example none.
+    For a trial, ``sample_docs`` or ``sample_chars`` look at some documents only; the query gives neither.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.sql import Window as W
 
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    order = [F.xxhash64("id", F.lit(17)), "id", F.xxhash64("text")]
-    chosen = materialize(given.select("id", F.xxhash64("text").alias("print"), F.length("text").alias("chars"), order[0].alias("draw")).orderBy("draw", "id", "print").limit(sample_docs), "pii-chosen")
-    running = F.sum("chars").over(W.orderBy("draw", "id", "print").rowsBetween(W.unboundedPreceding, 0))  # over sample_docs rows at most
-    within = chosen.withColumn("total", running).where((F.col("total") <= sample_chars) | (F.col("total") == F.col("chars"))).select("id", "print").distinct()
-    texts = given.withColumn("print", F.xxhash64("text")).join(F.broadcast(within), ["id", "print"], "left_semi").dropDuplicates(["id", "print"]).select("id", "text")
-    named_as = lambda k: F.transform(F.col(k), lambda s: F.struct(F.lit(k).alias("kind"), s.alias("span")))
-    every = F.flatten(F.array(*map(named_as, MORE)))
-    each = _found(texts, "text", MORE).select("id", F.explode(every).alias("c")).select("id", "c.kind", "c.span")
-    named = each.select("kind", vouched(F.col("kind"), F.col("span")).alias("label"), F.pmod(F.xxhash64("id", "span.start"), F.lit(1_000_003)).alias("draw"), *(v.cast("double").alias(k) for k, v in _features(F.col("kind"), F.col("span")).items()))
-    sample = materialize(named.orderBy("draw", "kind", *FEATURES).limit(max_candidates), "candidates")
-    train = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(sample.where("draw % 5 <> 0")).select("label", "x")
-    if train.select("label").distinct().count() < 2:
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if sample_docs is not None or sample_chars is not None:
+        given = _bounded(given, 6_000 if sample_docs is None else sample_docs, 50_000_000 if sample_chars is None else sample_chars)
+    learnt = materialize(candidates(given, "id"), "pii-candidates")
+    rows, *sorts = learnt.agg(F.count_if(~F.col("held")), *(F.count_if(~F.col("held") & (F.col("label") == x)) for x in (0.0, 1.0))).first()
+    if not all(sorts):
         return None
-    boosted = GBTClassifier(labelCol="label", featuresCol="x", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, checkpointInterval=-1, maxMemoryInMB=64).fit(train)
+    train = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(learnt.where(~F.col("held"))).select("label", "weight", "x")
+    bins = max(512, math.isqrt(rows) + 1)  # Spark ML draws rows beyond the square of this; a feature has under 512 values
+    boosted = GBTClassifier(labelCol="label", featuresCol="x", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, maxBins=bins, checkpointInterval=-1, maxMemoryInMB=64).fit(train)
     model = Model(tuple(_tree(t._call_java("rootNode")) for t in boosted.trees), tuple(boosted.treeWeights), {})
-    held = sample.where("draw % 5 = 0").select("kind", "label", F.floor(100 * model.probability({f: F.col(f) for f in FEATURES})).alias("bin"))
+    scored = learnt.where("held").select("kind", "label", "weight", F.floor(100 * model.probability({f: F.col(f) for f in FEATURES})).alias("bin"))
     seen: dict[str, dict[int, tuple[float, float]]] = {}
-    for r in held.groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect():  # at most 404 rows
+    for r in scored.groupBy("kind", "bin").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good")).collect():  # at most 404 rows
         seen.setdefault(r["kind"], {})[int(r["bin"])] = (r["n"], r["good"])
     return Model(model.trees, model.weights, {k: c for k in MORE if k in seen and (c := cutoff(seen[k], precision)) is not None})
 

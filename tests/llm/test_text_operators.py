@@ -291,6 +291,18 @@ def test_the_sample_is_bounded_by_rows_and_characters(spark):
     assert pii.fit(documents(spark, ["x" * 1000] * 50), sample_chars=10) is None
 
 
+def test_trees_and_thresholds_come_from_all_documents(spark):
+    """Every candidate stands in the ten thousandth and later documents of the order in which a bounded look takes them; copies and null ids count too."""
+    late = {r.id for r in spark.range(10_400).select("id", F.xxhash64("id", F.lit(17)).alias("draw")).orderBy("draw").tail(400)}
+    planted = iter(planted_secrets(6, 400)[0])
+    docs = documents(spark, [next(planted) if i in late else "plain words" for i in range(10_400)])
+    model = pii.fit(docs)
+    assert model is not None and {"key", "address"} <= set(model.thresholds) and pii.fit(docs, sample_docs=6_000) is None
+    every = pii.candidates(docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))))
+    found = pii._found(docs.where("text is not null"), "text", pii.MORE).select(F.sum(sum(F.size(k) for k in pii.MORE))).first()[0]
+    assert every.agg(F.sum("weight")).first()[0] == 3 * found
+
+
 def test_personal_data_in_odd_rows(spark, odd):
     assert pii.find(odd, pii.fit(odd)).count() == odd.count()
     assert pii.fit(odd.limit(0)) is None and pii.find(odd.limit(0), None).count() == 0
