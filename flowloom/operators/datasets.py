@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowloom.operators.ranges import running
+from flowloom.operators.ranges import parts_for, running
 from flowloom.operators.selection import meta_keeps, split_positions, walk_contract
 
 LEGACY_GEOMETRY, LEGACY_CONDITION = 4, 12
@@ -77,10 +77,22 @@ def mesh_decisions(meshes: DataFrame, solutions: DataFrame, simulation: str = "s
 def mesh_solution(meshes: DataFrame, solutions: DataFrame, simulation: str, node: str, row: str, carry: list[str]) -> DataFrame:
     """Mesh points with the solution of their place: the solution's row k belongs to the point of the k-th smallest node number.
 
-    Points are ranked in ranges of the node number, so no task holds a whole mesh.
+    Points are ranked in ranges of the node number, so no task holds a whole mesh, and joined by place in partitions whose number
+    grows with the points, so a task's memory does not.
     """
-    ranked = split_positions(meshes, simulation, node, carry).select(F.col("split").alias(simulation), F.col("position").alias(row), F.col("index").alias(node), *carry)
-    return ranked.join(solutions, [simulation, row])
+    parts = parts_for(meshes.sparkSession, meshes.count())
+    ranked = split_positions(meshes, simulation, node, carry, parts).select(F.col("split").alias(simulation), F.col("position").alias(row), F.col("index").alias(node), *carry)
+    dealt = lambda df: df.repartition(parts, simulation, row)
+    return dealt(ranked).join(dealt(solutions), [simulation, row])
+
+
+def numbered_rows(counts: DataFrame, group: str, count: str, row: str, block: int = 1 << 16) -> DataFrame:
+    """group, row: the numbers from 0 to below ``count`` of each group, made in blocks that many tasks share. Groups of no rows have none."""
+    spark, n = counts.sparkSession, F.col(count).cast("long")
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    starts = counts.where(n > 0).select(group, n.alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).alias("__b"))
+    dealt = starts.repartition(parts_for(spark, total), group, "__b").withColumn("__at", F.col("__b") * block)
+    return dealt.select(group, F.explode(F.sequence("__at", F.least(F.col("__at") + block, "__n") - 1)).alias(row))
 
 
 def with_walls(samples: DataFrame, surfaces: DataFrame, path: str, source: str, strict: bool) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -42,7 +42,7 @@ def _scan(group: list[str], sums: list[str], powers: list[str]) -> Callable[[Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, count, raised, pieces, rows = None, 0, np.uint64(1), 0, 0
-        total = dict.fromkeys([*sums, *powers], np.uint64(0))
+        total, held_back = dict.fromkeys([*sums, *powers], np.uint64(0)), None  # a batch waits for the next, which tells whether it is the last
         for batch in (b for b in batches if b.num_rows):
             n = batch.num_rows
             head = tuple(batch.column(c)[0].as_py() for c in group)
@@ -65,11 +65,20 @@ def _scan(group: list[str], sums: list[str], powers: list[str]) -> Callable[[Ite
             held = int(inside[-1]) + 1 + (count if going[-1] else 0)
             raised = table[int(inside[-1]) + 1] * (raised if going[-1] else np.uint64(1))
             count = held
-            yield pa.record_batch([*batch.columns, *made], names=[*batch.schema.names, *_added(sums, powers), "__first", "__row"])
+            if held_back is not None:
+                yield _closed(held_back, False)
+            held_back = pa.record_batch([*batch.columns, *made], names=[*batch.schema.names, *_added(sums, powers), "__first", "__row"])
+        if held_back is not None:
+            yield _closed(held_back, True)
 
     return run
 
 
+def _closed(batch: pa.RecordBatch, last: bool) -> pa.RecordBatch:
+    """``batch`` with __last, which the last row has if it ends its range."""
+    return pa.record_batch([*batch.columns, pa.array(np.arange(batch.num_rows) == (batch.num_rows - 1 if last else -1))], names=[*batch.schema.names, "__last"])
+
+
 def _added(sums: list[str], powers: list[str]) -> list[str]:
     return ["position", *(f"{c}_{x}" for c in [*sums, *powers] for x in ("before", "through"))]
 
@@ -95,7 +104,7 @@ def _joined(carry: dict[int, list[int]], sums: list[str], powers: list[str]) ->
             names = batch.schema.names
             columns = dict(zip(names, batch.columns, strict=True))
             of, first = columns.pop("__range").to_numpy(), columns.pop("__first").to_numpy(zero_copy_only=False)
-            del columns["__row"]
+            del columns["__row"], columns["__last"]
             for r in np.unique(of[first]).tolist() if carry else []:
                 if r not in carry:
                     continue
@@ -111,6 +120,18 @@ def _joined(carry: dict[int, list[int]], sums: list[str], powers: list[str]) ->
     return run
 
 
+#: Rows that a task of a sort or a join by place takes: some 64 MB of them in Spark's own format.
+TASK_ROWS = 1 << 19
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: the session's number of them, or more where each would have over ``TASK_ROWS``.
+
+    Given to ``repartition`` as a number, it holds: by bytes, which for sorted numbers are few, Spark would put many more rows in a task.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def running(rows: DataFrame, group: list[str], order: list[str], sums: list[str] | None = None, powers: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """``rows`` with position, from 0 within each ``group`` by ``order`` (nulls first), and running totals.
 
@@ -121,7 +142,7 @@ def running(rows: DataFrame, group: list[str], order: list[str], sums: list[str]
     Rows are sorted in ranges of group and order and written to the shared folder, so a group of any size is many tasks'
     work. What comes to the driver are two rows a range: its first group, and its last one's totals. Groups that are
     null are groups of their own; rows that tie in ``order`` come in any order. Columns must not be called ``position``,
-    ``__range``, ``__first`` or ``__row``.
+    ``__range``, ``__first``, ``__row`` or ``__last``.
     """
     sums, powers, spark = sums or [], powers or [], rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -129,11 +150,15 @@ def running(rows: DataFrame, group: list[str], order: list[str], sums: list[str]
     ranged = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys) if keys else rows
     long = [StructField(c, LongType()) for c in _added(sums, powers)]
     ranged = ranged.withColumn("__range", F.spark_partition_id())
-    kind = StructType([*ranged.schema.fields, *long, StructField("__first", BooleanType()), StructField("__row", LongType())])
+    kind = StructType([*ranged.schema.fields, *long, StructField("__first", BooleanType()), StructField("__row", LongType()), StructField("__last", BooleanType())])
     path = scratch(spark, "running")
     ranged.mapInArrow(_scan(group, sums, powers), kind).write.parquet(path)
     at = spark.read.schema(kind).parquet(path)
-    tail = F.struct(F.struct(F.lit(0), *group).alias("group"), (F.col("position") + 1).alias("rows"), F.col("__first").alias("first"), F.array(F.lit(0).cast("long"), *(f"{c}_through" for c in [*sums, *powers])).alias("totals"))
-    ends = at.groupBy(F.col("__range").alias("range")).agg(F.min_by(F.struct(F.lit(0), *group), "__row").alias("head"), F.max_by(tail, "__row").alias("tail")).collect()  # at most ``parts`` rows
+    totals = F.array(F.lit(0).cast("long"), *(f"{c}_through" for c in [*sums, *powers]))
+    tail = F.struct(F.struct(F.lit(0), *group).alias("group"), (F.col("position") + 1).alias("rows"), F.col("__first").alias("first"), totals.alias("totals"))
+    found = at.where("__row = 0 or __last").select(F.col("__range").alias("range"), F.col("__row").alias("row"), F.struct(F.lit(0), *group).alias("head"), F.col("__last").alias("last"), tail.alias("tail"))
+    pairs = found.collect()  # the first and the last row of each range: at most 2 * ``parts``, picked while reading
+    tails = {e["range"]: e["tail"] for e in pairs if e["last"]}
+    ends = [{"range": e["range"], "head": e["head"], "tail": tails[e["range"]]} for e in pairs if e["row"] == 0]
     carry = _carried(ends, sums, powers)
     return at.mapInArrow(_joined(carry, sums, powers), StructType([*rows.schema.fields, *long]))

@@ -248,7 +248,7 @@ def pretrain_split(rows: DataFrame, key: str, ntrain: int, ntest: int, seed: int
     return ranked.withColumn("split", F.when(F.col("__r") <= train, "train").otherwise("test")).drop("__h", "__r")
 
 
-def split_positions(rows: DataFrame, split: str | list[str], index: str, carry: list[str] | None = None) -> DataFrame:
+def split_positions(rows: DataFrame, split: str | list[str], index: str, carry: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """split, position (from 0), index (a number or name) and ``carry`` of each row, in the order of the index within its split; null indices are left out.
 
     ``split`` may be several columns, which then keep their names. A split is ranked in ranges of the index (see ``running``), so no task holds a whole one.
@@ -256,7 +256,7 @@ def split_positions(rows: DataFrame, split: str | list[str], index: str, carry:
     names, carry = ([split] if isinstance(split, str) else split), carry or []
     told = ["split"] if isinstance(split, str) else names
     given = rows.select(*(F.col(c).alias(t) for c, t in zip(names, told, strict=True)), F.col(index).alias("index"), *carry).where(F.col("index").isNotNull())
-    return running(given, told, ["index", *carry]).select(*told, "position", "index", *carry)
+    return running(given, told, ["index", *carry], parts=parts).select(*told, "position", "index", *carry)
 
 
 def split_blocks(rows: DataFrame, split: str, index: str, block: int = 1000) -> DataFrame:

@@ -139,7 +139,7 @@ def j7_mesh_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     meshes = o.select(F.col("o_orderstatus").alias("mesh"), F.col("o_orderkey").alias("node"), F.col("o_totalprice").alias("x"))
     counts = o.groupBy(F.col("o_orderstatus").alias("mesh")).count()
-    solutions = counts.select("mesh", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("row")).where("row % 3 <> 1").withColumn("p", F.col("row") * 2 + F.length("mesh"))
+    solutions = datasets.numbered_rows(counts, "mesh", "count", "row").where("row % 3 <> 1").withColumn("p", F.col("row") * 2 + F.length("mesh"))
     return datasets.mesh_solution(meshes, solutions, "mesh", "node", "row", ["x"]).select("mesh", "row", "node", "x", "p")
 
 
