@@ -1,6 +1,7 @@
 """Token counts by overlap resynchronisation.
 
-A text of up to ``huge_chars`` characters is encoded whole. A longer one is cut into chunks that
+A text of up to ``huge_chars`` characters is in one task, which counts the tokens of its chunks between white space and marks, each
+distinct chunk once, if the tokenizer is of a form whose tokens never reach over these, and else encodes it whole. A longer one is cut into chunks that
 overlap, the chunks are dealt out over the cluster and encoded with offsets, and neighbouring chunks are
 spliced at a boundary that both found and that is proven stable: a token starts there in both encodings, with
 the same id, and the character before it is white space, which no token, merge or normalisation of a
@@ -11,17 +12,20 @@ again with wider chunks and overlaps, at last as one chunk; so every count equal
 
 from __future__ import annotations
 
+import json
 import os
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm._common import materialize, slices
+from flowloom.llm.token_files import WordTable
 
 #: White space that ends a token for sure; other white space is left out, which costs at most a wider overlap.
 STABLE_BEFORE = frozenset(" \t\n\r")
@@ -42,6 +46,37 @@ def _tokenizer(path: str):
     return found
 
 
+#: The pattern of words, digits and runs of marks, of which none reaches over white space, or from a letter or digit to a mark.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def has_apart_words(tokenizer) -> bool:
+    """Whether a text has as many tokens as its chunks have together (see ``WordTable``): the words of ``WORDS`` in bytes, and normal forms that join nothing to white space or to an ASCII mark before which it stands."""
+    made = json.loads(tokenizer.to_str())
+    normal = made.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    forms = normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+    known = all(f["type"] in ("NFC", "Lowercase") or f == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for f in forms)
+    steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0] == {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    loose = any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in made.get("added_tokens", []))
+    return known and split and not steps[1].get("use_regex", True) and not steps[1].get("add_prefix_space") and not loose and made["model"]["type"] == "BPE"
+
+
+@lru_cache(maxsize=2)
+def _table_of(path: str) -> WordTable | None:
+    tokenizer = _tokenizer(path)
+    return WordTable(tokenizer, limit=500_000) if has_apart_words(tokenizer) else None
+
+
+def counted(texts: list[str], path: str) -> list[int]:
+    """The number of tokens of each text."""
+    table = _table_of(path)
+    if table is None or not texts:
+        return [len(x) for x in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    _, cut = table.encode(pa.array(texts, pa.large_string()))
+    return np.diff(cut).tolist()
+
+
 @lru_cache(maxsize=2)
 def _breaks_of(path: str) -> frozenset:
     return breaks(_tokenizer(path))
@@ -69,15 +104,15 @@ def _is_plain(c: str) -> bool:
 
 
 def _counter(path: str, remembered: int = 200_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Encodes whole texts; copies of a text that the task has just counted are told by a digest of 128 bits, and not encoded again."""
+    """Counts whole texts; copies of a text that the task has just counted are told by a digest of 128 bits, and not counted again."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(path), {}
-        for part in slices(batches, "text", 1 << 18):
+        known = {}
+        for part in slices(batches, "text", 1 << 20):
             texts = part.column("text").to_pylist()
             prints = [blake2b(t.encode(), digest_size=16).digest() for t in texts]
             new = {p: t for p, t in zip(prints, texts, strict=True) if p not in known}
-            known.update(zip(new, map(len, tokenizer.encode_batch_fast(list(new.values()), add_special_tokens=False)), strict=True))
+            known.update(zip(new, counted(list(new.values()), path), strict=True))
             yield pa.record_batch([*part.columns[:2], pa.array([known[p] for p in prints], pa.int64()), pa.array([1] * len(texts), pa.int32())], names=["key", "n_bytes", "n_tokens", "n_chunks"])
             if len(known) > remembered:
                 known.clear()

@@ -23,7 +23,7 @@ from flowloom.llm.line_dedup import drop_boilerplate
 from flowloom.llm.near_duplicates import least_matches, near_duplicates
 from flowloom.llm.pieces import ChunkTable, encode_decode
 from flowloom.llm.quality import binomial_tail, judge
-from flowloom.llm.token_counts import token_counts
+from flowloom.llm.token_counts import _table_of, _tokenizer, counted, has_apart_words, token_counts
 from flowloom.llm.toxicity import fit, score
 from flowloom.llm.url_filter import Automaton, UrlRule, judge_urls
 from flowloom.llm.warc import round_trip
@@ -596,3 +596,38 @@ def test_names_and_numbers_of_other_languages_are_placeholders(spark):
     texts = [b for _, b in pairs] + [a.upper() for a, _ in pairs] + ["İ " + pairs[0][0], "heute haben wir alles gesehen und er sagt nie etwas"]
     got = {r.doc_id: r["items"] for r in contaminated_by(documents(spark, texts), items).collect()}
     assert got == {0: [0], 1: [1], 2: [0], 3: [1], 4: [0], 5: []}
+
+
+# ---- tables of chunks --------------------------------------------------------------------------------------------
+
+CHUNKY = ["a", "B", "e\u0301", "\u0301", "Σ", "İ", " ", "  ", "\n", "\t", "\xa0", "\u2003", "\u3000", "\x1c", "\u200b", "'s", "'S", "'", "=", "\u0338", "<", "|>", "<|startoftext|>", "<|endoftext|>", "endoftext", "5", "½", "日本", "テ", "...", "#", "_", "\0", "don't"]
+
+
+def chunky_texts(seed, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(CHUNKY) for _ in range(rng.randrange(25))) for _ in range(n)]
+
+
+def test_counts_of_chunks_are_the_librarys():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = chunky_texts(1, 3000)
+    assert counted(texts, path) == [len(x) for x in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_a_chunk_is_counted_once(monkeypatch):
+    """The library sees each distinct chunk, not each text."""
+    table = _table_of(public_tokenizers.path("word_bpe_49k.json"))
+    seen, segment = [], table._segment
+    monkeypatch.setattr(table, "_segment", lambda chunks: seen.extend(chunks) or segment(chunks))
+    texts = [f"qzxv{i % 7} kjwp" * 50 for i in range(200)]
+    assert len(set(counted(texts, public_tokenizers.path("word_bpe_49k.json")))) >= 1 and 0 < len(seen) < 40
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer, normalizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert has_apart_words(Tokenizer.from_file(path)) and not has_apart_words(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    other = Tokenizer.from_file(path)
+    other.normalizer = normalizers.NFKC()  # turns some marks into white space
+    assert not has_apart_words(other)
