@@ -61,8 +61,49 @@ class WordTable(ChunkTable):
         self.inside = sorted({a << 8 | b for name in names for a, b in pairwise(name)})
         between = [(i, t.content) for i, t in processor.get_added_tokens_decoder().items() if t.content]
         self.between = between[0] if between else None
+        self.lengths = None if processor.normalizer else _byte_lengths(processor)
 
     def _segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that begin with white space and don't end with any are put together as they are, and the bytes of their tokens tell where each ends; the others are parted."""
+        if self.lengths is None or (self.between is not None and any(self.between[1] in c for c in chunks)):
+            return self._parted(chunks)
+        plain = np.array([c[0] in " \t\n\r\v\f" and not c[-1].isspace() for c in chunks], bool)
+        found = self._put_together([c for c, x in zip(chunks, plain.tolist(), strict=True) if x])
+        if found is None:
+            return self._parted(chunks)
+        rest = self._parted([c for c, x in zip(chunks, plain.tolist(), strict=True) if not x]) if not plain.all() else joined([])
+        sizes = np.zeros(len(chunks), np.int64)
+        sizes[plain], sizes[~plain] = found[1], rest[1]
+        of_plain, ids = np.repeat(plain, sizes), np.zeros(int(sizes.sum()), np.uint32)
+        ids[of_plain], ids[~of_plain] = found[0], rest[0]
+        return ids, sizes
+
+    def _put_together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``_segment``; None if a token doesn't end where a chunk does."""
+        if not chunks:
+            return joined([])
+        ids = []
+        for lot in range(0, len(chunks), 1 << 13):  # what the library makes of a lot is freed before the next
+            many = ["".join(chunks[i : i + 256]) for i in range(lot, min(lot + (1 << 13), len(chunks)), 256)]
+            ids += [np.array(x.ids, np.uint32) for x in self.processor.encode_batch_fast(many, add_special_tokens=False)]
+        ids = np.concatenate(ids)
+        ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) for c in chunks])
+        at = np.searchsorted(ends, wanted)
+        if at[-1] != len(ends) - 1 or (ends[at] != wanted).any():
+            return None
+        return ids, np.diff(at, prepend=-1)
+
+    def _add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> None:
+        """``hashes`` are in order, so the entries are put where they belong without sorting the table."""
+        whole = data.tobytes()
+        ids, sizes = self._segment([whole[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        at = np.searchsorted(self.hash, hashes)
+        self.ids = np.insert(self.ids, np.repeat(self.cut[at], sizes), ids)
+        self.cut = np.concatenate([[0], np.cumsum(np.insert(np.diff(self.cut), at, sizes))])
+        self.hash, self.check = np.insert(self.hash, at, hashes), np.insert(self.check, at, checks)
+        self.used, self.bytes = np.insert(self.used, at, 0), np.insert(self.bytes, at, end - start)
+
+    def _parted(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many chunks are one text, with a special token's string between them, at which the library cuts first; those that hold its id themselves go alone."""
         if self.between is None:
             return joined(self._whole(chunks))
@@ -88,15 +129,26 @@ class WordTable(ChunkTable):
         white = _WHITE[data]
         starts = np.zeros(n, bool)
         starts[1:] = white[1:] & ~white[:-1]
-        pair = np.zeros(n, np.int64)  # the two bytes before each place
-        pair[2:] = data[:-2].astype(np.int64) << 8 | data[1:-1]
-        starts &= ~np.isin(pair, [a << 8 | b for a, b in _WIDE])
+        after = np.flatnonzero(starts)
+        after = after[after >= 2]
+        pair = data[after - 2].astype(np.int64) << 8 | data[after - 1]  # the two bytes before each place
+        starts[after[np.isin(pair, [a << 8 | b for a, b in _WIDE])]] = False
         around = np.flatnonzero(_MARK[data[1:]] & _SOLID[data[:-1]]) + 1
         starts[around[~np.isin(data[around - 1].astype(np.int64) << 8 | data[around], self.inside)]] = True
         starts[offsets[:-1][np.diff(offsets) > 0]] = True
         return data, offsets, np.flatnonzero(starts)
 
 
+def _byte_lengths(processor) -> np.ndarray:
+    """The bytes that each id stands for: a byte-level token has a character for each byte."""
+    out = np.zeros(processor.get_vocab_size(with_added_tokens=True), np.int64)
+    for token, i in processor.get_vocab(with_added_tokens=False).items():
+        out[i] = len(token)
+    for i, token in processor.get_added_tokens_decoder().items():
+        out[i] = len(token.content.encode())
+    return out
+
+
 def cuts_at_white_space(tokenizer) -> bool:
     """Whether a text's ids are those of its chunks, one after another: byte-level pieces of the usual pattern, nothing normalised or put before it."""
     import json

@@ -11,6 +11,7 @@ import struct
 import time
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -24,6 +25,7 @@ from flowloom.llm.near_duplicates import least_matches, near_duplicates
 from flowloom.llm.pieces import ChunkTable, encode_decode
 from flowloom.llm.quality import binomial_tail, judge
 from flowloom.llm.token_counts import _table_of, _tokenizer, counted, has_apart_words, token_counts
+from flowloom.llm.token_files import WordTable
 from flowloom.llm.toxicity import fit, score
 from flowloom.llm.url_filter import Automaton, UrlRule, judge_urls
 from flowloom.llm.warc import round_trip
@@ -631,3 +633,21 @@ def test_other_tokenizers_encode_whole_texts():
     other = Tokenizer.from_file(path)
     other.normalizer = normalizers.NFKC()  # turns some marks into white space
     assert not has_apart_words(other)
+
+
+def test_chunks_put_together_are_told_apart_by_their_bytes(monkeypatch):
+    """Chunks between white space go to the library without a special string between them, and in order of their hashes into the table."""
+    from tokenizers import Tokenizer
+
+    processor = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    table, parted = WordTable(processor, limit=500), []
+    direct = table._parted
+    monkeypatch.setattr(table, "_parted", lambda chunks: parted.extend(chunks) or direct(chunks))
+    for lot in range(4):
+        texts = chunky_texts(lot, 600)
+        ids, cut = table.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == [x.ids for x in processor.encode_batch_fast(texts, add_special_tokens=False)]
+        assert (np.diff(table.hash.astype(object)) > 0).all() and len(table.cut) == len(table.hash) + 1
+    parted.clear()
+    table.encode(pa.array([" some qzxv" + " words kjwpq" * 3]))
+    assert not parted
