@@ -77,6 +77,10 @@ class ChunkTable:
         after[1:] = ~space[:-1]
         return data, offsets, np.flatnonzero(space & (after | begins[:-1]))
 
+    def _hashed(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers for each chunk; chunks count as equal if both are."""
+        return range_hashes(data, start, end), _check_sums(data, start, end)
+
     def _take(self, keep: np.ndarray) -> None:
         """Only the entries ``keep``, in that order."""
         size = np.diff(self.cut)[keep]
@@ -116,7 +120,7 @@ class ChunkTable:
         texts = pc.fill_null(texts, "")
         data, offsets, start = self._cut(texts)
         end = np.append(start[1:], len(data))
-        hashes, checks = range_hashes(data, start, end), _check_sums(data, start, end)
+        hashes, checks = self._hashed(data, start, end)
         distinct, first, which, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         _, known, clash = self._places(distinct, checks[first])
         if clash or (checks[first][which] != checks).any():

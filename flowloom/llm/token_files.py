@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm._common import delete, materialize, scratch_path, slices
-from flowloom.llm._words import NOT_ALNUM, raw
+from flowloom.llm._words import NOT_ALNUM, mix, raw
 from flowloom.llm.pieces import ChunkTable, joined
 from flowloom.operators.ranges import running
 
@@ -40,10 +40,42 @@ INDEX = np.dtype([("null", "u1"), ("id", "<i8"), ("offset", "<u8"), ("n", "<u8")
 
 _code = np.arange(256)
 _WHITE = (_code == 0x20) | ((_code >= 9) & (_code <= 13))
-_SOLID = ~NOT_ALNUM & (_code < 128)
-_MARK = NOT_ALNUM & (_code > 32) & (_code < 127)
+#: White space 1, ASCII letters and digits 2, ASCII marks 3.
+_KIND = np.select([_WHITE, ~NOT_ALNUM & (_code < 128), NOT_ALNUM & (_code > 32) & (_code < 127)], [1, 2, 3], 0).astype(np.uint8).tobytes()
 #: The last two bytes of white-space characters beyond ASCII, and some that share them.
 _WIDE = [(0xC2, 0x85), (0xC2, 0xA0), (0x9A, 0x80), *((0x80, x) for x in [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), (0x81, 0x9F)]
+_WIDE_PAIRS = [a << 8 | b for a, b in _WIDE]
+#: What fills up the rest of a word of eight bytes of which k are a chunk's: 0xFF, which no UTF-8 text holds.
+_FILL = np.array([2**64 - (1 << 8 * k) for k in range(8)] + [0], np.uint64)
+
+
+def _words_at(words: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number, of which ``size`` at most count."""
+    at, shift = place >> 3, (place & 7).astype(np.uint64) << np.uint64(3)
+    found = words[at] >> shift | words[at + 1] << np.uint64(1) << (np.uint64(63) - shift)
+    return found | _FILL[np.clip(size, 0, 8)]
+
+
+def chunk_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each range of bytes, a hash and a check: chunks of up to 16 bytes have equal ones only if they are equal; for longer ones they are a digest of 128 bits."""
+    words = np.concatenate([data, np.full(32 - len(data) % 8, 0xFF, np.uint8)]).view("<u8")
+    size = end - start
+    check = np.full(len(start), _FILL[0])
+    more = np.flatnonzero(size > 8)
+    check[more] = _words_at(words, start[more] + 8, size[more] - 8)
+    hashes = mix(_words_at(words, start, size) ^ mix(check))  # for each check a bijection of the first eight bytes
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True))
+        hashes[long], check[long] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    return hashes, check
+
+
+def _merged(old: np.ndarray, here: np.ndarray, new: np.ndarray | int) -> np.ndarray:
+    """``here`` at the places that are ``old``, and ``new`` at the others."""
+    out = np.empty(len(old), here.dtype)
+    out[old], out[~old] = here, new
+    return out
 
 
 class WordTable(ChunkTable):
@@ -63,45 +95,57 @@ class WordTable(ChunkTable):
         self.between = between[0] if between else None
         self.lengths = None if processor.normalizer else _byte_lengths(processor)
 
-    def _segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _hashed(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return chunk_keys(data, start, end)
+
+    def _ids_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Chunks that begin with white space and don't end with any are put together as they are, and the bytes of their tokens tell where each ends; the others are parted."""
-        if self.lengths is None or (self.between is not None and any(self.between[1] in c for c in chunks)):
-            return self._parted(chunks)
-        plain = np.array([c[0] in " \t\n\r\v\f" and not c[-1].isspace() for c in chunks], bool)
-        found = self._put_together([c for c, x in zip(chunks, plain.tolist(), strict=True) if x])
+        plain = np.zeros(len(start), bool)
+        if self.lengths is not None:
+            pair = data[np.maximum(end - 2, 0)].astype(np.int64) << 8 | data[end - 1]
+            plain = _WHITE[data[start]] & (data[end - 1] > 0x20) & ~np.isin(pair, _WIDE_PAIRS)
+        found = self._put_together(data, start[plain], end[plain])
         if found is None:
-            return self._parted(chunks)
-        rest = self._parted([c for c, x in zip(chunks, plain.tolist(), strict=True) if not x]) if not plain.all() else joined([])
-        sizes = np.zeros(len(chunks), np.int64)
+            plain, found = np.zeros(len(start), bool), joined([])
+        whole = data.tobytes() if not plain.all() else b""
+        rest = self._segment([whole[a:b].decode() for a, b in zip(start[~plain].tolist(), end[~plain].tolist(), strict=True)]) if whole else joined([])
+        sizes = np.zeros(len(start), np.int64)
         sizes[plain], sizes[~plain] = found[1], rest[1]
         of_plain, ids = np.repeat(plain, sizes), np.zeros(int(sizes.sum()), np.uint32)
         ids[of_plain], ids[~of_plain] = found[0], rest[0]
         return ids, sizes
 
-    def _put_together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """As ``_segment``; None if a token doesn't end where a chunk does."""
-        if not chunks:
+    def _put_together(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``_ids_of``; None if a token doesn't end where a chunk does, or a chunk may hold the special token's string."""
+        if not len(start):
             return joined([])
-        ids = []
-        for lot in range(0, len(chunks), 1 << 13):  # what the library makes of a lot is freed before the next
-            many = ["".join(chunks[i : i + 256]) for i in range(lot, min(lot + (1 << 13), len(chunks)), 256)]
+        cut = np.concatenate([[0], np.cumsum(end - start)])
+        text = data[np.repeat(start - cut[:-1], end - start) + np.arange(cut[-1])].tobytes()
+        if self.between is not None and self.between[1].encode() in text:
+            return None
+        ids, edges = [], [*cut[:-1:256].tolist(), len(text)]
+        for lot in range(0, len(edges) - 1, 32):  # what the library makes of a lot is freed before the next
+            many = [text[a:b].decode() for a, b in pairwise(edges[lot : lot + 33])]
             ids += [np.array(x.ids, np.uint32) for x in self.processor.encode_batch_fast(many, add_special_tokens=False)]
         ids = np.concatenate(ids)
-        ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) for c in chunks])
-        at = np.searchsorted(ends, wanted)
-        if at[-1] != len(ends) - 1 or (ends[at] != wanted).any():
+        ends = np.cumsum(self.lengths[ids])
+        at = np.searchsorted(ends, cut[1:])
+        if at[-1] != len(ends) - 1 or (ends[at] != cut[1:]).any():
             return None
         return ids, np.diff(at, prepend=-1)
 
     def _add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> None:
         """``hashes`` are in order, so the entries are put where they belong without sorting the table."""
-        whole = data.tobytes()
-        ids, sizes = self._segment([whole[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-        at = np.searchsorted(self.hash, hashes)
-        self.ids = np.insert(self.ids, np.repeat(self.cut[at], sizes), ids)
-        self.cut = np.concatenate([[0], np.cumsum(np.insert(np.diff(self.cut), at, sizes))])
-        self.hash, self.check = np.insert(self.hash, at, hashes), np.insert(self.check, at, checks)
-        self.used, self.bytes = np.insert(self.used, at, 0), np.insert(self.bytes, at, end - start)
+        ids, sizes = self._ids_of(data, start, end)
+        old = np.ones(len(self.hash) + len(hashes), bool)
+        old[np.searchsorted(self.hash, hashes) + np.arange(len(hashes))] = False
+        size = _merged(old, np.diff(self.cut), sizes)
+        self.ids, self.cut = _merged(np.repeat(old, size), self.ids, ids), np.concatenate([[0], np.cumsum(size)])
+        self.hash, self.check = _merged(old, self.hash, hashes), _merged(old, self.check, checks)
+        self.used, self.bytes = _merged(old, self.used, 0), _merged(old, self.bytes, end - start)
+
+    def _segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._parted(chunks)
 
     def _parted(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many chunks are one text, with a special token's string between them, at which the library cuts first; those that hold its id themselves go alone."""
@@ -125,15 +169,15 @@ class WordTable(ChunkTable):
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data, offsets = raw(texts)
-        n = len(data)
-        white = _WHITE[data]
-        starts = np.zeros(n, bool)
+        kind = np.frombuffer(data.tobytes().translate(_KIND), np.uint8)
+        white = kind == 1
+        starts = np.zeros(len(data), bool)
         starts[1:] = white[1:] & ~white[:-1]
         after = np.flatnonzero(starts)
         after = after[after >= 2]
         pair = data[after - 2].astype(np.int64) << 8 | data[after - 1]  # the two bytes before each place
-        starts[after[np.isin(pair, [a << 8 | b for a, b in _WIDE])]] = False
-        around = np.flatnonzero(_MARK[data[1:]] & _SOLID[data[:-1]]) + 1
+        starts[after[np.isin(pair, _WIDE_PAIRS)]] = False
+        around = np.flatnonzero((kind[1:] == 3) & (kind[:-1] == 2)) + 1
         starts[around[~np.isin(data[around - 1].astype(np.int64) << 8 | data[around], self.inside)]] = True
         starts[offsets[:-1][np.diff(offsets) > 0]] = True
         return data, offsets, np.flatnonzero(starts)
@@ -168,7 +212,10 @@ def _loaded(path: str) -> tuple:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return tokenizer, WordTable(tokenizer) if cuts_at_white_space(tokenizer) else None
+    if not cuts_at_white_space(tokenizer):
+        return tokenizer, None
+    tokenizer.model._resize_cache(0)  # the table keeps what the library would: it only sees chunks that the table lacks
+    return tokenizer, WordTable(tokenizer, limit=600_000)
 
 
 def encoded(texts: pa.Array, path: str) -> list[np.ndarray]:
@@ -221,7 +268,7 @@ def _framed(path: str, sent, end_id: int | None, width: int, level: int) -> Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor, _ = _codecs(sent.value, level)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             each = [_ended(x, end_id) for x in encoded(part.column("text"), path)]
             if any(len(x) and int(x.max()) >> 8 * width for x in each):
                 raise ValueError(f"an id does not fit {width} bytes")

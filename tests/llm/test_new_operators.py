@@ -150,6 +150,42 @@ def test_equal_hashes_end_no_query(monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == processor.encode(texts.to_pylist())
 
 
+def test_keys_of_chunks_are_equal_only_for_equal_chunks():
+    rng = random.Random(12)
+    parts = [b"", b"a", b" ", b"\x00", b"abcdefgh", b"abcdefg", b"\xc3\xa9", b"0123456789abcdef"]
+    chunks = [b for b in ("".join(rng.choice(["a", " ", "\0", "é", "日", "abcdefgh", "1234567"]) for _ in range(rng.randrange(1, 9))).encode() for _ in range(4000)) if b] + [b for b in parts if b]
+    cut = np.cumsum([0, *map(len, chunks)])
+    keys = list(zip(*(x.tolist() for x in token_files.chunk_keys(np.frombuffer(b"".join(chunks), np.uint8), cut[:-1], cut[1:])), strict=True))
+    assert len(set(keys)) == len(set(chunks)) == len(set(zip(keys, chunks, strict=True)))
+
+
+def test_chunks_of_equal_keys_are_encoded_with_their_texts(monkeypatch):
+    monkeypatch.setattr(token_files, "chunk_keys", lambda data, start, end: (np.ones(len(start), np.uint64), (end - start).astype(np.uint64)))
+    _, table = token_files._loaded.__wrapped__(BYTES)
+    texts = pa.array(["some words here", "and some more", ""])
+    ids, cut = table.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == library(texts.to_pylist(), ())
+
+
+def test_a_large_vocabulary_goes_to_the_library_once():
+    """400,000 distinct words are sent when they are met first and not again."""
+    _, table = token_files._loaded.__wrapped__(BYTES)
+    known, sent = table.processor, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            sent.append(sum(map(len, texts)))
+            return known.encode_batch_fast(texts, **how)
+
+    table.processor = Counted()
+    texts = ["".join(f" w{i:x}" for i in range(n, n + 20_000)) for n in range(0, 400_000, 20_000)]
+    first = [table.encode(pa.array([t]))[0].tolist() for t in texts]
+    assert 0 < sum(sent) <= sum(map(len, texts)) + 400_000
+    sent.clear()
+    assert [table.encode(pa.array([t]))[0].tolist() for t in texts] == first and not sent
+    assert first[3] == known.encode(texts[3], add_special_tokens=False).ids
+
+
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     rng = random.Random(4)
